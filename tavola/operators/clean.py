@@ -56,11 +56,13 @@ def cap_outliers_iqr(df: DataFrame, column: str = "price", k: float = 1.5,
     if column not in df.columns:
         return df
     qs = quantiles(df, column, [0.25, 0.75], method=method)
-    q1, q3 = qs.getItem(0), qs.getItem(1)
+    q1, q3 = F.col("_q").getItem(0), F.col("_q").getItem(1)
     lo = q1 - F.lit(k) * (q3 - q1)
     hi = q3 + F.lit(k) * (q3 - q1)
     c = F.col(column)
-    return df.withColumn(column, F.when(c < lo, lo).when(c > hi, hi).otherwise(c))
+    return (df.withColumn("_q", qs)
+            .withColumn(column, F.when(c < lo, lo).when(c > hi, hi).otherwise(c))
+            .drop("_q"))
 
 
 def log_transform(df: DataFrame, column: str = "rating_count", out: str | None = None) -> DataFrame:

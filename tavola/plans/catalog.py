@@ -52,4 +52,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     # Importing the query modules fills REGISTRY.
-    from tavola.plans import queries_core  # noqa: F401
+    from tavola.plans import queries_core, queries_profile  # noqa: F401

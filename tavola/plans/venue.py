@@ -7,6 +7,25 @@ from pyspark.sql import DataFrame, SparkSession
 from tavola import fixtures
 from tavola.operators.clean import clean_items
 from tavola.operators.rollup import entity_table
+from tavola.session import ensure_checkpoint_dir
+
+
+_STAGES: dict = {}
+
+
+def stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Materialise a pipeline stage once per session and input folder.
+
+    The stage is written as a reliable checkpoint into the shared
+    ``spark.checkpoint.dir`` (never a machine-local folder on a cluster):
+    later stages and scalar subqueries read it instead of recomputing the
+    upstream joins, lineage is cut, and a lost executor only re-reads files.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STAGES:
+        ensure_checkpoint_dir(spark)
+        _STAGES[key] = build().checkpoint(eager=True)
+    return _STAGES[key]
 
 
 def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +33,8 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_items(raw_items(spark, sf_dir))
+    return stage(spark, sf_dir, "items_clean", lambda: clean_items(raw_items(spark, sf_dir)))
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entity_table(clean(spark, sf_dir))
+    return stage(spark, sf_dir, "entities", lambda: entity_table(clean(spark, sf_dir)))
