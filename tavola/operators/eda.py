@@ -17,3 +17,104 @@ def target_balance(e: DataFrame, targets: Sequence[str] = TARGETS) -> DataFrame:
             .agg(F.sum("label").cast("long").alias("positives"),
                  F.count_if(F.col("label") == 0).alias("negatives"),
                  (F.avg("label") * 100).alias("pct_positive")))
+
+
+def _top_values(df: DataFrame, column: str, k: int) -> DataFrame:
+    """The k most frequent non-null values of ``column`` (ties by value),
+    one row each; a global TakeOrdered over the distinct-value counts."""
+    return (df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
+            .orderBy(F.desc("_n"), F.asc(column)).limit(k).select(column))
+
+
+def price_by_category(items: DataFrame, top: int = 15, category: str = "category",
+                      price: str = "price") -> DataFrame:
+    """Box statistics of ``price`` for the ``top`` most frequent categories:
+    n, min, Q1, median, Q3, max and the 1.5*IQR whiskers clipped to the data.
+
+    The top categories restrict the items through a left-semi join (the top
+    list has ``top`` rows, so it is broadcast).  Quantiles are exact per
+    category; (category, price) pairs are counted first so duplicated prices
+    are combined map-side and the percentile buffer holds distinct prices.
+    """
+    keep = items.join(F.broadcast(_top_values(items, category, top)), on=category, how="left_semi")
+    freq = (keep.where(F.col(price).isNotNull()).groupBy(category, price)
+            .agg(F.count("*").alias("_f")))
+    qs = (freq.groupBy(category)
+          .agg(F.sum("_f").alias("n"), F.min(price).alias("min"), F.max(price).alias("max"),
+               F.percentile(F.col(price), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_f")).alias("_q")))
+    qs = qs.select(category, "n", "min", "max", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
+                   F.col("_q")[2].alias("q3"))
+    lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
+    hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
+    # Whiskers: the most extreme data points inside the fences (second pass
+    # over the per-price counts joined with one row per category).
+    whisk = (freq.join(qs.select(category, lo.alias("_lo"), hi.alias("_hi")), on=category)
+             .groupBy(category)
+             .agg(F.min(F.when(F.col(price) >= F.col("_lo"), F.col(price))).alias("whisker_low"),
+                  F.max(F.when(F.col(price) <= F.col("_hi"), F.col(price))).alias("whisker_high")))
+    return qs.join(whisk, on=category)
+
+
+def avg_price_by_category(items: DataFrame, top: int = 15, category: str = "category",
+                          price: str = "price") -> DataFrame:
+    """Mean price of the ``top`` most frequent categories, descending."""
+    keep = items.join(F.broadcast(_top_values(items, category, top)), on=category, how="left_semi")
+    return (keep.groupBy(category).agg(F.avg(price).alias("avg_price"))
+            .orderBy(F.desc("avg_price"), category).limit(top))
+
+
+ITEM_REPORT_COLS = ("dish_name", "category", "rating", "rating_count", "price")
+
+
+def top_items_by_count(items: DataFrame, n: int = 20, count_col: str = "rating_count",
+                       cols: Sequence[str] = ITEM_REPORT_COLS) -> DataFrame:
+    """Items with the largest ``count_col`` (nulls excluded); ties broken by
+    the remaining report columns so the result is deterministic."""
+    cols = list(cols)
+    rest = [c for c in cols if c != count_col]
+    return (items.where(F.col(count_col).isNotNull()).select(*cols)
+            .orderBy(F.desc(count_col), *[F.asc_nulls_last(c) for c in rest]).limit(n))
+
+
+def top_items_by_rating(items: DataFrame, n: int = 15, min_count: int = 50, rating: str = "rating",
+                        count_col: str = "rating_count", cols: Sequence[str] = ITEM_REPORT_COLS) -> DataFrame:
+    """Items with ``count_col >= min_count``, highest ``rating`` first."""
+    cols = list(cols)
+    rest = [c for c in cols if c != rating]
+    return (items.where((F.col(count_col) >= min_count) & F.col(rating).isNotNull()).select(*cols)
+            .orderBy(F.desc(rating), *[F.asc_nulls_last(c) for c in rest]).limit(n))
+
+
+def entities_by_city(e: DataFrame, top: int = 15, city: str = "city") -> DataFrame:
+    return (e.groupBy(city).agg(F.count("*").alias("entities"))
+            .orderBy(F.desc("entities"), city).limit(top))
+
+
+def avg_rating_by_city(e: DataFrame, top: int = 15, city: str = "city",
+                       rating: str = "avg_rating") -> DataFrame:
+    return (e.groupBy(city).agg(F.avg(rating).alias("mean_avg_rating"))
+            .where(F.col("mean_avg_rating").isNotNull())
+            .orderBy(F.desc("mean_avg_rating"), city).limit(top))
+
+
+def scatter_binned(df: DataFrame, x: str, y: str, bins: int = 20, value: str | None = None) -> DataFrame:
+    """The data behind a scatter plot as a 2-D histogram: equal-width bins on
+    both axes over [min, max], (x_bin, y_bin, count[, mean of value])."""
+    from tavola.functions.stats import scalar_stats
+
+    st = scalar_stats(df, x_mn=F.min(F.col(x).cast("double")), x_mx=F.max(F.col(x).cast("double")),
+                      y_mn=F.min(F.col(y).cast("double")), y_mx=F.max(F.col(y).cast("double")))
+    d = df.withColumn("_st", st)
+
+    def b(c, mn, mx):
+        lo = F.when(mn == mx, mn - 0.5).otherwise(mn)
+        hi = F.when(mn == mx, mx + 0.5).otherwise(mx)
+        raw = F.floor((F.col(c).cast("double") - lo) / (hi - lo) * F.lit(float(bins)))
+        return F.when(raw > bins - 1, F.lit(bins - 1)).otherwise(raw).cast("int")
+
+    d = d.select(b(x, F.col("_st.x_mn"), F.col("_st.x_mx")).alias("x_bin"),
+                 b(y, F.col("_st.y_mn"), F.col("_st.y_mx")).alias("y_bin"),
+                 *([F.col(value).cast("double").alias("_v")] if value else []))
+    d = d.where(F.col("x_bin").isNotNull() & F.col("y_bin").isNotNull())
+    aggs = [F.count("*").alias("count")] + ([F.avg("_v").alias(f"mean_{value}")] if value else [])
+    return d.groupBy("x_bin", "y_bin").agg(*aggs)

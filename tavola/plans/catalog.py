@@ -2,8 +2,9 @@
 fixture views built from the driver's tables, with an equivalent DuckDB SQL
 oracle where the operator is SQL-expressible.
 
-Double columns are rounded to 6 decimals on both engines (last-digit float
-differences between engines are not semantic)."""
+Double columns are rounded to 6 decimals on both engines with the same binary
+operation, rint(x * 1e6) / 1e6 (last-digit float differences between engines
+are not semantic)."""
 
 from __future__ import annotations
 
@@ -35,7 +36,8 @@ def register(name: str, body: str | None = None, ctes: tuple[str, ...] = (), dbl
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    cols = {n: F.round(F.col(f"`{n}`"), digits) for n, t in df.dtypes if t in ("double", "float")}
+    scale = float(10 ** digits)
+    cols = {n: F.rint(F.col(f"`{n}`") * scale) / scale for n, t in df.dtypes if t in ("double", "float")}
     return df.withColumns(cols) if cols else df
 
 
@@ -52,4 +54,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     # Importing the query modules fills REGISTRY.
-    from tavola.plans import queries_core, queries_profile  # noqa: F401
+    from tavola.plans import queries_core, queries_eda, queries_profile  # noqa: F401
