@@ -54,4 +54,6 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     # Importing the query modules fills REGISTRY.
-    from tavola.plans import queries_core, queries_eda, queries_profile  # noqa: F401
+    from tavola.plans import (  # noqa: F401
+        queries_core, queries_eda, queries_features, queries_profile,
+    )

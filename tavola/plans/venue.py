@@ -38,3 +38,18 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(spark, sf_dir, "entities", lambda: entity_table(clean(spark, sf_dir)))
+
+
+def enhanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entity table + engineered features, segment codes and top-20 city
+    one-hots (the phase-4 table)."""
+    from tavola.operators.features import encode_entities, enhance_entities
+
+    def build():
+        out, _names = encode_entities(enhance_entities(entities(spark, sf_dir)))
+        return out
+    return stage(spark, sf_dir, "enhanced", build)
+
+
+def city_columns(df: DataFrame, prefix: str = "city_") -> list[str]:
+    return [c for c in df.columns if c.startswith(prefix)]
