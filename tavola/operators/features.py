@@ -259,17 +259,19 @@ def hash_order(keys: Sequence[str], seed: int) -> Column:
 
 
 def stratified_split(df: DataFrame, label: str, keys: Sequence[str], test_size: float = 0.2,
-                     seed: int = 42, out: str = "is_test") -> DataFrame:
+                     seed: int = 42, out: str = "is_test", by: Sequence[str] = ()) -> DataFrame:
     """Exact stratified split: within each class the round(test_size * n)
     rows first in md5(key|seed) order are test rows.
 
     The per-class position comes from ``global_rank`` (range partitioning),
     never from a window holding a whole class in one task.  Class sizes are a
     tiny aggregate (one row per class)."""
+    strata = [*by, label]
     d = df.withColumn("_h", hash_order(keys, seed))
-    ranked = global_rank(d, [label], ["_h", *keys], out="_r")
-    sizes = df.groupBy(label).agg(F.floor(F.count("*") * F.lit(test_size) + F.lit(0.5)).alias("_ntest"))
-    return (ranked.join(F.broadcast(sizes), on=label)
+    ranked = global_rank(d, strata, ["_h", *keys], out="_r")
+    # one row per stratum (tasks x classes): a proven-small broadcast side
+    sizes = df.groupBy(*strata).agg(F.floor(F.count("*") * F.lit(test_size) + F.lit(0.5)).alias("_ntest"))
+    return (ranked.join(F.broadcast(sizes), on=strata)
             .withColumn(out, (F.col("_r") < F.col("_ntest")).cast("int"))
             .drop("_h", "_r", "_ntest"))
 

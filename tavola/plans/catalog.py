@@ -55,5 +55,5 @@ def oracle_sql() -> dict[str, str]:
 def _load() -> None:
     # Importing the query modules fills REGISTRY.
     from tavola.plans import (  # noqa: F401
-        queries_core, queries_diagnose, queries_eda, queries_features, queries_profile,
+        queries_core, queries_diagnose, queries_eda, queries_eval, queries_features, queries_profile,
     )

@@ -53,3 +53,50 @@ def enhanced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def city_columns(df: DataFrame, prefix: str = "city_") -> list[str]:
     return [c for c in df.columns if c.startswith(prefix)]
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score requests derived from the entity table: the 13 request fields
+    (training-form ratios and variance flag) plus key and targets."""
+    from tavola.operators.features import high_variance_flag, ratio_features
+    from tavola.operators.rollup import ENTITY_KEYS, TARGETS
+    from tavola.operators.score import REQUEST_FIELDS
+
+    def build():
+        d = high_variance_flag(ratio_features(enhanced(spark, sf_dir)))
+        fields = [f for f in REQUEST_FIELDS if f != "city"]
+        return d.select(*ENTITY_KEYS, *fields, "city", *TARGETS)
+    return stage(spark, sf_dir, "requests", build)
+
+
+def eval_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test rows of every task scored by the rule-based fallback and by the
+    two dummy baselines: (key, task, model, y, p)."""
+    from pyspark.sql import functions as F
+
+    from tavola.operators.features import stratified_split
+    from tavola.operators.rollup import ENTITY_KEYS
+    from tavola.operators.score import rule_scores
+    from tavola.operators.train import fit_dummy
+
+    def build():
+        keys = list(ENTITY_KEYS)
+        req = requests(spark, sf_dir)
+        long = req.select(*keys, F.inline(F.array(*[
+            F.struct(F.lit(t).alias("task"), F.col(f"is_{t}").alias("label"))
+            for t in ("high_rated", "popular", "premium")])))
+        sp = stratified_split(long, "label", keys, 0.2, 42, by=["task"])
+        train, test = sp.where("is_test = 0"), sp.where("is_test = 1")
+        rules = (rule_scores(req, keys).join(test.select(*keys, "task", "label"), on=[*keys, "task"])
+                 .select(*keys, "task", F.lit("rules").alias("model"), F.col("label").alias("y"),
+                         F.col("probability").alias("p")))
+        parts = [rules]
+        for strat in ("most_frequent", "stratified"):
+            d = fit_dummy(train, test, keys, strat, "label", by=["task"])
+            parts.append(d.select(*keys, "task", F.lit(f"dummy_{strat}").alias("model"),
+                                  F.col("label").alias("y"), "p"))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+    return stage(spark, sf_dir, "eval_scored", build)
