@@ -64,8 +64,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def build():
         d = high_variance_flag(ratio_features(enhanced(spark, sf_dir)))
-        fields = [f for f in REQUEST_FIELDS if f != "city"]
-        return d.select(*ENTITY_KEYS, *fields, "city", *TARGETS)
+        fields = [f for f in REQUEST_FIELDS if f not in ENTITY_KEYS]
+        return d.select(*ENTITY_KEYS, *fields, *TARGETS)
     return stage(spark, sf_dir, "requests", build)
 
 
