@@ -56,5 +56,5 @@ def _load() -> None:
     # Importing the query modules fills REGISTRY.
     from tavola.plans import (  # noqa: F401
         queries_core, queries_diagnose, queries_eda, queries_eval, queries_features, queries_profile,
-        queries_monitor, queries_score, queries_sources, queries_stream,
+        queries_ml, queries_monitor, queries_score, queries_sources, queries_stream,
     )

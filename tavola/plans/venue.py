@@ -100,3 +100,33 @@ def eval_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = out.unionByName(p)
         return out
     return stage(spark, sf_dir, "eval_scored", build)
+
+
+def task_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long training frame: one row per (entity, task) with the union of the
+    task feature columns, the top-10 city one-hots, label and the exact
+    stratified split flag (per task and class)."""
+    from pyspark.sql import functions as F
+
+    from tavola.operators.features import (
+        TASK_FEATURES, TASK_TARGET, high_variance_flag, impute_median, one_hot_topk_other,
+        ratio_features, stratified_split,
+    )
+    from tavola.operators.rollup import ENTITY_KEYS
+
+    def build():
+        keys = list(ENTITY_KEYS)
+        d = high_variance_flag(ratio_features(enhanced(spark, sf_dir)).drop(*city_columns(enhanced(spark, sf_dir))))
+        d, names = one_hot_topk_other(d, "city", 10)
+        feats = list(dict.fromkeys([f for fs in TASK_FEATURES.values() for f in fs] + names))
+        d = impute_median(d.select(*keys, *feats, *TASK_TARGET.values()), feats)
+        long = d.select(*keys, *feats, F.inline(F.array(*[
+            F.struct(F.lit(t).alias("task"), F.col(c).alias("label")) for t, c in TASK_TARGET.items()])))
+        return stratified_split(long, "label", keys, 0.2, 42, by=["task"])
+    return stage(spark, sf_dir, "task_data", build)
+
+
+def task_feature_sets(df: DataFrame) -> dict:
+    from tavola.operators.features import TASK_FEATURES
+    names = city_columns(df)
+    return {t: list(fs) + names for t, fs in TASK_FEATURES.items()}
