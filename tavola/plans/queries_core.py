@@ -31,3 +31,77 @@ GROUP BY target
 """, ("entities",), dbl=("pct_positive",))
 def q_target_balance(spark, sf):
     return eda.target_balance(venue.entities(spark, sf))
+
+
+# --- individual cleaning stages ------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from tavola import fixtures  # noqa: E402
+from tavola.operators import clean as C  # noqa: E402
+from tavola.operators import rollup as R  # noqa: E402
+
+
+@register("standardize_columns", "SELECT * FROM fx_items", ("fx_items",), dbl=("price", "rating"))
+def q_standardize_columns(spark, sf):
+    return C.standardize_columns(fixtures.fx_items_raw(spark, sf))
+
+
+@register("drop_exact_duplicates", "SELECT * FROM items_dedup", ("items_dedup",), dbl=("price", "rating"))
+def q_drop_exact_duplicates(spark, sf):
+    return C.drop_exact_duplicates(venue.raw_items(spark, sf))
+
+
+@register("clean_text", "SELECT * FROM items_text", ("items_text",), dbl=("price", "rating"))
+def q_clean_text(spark, sf):
+    return C.clean_text(C.drop_exact_duplicates(venue.raw_items(spark, sf)))
+
+
+@register("cap_outliers_iqr", """
+SELECT CASE WHEN price < lo THEN lo WHEN price > hi THEN hi ELSE price END AS price, lo AS lower_bound, hi AS upper_bound
+FROM items_text, price_bounds
+""", ("items_text", "price_bounds"), dbl=("price", "lower_bound", "upper_bound"))
+def q_cap_outliers_iqr(spark, sf):
+    t = C.clean_text(C.drop_exact_duplicates(venue.raw_items(spark, sf)))
+    capped = C.cap_outliers_iqr(t, "price")
+    b = t.select(F.percentile("price", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select(
+        (F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("lower_bound"),
+        (F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("upper_bound"))
+    return capped.select("price").withColumn("_b", b.select(F.struct("lower_bound", "upper_bound")).scalar()) \
+        .select("price", "_b.lower_bound", "_b.upper_bound")
+
+
+@register("log_transform", "SELECT rating_count, ln(1 + rating_count) AS rating_count_log FROM items_text",
+          ("items_text",), dbl=("rating_count_log",))
+def q_log_transform(spark, sf):
+    return C.log_transform(venue.raw_items(spark, sf).transform(C.drop_exact_duplicates), "rating_count") \
+        .select("rating_count", "rating_count_log")
+
+
+@register("validate_cleaning", """
+SELECT rows, (SELECT count(*) FROM entities) AS entities, CAST(rows AS DOUBLE) / (SELECT count(*) FROM entities) AS items_per_entity,
+       missing_cells, rows - (SELECT count(*) FROM (SELECT DISTINCT * FROM items_clean)) AS duplicates
+FROM (SELECT count(*) AS rows, CAST(""" + " + ".join(
+    f"count(*) FILTER (WHERE {c} IS NULL)" for c in ("state", "city", "restaurant_name", "location", "category",
+                                                     "dish_name", "price", "rating", "rating_count",
+                                                     "rating_count_log")) + """ AS BIGINT) AS missing_cells
+      FROM items_clean)
+""", ("items_clean", "entities"), dbl=("items_per_entity",))
+def q_validate_cleaning(spark, sf):
+    return C.validate_cleaning(venue.clean(spark, sf), venue.entities(spark, sf))
+
+
+@register("rollup_entities", "SELECT * FROM entities_raw", ("entities_raw",),
+          dbl=("avg_price", "price_std", "avg_rating", "median_rating", "rating_std", "avg_rating_count"))
+def q_rollup_entities(spark, sf):
+    return R.rollup_entities(venue.clean(spark, sf))
+
+
+@register("entity_labels", """
+SELECT restaurant_name, city, location, price_per_dish, popularity_score, is_high_rated, is_popular, is_premium
+FROM entities
+""", ("entities",), dbl=("price_per_dish", "popularity_score"))
+def q_entity_labels(spark, sf):
+    e = R.rollup_entities(venue.clean(spark, sf))
+    e = e.transform(R.entity_scores).transform(R.label_high_rated).transform(R.label_popular) \
+        .transform(R.label_premium)
+    return e.select(*R.ENTITY_KEYS, "price_per_dish", "popularity_score", *R.TARGETS)

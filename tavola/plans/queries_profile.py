@@ -142,3 +142,14 @@ def _corr_sql(src: str, cols) -> str:
 @register("correlation_matrix", _corr_sql("entities", ENTITY_NUM), ("entities",), dbl=("r",))
 def q_correlation_matrix(spark, sf):
     return P.correlation_matrix(venue.entities(spark, sf), list(ENTITY_NUM))
+
+
+@register("quality_score", f"""
+SELECT greatest(CAST(0 AS DOUBLE), 100 - least(missing_pct_sum * 0.5, 30) - least(duplicate_pct * 2, 20)
+                - least(CAST(0 AS DOUBLE) * 5, 20)) AS quality_score
+FROM (SELECT {_pct_sum} AS missing_pct_sum,
+             CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM fx_items)) AS DOUBLE) * 100 / count(*) AS duplicate_pct
+      FROM fx_items)
+""", ("fx_items",), dbl=("quality_score",))
+def q_quality_score(spark, sf):
+    return P.validation_report(venue.raw_items(spark, sf)).select("quality_score")
