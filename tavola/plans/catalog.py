@@ -3,8 +3,8 @@ fixture views built from the driver's tables, with an equivalent DuckDB SQL
 oracle where the operator is SQL-expressible.
 
 Double columns are rounded to 6 decimals on both engines with the same binary
-operation, rint(x * 1e6) / 1e6 (last-digit float differences between engines
-are not semantic)."""
+operation, rint(round(x, 9) * 1e6) / 1e6 (last-digit float differences
+between engines are not semantic)."""
 
 from __future__ import annotations
 
@@ -37,7 +37,9 @@ def register(name: str, body: str | None = None, ctes: tuple[str, ...] = (), dbl
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     scale = float(10 ** digits)
-    cols = {n: F.rint(F.col(f"`{n}`") * scale) / scale for n, t in df.dtypes if t in ("double", "float")}
+    # pre-round to 9 decimals so that summation-order noise cannot flip an
+    # exact half-way value (e.g. a mean of 4.1546875) between engines
+    cols = {n: F.rint(F.round(F.col(f"`{n}`"), 9) * scale) / scale for n, t in df.dtypes if t in ("double", "float")}
     return df.withColumns(cols) if cols else df
 
 

@@ -96,9 +96,9 @@ def build(body: str, *ctes: str, round_cols=(), digits: int = 6) -> str:
     parts = [f"{n} AS (\n{CTES[n][0].strip()}\n)" for n in _order(ctes)]
     body = body.strip()
     if round_cols:
-        # Same binary operation as the Spark side: rint(x * 10^d) / 10^d.
+        # Same operation as the Spark side: rint(round(x, 9) * 10^d) / 10^d.
         scale = f"1e{digits}"
-        rep = ", ".join(f"round_even({c} * {scale}, 0) / {scale} AS {c}" for c in round_cols)
+        rep = ", ".join(f"round_even(round({c}, 9) * {scale}, 0) / {scale} AS {c}" for c in round_cols)
         body = f"SELECT * REPLACE ({rep}) FROM (\n{body}\n) AS _q"
     if body[:5].upper() == "WITH " and parts:
         return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
