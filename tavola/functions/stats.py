@@ -25,11 +25,36 @@ def scalar_stats(df: DataFrame, **aggs: Column) -> Column:
     return df.agg(F.struct(*[a.alias(n) for n, a in aggs.items()]).alias("s")).scalar()
 
 
+EXACT_DISTINCT_LIMIT_CONF = "tavola.quantile.exactDistinctLimit"
+EXACT_DISTINCT_LIMIT = 1_000_000
+
+
+def exact_distinct_limit(df: DataFrame) -> int:
+    v = df.sparkSession.conf.get(EXACT_DISTINCT_LIMIT_CONF, None)
+    return int(v) if v else EXACT_DISTINCT_LIMIT
+
+
+def choose_methods(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """Checked choice of the exact quantile strategy per column.
+
+    One HyperLogLog job (``approx_count_distinct``, combined map-side)
+    estimates the distinct values; a column whose estimate is within the
+    limit (default 1,000,000; ``tavola.quantile.exactDistinctLimit``) uses
+    Spark's exact ``percentile`` (its single merge buffer holds one entry per
+    distinct value), larger ones use the distributed refinement."""
+    limit = exact_distinct_limit(df)
+    row = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), 0.05).alias(f"d{i}")
+                   for i, c in enumerate(columns)]).first()
+    return {c: ("exact" if row[f"d{i}"] <= limit else "distributed") for i, c in enumerate(columns)}
+
+
 def quantiles(df: DataFrame, column: str, probs: Sequence[float],
-              method: str = "exact", accuracy: int = 10000) -> Column:
+              method: str = "auto", accuracy: int = 10000) -> Column:
     """Linear-interpolated quantiles of a whole column as an array column.
 
     method:
+      ``auto``         ``exact`` or ``distributed`` after a checked estimate
+                       of the distinct values (see ``choose_methods``).
       ``exact``        Spark ``percentile``; its buffer holds one entry per
                        distinct value, fine for bounded value domains
                        (ratings, rounded prices, small tables).
@@ -44,6 +69,8 @@ def quantiles(df: DataFrame, column: str, probs: Sequence[float],
     """
     probs = [float(p) for p in probs]
     c = F.col(column).cast("double")
+    if method == "auto":
+        method = choose_methods(df, [column])[column]
     if method == "exact":
         agg = F.percentile(c, F.array(*[F.lit(p) for p in probs]))
     elif method == "approx":

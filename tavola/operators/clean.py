@@ -46,7 +46,7 @@ def clean_text(df: DataFrame, cols: Iterable[str] = TEXT_COLUMNS) -> DataFrame:
 
 
 def cap_outliers_iqr(df: DataFrame, column: str = "price", k: float = 1.5,
-                     method: str = "exact") -> DataFrame:
+                     method: str = "auto") -> DataFrame:
     """Clip ``column`` to [Q1 - k*IQR, Q3 + k*IQR]; nulls stay null.
 
     Bounds come from linear-interpolated quantiles of the whole column,
@@ -74,7 +74,7 @@ def log_transform(df: DataFrame, column: str = "rating_count", out: str | None =
 
 def clean_items(df: DataFrame, mapping: Mapping[str, str] = DEFAULT_RENAME,
                 text_cols: Iterable[str] = TEXT_COLUMNS, cap_column: str = "price",
-                log_column: str = "rating_count", quantile_method: str = "exact") -> DataFrame:
+                log_column: str = "rating_count", quantile_method: str = "auto") -> DataFrame:
     """rename -> de-duplicate -> clean text -> cap outliers -> log column.
 
     De-duplication runs before text cleaning, so rows that only become equal

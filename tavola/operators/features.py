@@ -185,13 +185,28 @@ def high_variance_flag(e: DataFrame, column: str = "rating_std", out: str = "has
     return e.withColumn(out, F.coalesce((F.col(column) > F.lit(threshold)).cast("int"), F.lit(0)))
 
 
-def impute_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """null -> exact median of the column (one aggregate for all columns)."""
+def impute_median(df: DataFrame, cols: Sequence[str], method: str = "auto") -> DataFrame:
+    """null -> exact median of the column.  Columns within the checked
+    distinct-value limit share one ``percentile`` aggregate; larger ones use
+    the distributed exact quantile."""
+    from tavola.functions.stats import choose_methods
+    from tavola.functions.distributed_quantile import exact_quantiles
+
     cols = present(df, cols)
     if not cols:
         return df
-    med = df.agg(F.struct(*[F.percentile(F.col(q(c)).cast("double"), F.lit(0.5)).alias(f"m{i}")
-                            for i, c in enumerate(cols)]).alias("s")).scalar()
+    nulls = df.agg(*[F.count_if(F.col(q(c)).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    cols = [c for i, c in enumerate(cols) if nulls[f"n{i}"] > 0]  # nothing to fill elsewhere
+    if not cols:
+        return df
+    methods = choose_methods(df, cols) if method == "auto" else {c: method for c in cols}
+    fields = []
+    for i, c in enumerate(cols):
+        if methods[c] == "distributed":
+            fields.append(F.lit(exact_quantiles(df, c, [0.5])[0]).cast("double").alias(f"m{i}"))
+        else:
+            fields.append(F.percentile(F.col(q(c)).cast("double"), F.lit(0.5)).alias(f"m{i}"))
+    med = df.agg(F.struct(*fields).alias("s")).scalar()
     out = df.withColumn("_med", med)
     out = out.withColumns({c: F.coalesce(F.col(q(c)), F.col(f"_med.m{i}").cast(dict(df.dtypes)[c]))
                            for i, c in enumerate(cols)})

@@ -75,7 +75,7 @@ def label_popular(e: DataFrame, threshold: float = POPULARITY_THRESHOLD,
 
 
 def label_premium(e: DataFrame, percentile: float = PRICE_THRESHOLD_PERCENTILE,
-                  column: str = "avg_price", out: str = "is_premium", method: str = "exact") -> DataFrame:
+                  column: str = "avg_price", out: str = "is_premium", method: str = "auto") -> DataFrame:
     """avg_price >= the given linear percentile of avg_price over all entities."""
     t = quantiles(e, column, [percentile], method=method).getItem(0)
     return e.withColumn(out, _flag(F.col(column) >= t))

@@ -29,7 +29,9 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 
 
 def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.fx_items(spark, sf_dir)
+    """The raw item table.  It stands for an item file on storage, so it is
+    materialised once instead of re-running the fixture joins per query."""
+    return stage(spark, sf_dir, "raw_items", lambda: fixtures.fx_items(spark, sf_dir))
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
