@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tavola import fixtures
-from tavola.operators.clean import clean_items
-from tavola.operators.rollup import entity_table
 from tavola.session import ensure_checkpoint_dir
 
 
@@ -34,12 +32,32 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(spark, sf_dir, "raw_items", lambda: fixtures.fx_items(spark, sf_dir))
 
 
+def items_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Renamed, de-duplicated, text-cleaned items.  Materialised, so the IQR
+    bound subquery and the main projection of the next stage scan it instead
+    of repeating the de-duplication shuffle."""
+    from tavola.operators.clean import clean_text, drop_exact_duplicates, standardize_columns
+    return stage(spark, sf_dir, "items_text",
+                 lambda: clean_text(drop_exact_duplicates(standardize_columns(raw_items(spark, sf_dir)))))
+
+
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(spark, sf_dir, "items_clean", lambda: clean_items(raw_items(spark, sf_dir)))
+    """Cleaned items (= ``clean_items`` of the raw table, staged in two steps)."""
+    from tavola.operators.clean import cap_outliers_iqr, log_transform
+    return stage(spark, sf_dir, "items_clean",
+                 lambda: log_transform(cap_outliers_iqr(items_text(spark, sf_dir), "price")))
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(spark, sf_dir, "entities", lambda: entity_table(clean(spark, sf_dir)))
+    """Entity table; the roll-up is materialised before the premium
+    percentile so the subquery does not aggregate the items a second time."""
+    from tavola.operators.rollup import (
+        entity_scores, label_high_rated, label_popular, label_premium, rollup_entities,
+    )
+    base = stage(spark, sf_dir, "entities_base",
+                 lambda: entity_scores(rollup_entities(clean(spark, sf_dir))))
+    return stage(spark, sf_dir, "entities",
+                 lambda: label_premium(label_popular(label_high_rated(base))))
 
 
 def enhanced(spark: SparkSession, sf_dir: str) -> DataFrame:
