@@ -99,22 +99,16 @@ def avg_rating_by_city(e: DataFrame, top: int = 15, city: str = "city",
 
 def scatter_binned(df: DataFrame, x: str, y: str, bins: int = 20, value: str | None = None) -> DataFrame:
     """The data behind a scatter plot as a 2-D histogram: equal-width bins on
-    both axes over [min, max], (x_bin, y_bin, count[, mean of value])."""
-    from tavola.functions.stats import scalar_stats
-
-    st = scalar_stats(df, x_mn=F.min(F.col(x).cast("double")), x_mx=F.max(F.col(x).cast("double")),
-                      y_mn=F.min(F.col(y).cast("double")), y_mx=F.max(F.col(y).cast("double")))
-    d = df.withColumn("_st", st)
-
-    def b(c, mn, mx):
-        lo = F.when(mn == mx, mn - 0.5).otherwise(mn)
-        hi = F.when(mn == mx, mx + 0.5).otherwise(mx)
-        raw = F.floor((F.col(c).cast("double") - lo) / (hi - lo) * F.lit(float(bins)))
-        return F.when(raw > bins - 1, F.lit(bins - 1)).otherwise(raw).cast("int")
-
-    d = d.select(b(x, F.col("_st.x_mn"), F.col("_st.x_mx")).alias("x_bin"),
-                 b(y, F.col("_st.y_mn"), F.col("_st.y_mx")).alias("y_bin"),
-                 *([F.col(value).cast("double").alias("_v")] if value else []))
+    both axes over [min, max], (x_bin, y_bin, count[, mean of value]).  The
+    ranges are one scalar subquery; each row computes two bin numbers."""
+    from tavola.operators.profile import _range_stats, equal_width_bin
+
+    st = _range_stats(df, [x, y])
+    d = df.select(st.alias("_st"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"),
+                  *([F.col(value).cast("double").alias("_v")] if value else []))
+    d = d.select(equal_width_bin(F.col("_x"), F.col("_st.lo0"), F.col("_st.w0"), bins).alias("x_bin"),
+                 equal_width_bin(F.col("_y"), F.col("_st.lo1"), F.col("_st.w1"), bins).alias("y_bin"),
+                 *(["_v"] if value else []))
     d = d.where(F.col("x_bin").isNotNull() & F.col("y_bin").isNotNull())
     aggs = [F.count("*").alias("count")] + ([F.avg("_v").alias(f"mean_{value}")] if value else [])
     return d.groupBy("x_bin", "y_bin").agg(*aggs)

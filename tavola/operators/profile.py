@@ -123,38 +123,53 @@ def validation_report(df: DataFrame, expected: Mapping[str, str] = DEFAULT_EXPEC
                                                               F.col("type_issues").cast("double")))
 
 
+def _range_stats(df: DataFrame, cols: Sequence[str]) -> Column:
+    """Scalar subquery: per column the bin range [lo, hi] (constant column ->
+    [v-0.5, v+0.5], as numpy) and its width."""
+    aggs = {}
+    for i, c in enumerate(cols):
+        x = F.col(q(c)).cast("double")
+        mn, mx = F.min(x), F.max(x)
+        lo = F.when(mn == mx, mn - 0.5).otherwise(mn)
+        hi = F.when(mn == mx, mx + 0.5).otherwise(mx)
+        aggs[f"lo{i}"], aggs[f"hi{i}"], aggs[f"w{i}"] = lo, hi, hi - lo
+    return scalar_stats(df, **aggs)
+
+
+def equal_width_bin(x: Column, lo: Column, width: Column, bins: int) -> Column:
+    """floor((x - lo) / width * bins), the maximum folded into the last bin;
+    null stays null (``least`` would skip it)."""
+    raw = F.floor((x - lo) / width * F.lit(float(bins)))
+    return F.when(raw > F.lit(bins - 1), F.lit(bins - 1)).otherwise(raw).cast("int")
+
+
 def numeric_histogram(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 30) -> DataFrame:
     """Equal-width histogram per numeric column: (column, bin, lo, hi, count).
 
     Bins span [min, max] of the column, the last bin is right-closed (numpy);
     a constant column uses the range [v-0.5, v+0.5] as numpy does.  Only
-    non-empty bins are returned.  One aggregate for all ranges (scalar
-    subquery), then one ``groupBy(column, bin)`` with map-side combine.
+    non-empty bins are returned.  The ranges are one aggregate (scalar
+    subquery); each row only computes one small bin expression per column
+    (a codegen-friendly projection), rows are unpivoted to (column, bin) and
+    counted with map-side combine; bin edges are attached to the <= bins x
+    columns result rows only.
     """
-    cols = list(cols or numeric_columns(df))
-    cols = present(df, cols)
-    st = scalar_stats(df, **{f"mn{i}": F.min(F.col(q(c)).cast("double")) for i, c in enumerate(cols)},
-                      **{f"mx{i}": F.max(F.col(q(c)).cast("double")) for i, c in enumerate(cols)})
-    # The subquery is referenced once (as a column); later expressions use the
-    # column, so the plan does not repeat the subquery per reference.
-    df = df.withColumn("_st", st)
-    structs = []
-    for i, c in enumerate(cols):
-        mn, mx = F.col(f"_st.mn{i}"), F.col(f"_st.mx{i}")
-        lo = F.when(mn == mx, mn - 0.5).otherwise(mn)
-        hi = F.when(mn == mx, mx + 0.5).otherwise(mx)
-        x = F.col(q(c)).cast("double")
-        raw = F.floor((x - lo) / (hi - lo) * F.lit(float(bins)))
-        # not least(): it skips nulls and would put null values in the last bin
-        b = F.when(raw > F.lit(bins - 1), F.lit(bins - 1)).otherwise(raw).cast("int")
-        structs.append(F.struct(F.lit(c).alias("column_name"), b.alias("bin"), lo.alias("lo"), hi.alias("hi")))
-    long = df.select(F.inline(F.array(*structs))).where(F.col("bin").isNotNull())
-    width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    return (long.groupBy("column_name", "bin", "lo", "hi").agg(F.count("*").alias("count"))
-            .select("column_name", "bin",
-                    (F.col("lo") + F.col("bin") * width).alias("bin_lo"),
-                    (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_hi"),
-                    "count"))
+    cols = present(df, list(cols or numeric_columns(df)))
+    st = _range_stats(df, cols)
+    binned = df.select(st.alias("_st"), *[F.col(q(c)).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)]) \
+        .select(*[equal_width_bin(F.col(f"_x{i}"), F.col(f"_st.lo{i}"), F.col(f"_st.w{i}"), bins).alias(f"_b{i}")
+                  for i in range(len(cols))])
+    long = binned.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_b{i}").alias("bin"))
+                                             for i, c in enumerate(cols)]))).where(F.col("bin").isNotNull())
+    counts = long.groupBy("column_name", "bin").agg(F.count("*").alias("count"))
+    lo = F.col("_lo")
+    width = (F.col("_hi") - lo) / F.lit(float(bins))
+    pick = lambda key: F.element_at(F.map_from_arrays(
+        F.array(*[F.lit(c) for c in cols]), F.array(*[F.col(f"_st.{key}{i}") for i in range(len(cols))])),
+        F.col("column_name"))
+    return (counts.withColumn("_st", st).withColumn("_lo", pick("lo")).withColumn("_hi", pick("hi"))
+            .select("column_name", "bin", (lo + F.col("bin") * width).alias("bin_lo"),
+                    (lo + (F.col("bin") + 1) * width).alias("bin_hi"), "count"))
 
 
 def value_counts(df: DataFrame, cols: Sequence[str] | None = None, top_n: int = 15) -> DataFrame:
