@@ -72,14 +72,18 @@ def mutual_information(df: DataFrame, features: Sequence[str], targets: Sequence
     arr = F.array(*[F.lit(p) for p in probs])
     cuts = df.agg(F.struct(*[F.percentile(F.col(q(f)).cast("double"), arr).alias(f"k{i}")
                              for i, f in enumerate(features)]).alias("s")).scalar()
-    d = df.withColumn("_cuts", cuts)
-    rows = []
+    # bin = number of cut points below the value: bins-1 comparisons per
+    # feature, no lambda, so the projection stays in generated code.
+    bins_cols = []
     for i, f in enumerate(features):
         x = F.col(q(f)).cast("double")
-        b = F.size(F.filter(F.col(f"_cuts.k{i}"), lambda c: c < x))
-        for t in targets:
-            rows.append(F.struct(F.lit(f).alias("feature"), F.lit(t).alias("target"),
-                                 F.when(x.isNotNull(), b).alias("bin"), F.col(t).cast("int").alias("y")))
+        b = sum((F.when(F.col(f"_cuts.k{i}")[j] < x, 1).otherwise(0) for j in range(bins - 1)), F.lit(0))
+        bins_cols.append(F.when(x.isNotNull(), b).alias(f"_b{i}"))
+    d = df.select(cuts.alias("_cuts"), *[F.col(q(f)) for f in features], *[F.col(t) for t in targets]) \
+        .select(*bins_cols, *[F.col(t).cast("int").alias(f"_y{j}") for j, t in enumerate(targets)])
+    rows = [F.struct(F.lit(f).alias("feature"), F.lit(t).alias("target"), F.col(f"_b{i}").alias("bin"),
+                     F.col(f"_y{j}").alias("y"))
+            for i, f in enumerate(features) for j, t in enumerate(targets)]
     long = d.select(F.inline(F.array(*rows))).where(F.col("bin").isNotNull() & F.col("y").isNotNull())
     joint = long.groupBy("feature", "target", "bin", "y").agg(F.count("*").alias("n_by"))
     g = Window.partitionBy("feature", "target")
