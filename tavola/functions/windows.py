@@ -73,3 +73,31 @@ def global_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[s
                        on=["_pid", *group_cols], how="inner")
     return (joined.withColumn(out, F.col("_off") + F.col("_pos") - F.col("_first"))
             .drop("_mid", "_pid", "_pos", "_first", "_off"))
+
+
+def prefix_sums(df: DataFrame, group_cols: Sequence[str], order_col: str, sum_cols: Sequence[str],
+                descending: bool = True, num_partitions: int | None = None, prefix: str = "cum_") -> DataFrame:
+    """Running sums of ``sum_cols`` within each group in ``order_col`` order
+    (rows unbounded preceding .. current), with every task bounded.
+
+    Rows are range-partitioned on (group, order); inside each range
+    partition a window keyed by (partition id, group) gives local running
+    sums; per (partition, group) totals (at most partitions + groups rows)
+    give each partition's offset, added back by a join.  ``order_col`` must
+    be unique within a group (aggregate to distinct values first)."""
+    group_cols = list(group_cols)
+    if num_partitions is None:
+        num_partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions") or 200)
+    o = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    part = (df.repartitionByRange(num_partitions, *[F.col(g) for g in group_cols], o)
+            .withColumn("_pid", F.spark_partition_id())
+            .checkpoint(eager=True))
+    w = (Window.partitionBy("_pid", *group_cols).orderBy(o)
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = part.select("*", *[F.sum(c).over(w).alias(f"_l_{c}") for c in sum_cols])
+    tot = part.groupBy("_pid", *group_cols).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    ow = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("_pid", *group_cols, *[F.coalesce(F.sum(f"_t_{c}").over(ow), F.lit(0)).alias(f"_o_{c}")
+                                            for c in sum_cols])
+    out = local.join(off, on=["_pid", *group_cols])
+    return out.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(f"{prefix}{c}") for c in sum_cols])

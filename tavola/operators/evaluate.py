@@ -62,16 +62,35 @@ def class_distribution(scored: DataFrame, group_cols: Sequence[str] = (), y: str
                  F.count_if(F.col(y) == 1).alias("n_positive"), F.count_if(F.col(y) == 0).alias("n_negative")))
 
 
+# Distinct scores per group up to which a plain window (one task per group)
+# is used; beyond it the running sums are range-partitioned.
+WINDOW_ROWS_LIMIT = 200_000
+
+
 def _cumulative(scored: DataFrame, group_cols: Sequence[str], y: str, p: str) -> DataFrame:
     """One row per (group, distinct score), highest score first, with running
-    true/false positive counts and the group totals."""
+    true/false positive counts and the group totals.
+
+    Scores rounded to 4 decimals give at most 10,001 rows per group and a
+    window per group is used; the size is checked, and raw model scores with
+    more distinct values per group use range-partitioned prefix sums
+    (``functions.windows.prefix_sums``) so no task holds a whole group."""
+    from tavola.functions.windows import prefix_sums
+
+    group_cols = list(group_cols)
     d = (scored.where(F.col(p).isNotNull() & F.col(y).isNotNull())
          .groupBy(*group_cols, p)
          .agg(F.count_if(F.col(y) == 1).alias("_pos"), F.count_if(F.col(y) == 0).alias("_neg")))
-    w = Window.partitionBy(*group_cols).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    g = Window.partitionBy(*group_cols)
-    return (d.withColumn("tps", F.sum("_pos").over(w)).withColumn("fps", F.sum("_neg").over(w))
-            .withColumn("tot_pos", F.sum("_pos").over(g)).withColumn("tot_neg", F.sum("_neg").over(g)))
+    widest = d.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
+    if widest <= WINDOW_ROWS_LIMIT:
+        w = Window.partitionBy(*group_cols).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
+        d = d.withColumn("tps", F.sum("_pos").over(w)).withColumn("fps", F.sum("_neg").over(w))
+    else:
+        d = prefix_sums(d, group_cols, p, ["_pos", "_neg"], descending=True).withColumnsRenamed(
+            {"cum__pos": "tps", "cum__neg": "fps"})
+    tot = d.groupBy(*group_cols).agg(F.sum("_pos").alias("tot_pos"), F.sum("_neg").alias("tot_neg"))
+    return d.join(tot, on=group_cols) if group_cols else d.withColumn(
+        "_t", tot.select(F.struct("tot_pos", "tot_neg")).scalar()).select("*", "_t.tot_pos", "_t.tot_neg").drop("_t")
 
 
 def roc_curve(scored: DataFrame, group_cols: Sequence[str] = (), y: str = "y", p: str = "p") -> DataFrame:

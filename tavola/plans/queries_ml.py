@@ -120,8 +120,8 @@ def q_score_batch(spark, sf):
     s = _score_all(spark, sf)
     g = s.groupBy(*K).pivot("task", ["high_rated", "popular", "premium"]).agg(
         F.first(F.struct("prediction", "probability", "confidence")))
-    idx = F.dense_rank().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(*K)) - 1
-    return g.withColumn("index", idx)
+    from tavola.functions.windows import global_rank
+    return global_rank(g, [], K, out="index")
 
 
 @register("save_load_model")

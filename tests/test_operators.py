@@ -145,3 +145,30 @@ def test_vector_layout_sizes(spark):
         assert len(v) == 30 and sum(v[i] for i in S.VECTOR_LAYOUTS[layout]["city"].values()) == 1.0
     v = S.assemble_vector30(df, "correct").first().features
     assert v[18] == 1.0 and v[21] == 1.0 and v[22] == 1.0
+
+
+def test_prefix_sums_match_window(spark):
+    from pyspark.sql import Window
+    from tavola.functions.windows import prefix_sums
+    df = spark.range(0, 3000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 3001).alias("s"),
+                                     (F.col("id") % 5).alias("v"))
+    got = {(r.g, r.s): r.cum_v for r in prefix_sums(df, ["g"], "s", ["v"], num_partitions=6).collect()}
+    w = Window.partitionBy("g").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    want = {(r.g, r.s): r.c for r in df.withColumn("c", F.sum("v").over(w)).collect()}
+    assert got == want
+
+
+def test_roc_auc_large_path_equals_window_path(spark):
+    import tavola.operators.evaluate as ev
+    rows = [(int(i % 3 == 0), ((i * 7919) % 1000) / 1000.0) for i in range(2000)]
+    df = spark.createDataFrame(rows, "y int, p double")
+    a = ev.roc_auc(df).first()[0]
+    old = ev.WINDOW_ROWS_LIMIT
+    ev.WINDOW_ROWS_LIMIT = 10
+    try:
+        b = ev.roc_auc(df).first()[0]
+        c = ev.pr_auc(df).first()[0]
+    finally:
+        ev.WINDOW_ROWS_LIMIT = old
+    assert a == pytest.approx(b, abs=1e-12)
+    assert c == pytest.approx(ev.pr_auc(df).first()[0], abs=1e-12)
