@@ -28,6 +28,7 @@ from collections.abc import Sequence
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], buckets: int = 4096,
@@ -129,3 +130,111 @@ def _finish(vals: DataFrame, states: dict, found: dict) -> None:
                 found[r] = float(row["x"])
                 break
             acc += row["count"]
+
+
+def exact_group_quantiles(df: DataFrame, group_cols: Sequence[str], column: str, probs: Sequence[float],
+                          buckets: int = 1024, final_rows: int = 20_000, max_passes: int = 64,
+                          ) -> list[tuple[tuple, list[float | None]]]:
+    """Exact quantiles per group by the same histogram refinement, for a
+    bounded number of groups whose value sets are too large for one
+    ``percentile`` buffer.
+
+    The per-(group, interval) state is a small table broadcast to the rows
+    (a broadcast hash join streams the big side, so a hot group costs no
+    shuffle); bin counts per interval are combined map-side.  Returns
+    [(group key tuple, [quantile per prob])]."""
+    group_cols = list(group_cols)
+    spark = df.sparkSession
+    x = F.col("x")
+    vals = (df.select(*group_cols, F.col(column).cast("double").alias("x"))
+            .where(x.isNotNull() & ~F.isnan(x))
+            .persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        stats = vals.groupBy(*group_cols).agg(F.count("x").alias("n"), F.min("x").alias("lo"),
+                                               F.max("x").alias("hi")).collect()
+        schema = vals.select(*group_cols).schema
+        wanted: dict[tuple, dict[int, list]] = {}
+        plans: dict[tuple, list] = {}
+        for s in stats:
+            g = tuple(s[c] for c in group_cols)
+            n = int(s["n"])
+            plans[g] = []
+            wanted[g] = {}
+            for p in probs:
+                pos = float(p) * (n - 1)
+                r0 = int(math.floor(pos))
+                r1 = min(r0 + 1, n - 1)
+                plans[g].append((r0, r1, pos - r0))
+                for r in (r0, r1):
+                    wanted[g].setdefault(r, [float(s["lo"]), float(s["hi"]), 0])
+        found: dict[tuple, dict[int, float]] = {g: {} for g in wanted}
+
+        def intervals_df(items):
+            rows = [(*g, i, lo, hi) for i, (g, lo, hi) in enumerate(items)]
+            fields = list(schema.fields) + [StructField("_iv", IntegerType()), StructField("_lo", DoubleType()),
+                                            StructField("_hi", DoubleType())]
+            return F.broadcast(spark.createDataFrame(rows, StructType(fields)))
+
+        def joined(items):
+            st = intervals_df(items)
+            cond = [vals[c].eqNullSafe(st[c]) for c in group_cols] + [vals["x"] >= st["_lo"], vals["x"] <= st["_hi"]]
+            return vals.join(st, on=cond, how="inner")
+
+        for _ in range(max_passes):
+            active = []
+            for g, ranks in wanted.items():
+                for r, st in ranks.items():
+                    if r in found[g]:
+                        continue
+                    if st[0] == st[1]:
+                        found[g][r] = st[0]
+                    else:
+                        active.append((g, r, st))
+            if not active:
+                break
+            items = sorted({(g, st[0], st[1]) for g, _r, st in active}, key=repr)
+            index = {it: i for i, it in enumerate(items)}
+            j = joined(items)
+            width = F.col("_hi") - F.col("_lo")
+            b = F.least(F.floor((F.col("x") - F.col("_lo")) / width * F.lit(float(buckets))), F.lit(buckets - 1))
+            hist = (j.select("_iv", b.cast("int").alias("b"), "x").groupBy("_iv", "b")
+                    .agg(F.count("*").alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx")).collect())
+            by_iv: dict[int, list] = {}
+            for h in hist:
+                by_iv.setdefault(h["_iv"], []).append((h["b"], h["c"], h["mn"], h["mx"]))
+            for v in by_iv.values():
+                v.sort()
+            small = []
+            for g, r, st in active:
+                acc = st[2]
+                for _b, c, mn, mx in by_iv[index[(g, st[0], st[1])]]:
+                    if r < acc + c:
+                        st[0], st[1], st[2] = float(mn), float(mx), acc
+                        if c <= final_rows and mn != mx:
+                            small.append((g, r, st))
+                        break
+                    acc += c
+            if small:
+                items = sorted({(g, st[0], st[1]) for g, _r, st in small}, key=repr)
+                index = {it: i for i, it in enumerate(items)}
+                rows = (joined(items).groupBy("_iv", "x").count().collect())
+                per: dict[int, list] = {}
+                for rw in rows:
+                    per.setdefault(rw["_iv"], []).append((rw["x"], rw["count"]))
+                for g, r, st in small:
+                    acc = st[2]
+                    for v, c in sorted(per[index[(g, st[0], st[1])]]):
+                        if r < acc + c:
+                            found[g][r] = float(v)
+                            break
+                        acc += c
+        out = []
+        for g, plan in plans.items():
+            qs = []
+            for r0, r1, frac in plan:
+                a, b2 = found[g].get(r0), found[g].get(r1)
+                qs.append(a if frac == 0 or a == b2 else a + (b2 - a) * frac)
+            out.append((g, qs))
+        return out
+    finally:
+        vals.unpersist()

@@ -81,3 +81,33 @@ def quantiles(df: DataFrame, column: str, probs: Sequence[float],
     else:
         raise ValueError(f"unknown quantile method {method!r}")
     return df.agg(agg.alias("q")).scalar()
+
+
+GROUP_LIMIT = 10_000
+
+
+def quantiles_by_group(df: DataFrame, group_cols: Sequence[str], column: str, probs: Sequence[float],
+                       method: str = "auto") -> DataFrame:
+    """Exact linear quantiles per group: (group cols..., q array<double>).
+
+    ``auto`` checks the largest per-group distinct count (HyperLogLog): within
+    the limit, one ``percentile`` aggregate per group; above it, and for at
+    most ``GROUP_LIMIT`` groups, the distributed refinement
+    (``exact_group_quantiles``), whose small result becomes a DataFrame.
+    """
+    from tavola.functions.distributed_quantile import exact_group_quantiles
+
+    group_cols = list(group_cols)
+    probs = [float(p) for p in probs]
+    if method == "auto":
+        st = (df.groupBy(*group_cols).agg(F.approx_count_distinct(F.col(column), 0.05).alias("d"))
+              .agg(F.max("d").alias("d"), F.count("*").alias("g")).first())
+        big = (st["d"] or 0) > exact_distinct_limit(df)
+        method = "distributed" if big and st["g"] <= GROUP_LIMIT else "exact"
+    if method == "exact":
+        return df.groupBy(*group_cols).agg(
+            F.percentile(F.col(column).cast("double"), F.array(*[F.lit(p) for p in probs])).alias("q"))
+    res = exact_group_quantiles(df, group_cols, column, probs)
+    from pyspark.sql.types import ArrayType, DoubleType
+    schema = df.select(*group_cols).schema.add("q", ArrayType(DoubleType()))
+    return df.sparkSession.createDataFrame([(*g, q) for g, q in res], schema)

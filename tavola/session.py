@@ -34,6 +34,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     conf = dict(DEFAULT_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if os.environ.get("TAVOLA_QUANTILE_EXACT_LIMIT"):
+        # lets tests force the distributed exact-quantile path on small data
+        conf["tavola.quantile.exactDistinctLimit"] = os.environ["TAVOLA_QUANTILE_EXACT_LIMIT"]
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)

@@ -172,3 +172,15 @@ def test_roc_auc_large_path_equals_window_path(spark):
         ev.WINDOW_ROWS_LIMIT = old
     assert a == pytest.approx(b, abs=1e-12)
     assert c == pytest.approx(ev.pr_auc(df).first()[0], abs=1e-12)
+
+
+def test_exact_group_quantiles_match_numpy(spark):
+    from tavola.functions.distributed_quantile import exact_group_quantiles
+    rng = np.random.default_rng(7)
+    rows = [("hot", float(v)) for v in rng.lognormal(2, 1.5, 4000)] + [("cold", float(v)) for v in rng.normal(0, 1, 300)] \
+        + [(None, 1.0), (None, 3.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = dict(exact_group_quantiles(df, ["g"], "x", [0.25, 0.5, 0.95], buckets=8, final_rows=40))
+    for g in ("hot", "cold", None):
+        vals = [v for k, v in rows if k == g]
+        assert got[(g,)] == pytest.approx(list(np.percentile(vals, [25, 50, 95])), rel=1e-12)
