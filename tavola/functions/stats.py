@@ -111,3 +111,29 @@ def quantiles_by_group(df: DataFrame, group_cols: Sequence[str], column: str, pr
     from pyspark.sql.types import ArrayType, DoubleType
     schema = df.select(*group_cols).schema.add("q", ArrayType(DoubleType()))
     return df.sparkSession.createDataFrame([(*g, q) for g, q in res], schema)
+
+
+def quantile_struct(df: DataFrame, columns: Sequence[str], probs: Sequence[float], method: str = "auto") -> Column:
+    """Struct column with field ``q<i>`` = array of the exact quantiles of
+    ``columns[i]``.  Columns within the checked distinct limit share one
+    ``percentile`` scalar subquery; larger ones are computed by the
+    distributed refinement and inlined as literals."""
+    from tavola.functions.distributed_quantile import exact_quantiles
+
+    columns = list(columns)
+    probs = [float(p) for p in probs]
+    methods = choose_methods(df, columns) if method == "auto" else {c: method for c in columns}
+    arr = F.array(*[F.lit(p) for p in probs])
+    exact = [(i, c) for i, c in enumerate(columns) if methods[c] == "exact"]
+    sub = None
+    if exact:
+        sub = df.agg(F.struct(*[F.percentile(F.col(f"`{c}`").cast("double"), arr).alias(f"q{i}")
+                                for i, c in exact]).alias("s")).scalar()
+    fields = []
+    for i, c in enumerate(columns):
+        if methods[c] == "exact":
+            fields.append(sub.getField(f"q{i}").alias(f"q{i}"))
+        else:
+            vals = exact_quantiles(df, c, probs)
+            fields.append(F.array(*[F.lit(v).cast("double") for v in vals]).alias(f"q{i}"))
+    return F.struct(*fields)

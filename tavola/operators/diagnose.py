@@ -68,10 +68,11 @@ def mutual_information(df: DataFrame, features: Sequence[str], targets: Sequence
     value.  Joint counts come from one ``groupBy``; marginals are windows over
     at most bins x 2 rows per (feature, target).  ``rank`` orders features
     per target; ``suspicious`` = rank <= top and mi > flag."""
+    from tavola.functions.stats import quantile_struct
+
     probs = [i / bins for i in range(1, bins)]
-    arr = F.array(*[F.lit(p) for p in probs])
-    cuts = df.agg(F.struct(*[F.percentile(F.col(q(f)).cast("double"), arr).alias(f"k{i}")
-                             for i, f in enumerate(features)]).alias("s")).scalar()
+    qs = quantile_struct(df, features, probs)
+    cuts = F.struct(*[qs.getField(f"q{i}").alias(f"k{i}") for i in range(len(features))])
     # bin = number of cut points below the value: bins-1 comparisons per
     # feature, no lambda, so the projection stays in generated code.
     bins_cols = []

@@ -51,21 +51,31 @@ def _in_window(ts: str, hours: int) -> Column:
 
 
 def log_metrics(log: DataFrame, hours: Sequence[int] = WINDOW_HOURS, as_of=None, ts: str = "ts",
-                latency: str = "response_time", success: str = "success") -> DataFrame:
+                latency: str = "response_time", success: str = "success", method: str = "auto") -> DataFrame:
     """Per trailing window (records with ts > as_of - h): total, success
     rate, mean and p95 (linear) latency.  Empty windows give total 0 and null
-    rates.  One scan; p95 is an exact percentile whose buffer holds the
-    distinct latencies of the window."""
+    rates.  One scan for counts and means.  p95 is exact: a percentile in the
+    same aggregate while the window's distinct latencies are within the
+    checked limit, else the distributed refinement per window."""
+    from tavola.functions.distributed_quantile import exact_quantiles
+    from tavola.functions.stats import choose_methods
+
     d = log.withColumn("_as_of", _as_of(log, ts, as_of))
     # rows older than the widest window cannot contribute: filter (pushed down)
     d = d.where(_in_window(ts, max(hours)))
+    if method == "auto":
+        method = choose_methods(d, [latency])[latency]
     aggs = []
     for h in hours:
         w = _in_window(ts, h)
         rt = F.when(w, F.col(latency).cast("double"))
+        if method == "distributed":
+            p95 = F.lit(exact_quantiles(d.where(w), latency, [0.95])[0]).cast("double")
+        else:
+            p95 = F.percentile(rt, F.lit(0.95))
         aggs += [F.count_if(w).alias(f"n{h}"),
                  F.avg(F.when(w, F.col(success).cast("double"))).alias(f"s{h}"),
-                 F.avg(rt).alias(f"a{h}"), F.percentile(rt, F.lit(0.95)).alias(f"p{h}")]
+                 F.avg(rt).alias(f"a{h}"), p95.alias(f"p{h}")]
     wide = d.agg(F.max("_as_of").alias("as_of"), *aggs)
     rows = [F.struct(F.lit(h).alias("hours"), F.col(f"n{h}").alias("total_predictions"),
                      F.col(f"s{h}").alias("success_rate"), F.col(f"a{h}").alias("avg_response_time"),
