@@ -148,11 +148,11 @@ def evaluate(scored: DataFrame, group_cols: Sequence[str] = (), y: str = "y", p:
     """All metrics of one (task, model) per row."""
     cl = classify(scored, p, threshold)
     m = classification_metrics(cl, group_cols, y)
-    out = m.join(roc_auc(scored, group_cols, y, p), on=list(group_cols)) if group_cols else \
-        m.crossJoin(roc_auc(scored, group_cols, y, p))
-    out = out.join(pr_auc(scored, group_cols, y, p), on=list(group_cols)) if group_cols else \
-        out.crossJoin(pr_auc(scored, group_cols, y, p))
-    return out
+    roc, pr = roc_auc(scored, group_cols, y, p), pr_auc(scored, group_cols, y, p)
+    if group_cols:
+        # one row per (task, model) on every side: small equi-joins
+        return m.join(roc, on=list(group_cols)).join(pr, on=list(group_cols))
+    return m.withColumns({"roc_auc": roc.select("roc_auc").scalar(), "pr_auc": pr.select("pr_auc").scalar()})
 
 
 def metrics_long(metrics: DataFrame, group_cols: Sequence[str], names: Sequence[str] = METRICS) -> DataFrame:

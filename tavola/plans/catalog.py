@@ -43,10 +43,30 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns(cols) if cols else df
 
 
+# Runtime SQL settings the queries rely on (a session created elsewhere, e.g.
+# by the driver, gets them on first use).
+RUNTIME_CONF = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+}
+
+
+def _prepare(spark: SparkSession) -> None:
+    for k, v in RUNTIME_CONF.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load()
-    return {k: (lambda e: (lambda spark, sf_dir: round_doubles(e.fn(spark, sf_dir))))(e)
-            for k, e in REGISTRY.items()}
+
+    def wrap(e: Entry):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            _prepare(spark)
+            return round_doubles(e.fn(spark, sf_dir))
+        return run
+    return {k: wrap(e) for k, e in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:

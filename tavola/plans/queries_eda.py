@@ -91,3 +91,8 @@ def q_scatter_rating_price(spark, sf):
           dbl=("mean_total_rating_count",))
 def q_scatter_entity(spark, sf):
     return eda.scatter_binned(venue.entities(spark, sf), "avg_price", "avg_rating", 20, "total_rating_count")
+
+
+@register("scatter_price_count", _scatter_sql("items_clean", "price", "rating_count", 20), ("items_clean",))
+def q_scatter_price_count(spark, sf):
+    return eda.scatter_binned(venue.clean(spark, sf), "price", "rating_count", 20)
