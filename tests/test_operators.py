@@ -184,3 +184,21 @@ def test_exact_group_quantiles_match_numpy(spark):
     for g in ("hot", "cold", None):
         vals = [v for k, v in rows if k == g]
         assert got[(g,)] == pytest.approx(list(np.percentile(vals, [25, 50, 95])), rel=1e-12)
+
+
+def test_hot_entity_holding_a_third_of_rows(spark):
+    """One entity with a third of all items: roll-up, per-class ranks and
+    top-n stay exact (the helpers never need a whole group in one task)."""
+    rows = []
+    for i in range(3000):
+        name = "hot" if i % 3 == 0 else f"r{i % 97}"
+        rows.append((name, "c", "l", f"cat{i % 5}", f"d{i}", float(i % 50), 3.0 + (i % 20) / 10, i % 7))
+    df = spark.createDataFrame(rows, "restaurant_name string, city string, location string, category string, "
+                                     "dish_name string, price double, rating double, rating_count int")
+    e = {r.restaurant_name: r for r in R.rollup_entities(df).collect()}
+    hot = [r for r in rows if r[0] == "hot"]
+    assert e["hot"].dish_count == len(hot) == 1000
+    assert e["hot"].median_rating == pytest.approx(float(np.median([r[6] for r in hot])))
+    lab = df.select("dish_name", (F.col("restaurant_name") == "hot").cast("int").alias("y"))
+    sp = FE.stratified_split(lab, "y", ["dish_name"], 0.2, 42).groupBy("y").agg(F.sum("is_test").alias("t")).collect()
+    assert {r.y: r.t for r in sp} == {1: 200, 0: 400}
