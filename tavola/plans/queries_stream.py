@@ -25,7 +25,8 @@ SELECT strftime(date_trunc('hour', ts), {_FMT}) AS window_start,
 FROM fx_log GROUP BY ALL
 """, ("fx_log",), dbl=("success_rate", "avg_response_time"))
 def q_stream_hourly_metrics(spark, sf):
-    res = J.run_to_table(J.stream_hourly_metrics(J.log_stream(spark, sf)), spark, "hourly", "complete")
+    res = J.run_to_table(J.stream_hourly_metrics(J.log_stream(spark, sf)), spark, "hourly", "update",
+                         ("window", "model"))
     return res.select(*J._window_cols(), "model", "total", "success_rate", "avg_response_time")
 
 
@@ -36,7 +37,7 @@ FROM (SELECT *, date_trunc('hour', ts) - k * INTERVAL 1 HOUR AS ws FROM fx_log,
 GROUP BY ws
 """, ("fx_log",), dbl=("success_rate", "avg_response_time"))
 def q_stream_trailing_metrics(spark, sf):
-    res = J.run_to_table(J.stream_trailing_metrics(J.log_stream(spark, sf)), spark, "trailing", "complete")
+    res = J.run_to_table(J.stream_trailing_metrics(J.log_stream(spark, sf)), spark, "trailing", "update")
     return res.select(*J._window_cols(), "total", "success_rate", "avg_response_time")
 
 

@@ -27,10 +27,11 @@ def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
     return os.path.join(base, "out"), os.path.join(base, "checkpoint")
 
 
-def log_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+def log_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None,
+               glob: str = "events.parquet") -> DataFrame:
     """The prediction log as a stream: the events file source mapped to the
     log schema (same view text as the batch fixture), ts as TIMESTAMP."""
-    reader = (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet"))
+    reader = (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", glob))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     events = reader.parquet(sf_dir)
@@ -39,13 +40,20 @@ def log_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | No
     return log.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_to_table(agg: DataFrame, spark: SparkSession, name: str, mode: str = "complete") -> DataFrame:
+def run_to_table(agg: DataFrame, spark: SparkSession, name: str, mode: str = "update",
+                 keys: tuple[str, ...] = ("window",)) -> DataFrame:
     """Run a streaming aggregate with ``availableNow`` through a foreachBatch
-    parquet sink and return the written table.
+    parquet sink and return the current result table.
+
+    update mode (default): state is bounded by the watermark (windows older
+    than it are evicted); each batch writes the rows it changed under its
+    batch id, and the reader keeps the newest version per ``keys``.  A
+    replayed batch overwrites its own folder, so the sink is idempotent.
+    append mode: each batch adds the windows closed by the watermark.
+    complete mode: every batch rewrites the whole result (state never
+    shrinks; only for small, bounded key sets)."""
+    from pyspark.sql import Window
 
-    complete mode: every batch rewrites the whole result (overwrite);
-    append mode: each batch adds the windows closed by the watermark, written
-    under its batch id so a replay overwrites the same folder."""
     out, ckpt = _paths(spark, name)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
@@ -61,7 +69,11 @@ def run_to_table(agg: DataFrame, spark: SparkSession, name: str, mode: str = "co
     try:
         res = spark.read.parquet(path)
     except Exception:  # noqa: BLE001  (no batch produced rows)
-        res = spark.createDataFrame([], agg.schema)
+        return spark.createDataFrame([], agg.schema)
+    if mode == "update":
+        # newest version of every key; a key has at most one row per batch
+        w = Window.partitionBy(*keys).orderBy(F.desc("batch"))
+        res = res.withColumn("_v", F.row_number().over(w)).where("_v = 1").drop("_v")
     return res.drop("batch") if "batch" in res.columns else res
 
 
