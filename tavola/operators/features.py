@@ -189,17 +189,24 @@ def impute_median(df: DataFrame, cols: Sequence[str], method: str = "auto") -> D
     """null -> exact median of the column.  Columns within the checked
     distinct-value limit share one ``percentile`` aggregate; larger ones use
     the distributed exact quantile."""
-    from tavola.functions.stats import choose_methods
     from tavola.functions.distributed_quantile import exact_quantiles
 
+    from tavola.functions.stats import exact_distinct_limit
+
     cols = present(df, cols)
     if not cols:
         return df
-    nulls = df.agg(*[F.count_if(F.col(q(c)).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    cols = [c for i, c in enumerate(cols) if nulls[f"n{i}"] > 0]  # nothing to fill elsewhere
+    # one small job: which columns have nulls, and how many distinct values
+    st = df.agg(*[F.count_if(F.col(q(c)).isNull()).alias(f"n{i}") for i, c in enumerate(cols)],
+                *[F.approx_count_distinct(F.col(q(c)), 0.05).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    limit = exact_distinct_limit(df)
+    if method == "auto":
+        methods = {c: ("exact" if st[f"d{i}"] <= limit else "distributed") for i, c in enumerate(cols)}
+    else:
+        methods = {c: method for c in cols}
+    cols = [c for i, c in enumerate(cols) if st[f"n{i}"] > 0]  # nothing to fill elsewhere
     if not cols:
         return df
-    methods = choose_methods(df, cols) if method == "auto" else {c: method for c in cols}
     fields = []
     for i, c in enumerate(cols):
         if methods[c] == "distributed":
