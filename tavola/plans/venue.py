@@ -129,7 +129,7 @@ def task_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     from tavola.operators.features import (
-        TASK_FEATURES, TASK_TARGET, high_variance_flag, impute_median, one_hot_topk_other,
+        TASK_FEATURES, TASK_TARGET, high_variance_flag, one_hot_topk_other,
         ratio_features, stratified_split,
     )
     from tavola.operators.rollup import ENTITY_KEYS
@@ -139,13 +139,36 @@ def task_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         d = high_variance_flag(ratio_features(enhanced(spark, sf_dir)).drop(*city_columns(enhanced(spark, sf_dir))))
         d, names = one_hot_topk_other(d, "city", 10)
         feats = list(dict.fromkeys([f for fs in TASK_FEATURES.values() for f in fs] + names))
-        d = impute_median(d.select(*keys, *feats, *TASK_TARGET.values()), feats)
+        d = d.select(*keys, *feats, *TASK_TARGET.values())
         long = d.select(*keys, *feats, F.inline(F.array(*[
             F.struct(F.lit(t).alias("task"), F.col(c).alias("label")) for t, c in TASK_TARGET.items()])))
-        return stratified_split(long, "label", keys, 0.2, 42, by=["task"])
+        sp = stratified_split(long, "label", keys, 0.2, 42, by=["task"])
+        return impute_median_by_task(sp, feats)
     return stage(spark, sf_dir, "task_data", build)
 
 
+def impute_median_by_task(sp: DataFrame, feats: list) -> DataFrame:
+    """Fill nulls with medians learned on each task's *train* rows only (one
+    small per-task median table, broadcast: one row per task)."""
+    from pyspark.sql import functions as F
+
+    nulls = sp.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in feats]).first()
+    need = [c for c in feats if nulls[c] > 0]
+    if not need:
+        return sp
+    from tavola.functions.stats import quantiles_by_group
+
+    train = sp.where(F.col("is_test") == 0)
+    med = None
+    for c in need:  # checked exact medians per task (percentile or refinement)
+        m = quantiles_by_group(train, ["task"], c, [0.5]).select("task", F.col("q")[0].alias(f"_m_{c}"))
+        med = m if med is None else med.join(m, on="task", how="full")
+    types = dict(sp.dtypes)
+    out = sp.join(F.broadcast(med), on="task", how="left")
+    out = out.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.col(f"_m_{c}").cast(types[c])) for c in need})
+    return out.drop(*[f"_m_{c}" for c in need])
+
+
 def task_feature_sets(df: DataFrame) -> dict:
     from tavola.operators.features import TASK_FEATURES
     names = city_columns(df)
