@@ -83,7 +83,19 @@ def q_tree_importance(spark, sf):
     return out
 
 
-@register("model_info")
+_FIRST5 = {t: ", ".join(list(fs)[:5]) for t, fs in __import__("tavola.operators.features", fromlist=["x"]).TASK_FEATURES.items()}
+_NBASE = {t: len(fs) for t, fs in __import__("tavola.operators.features", fromlist=["x"]).TASK_FEATURES.items()}
+
+
+@register("model_info", """
+WITH nc AS (SELECT count(*) AS k FROM (SELECT city FROM entities GROUP BY city ORDER BY count(*) DESC, city LIMIT 10)),
+other AS (SELECT CAST(count(DISTINCT city) > 10 AS INTEGER) AS o FROM entities)
+SELECT t.task, m.model, m.model_type, CAST(t.nbase + nc.k + other.o AS INTEGER) AS n_features, t.first_features
+FROM (VALUES """ + ", ".join(f"('{t}', {_NBASE[t]}, '{_FIRST5[t]}')" for t in _FIRST5) + """) AS t(task, nbase, first_features),
+     (VALUES ('logistic', 'LogisticRegressionModel'), ('random_forest', 'RandomForestClassificationModel'),
+             ('boosted_trees', 'GBTClassificationModel')) AS m(model, model_type),
+     nc, other
+""", ("entities",))
 def q_model_info(spark, sf):
     fitted, _s, sets = _grid(spark, sf)
     return T.model_info(fitted, sets)

