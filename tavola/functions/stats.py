@@ -137,3 +137,31 @@ def quantile_struct(df: DataFrame, columns: Sequence[str], probs: Sequence[float
             vals = exact_quantiles(df, c, probs)
             fields.append(F.array(*[F.lit(v).cast("double") for v in vals]).alias(f"q{i}"))
     return F.struct(*fields)
+
+
+def medians_by_group(df: DataFrame, group_cols: Sequence[str], columns: Sequence[str],
+                     prefix: str = "median_") -> DataFrame:
+    """Exact medians of several columns per group, one row per group.
+
+    One HyperLogLog job sizes every (group, column) value set; the columns
+    within the limit share one grouped ``percentile`` aggregate, the others
+    (only when the groups are few) use the distributed refinement."""
+    from tavola.functions.distributed_quantile import exact_group_quantiles
+
+    group_cols, columns = list(group_cols), list(columns)
+    st = (df.groupBy(*group_cols).agg(*[F.approx_count_distinct(F.col(f"`{c}`"), 0.05).alias(f"d{i}")
+                                        for i, c in enumerate(columns)])
+          .agg(F.count("*").alias("_g"), *[F.max(f"d{i}").alias(f"d{i}") for i in range(len(columns))]).first())
+    limit = exact_distinct_limit(df)
+    big = [c for i, c in enumerate(columns) if (st[f"d{i}"] or 0) > limit and st["_g"] <= GROUP_LIMIT]
+    small = [c for c in columns if c not in big]
+    out = None
+    if small:
+        out = df.groupBy(*group_cols).agg(*[F.percentile(F.col(f"`{c}`").cast("double"), F.lit(0.5)).alias(f"{prefix}{c}")
+                                            for c in small])
+    for c in big:
+        res = exact_group_quantiles(df, group_cols, c, [0.5])
+        schema = df.select(*group_cols).schema.add(f"{prefix}{c}", "double")
+        m = df.sparkSession.createDataFrame([(*g, q[0]) for g, q in res], schema)
+        out = m if out is None else out.join(m, on=group_cols, how="full")
+    return out

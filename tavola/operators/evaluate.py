@@ -84,7 +84,10 @@ def _cumulative(scored: DataFrame, group_cols: Sequence[str], y: str, p: str) ->
     widest = d.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
     if widest <= WINDOW_ROWS_LIMIT:
         w = Window.partitionBy(*group_cols).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-        d = d.withColumn("tps", F.sum("_pos").over(w)).withColumn("fps", F.sum("_neg").over(w))
+        g = Window.partitionBy(*group_cols)
+        # running sums and group totals share one partitioning: no join
+        return (d.withColumn("tps", F.sum("_pos").over(w)).withColumn("fps", F.sum("_neg").over(w))
+                .withColumn("tot_pos", F.sum("_pos").over(g)).withColumn("tot_neg", F.sum("_neg").over(g)))
     else:
         d = prefix_sums(d, group_cols, p, ["_pos", "_neg"], descending=True).withColumnsRenamed(
             {"cum__pos": "tps", "cum__neg": "fps"})
@@ -119,28 +122,34 @@ def pr_curve(scored: DataFrame, group_cols: Sequence[str] = (), y: str = "y", p:
     return end.unionByName(pts)
 
 
+def _areas(c: DataFrame, group_cols: Sequence[str], p: str, which=("roc", "pr")) -> DataFrame:
+    """Trapezoid areas from the cumulative frame: ROC (start (0, 0)) and
+    precision-recall (start (recall 0, precision 1)), one aggregate.  The
+    previous point comes from the running sums minus this score's own counts,
+    so no extra window is needed."""
+    prev_tps = F.col("tps") - F.col("_pos")
+    prev_fps = F.col("fps") - F.col("_neg")
+    fpr, tpr = _div0(F.col("fps"), F.col("tot_neg")), _div0(F.col("tps"), F.col("tot_pos"))
+    fpr0, tpr0 = _div0(prev_fps, F.col("tot_neg")), _div0(prev_tps, F.col("tot_pos"))
+    prec = _div0(F.col("tps"), F.col("tps") + F.col("fps"))
+    prec0 = F.when(prev_tps + prev_fps == 0, F.lit(1.0)).otherwise(_div0(prev_tps, prev_tps + prev_fps))
+    aggs = []
+    if "roc" in which:
+        aggs.append(F.sum((fpr - fpr0) * (tpr + tpr0) / 2).alias("roc_auc"))
+    if "pr" in which:
+        aggs.append(F.sum((tpr - tpr0) * (prec + prec0) / 2).alias("pr_auc"))
+    return c.groupBy(*group_cols).agg(*aggs)
+
+
 def roc_auc(scored: DataFrame, group_cols: Sequence[str] = (), y: str = "y", p: str = "p") -> DataFrame:
     """Exact ROC-AUC (trapezoids over distinct scores = ties averaged)."""
-    c = _cumulative(scored, group_cols, y, p)
-    o = Window.partitionBy(*group_cols).orderBy(F.desc(p))
-    fpr = _div0(F.col("fps"), F.col("tot_neg"))
-    tpr = _div0(F.col("tps"), F.col("tot_pos"))
-    c = c.withColumn("_fpr", fpr).withColumn("_tpr", tpr)
-    area = ((F.col("_fpr") - F.coalesce(F.lag("_fpr").over(o), F.lit(0.0)))
-            * (F.col("_tpr") + F.coalesce(F.lag("_tpr").over(o), F.lit(0.0))) / 2)
-    return c.withColumn("_a", area).groupBy(*group_cols).agg(F.sum("_a").alias("roc_auc"))
+    return _areas(_cumulative(scored, group_cols, y, p), group_cols, p, ("roc",))
 
 
 def pr_auc(scored: DataFrame, group_cols: Sequence[str] = (), y: str = "y", p: str = "p") -> DataFrame:
     """Trapezoid area under precision-recall, starting at (recall 0,
     precision 1)."""
-    c = _cumulative(scored, group_cols, y, p)
-    o = Window.partitionBy(*group_cols).orderBy(F.desc(p))
-    c = (c.withColumn("_r", _div0(F.col("tps"), F.col("tot_pos")))
-         .withColumn("_p", _div0(F.col("tps"), F.col("tps") + F.col("fps"))))
-    area = ((F.col("_r") - F.coalesce(F.lag("_r").over(o), F.lit(0.0)))
-            * (F.col("_p") + F.coalesce(F.lag("_p").over(o), F.lit(1.0))) / 2)
-    return c.withColumn("_a", area).groupBy(*group_cols).agg(F.sum("_a").alias("pr_auc"))
+    return _areas(_cumulative(scored, group_cols, y, p), group_cols, p, ("pr",))
 
 
 def evaluate(scored: DataFrame, group_cols: Sequence[str] = (), y: str = "y", p: str = "p",
@@ -148,11 +157,12 @@ def evaluate(scored: DataFrame, group_cols: Sequence[str] = (), y: str = "y", p:
     """All metrics of one (task, model) per row."""
     cl = classify(scored, p, threshold)
     m = classification_metrics(cl, group_cols, y)
-    roc, pr = roc_auc(scored, group_cols, y, p), pr_auc(scored, group_cols, y, p)
+    areas = _areas(_cumulative(scored, group_cols, y, p), group_cols, p)
     if group_cols:
-        # one row per (task, model) on every side: small equi-joins
-        return m.join(roc, on=list(group_cols)).join(pr, on=list(group_cols))
-    return m.withColumns({"roc_auc": roc.select("roc_auc").scalar(), "pr_auc": pr.select("pr_auc").scalar()})
+        # one row per (task, model) on both sides: a small equi-join
+        return m.join(areas, on=list(group_cols))
+    a = areas.select(F.struct("roc_auc", "pr_auc")).scalar()
+    return m.withColumns({"roc_auc": a.getField("roc_auc"), "pr_auc": a.getField("pr_auc")})
 
 
 def metrics_long(metrics: DataFrame, group_cols: Sequence[str], names: Sequence[str] = METRICS) -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -95,13 +96,20 @@ def train_grid(data: DataFrame, feature_sets: dict[str, list[str]], models: Sequ
     score its test rows.  Returns ({(task, model): PipelineModel}, scored
     test rows (keys, task, model, y, p)).  Fits run in a small driver thread
     pool; each fit is itself a distributed MLlib job."""
-    data = data.persist()
     jobs = [(t, m) for t in feature_sets for m in models]
+    # Each task's train rows are read by every iteration of three fits:
+    # keep them (only the task's columns) in executor memory, spilling to
+    # disk, and recomputable from the staged input if an executor is lost.
+    train_sets = {}
+    for t in feature_sets:
+        cols = [*keys, *feature_sets[t], label]
+        d = data.where(F.col(task_col) == t)
+        train_sets[t] = d.where(F.col("is_test") == 0).select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
 
     def run(job):
         t, m = job
         d = data.where(F.col(task_col) == t)
-        tr, te = d.where(F.col("is_test") == 0), d.where(F.col("is_test") == 1)
+        tr, te = train_sets[t], d.where(F.col("is_test") == 1)
         pm = fit(tr, feature_sets[t], m, preset, label)
         sc = predict(pm, te, [*keys, F.col(label).alias("y")]).select(
             *keys, F.lit(t).alias("task"), F.lit(m).alias("model"), "y", "p")
@@ -109,6 +117,8 @@ def train_grid(data: DataFrame, feature_sets: dict[str, list[str]], models: Sequ
 
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
         results = list(ex.map(run, jobs))
+    for tr in train_sets.values():
+        tr.unpersist()
     fitted = {k: pm for k, pm, _ in results}
     scored = results[0][2]
     for _k, _pm, sc in results[1:]:

@@ -5,31 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tavola import fixtures
-from tavola.session import ensure_checkpoint_dir
+from tavola.session import ensure_checkpoint_dir, scratch_path
 
 
 _STAGES: dict = {}
 
 
-def stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def stage(spark: SparkSession, sf_dir: str, name: str, build, fmt: str = "checkpoint") -> DataFrame:
     """Materialise a pipeline stage once per session and input folder.
 
-    The stage is written as a reliable checkpoint into the shared
-    ``spark.checkpoint.dir`` (never a machine-local folder on a cluster):
-    later stages and scalar subqueries read it instead of recomputing the
-    upstream joins, lineage is cut, and a lost executor only re-reads files.
+    The stage is written into the shared ``spark.checkpoint.dir`` (never a
+    machine-local folder on a cluster): later stages and scalar subqueries
+    read it instead of recomputing the upstream joins, lineage is cut, and a
+    lost executor only re-reads files.
+
+    fmt ``parquet``: a written table (columnar, compressed; later scans
+    prune columns) - used for the item-level stages, the largest tables.
+    fmt ``checkpoint``: a reliable checkpoint, which keeps the plan's output
+    partitioning (entity-level stages stay hash-partitioned by the entity
+    key for the joins and aggregations that follow).
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STAGES:
         ensure_checkpoint_dir(spark)
-        _STAGES[key] = build().checkpoint(eager=True)
+        if fmt == "parquet":
+            import uuid
+            path = scratch_path(spark, f"stages/{name}-{uuid.uuid4().hex[:12]}")
+            build().write.parquet(path)
+            _STAGES[key] = spark.read.parquet(path)
+        else:
+            _STAGES[key] = build().checkpoint(eager=True)
     return _STAGES[key]
 
 
 def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw item table.  It stands for an item file on storage, so it is
     materialised once instead of re-running the fixture joins per query."""
-    return stage(spark, sf_dir, "raw_items", lambda: fixtures.fx_items(spark, sf_dir))
+    return stage(spark, sf_dir, "raw_items", lambda: fixtures.fx_items(spark, sf_dir), fmt="parquet")
 
 
 def items_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +57,7 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned items (= ``clean_items`` of the raw table, staged in two steps)."""
     from tavola.operators.clean import cap_outliers_iqr, log_transform
     return stage(spark, sf_dir, "items_clean",
-                 lambda: log_transform(cap_outliers_iqr(items_text(spark, sf_dir), "price")))
+                 lambda: log_transform(cap_outliers_iqr(items_text(spark, sf_dir), "price")), fmt="parquet")
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,15 +146,20 @@ def task_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     from tavola.operators.rollup import ENTITY_KEYS
 
-    def build():
-        keys = list(ENTITY_KEYS)
+    keys = list(ENTITY_KEYS)
+
+    def split():
         d = high_variance_flag(ratio_features(enhanced(spark, sf_dir)).drop(*city_columns(enhanced(spark, sf_dir))))
         d, names = one_hot_topk_other(d, "city", 10)
         feats = list(dict.fromkeys([f for fs in TASK_FEATURES.values() for f in fs] + names))
         d = d.select(*keys, *feats, *TASK_TARGET.values())
         long = d.select(*keys, *feats, F.inline(F.array(*[
             F.struct(F.lit(t).alias("task"), F.col(c).alias("label")) for t, c in TASK_TARGET.items()])))
-        sp = stratified_split(long, "label", keys, 0.2, 42, by=["task"])
+        return stratified_split(long, "label", keys, 0.2, 42, by=["task"])
+
+    def build():
+        sp = stage(spark, sf_dir, "task_split", split)
+        feats = [c for c in sp.columns if c not in (*keys, "task", "label", "is_test")]
         return impute_median_by_task(sp, feats)
     return stage(spark, sf_dir, "task_data", build)
 
@@ -156,13 +173,9 @@ def impute_median_by_task(sp: DataFrame, feats: list) -> DataFrame:
     need = [c for c in feats if nulls[c] > 0]
     if not need:
         return sp
-    from tavola.functions.stats import quantiles_by_group
+    from tavola.functions.stats import medians_by_group
 
-    train = sp.where(F.col("is_test") == 0)
-    med = None
-    for c in need:  # checked exact medians per task (percentile or refinement)
-        m = quantiles_by_group(train, ["task"], c, [0.5]).select("task", F.col("q")[0].alias(f"_m_{c}"))
-        med = m if med is None else med.join(m, on="task", how="full")
+    med = medians_by_group(sp.where(F.col("is_test") == 0), ["task"], need, prefix="_m_")
     types = dict(sp.dtypes)
     out = sp.join(F.broadcast(med), on="task", how="left")
     out = out.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.col(f"_m_{c}").cast(types[c])) for c in need})
