@@ -99,3 +99,30 @@ def q_prediction_log_round_trip(spark, sf):
     back = io.read_prediction_log(spark, path)
     return back.select(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts"), "model", "response_time",
                        "success", "feature_count", F.col("features")["log_id"].alias("f_log_id"))
+
+
+@register("prediction_log_stream", """
+SELECT model, count(*) AS records, count(*) FILTER (WHERE success) AS successes, avg(response_time) AS avg_response_time,
+       CAST(sum(2) AS BIGINT) AS feature_total
+FROM fx_log GROUP BY model
+""", ("fx_log",), dbl=("avg_response_time",))
+def q_prediction_log_stream(spark, sf):
+    """The JSON log appended twice, read back as a stream into a per-model
+    aggregate (update mode, versioned sink)."""
+    from tavola.streaming.jobs import run_to_table
+    log = fixtures.fx_log(spark, sf)
+    recs = log.select(F.col("ts").alias("timestamp"), "model",
+                      F.create_map(F.lit("log_id"), F.col("log_id").cast("double"),
+                                   F.lit("user_bucket"), F.lit(0.0)).alias("features"),
+                      F.struct(F.lit(1).alias("prediction"), F.lit(0.5).alias("probability"),
+                               F.lit("low").alias("confidence")).alias("prediction"),
+                      "response_time", "success", F.col("log_id"))
+    path = _tmp(spark, "prediction_log_stream")
+    # two appends (successful and failed calls); together they hold every record
+    io.append_prediction_log(recs.where(F.col("success")).drop("log_id"), path)
+    io.append_prediction_log(recs.where(~F.col("success")).drop("log_id"), path)
+    stream = io.read_prediction_log_stream(spark, path, max_files_per_trigger=4)
+    agg = stream.groupBy("model").agg(F.count("*").alias("records"), F.count_if("success").alias("successes"),
+                                      F.avg("response_time").alias("avg_response_time"),
+                                      F.sum("feature_count").cast("long").alias("feature_total"))
+    return run_to_table(agg, spark, "log-json", "update", ("model",))

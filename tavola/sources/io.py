@@ -107,3 +107,13 @@ def append_prediction_log(records: DataFrame, path: str) -> None:
         out = out.withColumn("success", F.lit(True))
     out.select("timestamp", "model", "features", "prediction", "response_time", "success",
                "feature_count").write.mode("append").json(path)
+
+
+def read_prediction_log_stream(spark: SparkSession, path: str, schema: str = LOG_SCHEMA,
+                               max_files_per_trigger: int | None = None) -> DataFrame:
+    """The JSON prediction log as a stream (new files are picked up as they
+    are appended)."""
+    r = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.json(path)
