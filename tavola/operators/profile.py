@@ -184,15 +184,29 @@ def value_counts(df: DataFrame, cols: Sequence[str] | None = None, top_n: int =
     return top_n_per_group(long, ["column_name"], [F.desc("count"), F.asc("value")], top_n)
 
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+CORR_PAIRS_PER_PASS = 300
+
+
+def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None,
+                       pairs_per_pass: int = CORR_PAIRS_PER_PASS) -> DataFrame:
     """Pearson r for every unordered pair (a < b by position), pairwise
-    complete (a row counts for a pair when both values are present).  One
-    aggregate with k(k-1)/2 ``corr`` buffers; constant columns give null."""
+    complete (a row counts for a pair when both values are present);
+    constant columns give null.
+
+    Each pass is one aggregate of at most ``pairs_per_pass`` ``corr``
+    buffers (six doubles each, combined map-side).  Wide inputs take several
+    passes, whose small results are unioned, instead of one aggregate too
+    large for generated code."""
     cols = list(cols or numeric_columns(df))
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    wide = df.agg(*[F.corr(F.col(q(a)).cast("double"), F.col(q(b)).cast("double")).alias(f"c{i}")
-                    for i, (a, b) in enumerate(pairs)])
-    structs = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                        F.nanvl(F.col(f"c{i}"), F.lit(None).cast("double")).alias("r"))
-               for i, (a, b) in enumerate(pairs)]
-    return wide.select(F.inline(F.array(*structs)))
+    out = None
+    for start in range(0, len(pairs), pairs_per_pass):
+        chunk = pairs[start:start + pairs_per_pass]
+        wide = df.agg(*[F.corr(F.col(q(a)).cast("double"), F.col(q(b)).cast("double")).alias(f"c{i}")
+                        for i, (a, b) in enumerate(chunk)])
+        structs = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
+                            F.nanvl(F.col(f"c{i}"), F.lit(None).cast("double")).alias("r"))
+                   for i, (a, b) in enumerate(chunk)]
+        part = wide.select(F.inline(F.array(*structs)))
+        out = part if out is None else out.unionByName(part)
+    return out

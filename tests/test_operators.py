@@ -202,3 +202,14 @@ def test_hot_entity_holding_a_third_of_rows(spark):
     lab = df.select("dish_name", (F.col("restaurant_name") == "hot").cast("int").alias("y"))
     sp = FE.stratified_split(lab, "y", ["dish_name"], 0.2, 42).groupBy("y").agg(F.sum("is_test").alias("t")).collect()
     assert {r.y: r.t for r in sp} == {1: 200, 0: 400}
+
+
+def test_correlation_matrix_chunked_equals_single_pass(spark):
+    from tavola.operators.profile import correlation_matrix
+    df = spark.range(0, 200).select(*[((F.col("id") * (k + 3)) % (17 + k)).cast("double").alias(f"x{k}")
+                                      for k in range(7)])
+    cols = [f"x{k}" for k in range(7)]
+    one = {(r.feature_a, r.feature_b): r.r for r in correlation_matrix(df, cols).collect()}
+    many = {(r.feature_a, r.feature_b): r.r for r in correlation_matrix(df, cols, pairs_per_pass=4).collect()}
+    assert one.keys() == many.keys() and len(one) == 21
+    assert all(abs(one[k] - many[k]) < 1e-12 for k in one)
