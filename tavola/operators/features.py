@@ -89,18 +89,35 @@ def enhance_entities(e: DataFrame) -> DataFrame:
              .transform(premium_score))
 
 
+VOCAB_INLINE_LIMIT = 10_000
+
+
 def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "_encoded",
-                 missing: str = "nan") -> DataFrame:
+                 missing: str = "nan", inline_limit: int = VOCAB_INLINE_LIMIT) -> DataFrame:
     """Integer code = position of the value in the sorted distinct values
-    present (missing is the string 'nan').  The sorted vocabulary is a scalar
-    subquery; meant for categorical columns (vocabulary size bounded)."""
+    present (missing is the string 'nan').
+
+    The vocabulary size is checked first (one HyperLogLog job): a small
+    vocabulary is a sorted array in a scalar subquery (no join); a large one
+    is ranked with ``global_rank`` (range partitioning, never one task) and
+    joined back on the value (AQE decides broadcast or shuffle from its
+    measured size)."""
+    cols = list(cols)
+    st = df.agg(*[F.approx_count_distinct(F.coalesce(F.col(c).cast("string"), F.lit(missing)), 0.05).alias(c)
+                  for c in cols]).first()
     out = df
     for c in cols:
         v = F.coalesce(F.col(c).cast("string"), F.lit(missing))
-        vocab = df.agg(F.array_sort(F.collect_set(v))).scalar()
-        out = out.withColumn(f"_voc_{c}", vocab)
-        out = out.withColumn(f"{c}{suffix}", (F.array_position(F.col(f"_voc_{c}"), v) - 1).cast("int"))
-        out = out.drop(f"_voc_{c}")
+        if st[c] <= inline_limit:
+            vocab = df.agg(F.array_sort(F.collect_set(v))).scalar()
+            out = out.withColumn(f"_voc_{c}", vocab)
+            out = out.withColumn(f"{c}{suffix}", (F.array_position(F.col(f"_voc_{c}"), v) - 1).cast("int"))
+            out = out.drop(f"_voc_{c}")
+        else:
+            values = df.select(v.alias("_v")).distinct()
+            codes = global_rank(values, [], ["_v"], out="_code")
+            out = (out.withColumn("_v", v).join(codes, on="_v", how="left")
+                   .withColumn(f"{c}{suffix}", F.col("_code").cast("int")).drop("_v", "_code"))
     return out
 
 

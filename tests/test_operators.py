@@ -213,3 +213,11 @@ def test_correlation_matrix_chunked_equals_single_pass(spark):
     many = {(r.feature_a, r.feature_b): r.r for r in correlation_matrix(df, cols, pairs_per_pass=4).collect()}
     assert one.keys() == many.keys() and len(one) == 21
     assert all(abs(one[k] - many[k]) < 1e-12 for k in one)
+
+
+def test_label_encode_large_vocabulary_path_equals_inline(spark):
+    df = spark.createDataFrame([(f"v{i % 37:03d}" if i % 11 else None,) for i in range(400)], "c string")
+    small = {(r.c, r.c_encoded) for r in FE.label_encode(df, ["c"]).collect()}
+    large = {(r.c, r.c_encoded) for r in FE.label_encode(df, ["c"], inline_limit=5).collect()}
+    assert small == large
+    assert dict(small)[None] == sorted({r[0] or "nan" for r in df.collect()}).index("nan")
