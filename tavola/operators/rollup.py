@@ -20,7 +20,8 @@ TARGETS = ("is_high_rated", "is_popular", "is_premium")
 
 def rollup_entities(items: DataFrame, keys: Sequence[str] = ENTITY_KEYS, price: str = "price",
                     rating: str = "rating", rating_count: str = "rating_count",
-                    category: str = "category", item_name: str = "dish_name") -> DataFrame:
+                    category: str = "category", item_name: str = "dish_name",
+                    median_method: str = "auto") -> DataFrame:
     """One row per entity; rows with a null key are dropped.
 
     Averages, counts (non-null), sample standard deviations, the exact median
@@ -31,17 +32,30 @@ def rollup_entities(items: DataFrame, keys: Sequence[str] = ENTITY_KEYS, price:
     One hash aggregate keyed on the entity: avg/count/stddev/sum/max combine
     map-side; the median and the category set keep one entry per *distinct*
     rating / category of the entity, so even an entity holding a third of all
-    rows needs only a small buffer.
+    rows needs only a small buffer.  That bound is checked (``auto``): if the
+    median column has more distinct values than the exact-quantile limit,
+    the medians come from ``exact_group_medians`` (range-partitioned running
+    counts) and are joined on the key instead.
     """
+    from tavola.functions.distributed_quantile import exact_group_medians
+    from tavola.functions.stats import choose_methods
+
     keys = list(keys)
     r2 = rint_round
-    g = (items.dropna(subset=keys)
+    base = items.dropna(subset=keys)
+    if median_method == "auto":
+        median_method = choose_methods(base, [rating])[rating]
+    if median_method == "exact":
+        median = r2(F.percentile(F.col(rating), F.lit(0.5))).alias("median_rating")
+    else:
+        median = F.lit(None).cast("double").alias("median_rating")
+    g = (base
          .groupBy(*keys)
          .agg(r2(F.avg(price)).alias("avg_price"),
               F.count(price).alias("dish_count"),
               r2(F.stddev_samp(price)).alias("price_std"),
               r2(F.avg(rating)).alias("avg_rating"),
-              r2(F.percentile(F.col(rating), F.lit(0.5))).alias("median_rating"),
+              median,
               r2(F.stddev_samp(rating)).alias("rating_std"),
               F.coalesce(F.sum(rating_count), F.lit(0)).alias("total_rating_count"),
               r2(F.avg(rating_count)).alias("avg_rating_count"),
@@ -49,6 +63,11 @@ def rollup_entities(items: DataFrame, keys: Sequence[str] = ENTITY_KEYS, price:
               F.array_join(F.array_sort(F.collect_set(F.coalesce(F.col(category), F.lit("unknown")))),
                            ", ").alias("categories"),
               F.count(item_name).alias("total_dishes")))
+    if median_method != "exact":
+        med = exact_group_medians(base, keys, rating, "_med")
+        cols = g.columns
+        g = (g.drop("median_rating").join(med, on=keys, how="left")
+             .withColumn("median_rating", r2(F.col("_med"))).select(*cols))
     return g
 
 

@@ -221,3 +221,14 @@ def test_label_encode_large_vocabulary_path_equals_inline(spark):
     large = {(r.c, r.c_encoded) for r in FE.label_encode(df, ["c"], inline_limit=5).collect()}
     assert small == large
     assert dict(small)[None] == sorted({r[0] or "nan" for r in df.collect()}).index("nan")
+
+
+def test_exact_group_medians_match_numpy(spark):
+    from tavola.functions.distributed_quantile import exact_group_medians
+    rng = np.random.default_rng(3)
+    rows = [("hot", float(v)) for v in rng.normal(5, 2, 3001)] + [(f"g{i % 40}", float(rng.integers(0, 9)))
+                                                                   for i in range(800)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: r.median for r in exact_group_medians(df, ["g"], "x").collect()}
+    for g in set(k for k, _ in rows):
+        assert got[g] == pytest.approx(float(np.median([v for k, v in rows if k == g])), rel=1e-12)
