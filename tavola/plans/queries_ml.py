@@ -9,7 +9,7 @@ from tavola.operators import evaluate as EV
 from tavola.operators import explain as X
 from tavola.operators import score as S
 from tavola.operators import train as T
-from tavola.operators.features import fold_ids
+from tavola.operators.features import TASK_FEATURES, fold_ids
 from tavola.operators.rollup import ENTITY_KEYS
 from tavola.plans import queries_eval  # noqa: F401  (CTEs)
 from tavola.plans import venue
@@ -83,8 +83,8 @@ def q_tree_importance(spark, sf):
     return out
 
 
-_FIRST5 = {t: ", ".join(list(fs)[:5]) for t, fs in __import__("tavola.operators.features", fromlist=["x"]).TASK_FEATURES.items()}
-_NBASE = {t: len(fs) for t, fs in __import__("tavola.operators.features", fromlist=["x"]).TASK_FEATURES.items()}
+_FIRST5 = {t: ", ".join(list(fs)[:5]) for t, fs in TASK_FEATURES.items()}
+_NBASE = {t: len(fs) for t, fs in TASK_FEATURES.items()}
 
 
 @register("model_info", """
