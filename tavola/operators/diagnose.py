@@ -88,9 +88,10 @@ def mutual_information(df: DataFrame, features: Sequence[str], targets: Sequence
     long = d.select(F.inline(F.array(*rows))).where(F.col("bin").isNotNull() & F.col("y").isNotNull())
     joint = long.groupBy("feature", "target", "bin", "y").agg(F.count("*").alias("n_by"))
     g = Window.partitionBy("feature", "target")
-    joint = (joint.withColumn("n", F.sum("n_by").over(g))
-             .withColumn("n_b", F.sum("n_by").over(Window.partitionBy("feature", "target", "bin")))
-             .withColumn("n_y", F.sum("n_by").over(Window.partitionBy("feature", "target", "y"))))
+    # one projection for the three marginals (one analysis of the wide plan)
+    joint = joint.select("*", F.sum("n_by").over(g).alias("n"),
+                         F.sum("n_by").over(Window.partitionBy("feature", "target", "bin")).alias("n_b"),
+                         F.sum("n_by").over(Window.partitionBy("feature", "target", "y")).alias("n_y"))
     term = (F.col("n_by") / F.col("n")) * F.log((F.col("n_by") * F.col("n")) / (F.col("n_b") * F.col("n_y")))
     mi = joint.groupBy("target", "feature").agg(F.sum(term).alias("mi"))
     # rank on mi rounded to 9 decimals: monotone transforms of one feature
