@@ -70,3 +70,19 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert "is_premium" in df.columns
+
+
+@pytest.mark.parametrize("name", ["clean_items", "cap_outliers_iqr", "rollup_entities", "price_by_category",
+                                  "log_metrics", "mutual_information", "impute_median"])
+def test_distributed_exact_paths_match_oracle(spark, con, name):
+    """Force the distributed exact-quantile / median paths (tiny distinct
+    limit) and compare with the same DuckDB oracle."""
+    spark.conf.set("tavola.quantile.exactDistinctLimit", "5")
+    try:
+        sp = QUERIES[name](spark, SMALL).toPandas()
+    finally:
+        spark.conf.unset("tavola.quantile.exactDistinctLimit")
+    dk = con.sql(ORACLES[name]).df()
+    cols = sorted(sp.columns)
+    assert cols == sorted(dk.columns)
+    assert _rows(sp, cols) == _rows(dk, cols)
