@@ -3,19 +3,27 @@ operator with its production parameters to its whole table."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tavola.llm.shared import ship_package
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,3 +38,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(ids, ranks).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op9_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tavola.llm import nbsvm
+    from tavola.llm.shared import crc_mod
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = crc_mod("doc_id", 5) == 0
+    scored = nbsvm.classify(docs, table(spark, sf_dir, "labels"), train=~held)
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
