@@ -48,3 +48,10 @@ def op9_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = crc_mod("doc_id", 5) == 0
     scored = nbsvm.classify(docs, table(spark, sf_dir, "labels"), train=~held)
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tavola.llm import packing
+    pieces = packing.tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.assign(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
