@@ -55,3 +55,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tavola.llm import packing
     pieces = packing.tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return packing.assign(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+@query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tavola.llm import quality_rules
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
