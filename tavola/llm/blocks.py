@@ -17,7 +17,7 @@ import pyarrow as pa
 
 from tavola.llm import textkernel as K
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 CODEC = "zstd"
 
 
@@ -27,6 +27,7 @@ class Block:
     codes: np.ndarray       # local code of every word
     begin: np.ndarray       # first word of each row, and the end
     words: list[bytes]      # word of each local code
+    hashes: np.ndarray      # and its hash
 
 
 def _spans_pre(data, offs):
@@ -61,7 +62,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, cut: str, block_bytes:
             _, data, starts, ends, _, _ = held[p]
             j = f - sizes[p]
             words[i] = data[starts[j]: ends[j]]
-        return Block(pa.concat_tables([h[0] for h in held]), codes, np.concatenate(begin), words)
+        return Block(pa.concat_tables([h[0] for h in held]), codes, np.concatenate(begin), words, uniq)
 
     for b in batches:
         t = pa.Table.from_batches([b])
@@ -117,3 +118,17 @@ def binary_column(flat: np.ndarray, at: np.ndarray) -> pa.Array:
     """Binary values flat[at[i]:at[i + 1]] of an array of fixed-width items."""
     offs = pa.py_buffer((np.asarray(at, np.int64) * flat.itemsize).tobytes())
     return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, offs, pa.py_buffer(np.ascontiguousarray(flat).tobytes())]).cast(pa.binary())
+
+
+def pack_items(items: list[bytes]) -> bytes:
+    """Byte strings as one compressed value."""
+    lens = np.array([len(x) for x in items], "<u4").tobytes()
+    raw = len(items).to_bytes(4, "little") + lens + b"".join(items)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=CODEC, asbytes=True)
+
+
+def unpack_items(b: bytes) -> list[bytes]:
+    raw = pa.decompress(b[8:], decompressed_size=int.from_bytes(b[:8], "little"), codec=CODEC, asbytes=True)
+    n = int.from_bytes(raw[:4], "little")
+    ends = (np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64) + 4 + 4 * n).tolist()
+    return [raw[a:e] for a, e in zip([4 + 4 * n, *ends[:-1]], ends)]

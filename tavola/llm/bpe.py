@@ -30,29 +30,47 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+#: Buckets of words by hash; a bucket of a block is one row of the word shuffle.
+BUCKETS = 512
+#: Distinct words whose ids a task keeps at hand; beyond it words are encoded anew.
+CACHE_WORDS = 400_000
+
+
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, B.Block]]:
     """Blocks with a key of task, ordinal and content, the same in every computation."""
     part = TaskContext.get().partitionId()
     for i, b in enumerate(B.blocks(batches, "text", "pretokens")):
-        h = K.mix(np.array([part, i, len(b.codes), len(b.words)], np.uint64))
-        content = np.bitwise_xor.reduce(K.mix(b.codes.astype(np.uint64) * np.uint64(31) + np.arange(len(b.codes), dtype=np.uint64))) if len(b.codes) else 0
-        key = K.mix(np.array([int(h[0]) ^ (int(h[1]) * 3 & (1 << 64) - 1) ^ (int(h[2]) * 5 & (1 << 64) - 1) ^ (int(h[3]) * 7 & (1 << 64) - 1) ^ int(content)], np.uint64))
-        yield int(key.view(np.int64)[0]), b
+        content = int(np.bitwise_xor.reduce(K.mix(b.codes.astype(np.uint64) * np.uint64(31) + np.arange(len(b.codes), dtype=np.uint64)), initial=0))
+        key = 0
+        for x in (part, i, len(b.codes), len(b.words), content):
+            key = int(K.mix(np.array([key ^ x], np.uint64))[0])
+        yield key - (1 << 63), b
+
+
+def _by_bucket(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Local codes in bucket order, and where each bucket begins."""
+    bucket = (hashes % np.uint64(BUCKETS)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of every block, exploded over the buckets."""
     for key, b in _keyed(batches):
-        for lo in range(0, len(b.words), 50_000):
-            w = b.words[lo: lo + 50_000]
-            yield pa.record_batch({"block": pa.array(np.full(len(w), key)), "code": pa.array(np.arange(lo, lo + len(w), dtype=np.int32)),
-                                   "word": pa.array(w, pa.binary())})
+        order, at = _by_bucket(b.hashes)
+        order = order.tolist()
+        out = [(k, B.pack_items([b.words[c] for c in order[at[k]: at[k + 1]]])) for k in range(BUCKETS) if at[k + 1] > at[k]]
+        yield pa.record_batch({"block": pa.array(np.full(len(out), key)), "bucket": pa.array([k for k, _ in out], pa.int32()),
+                               "words": pa.array([w for _, w in out], pa.binary())})
 
 
 def _code_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The positions: the block's texts as sequences of local codes."""
     for key, b in _keyed(batches):
-        yield pa.record_batch({"block": pa.array([key]), "n_words": pa.array([len(b.words)], pa.int32()),
-                               "doc_ids": pa.array([b.rows["doc_id"].to_pylist()], pa.list_(pa.int64())),
-                               "begin": pa.array([b.begin], pa.list_(pa.int64())), "codes": pa.array([B.pack_codes(b.codes)], pa.binary())})
+        order, at = _by_bucket(b.hashes)
+        yield pa.record_batch({"block": pa.array([key]), "doc_ids": pa.array([b.rows["doc_id"].to_pylist()], pa.list_(pa.int64())),
+                               "begin": pa.array([b.begin], pa.list_(pa.int64())), "codes": pa.array([B.pack_codes(b.codes)], pa.binary()),
+                               "in_order": pa.array([B.pack_codes(order)], pa.binary()), "bucket_at": pa.array([at], pa.list_(pa.int64()))})
 
 
 def _encoder(ranks: dict[bytes, int], pattern: str):
@@ -69,49 +87,61 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(shared.value, pattern)
-        last, ids = None, b""
-        for b in batches:
-            out = []
-            for w in b.column(2).to_pylist():  # sorted: equal words follow each other
-                if w != last:
-                    last, ids = w, np.array(enc.encode_ordinary(bytes(w).decode("utf-8", "replace")), "<u4").tobytes()
-                out.append(ids)
-            yield pa.record_batch({"block": b.column(0), "code": b.column(1), "ids": pa.array(out, pa.binary())})
-
-    coded = (docs.mapInArrow(_word_rows, "block long, code int, word binary")
-             .repartition("word").sortWithinPartitions("word")
-             .mapInArrow(encode_words, "block long, code int, ids binary"))
-    seqs = docs.mapInArrow(_code_rows, "block long, n_words int, doc_ids array<long>, begin array<long>, codes binary")
+        known: dict[bytes, list[int]] = {}
+        now = None
+        for b in batches:  # sorted by bucket: equal words meet in one task, one bucket after the other
+            for block, bucket, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if bucket != now or len(known) > CACHE_WORDS:
+                    now, known = bucket, {}
+                ids, lens = [], []
+                for w in B.unpack_items(packed):
+                    got = known.get(w)
+                    if got is None:
+                        got = known[w] = enc.encode_ordinary(w.decode("utf-8", "replace"))
+                    ids += got
+                    lens.append(len(got))
+                yield pa.record_batch({"block": pa.array([block], pa.int64()), "bucket": pa.array([bucket], pa.int32()),
+                                       "ids": pa.array([B.pack_codes(np.array(ids, np.int64))], pa.binary()),
+                                       "lens": pa.array([B.pack_codes(np.array(lens, np.int64))], pa.binary())})
+
+    coded = (docs.mapInArrow(_word_rows, "block long, bucket int, words binary")
+             .repartition("bucket").sortWithinPartitions("bucket")
+             .mapInArrow(encode_words, "block long, bucket int, ids binary, lens binary"))
+    seqs = docs.mapInArrow(_code_rows, "block long, doc_ids array<long>, begin array<long>, codes binary, in_order binary, bucket_at array<long>")
     return seqs.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_reassemble, "doc_id long, ids binary")
 
 
 def _reassemble(seq: pa.Table, words: pa.Table) -> pa.Table:
-    if seq.num_rows != 1 or words.num_rows != seq["n_words"][0].as_py():
-        raise RuntimeError("a block and its dictionary do not match: the input's rows changed between two reads")
-    words = words.combine_chunks()
-    col = words["ids"].cast(pa.large_binary())
-    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    code = words["code"].to_numpy()
-    n = len(code)
+    """The ids of a block's texts by position, from its codes and its buckets' ids."""
+    changed = RuntimeError("a block and its dictionary do not match: the input's rows changed between two reads")
+    if seq.num_rows != 1:
+        raise changed
+    order = B.unpack_codes(seq["in_order"][0].as_py())
+    at = np.array(seq["bucket_at"][0].as_py(), np.int64)
+    words = words.sort_by("bucket")
+    if not np.array_equal(words["bucket"].to_numpy(), np.flatnonzero(np.diff(at))):
+        raise changed
+    ids = [B.unpack_codes(x).astype("<u4") for x in words["ids"].to_pylist()]
+    lens = [B.unpack_codes(x) for x in words["lens"].to_pylist()]
     doc_ids, begin = seq["doc_ids"][0].as_py(), np.array(seq["begin"][0].as_py(), np.int64)
-    if n:
-        offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset: col.offset + n + 1] // 4
-        flat = np.frombuffer(col.buffers()[2], "<u4")
-        starts, lens = np.empty(n, np.int64), np.empty(n, np.int64)
-        starts[code], lens[code] = offs[:-1], np.diff(offs)
-        codes = B.unpack_codes(seq["codes"][0].as_py())
-        outs, ats, base = [], [np.zeros(1, np.int64)], 0
-        step = 500_000
-        for lo in range(0, len(codes), step):
-            got, at = B.gather(flat, starts, lens, codes[lo: lo + step])
-            outs.append(got)
-            ats.append(at[1:] + base)
-            base += at[-1]
-        at = np.concatenate(ats)[begin]
-        ids = np.concatenate(outs)
-    else:
-        at, ids = np.zeros(len(begin), np.int64), np.zeros(0, "<u4")
-    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": B.binary_column(ids, at)})
+    del words
+    if not len(order):
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": B.binary_column(np.zeros(0, "<u4"), np.zeros(len(begin), np.int64))})
+    n = np.concatenate(lens)
+    if len(n) != len(order):
+        raise changed
+    flat = np.concatenate(ids)
+    starts, size = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    size[order] = n
+    starts[order] = np.cumsum(n) - n
+    codes = B.unpack_codes(seq["codes"][0].as_py())
+    outs, ats, base = [], [np.zeros(1, np.int64)], 0
+    for lo in range(0, len(codes), 250_000):
+        got, a = B.gather(flat, starts, size, codes[lo: lo + 250_000])
+        outs.append(got)
+        ats.append(a[1:] + base)
+        base += a[-1]
+    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": B.binary_column(np.concatenate(outs), np.concatenate(ats)[begin])})
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

@@ -63,3 +63,9 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+@query
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tavola.llm import ngram_join
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
