@@ -69,3 +69,9 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tavola.llm import ngram_join
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+@query
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tavola.llm import html_text
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
