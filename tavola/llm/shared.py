@@ -41,6 +41,8 @@ def crc_mod(key: str, mod: int):
 
 
 _SHIPPED: set[str] = set()
+#: Texts reach Python in small batches, so a worker's memory does not depend on their number.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def ship_package(spark) -> None:
@@ -49,6 +51,8 @@ def ship_package(spark) -> None:
     import os
     import tempfile
     import zipfile
+    for k, v in ARROW.items():
+        spark.conf.set(k, v)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
