@@ -75,3 +75,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tavola.llm import html_text
     return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tavola.llm import pii
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+                        F.sha2(pii.listed({k: F.col(k) for k in pii.KINDS}), 256).alias("base_sha256"), pii.listed(pii.all_spans()).alias("spans"))
