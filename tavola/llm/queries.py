@@ -83,3 +83,9 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS],
                         F.sha2(pii.listed({k: F.col(k) for k in pii.KINDS}), 256).alias("base_sha256"), pii.listed(pii.all_spans()).alias("spans"))
+
+
+@query
+def op4_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tavola.llm import vector_graph
+    return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
