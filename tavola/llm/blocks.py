@@ -17,7 +17,7 @@ import pyarrow as pa
 
 from tavola.llm import textkernel as K
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 CODEC = "zstd"
 
 

@@ -30,7 +30,8 @@ from tavola.llm.shared import written
 CAPACITY = 2048
 UNIT = 4
 #: Words whose ids a worker keeps at hand; beyond it they are encoded anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
+BLOCK_BYTES = 3 << 20
 
 PIECE = "doc_id long, doc_tokens long, start long, length long, ids binary"
 _worker: dict = {}
@@ -56,9 +57,9 @@ def _word_ids(words: list[bytes], config: str) -> tuple[np.ndarray, np.ndarray]:
     for lo in range(0, len(new), 10_000):
         part = new[lo: lo + 10_000]
         for w, e in zip(part, tok.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4")
+            known[w] = np.array(e.ids, "<u4").tobytes()
     got = [known[w] for w in words]
-    return np.concatenate(got) if got else np.zeros(0, "<u4"), np.array([len(g) for g in got], np.int64)
+    return np.frombuffer(b"".join(got), "<u4"), np.array([len(g) // 4 for g in got], np.int64)
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
@@ -70,7 +71,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in B.blocks(batches, "text", "pretokens"):
+        for b in B.blocks(batches, "text", "pretokens", BLOCK_BYTES):
             flat, lens = _word_ids(b.words, shared.value)
             starts = np.cumsum(lens) - lens
             doc = b.rows["doc_id"].combine_chunks()

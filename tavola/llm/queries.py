@@ -89,3 +89,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tavola.llm import vector_graph
     return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tavola.llm import license_scan
+    shown = F.transform("licenses", lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"), m["end"].cast("string")))
+    return license_scan.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(F.array_sort(F.array_distinct("licenses.license")), ",").alias("licenses"),
+        F.coalesce(F.array_max("licenses.coverage"), F.lit(0.0)).alias("coverage"), F.array_join(shown, ",").alias("spans"))
