@@ -98,3 +98,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).select(
         "doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(F.array_sort(F.array_distinct("licenses.license")), ",").alias("licenses"),
         F.coalesce(F.array_max("licenses.coverage"), F.lit(0.0)).alias("coverage"), F.array_join(shown, ",").alias("spans"))
+
+
+@query
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tavola.llm import language_model
+    from tavola.llm.shared import crc_mod
+    return language_model.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2)
