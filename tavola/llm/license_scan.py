@@ -8,7 +8,7 @@ There, the window of the text is aligned with the template: words unique to
 both are anchors, the longest increasing subsequence of them is kept, and the
 gaps between are aligned the same way; in small gaps without anchors the
 longest common subsequence decides.  A template matches where the aligned
-words cover at least ``coverage`` of it (a short one also needs the words that
+words cover at least ``coverage`` of it and of their span in the text (a short one also needs the words that
 only it has among the short ones); of overlapping matches the one with
 more aligned words holds.
 
@@ -190,7 +190,8 @@ class Scanner:
                 lo, hi = max(int(w.rows[row]), done, p - len(ws)), min(int(w.rows[row + 1]), p + span)
                 text = [w.text(k) for k in range(lo, hi)]
                 pairs = patience(text, ws)
-                if len(pairs) >= self.coverage * len(ws) and self.key[t] <= {ws[j] for _, j in pairs}:
+                dense = pairs and len(pairs) >= self.coverage * (pairs[-1][0] - pairs[0][0] + 1)
+                if dense and len(pairs) >= self.coverage * len(ws) and self.key[t] <= {ws[j] for _, j in pairs}:
                     a, z = lo + pairs[0][0], lo + pairs[-1][0]
                     yield row, self.names[t], len(pairs) / len(ws), int(w.starts[a]), int(w.ends[z]), len(pairs)
                     done = z + 1
