@@ -1,23 +1,26 @@
-"""Exact quantiles of a column with unbounded distinct values.
+"""Exact quantiles of columns with any number of distinct values.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
-buffer that is merged in a single task.  For a whole-column quantile over
-billions of distinct doubles that buffer does not fit, and
-``percentile_approx`` is not exact.  This module finds the exact order
-statistics by *histogram refinement*:
-
-1. one aggregate gives ``n``, ``min`` and ``max``;
-2. each pass bins the rows inside the current interval of every wanted rank
-   into ``buckets`` equal-width bins (``groupBy(interval, bin).count`` with
-   map-side partial aggregation, so a hot value costs nothing extra), brings
-   the at most ``intervals x buckets`` counts to the driver and narrows every
-   interval to the bin that holds its rank (using the bin's true min/max);
-3. once an interval holds a single value, or few enough rows, the remaining
-   values are counted per distinct value and the rank is read off.
-
-The driver only ever sees bin counts and one small final bracket, never the
-data.  Interpolation between the two neighbouring order statistics is
-linear, as numpy / Spark ``percentile`` / DuckDB ``quantile_cont``.
+buffer that one task merges; over billions of doubles that buffer does not
+fit, and ``percentile_approx`` is not exact.
+
+*Whole columns* (``exact_quantiles``) are narrowed by rank: each pass takes
+splitters out of the interval that holds a wanted rank (approximate
+percentiles, so actual values), counts the rows below, at and between them
+exactly, and goes on with the one gap or value that holds the rank.  A pass
+divides the rows left by about the number of splitters whatever the values
+are, so infinities and heavy duplicates need no special care and the loop
+ends without a limit on passes.  The driver sees splitters, counts and, at
+the end, the at most ``final_rows`` values left in an interval.
+
+*Groups* (``exact_group_quantiles``) are counted per (group, value); running
+counts come from range-partitioned ``prefix_sums`` and the order statistics
+are the values whose running-count interval holds the ranks.  Nothing goes
+to the driver and no task holds a group.
+
+Nulls and NaN are left out; infinities are ordinary values.  Interpolation
+between neighbouring order statistics is linear, as numpy, Spark
+``percentile`` and DuckDB ``quantile_cont``.
 """
 
 from __future__ import annotations
@@ -26,244 +29,121 @@ import math
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 
-def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], buckets: int = 4096,
-                    final_rows: int = 100_000, max_passes: int = 64) -> list[float | None]:
+def number(column: Column) -> Column:
+    """The column as double, NaN as null."""
+    x = column.cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def _between(lo: float | None, hi: float | None) -> Column:
     x = F.col("x")
-    vals = (df.select(F.col(column).cast("double").alias("x"))
-            .where(x.isNotNull() & ~F.isnan(x))
-            .persist(StorageLevel.MEMORY_AND_DISK))
+    cond = F.lit(True)
+    if lo is not None:
+        cond &= x > F.lit(lo)
+    if hi is not None:
+        cond &= x < F.lit(hi)
+    return cond
+
+
+def _interpolate(v0: float, v1: float, frac: float) -> float:
+    return v0 if v0 == v1 or frac == 0 else v0 + (v1 - v0) * frac
+
+
+def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], splitters: int = 64,
+                    final_rows: int = 100_000) -> list[float | None]:
+    vals = df.select(number(F.col(column)).alias("x")).where("x is not null").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        row = vals.agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-        n = int(row["n"])
+        n = vals.count()
         if n == 0:
             return [None for _ in probs]
-        # rank -> [lo, hi, below]: the rank-th smallest value lies in [lo, hi]
-        # and exactly `below` values are smaller than lo.
-        wanted: dict[int, list] = {}
         plan = []
         for p in probs:
             pos = float(p) * (n - 1)
             r0 = int(math.floor(pos))
-            r1 = min(r0 + 1, n - 1)
-            plan.append((r0, r1, pos - r0))
-            for r in (r0, r1):
-                wanted.setdefault(r, [float(row["lo"]), float(row["hi"]), 0])
+            plan.append((r0, min(r0 + 1, n - 1), pos - r0))
+        # rank -> open interval that holds it, rows below the interval, rows in it
+        state: dict[int, tuple] = {r: (None, None, 0, n) for r0, r1, _ in plan for r in (r0, r1)}
         found: dict[int, float] = {}
-        for _ in range(max_passes):
-            active = {r: s for r, s in wanted.items() if r not in found}
-            for r, (lo, hi, _b) in list(active.items()):
-                if lo == hi:
-                    found[r] = lo
-                    del active[r]
-            if not active:
-                break
-            intervals = sorted({(s[0], s[1]) for s in active.values()})
-            _refine(vals, active, intervals, buckets)
-            small = {r: s for r, s in active.items() if s[3] <= final_rows and s[0] != s[1]}
-            for r, s in active.items():
-                del s[3:]
-            if small:
-                _finish(vals, small, found)
-        for r, s in wanted.items():
-            if r not in found and s[0] == s[1]:
-                found[r] = s[0]
-        missing = [r for r in wanted if r not in found]
-        if missing:  # pathological spreads: finish whatever is left exactly
-            _finish(vals, {r: wanted[r] for r in missing}, found)
-        out = []
-        for r0, r1, frac in plan:
-            a, b = found[r0], found[r1]
-            out.append(a if frac == 0 or a == b else a + (b - a) * frac)
-        return out
-    finally:
-        vals.unpersist()
-
-
-def _refine(vals: DataFrame, active: dict, intervals: list, buckets: int) -> None:
-    x = F.col("x")
-    tags = []
-    for i, (lo, hi) in enumerate(intervals):
-        width = hi - lo
-        b = F.least(F.floor((x - F.lit(lo)) / F.lit(width) * F.lit(float(buckets))), F.lit(buckets - 1))
-        tags.append(F.when((x >= F.lit(lo)) & (x <= F.lit(hi)),
-                           F.struct(F.lit(i).alias("i"), b.cast("int").alias("b"))))
-    inside = None
-    for lo, hi in intervals:
-        cond = (x >= F.lit(lo)) & (x <= F.lit(hi))
-        inside = cond if inside is None else (inside | cond)
-    hist = (vals.where(inside)
-            .select("x", F.explode(F.filter(F.array(*tags), lambda t: t.isNotNull())).alias("t"))
-            .groupBy("t.i", "t.b")
-            .agg(F.count("*").alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx"))
-            .collect())
-    by_interval: dict[int, list] = {}
-    for h in hist:
-        by_interval.setdefault(h["i"], []).append((h["b"], h["c"], h["mn"], h["mx"]))
-    for bins in by_interval.values():
-        bins.sort()
-    index = {iv: i for i, iv in enumerate(intervals)}
-    for r, s in active.items():
-        lo, hi, below = s
-        acc = below
-        for _b, c, mn, mx in by_interval[index[(lo, hi)]]:
-            if r < acc + c:
-                s[0], s[1], s[2] = float(mn), float(mx), acc
-                s.append(c)
-                break
-            acc += c
-
-
-def _finish(vals: DataFrame, states: dict, found: dict) -> None:
-    x = F.col("x")
-    for r, s in states.items():
-        lo, hi, below = s[0], s[1], s[2]
-        rows = (vals.where((x >= F.lit(lo)) & (x <= F.lit(hi)))
-                .groupBy("x").count().orderBy("x").collect())
-        acc = below
-        for row in rows:
-            if r < acc + row["count"]:
-                found[r] = float(row["x"])
-                break
-            acc += row["count"]
-
-
-def exact_group_quantiles(df: DataFrame, group_cols: Sequence[str], column: str, probs: Sequence[float],
-                          buckets: int = 1024, final_rows: int = 20_000, max_passes: int = 64,
-                          ) -> list[tuple[tuple, list[float | None]]]:
-    """Exact quantiles per group by the same histogram refinement, for a
-    bounded number of groups whose value sets are too large for one
-    ``percentile`` buffer.
-
-    The per-(group, interval) state is a small table broadcast to the rows
-    (a broadcast hash join streams the big side, so a hot group costs no
-    shuffle); bin counts per interval are combined map-side.  Returns
-    [(group key tuple, [quantile per prob])]."""
-    group_cols = list(group_cols)
-    spark = df.sparkSession
-    x = F.col("x")
-    vals = (df.select(*group_cols, F.col(column).cast("double").alias("x"))
-            .where(x.isNotNull() & ~F.isnan(x))
-            .persist(StorageLevel.MEMORY_AND_DISK))
-    try:
-        stats = vals.groupBy(*group_cols).agg(F.count("x").alias("n"), F.min("x").alias("lo"),
-                                               F.max("x").alias("hi")).collect()
-        schema = vals.select(*group_cols).schema
-        wanted: dict[tuple, dict[int, list]] = {}
-        plans: dict[tuple, list] = {}
-        for s in stats:
-            g = tuple(s[c] for c in group_cols)
-            n = int(s["n"])
-            plans[g] = []
-            wanted[g] = {}
-            for p in probs:
-                pos = float(p) * (n - 1)
-                r0 = int(math.floor(pos))
-                r1 = min(r0 + 1, n - 1)
-                plans[g].append((r0, r1, pos - r0))
-                for r in (r0, r1):
-                    wanted[g].setdefault(r, [float(s["lo"]), float(s["hi"]), 0])
-        found: dict[tuple, dict[int, float]] = {g: {} for g in wanted}
-
-        def intervals_df(items):
-            rows = [(*g, i, lo, hi) for i, (g, lo, hi) in enumerate(items)]
-            fields = list(schema.fields) + [StructField("_iv", IntegerType()), StructField("_lo", DoubleType()),
-                                            StructField("_hi", DoubleType())]
-            return F.broadcast(spark.createDataFrame(rows, StructType(fields)))
-
-        def joined(items):
-            st = intervals_df(items)
-            cond = [vals[c].eqNullSafe(st[c]) for c in group_cols] + [vals["x"] >= st["_lo"], vals["x"] <= st["_hi"]]
-            return vals.join(st, on=cond, how="inner")
-
-        for _ in range(max_passes):
-            active = []
-            for g, ranks in wanted.items():
-                for r, st in ranks.items():
-                    if r in found[g]:
-                        continue
-                    if st[0] == st[1]:
-                        found[g][r] = st[0]
-                    else:
-                        active.append((g, r, st))
-            if not active:
-                break
-            items = sorted({(g, st[0], st[1]) for g, _r, st in active}, key=repr)
-            index = {it: i for i, it in enumerate(items)}
-            j = joined(items)
-            width = F.col("_hi") - F.col("_lo")
-            b = F.least(F.floor((F.col("x") - F.col("_lo")) / width * F.lit(float(buckets))), F.lit(buckets - 1))
-            hist = (j.select("_iv", b.cast("int").alias("b"), "x").groupBy("_iv", "b")
-                    .agg(F.count("*").alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx")).collect())
-            by_iv: dict[int, list] = {}
-            for h in hist:
-                by_iv.setdefault(h["_iv"], []).append((h["b"], h["c"], h["mn"], h["mx"]))
-            for v in by_iv.values():
-                v.sort()
-            small = []
-            for g, r, st in active:
-                acc = st[2]
-                for _b, c, mn, mx in by_iv[index[(g, st[0], st[1])]]:
-                    if r < acc + c:
-                        st[0], st[1], st[2] = float(mn), float(mx), acc
-                        if c <= final_rows and mn != mx:
-                            small.append((g, r, st))
+        while state:
+            small = sorted({s[:2] for s in state.values() if s[3] <= final_rows}, key=str)
+            large = sorted({s[:2] for s in state.values() if s[3] > final_rows}, key=str)
+            counts = _values(vals, small) | _bins(vals, large, splitters)
+            nxt = {}
+            for r, (lo, hi, below, _) in state.items():
+                for value, gap, k in counts[(lo, hi)]:  # ascending; value None: the open gap
+                    if r < below + k:
+                        if value is not None:
+                            found[r] = value
+                        else:
+                            nxt[r] = (*gap, below, k)
                         break
-                    acc += c
-            if small:
-                items = sorted({(g, st[0], st[1]) for g, _r, st in small}, key=repr)
-                index = {it: i for i, it in enumerate(items)}
-                rows = (joined(items).groupBy("_iv", "x").count().collect())
-                per: dict[int, list] = {}
-                for rw in rows:
-                    per.setdefault(rw["_iv"], []).append((rw["x"], rw["count"]))
-                for g, r, st in small:
-                    acc = st[2]
-                    for v, c in sorted(per[index[(g, st[0], st[1])]]):
-                        if r < acc + c:
-                            found[g][r] = float(v)
-                            break
-                        acc += c
-        out = []
-        for g, plan in plans.items():
-            qs = []
-            for r0, r1, frac in plan:
-                a, b2 = found[g].get(r0), found[g].get(r1)
-                qs.append(a if frac == 0 or a == b2 else a + (b2 - a) * frac)
-            out.append((g, qs))
-        return out
+                    below += k
+            state = nxt
+        return [_interpolate(found[r0], found[r1], frac) for r0, r1, frac in plan]
     finally:
         vals.unpersist()
 
 
-def exact_group_medians(df: DataFrame, group_cols: Sequence[str], column: str, out: str = "median") -> DataFrame:
-    """Exact (linear) median per group for any number of groups and any
-    value domain, with every task bounded.
-
-    (group, value) pairs are counted first (map-side combine), their running
-    counts in value order come from range-partitioned ``prefix_sums``, and
-    the two middle order statistics of each group are the values whose
-    running-count interval holds ranks floor((n-1)/2) and ceil((n-1)/2).
-    One lazy DataFrame (group cols..., ``out``) is returned."""
+def _values(vals: DataFrame, intervals: list) -> dict:
+    """(value, None, rows) of every distinct value of small intervals."""
+    if not intervals:
+        return {}
+    marked = [vals.where(_between(*iv)).withColumn("id", F.lit(i)) for i, iv in enumerate(intervals)]
+    rows = marked[0]
+    for m in marked[1:]:
+        rows = rows.union(m)
+    out: dict = {iv: [] for iv in intervals}
+    for r in sorted(rows.groupBy("id", "x").agg(F.count("*").alias("k")).collect(), key=lambda r: r["x"]):
+        out[intervals[r["id"]]].append((r["x"], None, r["k"]))
+    return out
+
+
+def _bins(vals: DataFrame, intervals: list, splitters: int) -> dict:
+    """(splitter, None, rows at it) and (None, gap, rows between) of large intervals."""
+    if not intervals:
+        return {}
+    ps = F.array(*[F.lit((i + 1) / (splitters + 1)) for i in range(splitters)])
+    got = vals.agg(*[F.percentile_approx(F.when(_between(*iv), F.col("x")), ps, 20 * splitters).alias(f"s{i}") for i, iv in enumerate(intervals)]).first()
+    out = {}
+    for i, (lo, hi) in enumerate(intervals):
+        cuts = sorted(set(got[f"s{i}"]))
+        x = F.col("x")
+        # even: the gap before cut k / 2, odd: the cut itself
+        at = sum(((x >= F.lit(c)).cast("int") + (x > F.lit(c)).cast("int") for c in cuts), F.lit(0))
+        rows = dict(vals.where(_between(lo, hi)).groupBy(at.alias("k")).count().collect())
+        edges = [lo, *cuts, hi]
+        out[(lo, hi)] = [(cuts[k // 2], None, rows[k]) if k % 2 else (None, (edges[k // 2], edges[k // 2 + 1]), rows[k])
+                         for k in range(2 * len(cuts) + 1) if k in rows]
+    return out
+
+
+def exact_group_quantiles(df: DataFrame, group_cols: Sequence[str], column: str, probs: Sequence[float], out: str = "q") -> DataFrame:
+    """(group cols..., ``out`` array<double>): exact linear quantiles per group,
+    for any number of groups and any values."""
     from tavola.functions.windows import prefix_sums
 
     group_cols = list(group_cols)
-    x = F.col(column).cast("double")
-    vc = (df.select(*group_cols, x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    vc = (df.select(*group_cols, number(F.col(column)).alias("_x")).where("_x is not null")
           .groupBy(*group_cols, "_x").agg(F.count("*").alias("_c")))
     ps = prefix_sums(vc, group_cols, "_x", ["_c"], descending=False)
-    n = vc.groupBy(*group_cols).agg(F.sum("_c").alias("_n"))
-    j = ps.join(n, on=group_cols)
-    r0 = F.floor((F.col("_n") - 1) / 2)
-    r1 = F.least(r0 + 1, F.col("_n") - 1)
+    n = ps.groupBy(*group_cols).agg(F.sum("_c").alias("_n"))
+    j = ps.join(n.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group_cols)], "_n"),
+                on=[F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group_cols)])
     lo = F.col("cum__c") - F.col("_c")
-    holds = lambda r: (lo <= r) & (r < F.col("cum__c"))
-    g = j.groupBy(*group_cols).agg(F.max(F.when(holds(r0), F.col("_x"))).alias("_v0"),
-                                   F.max(F.when(holds(r1), F.col("_x"))).alias("_v1"),
-                                   F.max("_n").alias("_n"))
-    frac = (F.col("_n") - 1) / 2 - F.floor((F.col("_n") - 1) / 2)
-    return g.select(*group_cols, (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * frac).alias(out))
+    aggs, cols = [F.max("_n").alias("_n")], []
+    for i, p in enumerate(probs):
+        pos = (F.col("_n") - 1) * F.lit(float(p))
+        for k, r in enumerate((F.floor(pos), F.least(F.floor(pos) + 1, F.col("_n") - 1))):
+            aggs.append(F.max(F.when((lo <= r) & (r < F.col("cum__c")), F.col("_x"))).alias(f"_v{i}_{k}"))
+        a, b = F.col(f"_v{i}_0"), F.col(f"_v{i}_1")
+        cols.append(F.when((a == b) | (pos == F.floor(pos)), a).otherwise(a + (b - a) * (pos - F.floor(pos))))
+    return j.groupBy(*group_cols).agg(*aggs).select(*group_cols, F.array(*cols).alias(out))
+
+
+def exact_group_medians(df: DataFrame, group_cols: Sequence[str], column: str, out: str = "median") -> DataFrame:
+    """Exact (linear) median per group."""
+    return exact_group_quantiles(df, group_cols, column, [0.5], out).withColumn(out, F.col(out)[0])

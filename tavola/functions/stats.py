@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tavola.functions.distributed_quantile import exact_quantiles
+from tavola.functions.distributed_quantile import exact_group_medians, exact_group_quantiles, exact_quantiles, number
 
 
 def scalar_stats(df: DataFrame, **aggs: Column) -> Column:
@@ -59,16 +59,16 @@ def quantiles(df: DataFrame, column: str, probs: Sequence[float],
                        distinct value, fine for bounded value domains
                        (ratings, rounded prices, small tables).
       ``distributed``  exact as well, for columns with unbounded distinct
-                       values: histogram refinement over the full data
-                       (several scans, nothing large on the driver), result
-                       inlined as literals.
+                       values: narrowing by rank over the full data (several
+                       scans, nothing large on the driver), result inlined as
+                       literals.
       ``approx``       ``percentile_approx`` (bounded memory, rank error
                        ~ n/accuracy).
     Element ``i`` of the array is the quantile for ``probs[i]``; nulls are
     skipped.
     """
     probs = [float(p) for p in probs]
-    c = F.col(column).cast("double")
+    c = number(F.col(column))
     if method == "auto":
         method = choose_methods(df, [column])[column]
     if method == "exact":
@@ -83,43 +83,31 @@ def quantiles(df: DataFrame, column: str, probs: Sequence[float],
     return df.agg(agg.alias("q")).scalar()
 
 
-GROUP_LIMIT = 10_000
-
-
 def quantiles_by_group(df: DataFrame, group_cols: Sequence[str], column: str, probs: Sequence[float],
                        method: str = "auto") -> DataFrame:
     """Exact linear quantiles per group: (group cols..., q array<double>).
 
     ``auto`` checks the largest per-group distinct count (HyperLogLog): within
-    the limit, one ``percentile`` aggregate per group; above it, and for at
-    most ``GROUP_LIMIT`` groups, the distributed refinement
-    (``exact_group_quantiles``), whose small result becomes a DataFrame.
+    the limit, one ``percentile`` aggregate per group; above it running counts
+    per (group, value) (``exact_group_quantiles``), for any number of groups.
     """
-    from tavola.functions.distributed_quantile import exact_group_quantiles
-
     group_cols = list(group_cols)
     probs = [float(p) for p in probs]
     if method == "auto":
-        st = (df.groupBy(*group_cols).agg(F.approx_count_distinct(F.col(column), 0.05).alias("d"))
-              .agg(F.max("d").alias("d"), F.count("*").alias("g")).first())
-        big = (st["d"] or 0) > exact_distinct_limit(df)
-        method = "distributed" if big and st["g"] <= GROUP_LIMIT else "exact"
+        d = (df.groupBy(*group_cols).agg(F.approx_count_distinct(F.col(column), 0.05).alias("d"))
+             .agg(F.max("d").alias("d")).first())["d"]
+        method = "distributed" if (d or 0) > exact_distinct_limit(df) else "exact"
     if method == "exact":
         return df.groupBy(*group_cols).agg(
-            F.percentile(F.col(column).cast("double"), F.array(*[F.lit(p) for p in probs])).alias("q"))
-    res = exact_group_quantiles(df, group_cols, column, probs)
-    from pyspark.sql.types import ArrayType, DoubleType
-    schema = df.select(*group_cols).schema.add("q", ArrayType(DoubleType()))
-    return df.sparkSession.createDataFrame([(*g, q) for g, q in res], schema)
+            F.percentile(number(F.col(column)), F.array(*[F.lit(p) for p in probs])).alias("q"))
+    return exact_group_quantiles(df, group_cols, column, probs)
 
 
 def quantile_struct(df: DataFrame, columns: Sequence[str], probs: Sequence[float], method: str = "auto") -> Column:
     """Struct column with field ``q<i>`` = array of the exact quantiles of
     ``columns[i]``.  Columns within the checked distinct limit share one
-    ``percentile`` scalar subquery; larger ones are computed by the
-    distributed refinement and inlined as literals."""
-    from tavola.functions.distributed_quantile import exact_quantiles
-
+    ``percentile`` scalar subquery; larger ones are narrowed by rank and
+    inlined as literals."""
     columns = list(columns)
     probs = [float(p) for p in probs]
     methods = choose_methods(df, columns) if method == "auto" else {c: method for c in columns}
@@ -127,7 +115,7 @@ def quantile_struct(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     exact = [(i, c) for i, c in enumerate(columns) if methods[c] == "exact"]
     sub = None
     if exact:
-        sub = df.agg(F.struct(*[F.percentile(F.col(f"`{c}`").cast("double"), arr).alias(f"q{i}")
+        sub = df.agg(F.struct(*[F.percentile(number(F.col(f"`{c}`")), arr).alias(f"q{i}")
                                 for i, c in exact]).alias("s")).scalar()
     fields = []
     for i, c in enumerate(columns):
@@ -144,24 +132,20 @@ def medians_by_group(df: DataFrame, group_cols: Sequence[str], columns: Sequence
     """Exact medians of several columns per group, one row per group.
 
     One HyperLogLog job sizes every (group, column) value set; the columns
-    within the limit share one grouped ``percentile`` aggregate, the others
-    (only when the groups are few) use the distributed refinement."""
-    from tavola.functions.distributed_quantile import exact_group_quantiles
-
+    within the limit share one grouped ``percentile`` aggregate, the others use
+    running counts per (group, value)."""
     group_cols, columns = list(group_cols), list(columns)
     st = (df.groupBy(*group_cols).agg(*[F.approx_count_distinct(F.col(f"`{c}`"), 0.05).alias(f"d{i}")
                                         for i, c in enumerate(columns)])
-          .agg(F.count("*").alias("_g"), *[F.max(f"d{i}").alias(f"d{i}") for i in range(len(columns))]).first())
+          .agg(*[F.max(f"d{i}").alias(f"d{i}") for i in range(len(columns))]).first())
     limit = exact_distinct_limit(df)
-    big = [c for i, c in enumerate(columns) if (st[f"d{i}"] or 0) > limit and st["_g"] <= GROUP_LIMIT]
+    big = [c for i, c in enumerate(columns) if (st[f"d{i}"] or 0) > limit]
     small = [c for c in columns if c not in big]
     out = None
     if small:
-        out = df.groupBy(*group_cols).agg(*[F.percentile(F.col(f"`{c}`").cast("double"), F.lit(0.5)).alias(f"{prefix}{c}")
+        out = df.groupBy(*group_cols).agg(*[F.percentile(number(F.col(f"`{c}`")), F.lit(0.5)).alias(f"{prefix}{c}")
                                             for c in small])
     for c in big:
-        res = exact_group_quantiles(df, group_cols, c, [0.5])
-        schema = df.select(*group_cols).schema.add(f"{prefix}{c}", "double")
-        m = df.sparkSession.createDataFrame([(*g, q[0]) for g, q in res], schema)
+        m = exact_group_medians(df, group_cols, c, f"{prefix}{c}")
         out = m if out is None else out.join(m, on=group_cols, how="full")
     return out

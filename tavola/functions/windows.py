@@ -55,13 +55,14 @@ def global_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[s
     group_cols, order_cols = list(group_cols), list(order_cols)
     if num_partitions is None:
         num_partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions") or 200)
-    mid = F.monotonically_increasing_id()
     part = (df.repartitionByRange(num_partitions, *group_cols, *order_cols)
             .sortWithinPartitions(*group_cols, *order_cols)
-            .withColumn("_mid", mid)
-            .withColumn("_pid", F.shiftright(F.col("_mid"), 33))
-            .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
+            .withColumn("_pid", F.spark_partition_id())
+            .withColumn("_mid", F.monotonically_increasing_id())
             .checkpoint(eager=True))
+    # the ids rise within a partition: the position is the distance from its first
+    start = part.groupBy("_pid").agg(F.min("_mid").alias("_start"))
+    part = part.join(start, "_pid").withColumn("_pos", F.col("_mid") - F.col("_start")).drop("_start")
     # Partition-level summary: bounded by the number of partitions.
     summ = (part.groupBy("_pid", *group_cols)
             .agg(F.min("_pos").alias("_first"), F.count("*").alias("_cnt")))
@@ -99,5 +100,8 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], order_col: str, sum_co
     ow = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select("_pid", *group_cols, *[F.coalesce(F.sum(f"_t_{c}").over(ow), F.lit(0)).alias(f"_o_{c}")
                                             for c in sum_cols])
-    out = local.join(off, on=["_pid", *group_cols])
+    side = off.select(F.col("_pid").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group_cols)],
+                      *[f"_o_{c}" for c in sum_cols])
+    same = [F.col("_pid") == F.col("_p"), *[F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group_cols)]]
+    out = local.join(side, on=same)  # a null group is a group
     return out.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(f"{prefix}{c}") for c in sum_cols])

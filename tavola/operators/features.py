@@ -206,8 +206,7 @@ def impute_median(df: DataFrame, cols: Sequence[str], method: str = "auto") -> D
     """null -> exact median of the column.  Columns within the checked
     distinct-value limit share one ``percentile`` aggregate; larger ones use
     the distributed exact quantile."""
-    from tavola.functions.distributed_quantile import exact_quantiles
-
+    from tavola.functions.distributed_quantile import exact_quantiles, number
     from tavola.functions.stats import exact_distinct_limit
 
     cols = present(df, cols)
@@ -229,7 +228,7 @@ def impute_median(df: DataFrame, cols: Sequence[str], method: str = "auto") -> D
         if methods[c] == "distributed":
             fields.append(F.lit(exact_quantiles(df, c, [0.5])[0]).cast("double").alias(f"m{i}"))
         else:
-            fields.append(F.percentile(F.col(q(c)).cast("double"), F.lit(0.5)).alias(f"m{i}"))
+            fields.append(F.percentile(number(F.col(q(c))), F.lit(0.5)).alias(f"m{i}"))
     med = df.agg(F.struct(*fields).alias("s")).scalar()
     out = df.withColumn("_med", med)
     out = out.withColumns({c: F.coalesce(F.col(q(c)), F.col(f"_med.m{i}").cast(dict(df.dtypes)[c]))

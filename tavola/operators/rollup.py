@@ -37,7 +37,7 @@ def rollup_entities(items: DataFrame, keys: Sequence[str] = ENTITY_KEYS, price:
     the medians come from ``exact_group_medians`` (range-partitioned running
     counts) and are joined on the key instead.
     """
-    from tavola.functions.distributed_quantile import exact_group_medians
+    from tavola.functions.distributed_quantile import exact_group_medians, number
     from tavola.functions.stats import choose_methods
 
     keys = list(keys)
@@ -46,7 +46,7 @@ def rollup_entities(items: DataFrame, keys: Sequence[str] = ENTITY_KEYS, price:
     if median_method == "auto":
         median_method = choose_methods(base, [rating])[rating]
     if median_method == "exact":
-        median = r2(F.percentile(F.col(rating), F.lit(0.5))).alias("median_rating")
+        median = r2(F.percentile(number(F.col(rating)), F.lit(0.5))).alias("median_rating")
     else:
         median = F.lit(None).cast("double").alias("median_rating")
     g = (base

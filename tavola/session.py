@@ -58,8 +58,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        path = tempfile.mkdtemp(prefix="tavola-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        # a static setting cannot be changed now; the context remembers the folder
+        path = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="tavola-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path

@@ -99,7 +99,7 @@ def test_exact_quantiles_match_numpy(spark, probs):
     rng = np.random.default_rng(1)
     vals = np.concatenate([rng.lognormal(3, 2, 3000), np.full(1500, 7.0), [1e9, -5.0]])
     df = spark.createDataFrame([(float(v),) for v in vals] + [(None,)], "x double")
-    got = exact_quantiles(df, "x", probs, buckets=16, final_rows=50)
+    got = exact_quantiles(df, "x", probs, splitters=5, final_rows=50)
     assert got == pytest.approx(list(np.percentile(vals, [p * 100 for p in probs])), rel=1e-12)
 
 
@@ -180,7 +180,7 @@ def test_exact_group_quantiles_match_numpy(spark):
     rows = [("hot", float(v)) for v in rng.lognormal(2, 1.5, 4000)] + [("cold", float(v)) for v in rng.normal(0, 1, 300)] \
         + [(None, 1.0), (None, 3.0)]
     df = spark.createDataFrame(rows, "g string, x double")
-    got = dict(exact_group_quantiles(df, ["g"], "x", [0.25, 0.5, 0.95], buckets=8, final_rows=40))
+    got = {(r["g"],): r["q"] for r in exact_group_quantiles(df, ["g"], "x", [0.25, 0.5, 0.95]).collect()}
     for g in ("hot", "cold", None):
         vals = [v for k, v in rows if k == g]
         assert got[(g,)] == pytest.approx(list(np.percentile(vals, [25, 50, 95])), rel=1e-12)
@@ -232,3 +232,55 @@ def test_exact_group_medians_match_numpy(spark):
     got = {r.g: r.median for r in exact_group_medians(df, ["g"], "x").collect()}
     for g in set(k for k, _ in rows):
         assert got[g] == pytest.approx(float(np.median([v for k, v in rows if k == g])), rel=1e-12)
+
+
+def test_exact_quantiles_with_infinity_nan_and_one_value(spark):
+    inf = float("inf")
+    vals = [inf, -inf] + [float(i % 977) for i in range(5000)]
+    df = spark.createDataFrame([(v,) for v in vals] + [(float("nan"),), (None,)], "x double")
+    got = exact_quantiles(df, "x", [0.0, 0.25, 0.5, 1.0], splitters=4, final_rows=20)
+    assert got == [-inf, *np.percentile(vals[2:] + [-inf, inf], [25, 50]).tolist(), inf]
+    one = spark.createDataFrame([(3.5,)] * 400, "x double")
+    assert exact_quantiles(one, "x", [0.1, 0.9], final_rows=10) == [3.5, 3.5]
+    assert exact_quantiles(one.limit(0), "x", [0.5]) == [None]
+    from tavola.functions.stats import quantiles
+    both = [df.select(quantiles(df, "x", [0.5], method=m).getItem(0).alias("m")).first()["m"] for m in ("exact", "distributed")]
+    assert both[0] == both[1]
+
+
+def test_group_quantiles_of_many_groups(spark):
+    from tavola.functions.distributed_quantile import exact_group_medians
+    df = spark.range(36000).selectExpr("id % 12000 as g", "case when id % 7 = 0 then double('Infinity') else double(id) end as x")
+    got = {r.g: r.median for r in exact_group_medians(df, ["g"], "x").collect()}
+    want = {}
+    for i in range(36000):
+        want.setdefault(i % 12000, []).append(float("inf") if i % 7 == 0 else float(i))
+    assert got == {g: sorted(v)[1] for g, v in want.items()}
+
+
+def test_read_items_by_header_name(spark, tmp_path):
+    from tavola.operators.clean import standardize_columns
+    from tavola.operators.rollup import label_high_rated
+    from tavola.sources import io
+    f = tmp_path / "items.csv"
+    f.write_text("City,State,Rating,Extra,Rating Count,Restaurant Name,Location,Category,Dish Name\n"
+                 "Pune,MH,NaN,x,5.0,R,L,C,D\nDelhi,DL,4.5,y,abc,R2,L,C,D\nJaipur,RJ,4.1,z\n")
+    rows = {r["City"]: r for r in io.read_items(spark, str(f), report_corrupt=True).collect()}
+    assert rows["Pune"]["State"] == "MH" and rows["Pune"]["Rating"] is None and rows["Pune"]["Rating Count"] == 5
+    assert rows["Pune"]["Price (INR)"] is None and rows["Pune"]["_corrupt_record"] is None
+    assert rows["Delhi"]["Rating Count"] is None and "abc" in rows["Delhi"]["_corrupt_record"]
+    assert rows["Jaipur"]["Rating"] == 4.1 and rows["Jaipur"]["_corrupt_record"] == "Jaipur,RJ,4.1,z"
+    items = io.read_items(spark, str(f))
+    assert items.columns == ["State", "City", "Restaurant Name", "Location", "Category", "Dish Name", "Price (INR)", "Rating", "Rating Count"]
+    rated = standardize_columns(items).withColumn("avg_rating", F.col("rating"))
+    assert label_high_rated(rated).where("city = 'Pune'").first()["is_high_rated"] == 0
+
+
+def test_session_without_checkpoint_dir():
+    """ensure_checkpoint_dir sets a folder on a context that has none."""
+    import subprocess
+    import sys
+    code = ("from pyspark.sql import SparkSession; s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate();"
+            "from tavola.session import ensure_checkpoint_dir as e; a = e(s); s.range(3).checkpoint(); print('fine')")
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=".")
+    assert "fine" in out.stdout, out.stderr[-500:]
