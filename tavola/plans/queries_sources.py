@@ -30,8 +30,12 @@ def _tmp(spark, name):
     f"CASE WHEN {c} IN ({_NA}) THEN NULL ELSE {c} END AS {c}" if c not in ("price", "rating", "rating_count")
     else c for c in ITEM_COLS) + " FROM fx_items", ("fx_items",), dbl=("price", "rating"))
 def q_read_items(spark, sf):
+    """Columns in another order, a column too many, counts as 5.0, NaN cells."""
     path = _tmp(spark, "items_csv")
-    io.write_table(fixtures.fx_items_raw(spark, sf), path, "csv")
+    raw = fixtures.fx_items_raw(spark, sf)
+    raw = (raw.withColumn("Rating Count", F.col("Rating Count").cast("double"))
+           .withColumn("Rating", F.coalesce(F.col("Rating").cast("string"), F.lit("NaN"))).withColumn("Extra", F.lit("x")))
+    io.write_table(raw.select(*[f"`{c}`" for c in reversed(raw.columns)]), path, "csv")
     return standardize_columns(io.read_items(spark, path))
 
 

@@ -7,12 +7,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType, StructField, StructType
 
 # Default raw item schema (raw headers) and the missing-value
 # tokens a pandas CSV reader maps to null.
 RAW_ITEM_SCHEMA = ("`State` string, `City` string, `Restaurant Name` string, `Location` string, "
                    "`Category` string, `Dish Name` string, `Price (INR)` double, `Rating` double, "
                    "`Rating Count` int")
+#: Column for CSV records that do not fit their header (kept whole, never dropped).
+CORRUPT = "_corrupt_record"
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
@@ -22,17 +25,45 @@ LOG_SCHEMA = ("timestamp timestamp, model string, features map<string,double>, "
 
 
 def read_items(spark: SparkSession, path: str, schema: str = RAW_ITEM_SCHEMA, fmt: str = "csv",
-               na_tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
-    """Raw item table with a fixed schema; missing-value tokens in text
-    columns become null (CSV ``nullValue`` takes a single token only)."""
+               na_tokens: Sequence[str] = NA_TOKENS, report_corrupt: bool = False) -> DataFrame:
+    """Raw item table with the columns and types of ``schema``.
+
+    CSV columns are found by header name, whatever their order (columns that
+    ``schema`` lacks are left out, absent ones are null).  Missing-value tokens
+    become null in every column; numbers are read as doubles first, so a count
+    written ``5.0`` is 5, and NaN is null.  No record is dropped; with
+    ``report_corrupt`` one more column, ``_corrupt_record``, has the whole record
+    where it does not fit its header or a cell is no number, else null."""
+    want = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     if fmt == "csv":
-        df = (spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
-              .option("mode", "PERMISSIVE").csv(path))
+        opts = {"header": True, "quote": '"', "escape": '"'}
+        # the header of all files: one line of each is read, no types are inferred
+        names = spark.read.options(**opts).option("inferSchema", False).csv(path).columns
+        text = StructType([StructField(n, StringType()) for n in names] + [StructField(CORRUPT, StringType())])
+        df = (spark.read.schema(text).options(**opts, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=False).csv(path))
+        whole = F.to_csv(F.struct(*[F.col(f"`{n}`") for n in names])) if names else F.lit("")
     else:
-        df = spark.read.format(fmt).schema(schema).load(path)
-    text = [n for n, t in df.dtypes if t == "string"]
-    return df.withColumns({c: F.when(F.col(f"`{c}`").isin(list(na_tokens)), F.lit(None).cast("string"))
-                           .otherwise(F.col(f"`{c}`")) for c in text})
+        df = spark.read.format(fmt).load(path)
+        names, whole = df.columns, None
+    out, bad = [], F.lit(False)
+    for f in want.fields:
+        if f.name not in names:
+            out.append(F.lit(None).cast(f.dataType).alias(f.name))
+            continue
+        c = F.col(f"`{f.name}`")
+        given = F.when(~c.cast("string").isin(list(na_tokens)), c)
+        if isinstance(f.dataType, StringType):
+            out.append(given.cast("string").alias(f.name))
+        elif isinstance(f.dataType, NumericType):
+            x = F.trim(given.cast("string")).try_cast("double")
+            bad |= given.isNotNull() & x.isNull()
+            out.append(F.when(~F.isnan(x), x).try_cast(f.dataType).alias(f.name))
+        else:
+            out.append(given.try_cast(f.dataType).alias(f.name))
+    if fmt != "csv":
+        return df.select(*out)
+    df = df.select(*out, F.coalesce(F.col(CORRUPT), F.when(bad, whole)).alias(CORRUPT))
+    return df if report_corrupt else df.drop(CORRUPT)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
@@ -53,14 +84,15 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None
     if schema is not None:
         r = r.schema(schema)
     if fmt == "csv":
-        return r.option("header", True).option("inferSchema", schema is None).csv(path)
+        return r.option("header", True).csv(path)  # without a schema all columns are text
     return r.format(fmt).load(path)
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """Metric/insight reports as CSV (header), check/monitor reports as JSON
-    lines.  Reports are small; one output file keeps them readable."""
-    w = df.coalesce(1).write.mode("overwrite")
+    lines.  The last stage writes as many files as it has tasks; adaptive
+    execution makes that one for a small report."""
+    w = df.write.mode("overwrite")
     if fmt == "csv":
         w.option("header", True).csv(path)
     else:
