@@ -15,13 +15,14 @@ BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "li
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
                "conversations")
 
-# Raw item table: restaurant = customer, city = nation, location = market
+# Raw item table: restaurant = customer, city = nation (half of them under the
+# names of cities that the serving layouts know, with aliases), location = market
 # segment, dish = part.  Padding/case noise, 'None', null keys, null prices and
 # ratings, price outliers and exact duplicates are injected on purpose.
 FX_ITEMS_SQL = """
 WITH base AS (
   SELECT r_name AS state,
-         CASE WHEN l_orderkey % 10 = 0 THEN concat('  ', lower(n_name), ' ') ELSE n_name END AS city,
+         CASE WHEN l_orderkey % 10 = 0 THEN concat('  ', lower(place), ' ') ELSE place END AS city,
          CASE WHEN l_orderkey % 997 = 0 THEN NULL ELSE c_name END AS restaurant_name,
          c_mktsegment AS location,
          CASE WHEN l_partkey % 50 = 0 THEN 'None' WHEN l_partkey % 50 = 1 THEN NULL ELSE p_type END AS category,
@@ -30,11 +31,15 @@ WITH base AS (
               WHEN l_partkey % 97 = 0 THEN l_extendedprice / 100 * 5
               ELSE l_extendedprice / 100 END AS price,
          CASE WHEN l_linenumber = 7 THEN NULL ELSE round(CAST(3.3 AS DOUBLE) + l_quantity / 30, 1) END AS rating,
-         CAST(l_orderkey % 6 AS INT) AS rating_count,
+         CAST(CASE WHEN l_orderkey % 11 = 0 THEN l_orderkey % 150 ELSE l_orderkey % 6 END AS INT) AS rating_count,
          l_orderkey
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
                 JOIN customer ON o_custkey = c_custkey
-                JOIN nation ON c_nationkey = n_nationkey
+                JOIN (SELECT *, CASE n_nationkey WHEN 0 THEN 'Mumbai' WHEN 1 THEN 'Bangalore' WHEN 2 THEN 'Delhi' WHEN 3 THEN 'Pune'
+                                     WHEN 4 THEN 'Chennai' WHEN 5 THEN 'Kolkata' WHEN 6 THEN 'Hyderabad' WHEN 7 THEN 'Ahmedabad'
+                                     WHEN 8 THEN 'Jaipur' WHEN 9 THEN 'Lucknow' WHEN 10 THEN 'Chandigarh' WHEN 11 THEN 'Bengaluru'
+                                     WHEN 12 THEN 'New Delhi' ELSE n_name END AS place
+                      FROM nation) AS places ON c_nationkey = n_nationkey
                 JOIN region ON n_regionkey = r_regionkey
                 JOIN part ON l_partkey = p_partkey)
 SELECT state, city, restaurant_name, location, category, dish_name, price, rating, rating_count FROM base

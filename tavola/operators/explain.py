@@ -12,10 +12,10 @@ from tavola.functions.exprs import q
 
 
 def prediction_correlations(scored: DataFrame, features: Sequence[str], p: str = "p",
-                            group: str = "task", max_features: int = 15) -> DataFrame:
-    """Pearson r of each feature (first ``max_features``) with the predicted
-    probability, per group; one aggregate, unpivoted."""
-    feats = list(features)[:max_features]
+                            group: str = "task") -> DataFrame:
+    """Pearson r of each feature with the predicted probability, per group;
+    one aggregate, unpivoted."""
+    feats = list(features)
     g = scored.groupBy(group).agg(*[F.corr(F.col(q(f)).cast("double"), F.col(p)).alias(f"c{i}")
                                     for i, f in enumerate(feats)])
     rows = [F.struct(F.lit(f).alias("feature"), F.nanvl(F.col(f"c{i}"), F.lit(None).cast("double")).alias("r"))
@@ -23,11 +23,13 @@ def prediction_correlations(scored: DataFrame, features: Sequence[str], p: str =
     return g.select(group, F.inline(F.array(*rows)))
 
 
-def prediction_stats(scored: DataFrame, p: str = "p", pred: str = "prediction", group: str = "task") -> DataFrame:
-    """Mean and population std of the probability, positive prediction rate."""
+def prediction_stats(scored: DataFrame, p: str = "p", y: str = "y", pred: str = "prediction", group: str = "task") -> DataFrame:
+    """Mean and population std of the probability; ``positive_rate`` is the mean
+    of the label, ``predicted_rate`` the share of positive predictions."""
     return scored.groupBy(group).agg(F.avg(p).alias("mean_probability"),
                                      F.stddev_pop(p).alias("std_probability"),
-                                     F.avg(F.col(pred).cast("double")).alias("positive_rate"))
+                                     F.avg(F.col(y).cast("double")).alias("positive_rate"),
+                                     F.avg(F.col(pred).cast("double")).alias("predicted_rate"))
 
 
 def insight_report(corrs: DataFrame, group: str = "task", shown: int = 8, saved: int = 5) -> DataFrame:

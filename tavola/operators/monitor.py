@@ -27,6 +27,9 @@ READINESS_GRADES = ((1.0, "A", "Excellent performance"), (2.0, "B", "Good perfor
                     (5.0, "C", "Acceptable for batch processing"), (None, "D", "Performance needs improvement"))
 FAILED_CALL_SECONDS = 10.0
 SCENARIO_PASS = 0.8
+# Texts of the deployment report.
+GENERAL_STEPS = ("Fix deployment check failures before production", "Address system health issues",
+                 "Generate more test traffic to validate monitoring")
 NEXT_STEPS = {
     "pass": ("Deploy to production environment", "Set up continuous monitoring", "Configure alert notifications",
              "Plan for model retraining schedule", "Document API for consumers"),
@@ -56,8 +59,8 @@ def log_metrics(log: DataFrame, hours: Sequence[int] = WINDOW_HOURS, as_of=None,
     rate, mean and p95 (linear) latency.  Empty windows give total 0 and null
     rates.  One scan for counts and means.  p95 is exact: a percentile in the
     same aggregate while the window's distinct latencies are within the
-    checked limit, else the distributed refinement per window."""
-    from tavola.functions.distributed_quantile import exact_quantiles
+    checked limit, else narrowing by rank per window."""
+    from tavola.functions.distributed_quantile import exact_quantiles, number
     from tavola.functions.stats import choose_methods
 
     d = log.withColumn("_as_of", _as_of(log, ts, as_of))
@@ -72,7 +75,7 @@ def log_metrics(log: DataFrame, hours: Sequence[int] = WINDOW_HOURS, as_of=None,
         if method == "distributed":
             p95 = F.lit(exact_quantiles(d.where(w), latency, [0.95])[0]).cast("double")
         else:
-            p95 = F.percentile(rt, F.lit(0.95))
+            p95 = F.percentile(number(rt), F.lit(0.95))
         aggs += [F.count_if(w).alias(f"n{h}"),
                  F.avg(F.when(w, F.col(success).cast("double"))).alias(f"s{h}"),
                  F.avg(rt).alias(f"a{h}"), p95.alias(f"p{h}")]
@@ -126,18 +129,25 @@ def retain_last(log: DataFrame, n: int = 1000, ts: str = "ts", key: str = "log_i
 
 
 def monitoring_report(log: DataFrame, hours: Sequence[int] = WINDOW_HOURS, as_of=None) -> DataFrame:
-    """Window metrics, health and alert count in one nested row."""
-    m = log_metrics(log, hours, as_of).persist()
-    by_h = {h: m.where(F.col("hours") == h) for h in hours}
-    health = system_health(m, hours[0])
-    n_alerts = alerts(m, hours[0]).agg(F.count("*")).scalar()
-    out = health.select(F.struct("status", "issues", "recommendations").alias("system_health"),
-                        n_alerts.alias("alerts"))
-    for h, d in by_h.items():
-        s = d.select(F.struct("total_predictions", "success_rate", "avg_response_time",
-                              "p95_response_time").alias("s")).scalar()
-        out = out.withColumn(f"last_{h}h", s)
-    return out.withColumn("as_of", m.select(F.max("as_of")).scalar())
+    """One nested row: per window the metrics, requests per model and per hour of
+    the day; health; the alerts that fire."""
+    m = log_metrics(log, hours, as_of)
+    at = _as_of(log, "ts", as_of)
+    d = log.withColumn("_as_of", at).where(_in_window("ts", max(hours)))
+    # one pass: per model and hour of the day (bounded), with a count per window
+    g = d.groupBy("model", F.date_format("ts", "HH:00").alias("hour")).agg(*[F.count_if(_in_window("ts", h)).alias(f"n{h}") for h in hours])
+
+    def listed(key: str, h: int) -> Column:
+        one = g.groupBy(key).agg(F.sum(f"n{h}").alias("n")).where("n > 0")
+        return one.agg(F.array_sort(F.collect_list(F.struct(F.col(key), F.col("n").alias("requests"))))).scalar()
+
+    fired = alerts(m, hours[0]).agg(F.array_sort(F.collect_list(F.struct("level", "message", "metric", "value")))).scalar()
+    out = system_health(m, hours[0]).select(F.struct("status", "issues", "recommendations").alias("system_health"), fired.alias("alerts"))
+    for h in hours:
+        s = m.where(F.col("hours") == h).select(F.struct("total_predictions", "success_rate", "avg_response_time", "p95_response_time").alias("s")).scalar()
+        out = out.withColumn(f"last_{h}h", F.struct(*[s.getField(c).alias(c) for c in ("total_predictions", "success_rate", "avg_response_time", "p95_response_time")],
+                                                    listed("model", h).alias("models_used"), listed("hour", h).alias("hourly_volume")))
+    return out.withColumn("as_of", at)
 
 
 def _grade(x: Column, table) -> Column:
@@ -157,10 +167,10 @@ def latency_summary(log: DataFrame, group: str = "model", latency: str = "respon
     ok = F.col(success)
     rt = F.when(ok, F.col(latency).cast("double"))
     g = (log.rollup(group)
-         .agg(F.count("*").alias("total"), F.count_if(ok).alias("successes"),
+         .agg(F.grouping(group).alias("_all"), F.count("*").alias("total"), F.count_if(ok).alias("successes"),
               F.avg(rt).alias("avg_latency"), F.min(rt).alias("min_latency"), F.max(rt).alias("max_latency")))
     grade = F.when(F.col("successes") == 0, F.lit("UNKNOWN")).otherwise(_grade(F.col("avg_latency"), SUMMARY_GRADES))
-    return g.select(F.coalesce(F.col(group), F.lit("all")).alias(group), "total", "successes",
+    return g.select(F.when(F.col("_all") == 1, F.lit("all")).otherwise(F.col(group)).alias(group), "total", "successes",
                     (F.col("successes") / F.col("total")).alias("success_rate"),
                     "avg_latency", "min_latency", "max_latency", grade.alias("grade"))
 
@@ -179,10 +189,12 @@ def latency_grade(log: DataFrame, group: str = "model", latency: str = "response
 
 def scenario_success(log: DataFrame, scenario: str = "scenario", endpoint: str = "model",
                      success: str = "success", threshold: float = SCENARIO_PASS) -> DataFrame:
-    """Success ratio per scenario x endpoint and per scenario overall; pass if
-    >= threshold."""
-    g = log.groupBy(scenario, endpoint).agg(F.count("*").alias("calls"),
-                                            F.avg(F.col(success).cast("double")).alias("success_ratio"))
+    """Success ratio per scenario x endpoint and, in one row with both 'all', over
+    all calls; pass if >= threshold."""
+    all_ = F.grouping_id(scenario, endpoint)
+    g = (log.groupingSets([[scenario, endpoint], []], scenario, endpoint)
+         .agg(F.count("*").alias("calls"), F.avg(F.col(success).cast("double")).alias("success_ratio"), all_.alias("_all")))
+    g = g.withColumns({c: F.when(F.col("_all") == 3, F.lit("all")).otherwise(F.col(c)) for c in (scenario, endpoint)}).drop("_all")
     return g.withColumn("passed", F.col("success_ratio") >= threshold)
 
 
@@ -200,9 +212,11 @@ def derive_checks(log: DataFrame, hours: int = 24, as_of=None, ts: str = "ts", m
                     msg.alias("message"), F.col("sr").alias("val"))
 
 
-def check_rollup(checks: DataFrame) -> DataFrame:
-    """passed / total, overall pass only if every check passes, the sorted
-    recommendations for failed checks and the next-steps branch."""
+def check_rollup(checks: DataFrame, health: DataFrame | None = None) -> DataFrame:
+    """passed / total, overall pass only if every check passes, recommendations
+    and the next-steps branch.  The recommendations are the general ones (a
+    failed roll-up; with ``health``, the report of ``system_health``, an
+    unhealthy system and no traffic) and then, sorted, one per failed check."""
     ok = F.col("status") == "pass"
     g = checks.agg(F.count_if(ok).alias("checks_passed"), F.count("*").alias("checks_total"),
                    F.bool_and(ok).alias("_all"),
@@ -211,5 +225,10 @@ def check_rollup(checks: DataFrame) -> DataFrame:
     overall = F.when(F.coalesce(F.col("_all"), F.lit(False)), "pass").otherwise("fail")
     steps = F.when(overall == "pass", F.array(*[F.lit(s) for s in NEXT_STEPS["pass"]])) \
         .otherwise(F.array(*[F.lit(s) for s in NEXT_STEPS["fail"]]))
-    return g.select("checks_passed", "checks_total", overall.alias("overall_status"), "recommendations",
+    general = [F.when(overall != "pass", F.lit(GENERAL_STEPS[0]))]
+    if health is not None:
+        status = health.agg(F.first("status")).scalar()
+        general += [F.when(status != "healthy", F.lit(GENERAL_STEPS[1])), F.when(status == "idle", F.lit(GENERAL_STEPS[2]))]
+    recommendations = F.concat(F.array_compact(F.array(*general)), F.col("recommendations"))
+    return g.select("checks_passed", "checks_total", overall.alias("overall_status"), recommendations.alias("recommendations"),
                     steps.alias("next_steps"))

@@ -172,11 +172,13 @@ def q_prediction_correlations(spark, sf):
 
 @register("prediction_stats", """
 SELECT task, avg(probability) AS mean_probability, stddev_pop(probability) AS std_probability,
-       avg(CAST(prediction AS DOUBLE)) AS positive_rate
-FROM rule_scores GROUP BY task
-""", ("rule_scores",), dbl=("mean_probability", "std_probability", "positive_rate"))
+       avg(CAST(CASE WHEN avg_price > 300 THEN 1 ELSE 0 END AS DOUBLE)) AS positive_rate,
+       avg(CAST(prediction AS DOUBLE)) AS predicted_rate
+FROM (SELECT * FROM rule_scores JOIN requests USING ({KS})) GROUP BY task
+""".replace("{KS}", KS), ("rule_scores", "requests"), dbl=("mean_probability", "std_probability", "positive_rate", "predicted_rate"))
 def q_prediction_stats(spark, sf):
-    return X.prediction_stats(_rule_scored(spark, sf), "probability")
+    """A label that differs from the prediction, so the two rates are told apart."""
+    return X.prediction_stats(_rule_scored(spark, sf).withColumn("y", (F.col("avg_price") > 300).cast("int")), "probability")
 
 
 @register("insight_report", f"""

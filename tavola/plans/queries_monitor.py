@@ -116,33 +116,42 @@ def _report_cols():
     return out
 
 
+def _shown(key):
+    return lambda x: F.concat(x[key], F.lit("="), x["requests"].cast("string"))
+
+
 @register("monitoring_report", f"""
 WITH hl AS ({_health_sql(1)})
 SELECT (SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') FROM fx_log) AS as_of, hl.status, hl.issues,
-       (SELECT count(*) FROM ({_alerts_sql(1)})) AS alerts,
+       (SELECT coalesce(string_agg(level || ':' || metric, '; ' ORDER BY level, metric), '') FROM ({_alerts_sql(1)})) AS alerts,
+       {", ".join(f"(SELECT coalesce(string_agg(k || '=' || n, '; ' ORDER BY k), '') FROM (SELECT {e} AS k, CAST(count(*) AS VARCHAR) AS n FROM log_w WHERE {_win(h)} GROUP BY 1)) AS h{h}_{c}" for h in M.WINDOW_HOURS for c, e in (("models_used", "model"), ("hourly_volume", "strftime(ts, '%H:00')")))},
        {", ".join(f"(SELECT {c} FROM log_metrics WHERE hours = {h}) AS {n}" for n, h, c in _report_cols())}
 FROM hl
-""", ("log_metrics",), dbl=tuple(n for n, _h, c in _report_cols() if c != "total_predictions"))
+""", ("log_metrics", "log_w"), dbl=tuple(n for n, _h, c in _report_cols() if c != "total_predictions"))
 def q_monitoring_report(spark, sf):
     r = M.monitoring_report(_log(spark, sf))
     return r.select(F.date_format("as_of", "yyyy-MM-dd HH:mm:ss").alias("as_of"), "system_health.status",
-                    F.array_join("system_health.issues", "; ").alias("issues"), "alerts",
+                    F.array_join("system_health.issues", "; ").alias("issues"),
+                    F.array_join(F.transform("alerts", lambda a: F.concat(a["level"], F.lit(":"), a["metric"])), "; ").alias("alerts"),
+                    *[F.array_join(F.transform(F.col(f"last_{h}h.{c}"), _shown(k)), "; ").alias(f"h{h}_{c}")
+                      for h in M.WINDOW_HOURS for c, k in (("models_used", "model"), ("hourly_volume", "hour"))],
                     *[F.col(f"last_{h}h.{c}").alias(n) for n, h, c in _report_cols()])
 
 
 @register("latency_summary", """
-SELECT coalesce(model, 'all') AS model, total, successes, CAST(successes AS DOUBLE) / total AS success_rate,
+SELECT CASE WHEN g = 1 THEN 'all' ELSE model END AS model, total, successes, CAST(successes AS DOUBLE) / total AS success_rate,
        avg_latency, min_latency, max_latency,
        CASE WHEN successes = 0 THEN 'UNKNOWN' WHEN avg_latency < 0.5 THEN 'EXCELLENT' WHEN avg_latency < 1.0 THEN 'GOOD'
             WHEN avg_latency < 2.0 THEN 'ACCEPTABLE' ELSE 'POOR' END AS grade
-FROM (SELECT model, count(*) AS total, count(*) FILTER (WHERE success) AS successes,
+FROM (SELECT model, grouping(model) AS g, count(*) AS total, count(*) FILTER (WHERE success) AS successes,
              avg(CASE WHEN success THEN response_time END) AS avg_latency,
              min(CASE WHEN success THEN response_time END) AS min_latency,
              max(CASE WHEN success THEN response_time END) AS max_latency
-      FROM fx_log GROUP BY ROLLUP (model))
+      FROM (SELECT * REPLACE (CASE WHEN log_id % 10 = 0 THEN NULL ELSE model END AS model) FROM fx_log) GROUP BY ROLLUP (model))
 """, ("fx_log",), dbl=("success_rate", "avg_latency", "min_latency", "max_latency"))
 def q_latency_summary(spark, sf):
-    return M.latency_summary(_log(spark, sf))
+    log = _log(spark, sf).withColumn("model", F.when(F.col("log_id") % 10 != 0, F.col("model")))  # null is not "all"
+    return M.latency_summary(log)
 
 
 _RG = M.READINESS_GRADES
@@ -166,6 +175,7 @@ def q_latency_grade(spark, sf):
 SELECT scenario, model, count(*) AS calls, avg(CAST(success AS DOUBLE)) AS success_ratio,
        avg(CAST(success AS DOUBLE)) >= 0.8 AS passed
 FROM fx_log GROUP BY scenario, model
+UNION ALL SELECT 'all', 'all', count(*), avg(CAST(success AS DOUBLE)), avg(CAST(success AS DOUBLE)) >= 0.8 FROM fx_log
 """, ("fx_log",), dbl=("success_ratio",))
 def q_scenario_success(spark, sf):
     return M.scenario_success(_log(spark, sf))
@@ -186,15 +196,20 @@ def q_derive_checks(spark, sf):
 
 
 @register("check_rollup", f"""
+WITH hl AS ({_health_sql(1)})
 SELECT count(*) FILTER (WHERE status = 'pass') AS checks_passed, count(*) AS checks_total,
        CASE WHEN bool_and(status = 'pass') THEN 'pass' ELSE 'fail' END AS overall_status,
-       coalesce(array_to_string(list_sort(list('Fix ' || check_name || ': ' || message) FILTER (WHERE status <> 'pass')), ' | '), '') AS recommendations,
+       array_to_string(list_concat(list_filter([CASE WHEN NOT bool_and(status = 'pass') THEN '{M.GENERAL_STEPS[0]}' END,
+           CASE WHEN (SELECT status FROM hl) <> 'healthy' THEN '{M.GENERAL_STEPS[1]}' END,
+           CASE WHEN (SELECT status FROM hl) = 'idle' THEN '{M.GENERAL_STEPS[2]}' END], lambda x: x IS NOT NULL),
+         coalesce(list_sort(list('Fix ' || check_name || ': ' || message) FILTER (WHERE status <> 'pass')), [])), ' | ') AS recommendations,
        CASE WHEN bool_and(status = 'pass') THEN '{" | ".join(M.NEXT_STEPS["pass"])}'
             ELSE '{" | ".join(M.NEXT_STEPS["fail"])}' END AS next_steps
 FROM checks
-""", ("checks",))
+""", ("checks", "log_metrics"))
 def q_check_rollup(spark, sf):
-    r = M.check_rollup(M.derive_checks(_log(spark, sf)))
+    log = _log(spark, sf)
+    r = M.check_rollup(M.derive_checks(log), M.system_health(M.log_metrics(log), 1))
     return r.select("checks_passed", "checks_total", "overall_status",
                     F.array_join("recommendations", " | ").alias("recommendations"),
                     F.array_join("next_steps", " | ").alias("next_steps"))
