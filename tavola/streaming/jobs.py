@@ -19,6 +19,8 @@ from tavola.operators.score import rule_scores
 from tavola.session import scratch_path
 
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+#: How late a record may come by default; the streaming operators take it as an argument,
+#: to be set to the disorder of the source (later records are left out).
 WATERMARK = "10 minutes"
 
 
@@ -66,10 +68,10 @@ def run_to_table(agg: DataFrame, spark: SparkSession, name: str, mode: str = "up
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
     path = os.path.join(out, "result")
-    try:
-        res = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001  (no batch produced rows)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):  # no batch produced rows
         return spark.createDataFrame([], agg.schema)
+    res = spark.read.parquet(path)
     if mode == "update":
         # newest version of every key; a key has at most one row per batch
         w = Window.partitionBy(*keys).orderBy(F.desc("batch"))
@@ -82,26 +84,26 @@ def _window_cols(w: str = "window"):
             F.date_format(F.col(f"{w}.end"), "yyyy-MM-dd HH:mm:ss").alias("window_end")]
 
 
-def stream_hourly_metrics(log: DataFrame) -> DataFrame:
+def stream_hourly_metrics(log: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """Tumbling 1-hour windows per model: total, success rate, mean latency."""
-    return (log.withWatermark("ts", WATERMARK)
+    return (log.withWatermark("ts", watermark)
             .groupBy(F.window("ts", "1 hour"), "model")
             .agg(F.count("*").alias("total"), F.avg(F.col("success").cast("double")).alias("success_rate"),
                  F.avg("response_time").alias("avg_response_time")))
 
 
-def stream_trailing_metrics(log: DataFrame, length: str = "24 hours", slide: str = "1 hour") -> DataFrame:
+def stream_trailing_metrics(log: DataFrame, watermark: str = WATERMARK, length: str = "24 hours", slide: str = "1 hour") -> DataFrame:
     """Sliding "last 24 hours" windows advancing hourly."""
-    return (log.withWatermark("ts", WATERMARK)
+    return (log.withWatermark("ts", watermark)
             .groupBy(F.window("ts", length, slide))
             .agg(F.count("*").alias("total"), F.avg(F.col("success").cast("double")).alias("success_rate"),
                  F.avg("response_time").alias("avg_response_time")))
 
 
-def stream_alert_windows(log: DataFrame) -> DataFrame:
+def stream_alert_windows(log: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """Per 1-hour window: success rate and approximate p95 latency (the exact
     percentile's state grows with the window; the sketch is bounded)."""
-    return (log.withWatermark("ts", WATERMARK)
+    return (log.withWatermark("ts", watermark)
             .groupBy(F.window("ts", "1 hour"))
             .agg(F.avg(F.col("success").cast("double")).alias("success_rate"),
                  F.percentile_approx("response_time", 0.95, 10000).alias("p95_response_time")))
