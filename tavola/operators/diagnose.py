@@ -36,7 +36,8 @@ def redundant_pairs(df: DataFrame, cols: Sequence[str], threshold: float = 0.95)
 
 def constant_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Distinct non-null values per column and whether the column is constant
-    (exactly one distinct value)."""
+    (exactly one distinct value).  The constant test alone needs only the
+    minimum and maximum: see ``is_constant``."""
     wide = df.agg(*[F.count_distinct(F.col(q(c))).alias(f"d{i}") for i, c in enumerate(cols)])
     long = wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"d{i}").alias("n_distinct"))
                                            for i, c in enumerate(cols)])))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -209,3 +210,41 @@ def score_scenarios(base: DataFrame, combos: Sequence[Mapping[str, float]], keys
     grid = grid.withColumns({f: F.coalesce(F.col(f"_o_{f}"), F.col(f).cast("double")) for f in fields})
     grid = derive_serving_features(grid.drop(*[f"_o_{f}" for f in fields]))
     return rule_scores(grid, [*keys, "scenario"])
+
+
+def score(df: DataFrame, model, task: str, keys: Sequence[str], n_features: int | None = None) -> DataFrame:
+    """keys, task, probability (4 decimals), prediction (>= 0.5), confidence and
+    features_used of every row; the model imputes and scales by itself."""
+    rows = score_batch(df, {task: model}, keys)
+    used = n_features if n_features is not None else _inputs(model)
+    return rows.select(*keys, F.lit(task).alias("task"), F.col(f"{task}.probability").alias("probability"),
+                       F.col(f"{task}.prediction").alias("prediction"), F.col(f"{task}.confidence").alias("confidence"),
+                       F.lit(used).alias("features_used"))
+
+
+def _inputs(model) -> int:
+    """Length of the feature vector that the pipeline assembles."""
+    return next((len(s.getInputCols()) for s in model.stages if hasattr(s, "getInputCols")), 0)
+
+
+def score_batch(df: DataFrame, models: Mapping[str, object], keys: Sequence[str]) -> DataFrame:
+    """keys, index and one struct (prediction, probability, confidence) per task:
+    every model transforms the same rows in turn, without a join or shuffle.
+    ``index`` is a hash of the keys, so it does not depend on the order of rows."""
+    out, names = df, list(df.columns)
+    for task, model in models.items():
+        done = [c for c in out.columns if c not in names]
+        p = F.round(vector_to_array(F.col("probability"))[1], 4)
+        out = model.transform(out).select(*names, *done, F.struct((p >= 0.5).cast("int").alias("prediction"), p.alias("probability"),
+                                                                  confidence_tier(p, task).alias("confidence")).alias(task))
+    return out.select(*keys, F.xxhash64(*keys).alias("index"), *models)
+
+
+def log_records(scored: DataFrame, features: Sequence[str], task: str, timestamp: Column, response_time: Column) -> DataFrame:
+    """Records of the prediction log (``sources.io.LOG_SCHEMA``) of rows that hold
+    their features and probability, prediction and confidence."""
+    return scored.select(timestamp.cast("timestamp").alias("timestamp"), F.lit(task).alias("model"),
+                         F.create_map(*[x for f in features for x in (F.lit(f), F.col(f"`{f}`").cast("double"))]).alias("features"),
+                         F.struct(F.col("prediction").cast("int").alias("prediction"), F.col("probability").cast("double").alias("probability"),
+                                  "confidence").alias("prediction"),
+                         response_time.cast("double").alias("response_time"), F.lit(True).alias("success"), F.lit(len(features)).alias("feature_count"))

@@ -9,11 +9,14 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tavola.functions.distributed_quantile import number
+from tavola.functions.stats import quantile_struct
+
 # Model presets (reference values) and a small preset for checks.
 PRESETS = {
     "baseline": {"random_forest": {"numTrees": 100, "maxDepth": 30, "minInstancesPerNode": 1},
@@ -63,25 +66,53 @@ def _classifier(model: str, preset: str, label: str = "label", features: str = "
     raise ValueError(model)
 
 
+def _input(feature: str) -> str:
+    return f"{feature}__in"
+
+
 def build_pipeline(features: Sequence[str], model: str, preset: str = "small", n_train: int | None = None,
-                   label: str = "label") -> Pipeline:
-    """assembler -> (scaler) -> classifier.  Logistic regression uses scaled
-    input and sklearn's C=1 penalty: regParam = 1 / n_train."""
-    stages = [VectorAssembler(inputCols=list(features), outputCol="raw_features", handleInvalid="keep")]
+                   label: str = "label", medians: dict[str, float] | None = None,
+                   scaling: dict[str, tuple[float, float]] | None = None) -> Pipeline:
+    """imputer (and scaler) -> assembler -> classifier, all saved with the model.
+
+    A null or NaN feature gets its median, then is centred and divided by its
+    population deviation where ``scaling`` gives (mean, deviation).  Logistic
+    regression takes sklearn's C=1 penalty: regParam = 1 / n_train."""
+    def expr(f: str) -> str:
+        x = f"CAST(`{f}` AS DOUBLE)"
+        if medians:
+            x = f"coalesce(CASE WHEN NOT isnan({x}) THEN {x} END, {float(medians.get(f, 0.0))!r}D)"
+        if scaling:
+            mean, dev = scaling[f]
+            x = f"({x} - ({float(mean)!r}D)) / {float(dev) or 1.0!r}D"
+        return f"{x} AS `{_input(f)}`"
+
     clf = _classifier(model, preset, label)
     if model == "logistic":
-        stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True))
         clf.setRegParam(1.0 / max(n_train or 1, 1))
-    else:
-        clf.setFeaturesCol("raw_features")
-    stages.append(clf)
-    return Pipeline(stages=stages)
+    return Pipeline(stages=[SQLTransformer(statement=f"SELECT *, {', '.join(expr(f) for f in features)} FROM __THIS__"),
+                            VectorAssembler(inputCols=[_input(f) for f in features], outputCol="features", handleInvalid="keep"), clf])
+
+
+def learn_inputs(train: DataFrame, features: Sequence[str]) -> tuple[int, dict[str, float], dict[str, tuple[float, float]]]:
+    """Rows, exact medians, and mean and population deviation after imputation."""
+    features = list(features)
+    q = train.select(quantile_struct(train, features, [0.5]).alias("q")).first() if features else None
+    med = {f: (q["q"][f"q{i}"][0] if q and q["q"][f"q{i}"] and q["q"][f"q{i}"][0] is not None else 0.0) for i, f in enumerate(features)}
+    aggs = []
+    for i, f in enumerate(features):
+        x = F.coalesce(number(F.col(f"`{f}`")), F.lit(med[f]))
+        aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
+    r = train.agg(F.count("*").alias("n"), *aggs).first()
+    return r["n"], med, {f: (r[f"m{i}"] or 0.0, r[f"s{i}"] or 1.0) for i, f in enumerate(features)}
 
 
 def fit(train: DataFrame, features: Sequence[str], model: str, preset: str = "small",
         label: str = "label") -> PipelineModel:
-    n = train.count() if model == "logistic" else None
-    return build_pipeline(features, model, preset, n, label).fit(train)
+    """A saved model needs nothing else to score raw rows: what it imputes and
+    scales with is learned from ``train`` and part of it."""
+    n, medians, scaling = learn_inputs(train, features)
+    return build_pipeline(features, model, preset, n, label, medians, scaling if model == "logistic" else None).fit(train)
 
 
 def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:

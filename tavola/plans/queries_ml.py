@@ -101,46 +101,63 @@ def q_model_info(spark, sf):
     return T.model_info(fitted, sets)
 
 
-def _score_all(spark, sf):
-    fitted, _s, sets = _grid(spark, sf)
-    data = venue.task_data(spark, sf)
-    wide = data.where(F.col("task") == "high_rated").drop("task", "label", "is_test")
-    parts = []
-    for t in sets:
-        pm = fitted[(t, "random_forest")]
-        sc = T.predict(pm, wide, K)
-        p4 = F.round(F.col("p"), 4)
-        parts.append(sc.select(*K, F.lit(t).alias("task"), p4.alias("probability"),
-                               (p4 >= 0.5).cast("int").alias("prediction"),
-                               S.confidence_tier(p4, F.lit(t)).alias("confidence"),
-                               F.lit(len(sets[t])).alias("features_used")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _rows_to_score(spark, sf):
+    """One row per entity with its raw features: nulls are the models' business."""
+    venue.task_data(spark, sf)
+    split = venue.stage(spark, sf, "task_split", lambda: None)
+    return split.where(F.col("task") == "high_rated").drop("task", "label", "is_test")
 
 
 @register("score_models")
 def q_score_models(spark, sf):
-    return _score_all(spark, sf)
+    fitted, _s, sets = _grid(spark, sf)
+    rows = _rows_to_score(spark, sf)
+    out = None
+    for (t, m), pm in fitted.items():
+        d = S.score(rows, pm, t, K, len(sets[t])).withColumn("model", F.lit(m))
+        out = d if out is None else out.unionByName(d)
+    return out
 
 
 @register("score_batch")
 def q_score_batch(spark, sf):
-    """All three tasks per row as nested results; the row index comes from
-    the entity key order, not from row position."""
-    s = _score_all(spark, sf)
-    g = s.groupBy(*K).pivot("task", ["high_rated", "popular", "premium"]).agg(
-        F.first(F.struct("prediction", "probability", "confidence")))
-    from tavola.functions.windows import global_rank
-    return global_rank(g, [], K, out="index")
+    """All three tasks per row as nested results of one pass over the rows."""
+    fitted, _s, sets = _grid(spark, sf)
+    return S.score_batch(_rows_to_score(spark, sf), {t: fitted[(t, "random_forest")] for t in sets}, K)
+
+
+@register("score_to_log", """
+SELECT task AS model, count(*) AS total_predictions, CAST(1 AS DOUBLE) AS success_rate,
+       avg(CAST(dish_count AS DOUBLE)) / 1000 AS avg_response_time, avg(probability) AS avg_probability
+FROM (SELECT * FROM rule_scores JOIN requests USING ({KS})) GROUP BY task
+""".replace("{KS}", KS), ("rule_scores", "requests"), dbl=("success_rate", "avg_response_time", "avg_probability"))
+def q_score_to_log(spark, sf):
+    """Rule scores of the requests appended to the prediction log, read back and
+    summarised per model."""
+    import uuid
+
+    from tavola.operators import monitor as M
+    from tavola.sources import io
+    scored = _rule_scored(spark, sf)
+    path = scratch_path(spark, f"io/score-log-{uuid.uuid4().hex[:12]}")
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    for t in TASK_FEATURES:
+        d = scored.where(F.col("task") == t)
+        io.append_prediction_log(S.log_records(d, FEATS, t, at, F.col("dish_count") / 1000), path)
+    log = io.read_prediction_log(spark, path)
+    p = log.groupBy("model").agg(F.avg("prediction.probability").alias("avg_probability"))
+    g = log.groupBy("model").agg(F.count("*").alias("total_predictions"), F.avg(F.col("success").cast("double")).alias("success_rate"),
+                                 F.avg("response_time").alias("avg_response_time"))
+    assert M.log_metrics(log.withColumnRenamed("timestamp", "ts"), [1]).count() == 1
+    return g.join(p, "model")
 
 
 @register("save_load_model")
 def q_save_load_model(spark, sf):
     from tavola.sources import io
     fitted, _s, sets = _grid(spark, sf)
-    path = scratch_path(spark, "models/premium_boosted_trees")
+    import uuid
+    path = scratch_path(spark, f"models/premium_boosted_trees-{uuid.uuid4().hex[:12]}")
     io.save_model(fitted[("premium", "boosted_trees")], path)
     pm = io.load_model(path)
     data = venue.task_data(spark, sf).where((F.col("task") == "premium") & (F.col("is_test") == 1))

@@ -284,3 +284,32 @@ def test_session_without_checkpoint_dir():
             "from tavola.session import ensure_checkpoint_dir as e; a = e(s); s.range(3).checkpoint(); print('fine')")
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=".")
     assert "fine" in out.stdout, out.stderr[-500:]
+
+
+def test_saved_model_imputes_and_scores_alone(spark, tmp_path):
+    from tavola.operators import score as S
+    from tavola.operators import train as T
+    from tavola.sources import io
+    rows = [(i, None if i % 9 == 0 else float(i % 50), float((i * 7) % 31), int(i % 50 > 24)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, label int")
+    med = float(np.median([r[1] for r in rows if r[1] is not None]))
+    for m in ("logistic", "random_forest"):
+        pm = T.fit(df, ["a", "b"], m, "small")
+        io.save_model(pm, str(tmp_path / m))
+        loaded = io.load_model(str(tmp_path / m))
+        a = {r["id"]: r["p"] for r in T.predict(pm, df, ["id"]).collect()}
+        b = {r["id"]: r["p"] for r in T.predict(loaded, df, ["id"]).collect()}
+        filled = {r["id"]: r["p"] for r in T.predict(pm, df.na.fill(med, ["a"]), ["id"]).collect()}
+        nan = {r["id"]: r["p"] for r in T.predict(pm, df.withColumn("a", F.coalesce("a", F.lit(float("nan")))), ["id"]).collect()}
+        assert a == b == filled == nan and all(0 <= p <= 1 for p in a.values())
+        one = {r["id"]: (r["prediction"], r["probability"], r["confidence"], r["features_used"]) for r in S.score(df, pm, "premium", ["id"]).collect()}
+        many = {r["id"]: r["premium"] for r in S.score_batch(df, {"popular": pm, "premium": loaded}, ["id"]).collect()}
+        assert all(one[i] == (many[i]["prediction"], many[i]["probability"], many[i]["confidence"], 2) and one[i][1] == round(a[i], 4) for i in a)
+
+
+def test_logistic_intercept_is_not_penalised(spark):
+    """The mean predicted probability on train is the share of label 1."""
+    from tavola.operators import train as T
+    df = spark.createDataFrame([(float(i % 17), float(i % 5), int((i * 13) % 11 > 7)) for i in range(500)], "a double, b double, label int")
+    r = T.predict(T.fit(df, ["a", "b"], "logistic", "baseline"), df, ["label"]).agg(F.avg("p").alias("p"), F.avg("label").alias("y")).first()
+    assert r["p"] == pytest.approx(r["y"], abs=1e-4)
