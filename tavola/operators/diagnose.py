@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tavola.functions.exprs import numeric_columns, q
@@ -35,12 +35,15 @@ def redundant_pairs(df: DataFrame, cols: Sequence[str], threshold: float = 0.95)
 
 
 def constant_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Distinct non-null values per column and whether the column is constant
-    (exactly one distinct value).  The constant test alone needs only the
-    minimum and maximum: see ``is_constant``."""
-    wide = df.agg(*[F.count_distinct(F.col(q(c))).alias(f"d{i}") for i, c in enumerate(cols)])
-    long = wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"d{i}").alias("n_distinct"))
-                                           for i, c in enumerate(cols)])))
+    """Per column 0 (no value), 1 (one distinct value) or 2 (two or more) as
+    ``n_distinct``, and whether the column is constant (exactly one).  Only the
+    minimum and maximum are needed, so one scan without a shuffle of values."""
+    def kinds(i: int) -> Column:
+        lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
+        return F.when(lo.isNull(), 0).when(lo == hi, 1).otherwise(2).cast("long")
+
+    wide = df.agg(*[a for i, c in enumerate(cols) for a in (F.min(q(c)).alias(f"lo{i}"), F.max(q(c)).alias(f"hi{i}"))])
+    long = wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), kinds(i).alias("n_distinct")) for i, c in enumerate(cols)])))
     return long.withColumn("is_constant", F.col("n_distinct") == 1)
 
 
@@ -83,11 +86,16 @@ def mutual_information(df: DataFrame, features: Sequence[str], targets: Sequence
         bins_cols.append(F.when(x.isNotNull(), b).alias(f"_b{i}"))
     d = df.select(cuts.alias("_cuts"), *[F.col(q(f)) for f in features], *[F.col(t) for t in targets]) \
         .select(*bins_cols, *[F.col(t).cast("int").alias(f"_y{j}") for j, t in enumerate(targets)])
-    rows = [F.struct(F.lit(f).alias("feature"), F.lit(t).alias("target"), F.col(f"_b{i}").alias("bin"),
-                     F.col(f"_y{j}").alias("y"))
-            for i, f in enumerate(features) for j, t in enumerate(targets)]
-    long = d.select(F.inline(F.array(*rows))).where(F.col("bin").isNotNull() & F.col("y").isNotNull())
-    joint = long.groupBy("feature", "target", "bin", "y").agg(F.count("*").alias("n_by"))
+    # targets are 0/1: one row per feature, keyed by numbers; the class counts of
+    # all targets are sums over it
+    ys = [f"_y{j}" for j in range(len(targets))]
+    rows = [F.struct(F.lit(i).alias("f"), F.col(f"_b{i}").alias("bin")) for i in range(len(features))]
+    long = d.select(*ys, F.inline(F.array(*rows))).where(F.col("bin").isNotNull())
+    sums = long.groupBy("f", "bin").agg(*[F.count(y).alias(f"n{y}") for y in ys], *[F.sum(y).alias(f"p{y}") for y in ys])
+    cells = [F.struct(F.lit(t).alias("target"), F.lit(v).alias("y"), (F.col(f"p{y}") if v else F.col(f"n{y}") - F.col(f"p{y}")).alias("n_by"))
+             for t, y in zip(targets, ys) for v in (0, 1)]
+    names = F.array(*[F.lit(f) for f in features])
+    joint = (sums.select(names[F.col("f")].alias("feature"), "bin", F.inline(F.array(*cells))).where("n_by > 0"))
     g = Window.partitionBy("feature", "target")
     # one projection for the three marginals (one analysis of the wide plan)
     joint = joint.select("*", F.sum("n_by").over(g).alias("n"),
@@ -128,16 +136,24 @@ def class_profile(df: DataFrame, target: str, features: Sequence[str]) -> DataFr
 
 def find_binary_targets(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Integer/boolean columns with exactly two distinct values, or whose name
-    contains 'target', 'label' or 'is_': positives (value 1) and % of rows."""
+    contains 'target', 'label' or 'is_': positives (value 1) and % of rows.
+    ``n_distinct`` is 0, 1, 2 or 3 (three or more): two values are a minimum, a
+    maximum and none between, so two scans and no shuffle of values."""
     types = dict(df.dtypes)
     cols = [c for c in (cols or df.columns)
             if types[c] in ("boolean", "tinyint", "smallint", "int", "bigint")
             or any(s in c.lower() for s in ("target", "label", "is_"))]
+    if not cols:
+        return df.limit(0).select(F.lit("").alias("column_name"), F.lit(0).cast("long").alias("n_distinct"), F.lit(0).cast("long").alias("positives"),
+                                  F.lit(0.0).alias("pct_positive"), F.lit(False).alias("name_match"))
+    ends = df.agg(F.struct(*[a for i, c in enumerate(cols) for a in (F.min(q(c)).alias(f"lo{i}"), F.max(q(c)).alias(f"hi{i}"))]).alias("e")).scalar()
     aggs = [F.count("*").alias("_n")]
     for i, c in enumerate(cols):
         x = F.col(q(c))
-        aggs += [F.count_distinct(x).alias(f"d{i}"), F.count_if(x.cast("double") == 1).alias(f"p{i}")]
-    wide = df.agg(*aggs)
+        lo, hi = F.col(f"_e.lo{i}"), F.col(f"_e.hi{i}")
+        kinds = (F.when(F.max(lo).isNull(), 0).when(F.max(lo == hi), 1).when(F.count_if((x > lo) & (x < hi)) == 0, 2).otherwise(3))
+        aggs += [kinds.cast("long").alias(f"d{i}"), F.count_if(x.cast("double") == 1).alias(f"p{i}")]
+    wide = df.select(*[F.col(q(c)) for c in cols]).withColumn("_e", ends).agg(*aggs)
     named = [any(s in c.lower() for s in ("target", "label", "is_")) for c in cols]
     rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"d{i}").alias("n_distinct"), F.col(f"p{i}").alias("positives"),
                      (F.col(f"p{i}") * 100.0 / F.col("_n")).alias("pct_positive"), F.lit(nm).alias("name_match"))

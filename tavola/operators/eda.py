@@ -31,28 +31,33 @@ def price_by_category(items: DataFrame, top: int = 15, category: str = "category
     """Box statistics of ``price`` for the ``top`` most frequent categories:
     n, min, Q1, median, Q3, max and the 1.5*IQR whiskers clipped to the data.
 
-    The top categories restrict the items through a left-semi join (the top
-    list has ``top`` rows, so it is broadcast).  Quantiles are exact per
-    category (``quantiles_by_group``: one percentile buffer per category
-    while its distinct prices are within the checked limit, distributed
-    refinement beyond it, so a category holding a third of the rows is never
-    buffered in one task).  Whiskers scan the (category, price) counts.
+    One (category, price) count table is computed, once: it is checkpointed, and
+    the top list, the counts, the exact quartiles (from its running counts) and
+    the whiskers all come from it.  A category that holds a third of the items is
+    pre-aggregated before the shuffle, and its prices are spread over tasks.
     """
-    from tavola.functions.stats import quantiles_by_group
-
-    keep = items.join(F.broadcast(_top_values(items, category, top)), on=category, how="left_semi")
-    freq = (keep.where(F.col(price).isNotNull()).groupBy(category, price)
-            .agg(F.count("*").alias("_f")))
-    base = freq.groupBy(category).agg(F.sum("_f").alias("n"), F.min(price).alias("min"), F.max(price).alias("max"))
-    quart = quantiles_by_group(keep.where(F.col(price).isNotNull()), [category], price, [0.25, 0.5, 0.75])
-    qs = base.join(quart, on=category).select(
-        category, "n", "min", "max", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-        F.col("q")[2].alias("q3"))
+    from tavola.functions.windows import prefix_sums
+
+    every = items.where(F.col(category).isNotNull()).groupBy(category, price).agg(F.count("*").alias("_f"))
+    cum = prefix_sums(every, [category], price, ["_f"], descending=True)  # nulls, the smallest, come last
+    names = (cum.groupBy(category).agg(F.sum("_f").alias("_n"), F.sum(F.when(F.col(price).isNotNull(), F.col("_f"))).alias("n"))
+             .orderBy(F.desc("_n"), F.asc(category)).limit(top).select(category, "n"))
+    freq = cum.join(F.broadcast(names), category).where(F.col(price).isNotNull())  # ``top`` rows
+    # rank r from below is rank n - 1 - r from above
+    aggs, parts = [], []
+    for i, p in enumerate((0.25, 0.5, 0.75)):
+        pos = (F.col("n") - 1) * F.lit(p)
+        for k, r in enumerate((F.floor(pos), F.least(F.floor(pos) + 1, F.col("n") - 1))):
+            top_rank = F.col("n") - 1 - r
+            aggs.append(F.max(F.when((F.col("cum__f") - F.col("_f") <= top_rank) & (top_rank < F.col("cum__f")), F.col(price))).alias(f"_v{i}{k}"))
+        parts.append(F.col(f"_v{i}0") + (F.col(f"_v{i}1") - F.col(f"_v{i}0")) * (pos - F.floor(pos)))
+    qs = (freq.groupBy(category, "n").agg(F.min(price).alias("min"), F.max(price).alias("max"), *aggs)
+          .select(category, "n", "min", "max", *[c.alias(n) for c, n in zip(parts, ("q1", "median", "q3"))]))
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     # Whiskers: the most extreme data points inside the fences (second pass
     # over the per-price counts joined with one row per category).
-    whisk = (freq.join(qs.select(category, lo.alias("_lo"), hi.alias("_hi")), on=category)
+    whisk = (freq.join(F.broadcast(qs.select(category, lo.alias("_lo"), hi.alias("_hi"))), on=category)
              .groupBy(category)
              .agg(F.min(F.when(F.col(price) >= F.col("_lo"), F.col(price))).alias("whisker_low"),
                   F.max(F.when(F.col(price) <= F.col("_hi"), F.col(price))).alias("whisker_high")))

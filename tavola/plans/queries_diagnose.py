@@ -59,7 +59,7 @@ _cd_rows = " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c})
                               for c in MM)
 
 
-@register("constant_columns", f"SELECT column_name, n_distinct, n_distinct = 1 AS is_constant FROM ({_cd_rows})",
+@register("constant_columns", f"SELECT column_name, least(n_distinct, 2) AS n_distinct, n_distinct = 1 AS is_constant FROM ({_cd_rows})",
           ("model_matrix",))
 def q_constant_columns(spark, sf):
     return D.constant_columns(_mm(spark, sf), MM)
@@ -146,7 +146,7 @@ _INTS = ("dish_count", "total_rating_count", "category_diversity", "price_segmen
 
 
 @register("find_binary_targets", " UNION ALL ".join(
-    f"SELECT * FROM (SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_distinct, "
+    f"SELECT * FROM (SELECT '{c}' AS column_name, least(count(DISTINCT {c}), 3) AS n_distinct, "
     f"count(*) FILTER (WHERE CAST({c} AS DOUBLE) = 1) AS positives, "
     f"CAST(count(*) FILTER (WHERE CAST({c} AS DOUBLE) = 1) AS DOUBLE) * 100 / count(*) AS pct_positive, "
     f"{'true' if 'is_' in c else 'false'} AS name_match FROM model_matrix) WHERE n_distinct = 2 OR name_match"
