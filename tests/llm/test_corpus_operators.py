@@ -82,13 +82,13 @@ def test_prefix_lengths_lose_no_pair():
     from tavola.llm.ngram_join import prefix_lengths
     for num in (80, 90):
         n = np.arange(1, 400)
-        k, short, need = prefix_lengths(n, num, 100)
-        for a, ka, pa, na in zip(n, k, short, need):
+        length, need = prefix_lengths(n, num, 100)
+        for a, la, na in zip(n, length, need):
             t = -(-num * a // 100)
-            assert pa == a - t + 1 and 1 <= na <= ka <= a - t + 1
+            assert 1 <= na <= la - (a - t) and la <= a
             for b in range(t, a + 1):  # a smaller set that may link
-                kb = (b - -(-num * b // 100)) // 2 + 1
-                assert min(ka, kb) >= na
+                d = b - -(-num * b // 100)
+                assert d // 2 + 1 >= na and length[b - 1] == min(b, d + d // 2 + 1)
 
 
 def test_components_of_chains_and_stars(llm):
