@@ -101,24 +101,36 @@ def quality_score_expr(missing_pct_sum: Column, duplicate_pct: Column, type_issu
 def validation_report(df: DataFrame, expected: Mapping[str, str] = DEFAULT_EXPECTED_TYPES,
                       rules=DEFAULT_RANGE_RULES) -> DataFrame:
     """Shape, nulls, duplicates, type issues, ranges and the quality score in
-    one row.  Null counts and ranges share one scan; duplicates are one more
-    aggregate (scalar subquery)."""
+    one row.  ``nulls`` lists the columns with nulls (count and % of rows),
+    ``type_issue_rows`` the columns of another type than expected, ``ranges``
+    the minimum, maximum and out-of-range counts per rule.  Null counts and
+    ranges share one scan; duplicates are one more aggregate (scalar subquery)."""
     cols = df.columns
     n_type_issues = sum(1 for c, e in expected.items() if c in dict(df.dtypes) and e not in dict(df.dtypes)[c])
     distinct = df.distinct().agg(F.count("*")).scalar()
     nulls = [F.count_if(F.col(q(c)).isNull()) for c in cols]
     rng = []
-    for c, _lo, _hi, _lim in rules:
+    ranges = []
+    for c, lo, hi, lim in rules:
         if c in cols:
+            x, end = F.col(q(c)), lim if lim is not None else hi
+            ranges.append(F.struct(F.lit(c).alias("column_name"), F.min(x).cast("double").alias("min"), F.max(x).cast("double").alias("max"),
+                                   (F.count_if(x < F.lit(lo)) if lo is not None else F.lit(0).cast("long")).alias("n_below"),
+                                   (F.count_if(x > F.lit(end)) if end is not None else F.lit(0).cast("long")).alias("n_above")))
             rng += [F.min(q(c)).cast("double").alias(f"{c}_min"), F.max(q(c)).cast("double").alias(f"{c}_max")]
     base = df.agg(F.count("*").alias("n_rows"),
                   sum(nulls, F.lit(0)).cast("long").alias("missing_cells"),
                   sum((F.try_divide(x * 100.0, F.count("*")) for x in nulls), F.lit(0.0)).alias("missing_pct_sum"),
-                  *rng)
+                  F.array(*[F.struct(F.lit(c).alias("column_name"), x.alias("missing"), F.try_divide(x * 100.0, F.count("*")).alias("missing_pct"))
+                            for c, x in zip(cols, nulls)]).alias("nulls"),
+                  F.array(*ranges).alias("ranges"), *rng)
+    base = base.withColumn("nulls", F.filter("nulls", lambda s: s["missing"] > 0))
     out = (base.withColumn("n_columns", F.lit(len(cols)))
            .withColumn("duplicates", F.col("n_rows") - distinct)
            .withColumn("duplicate_pct", F.try_divide(F.col("duplicates") * 100.0, F.col("n_rows")))
-           .withColumn("type_issues", F.lit(n_type_issues)))
+           .withColumn("type_issues", F.lit(n_type_issues))
+           .withColumn("type_issue_rows", F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(e).alias("expected"), F.lit(dict(df.dtypes)[c]).alias("actual"))
+                                                    for c, e in expected.items() if c in cols and e not in dict(df.dtypes)[c]])))
     return out.withColumn("quality_score", quality_score_expr(F.col("missing_pct_sum"), F.col("duplicate_pct"),
                                                               F.col("type_issues").cast("double")))
 

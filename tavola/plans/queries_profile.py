@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tavola.operators import profile as P
 from tavola.plans import venue
 from tavola.plans.catalog import register
@@ -87,8 +89,11 @@ SELECT *, greatest(CAST(0 AS DOUBLE), 100 - least(missing_pct_sum * 0.5, 30) - l
                    - least(CAST(type_issues AS DOUBLE) * 5, 20)) AS quality_score
 FROM (
   SELECT n_rows, missing_cells, missing_pct_sum, rating_min, rating_max, price_min, price_max,
-         9 AS n_columns, duplicates, CAST(duplicates AS DOUBLE) * 100 / n_rows AS duplicate_pct, 0 AS type_issues
-  FROM (SELECT count(*) AS n_rows, CAST({_cells} AS BIGINT) AS missing_cells, {_pct_sum} AS missing_pct_sum,
+         9 AS n_columns, duplicates, CAST(duplicates AS DOUBLE) * 100 / n_rows AS duplicate_pct, 1 AS type_issues,
+         nulls, ranges, 'rating_count:bigint:int' AS type_issue_rows
+  FROM (SELECT concat_ws('; ', {", ".join(f"CASE WHEN count(*) FILTER (WHERE {c} IS NULL) > 0 THEN '{c}=' || count(*) FILTER (WHERE {c} IS NULL) END" for c in ITEM_COLS)}) AS nulls,
+               'rating:' || count(*) FILTER (WHERE rating < 0) || ':' || count(*) FILTER (WHERE rating > 5) || '; price:'
+                 || count(*) FILTER (WHERE price < 0) || ':' || count(*) FILTER (WHERE price > 10000) AS ranges, count(*) AS n_rows, CAST({_cells} AS BIGINT) AS missing_cells, {_pct_sum} AS missing_pct_sum,
                CAST(min(rating) AS DOUBLE) AS rating_min, CAST(max(rating) AS DOUBLE) AS rating_max,
                CAST(min(price) AS DOUBLE) AS price_min, CAST(max(price) AS DOUBLE) AS price_max,
                count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM fx_items)) AS duplicates
@@ -96,7 +101,11 @@ FROM (
 """, ("fx_items",), dbl=("missing_pct_sum", "rating_min", "rating_max", "price_min", "price_max",
                          "duplicate_pct", "quality_score"))
 def q_validation_report(spark, sf):
-    return P.validation_report(venue.raw_items(spark, sf))
+    r = P.validation_report(venue.raw_items(spark, sf), {"rating": "double", "rating_count": "bigint"})
+    shown = {"nulls": lambda s: F.concat(s["column_name"], F.lit("="), s["missing"].cast("string")),
+             "ranges": lambda s: F.concat_ws(":", s["column_name"], s["n_below"].cast("string"), s["n_above"].cast("string")),
+             "type_issue_rows": lambda s: F.concat_ws(":", s["column_name"], s["expected"], s["actual"])}
+    return r.withColumns({c: F.array_join(F.transform(c, f), "; ") for c, f in shown.items()})
 
 
 def _hist_sql(src: str, cols, bins: int) -> str:
