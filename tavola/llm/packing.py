@@ -265,11 +265,16 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> Dat
                 r = rank[at] - first[j]
                 seq[at] = base[j] + r // number[j]
                 place[at] = slot[j] + r % number[j]
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(n)) for n in keep], pa.array(seq), pa.array(place)], [*keep, "sequence_id", "_place"])
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(n)) for n in key], b.column(b.schema.get_field_index("length")), pa.array(seq), pa.array(place)],
+                                             [*key, "_length", "sequence_id", "_place"])
 
-    out = rows.join(offsets, ["_class", "_task"]).mapInArrow(placed, kinds + ", sequence_id long, _place long")
+    # places are found on narrow rows; the pieces with their ids are shuffled once, to meet them
+    key = ["_class", "_task", "_rank"]
+    narrow = rows.select(*key, F.col("length").cast("long").alias("length")).join(offsets, ["_class", "_task"])
+    out = narrow.mapInArrow(placed, "_class int, _task int, _rank long, _length long, sequence_id long, _place long")
     earlier = Window.partitionBy("sequence_id").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
-    return out.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0)).cast("long")).drop("_place")
+    out = out.withColumn("offset", F.coalesce(F.sum("_length").over(earlier), F.lit(0)).cast("long")).select(*key, "sequence_id", "offset")
+    return rows.join(out, key).select(*keep, "sequence_id", "offset")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
