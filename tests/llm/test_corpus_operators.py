@@ -285,3 +285,36 @@ def test_pipeline_near_duplicates_of_odd_rows(llm, docs_of):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (None, "a b c d e f"), (None, "z y"), (None, "z y"), (3, None), (4, None)]
     got = P.near_duplicates(llm, docs_of(rows), "").collect()
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in got) == [("1", "a b c d e f"), ("3", "None"), ("4", "None"), ("None", "z y")]
+
+
+def near_copy_groups(rng, sizes, dim=64, noise=0.02):
+    """(vec_id, vector, label) of groups of distinct near copies around far-apart centres."""
+    rows = []
+    for n in sizes:
+        base = rng.normal(size=dim)
+        rows += [(len(rows) + k, (base + rng.normal(size=dim) * noise).tolist(), 0) for k in range(n)]
+    return rows
+
+
+@pytest.mark.parametrize("sizes", [[70] * 20, [300] * 4])
+def test_vector_graph_links_groups_larger_than_the_candidates(llm, monkeypatch, sizes):
+    from tavola.llm import vector_graph as V
+    rows = near_copy_groups(np.random.default_rng(3), sizes)
+    recalls = []
+    audit = V.audit
+    monkeypatch.setattr(V, "audit", lambda *a: recalls.append(audit(*a)) or recalls[-1])
+    got = {r["vec_id"]: r for r in V.near_duplicates(vectors_of(llm, rows)).collect()}
+    want = brute_vectors(rows)
+    assert len(recalls) == 1  # by the graph, without a second search
+    assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == want
+
+
+def test_vector_graph_searches_exactly_or_fails_where_the_audit_does(llm, monkeypatch):
+    from tavola.llm import vector_graph as V
+    rows = near_copy_groups(np.random.default_rng(4), [3, 2, 2])
+    monkeypatch.setattr(V, "range_search", lambda x, adj, q, *a: np.zeros((len(q), len(x)), bool))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in V.near_duplicates(vectors_of(llm, rows)).collect()}
+    assert got == brute_vectors(rows)
+    monkeypatch.setattr(V, "audit", lambda *a: 0.5)
+    with pytest.raises(RuntimeError, match="recall"):
+        V.near_duplicates(vectors_of(llm, rows))
