@@ -318,3 +318,22 @@ def test_vector_graph_searches_exactly_or_fails_where_the_audit_does(llm, monkey
     monkeypatch.setattr(V, "audit", lambda *a: 0.5)
     with pytest.raises(RuntimeError, match="recall"):
         V.near_duplicates(vectors_of(llm, rows))
+
+
+def test_vector_audit_sees_lost_pairs_beside_a_hot_group(llm, monkeypatch):
+    from tavola.llm import vector_graph as V
+    rng = np.random.default_rng(5)
+    rows = near_copy_groups(rng, [300, *[2] * 60])
+    rows += [(10000 + k, rows[0][1], 0) for k in range(1200)]  # copies of one of the group
+    recalls = []
+    audit, search = V.audit, V.range_search
+    monkeypatch.setattr(V, "audit", lambda *a: recalls.append(audit(*a)) or recalls[-1])
+
+    def without_some_pairs(x, adj, q, *a):
+        found = search(x, adj, q, *a)
+        found[(found.sum(axis=1) <= 2) & (np.arange(len(q)) % 4 == 0)] = False
+        return found
+    monkeypatch.setattr(V, "range_search", without_some_pairs)
+    got = {r["vec_id"]: r["n_links"] for r in V.near_duplicates(vectors_of(llm, rows)).collect()}
+    assert recalls[0] < 0.98 and recalls[-1] == 1.0
+    assert all(got[300 + k] == 1 for k in range(120)) and got[10000] == 1499
