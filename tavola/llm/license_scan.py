@@ -8,9 +8,9 @@ There, the window of the text is aligned with the template: words unique to
 both are anchors, the longest increasing subsequence of them is kept, and the
 gaps between are aligned the same way; in small gaps without anchors the
 longest common subsequence decides.  A template matches where the aligned
-words cover at least ``coverage`` of it and of their span in the text (a short one also needs the words that
-only it has among the short ones); of overlapping matches the one with
-more aligned words holds.
+words cover at least ``coverage`` of it and of their span in the text; of the words that a near kin (a template that
+covers as much of it) lacks, as large a share must be aligned, and a short one needs the words that among the
+short ones only it and its near kin have.  Of overlapping matches the one with more aligned words holds.
 
 Cases: a null, empty or very long text needs nothing special, whole texts are
 scanned; repeated rows and null ids are scanned each for itself; other columns
@@ -29,7 +29,26 @@ from pyspark.sql import functions as F
 
 from tavola.llm import textkernel as K
 
-# fixed values: notices by which works state their license
+_WITHOUT = ("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+            "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details.")
+_FREE = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as "
+         "published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. " + _WITHOUT)
+_BSD_2 = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+          "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+          "disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+          "in the documentation and/or other materials provided with the distribution. ")
+_BSD_3 = _BSD_2 + ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+                   "this software without specific prior written permission. ")
+_BSD_AS_IS = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+              "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+              "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+              "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+              "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+              "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_ISC = ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+        "above copyright notice and this permission notice appear in all copies. ")
+
+# fixed values: notices by which works state their license; short whole texts ("-text"), headers, and the titles of long texts
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the "
@@ -46,20 +65,47 @@ TEMPLATES = {
         "HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR "
         "IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
-        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is "
-        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
-        "FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
-        "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
-        "disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
-        "in the documentation and/or other materials provided with the distribution.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
-        "above copyright notice and this permission notice appear in all copies.",
+    "GPL-3.0-header": _FREE.format("General Public License", "3"),
+    "GPL-3.0-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
+    "GPL-2.0-header": _FREE.format("General Public License", "2"),
+    "GPL-2.0-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3",
+    "LGPL-3.0-header": _FREE.format("Lesser General Public License", "3"),
+    "LGPL-3.0-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1",
+    "LGPL-2.1-header": _FREE.format("Lesser General Public License", "2.1"),
+    "LGPL-2.1-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3",
+    "AGPL-3.0-header": _FREE.format("Affero General Public License", "3"),
+    "AGPL-3.0-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "BSD-2-Clause": _BSD_2,
+    "BSD-2-Clause-text": _BSD_2 + _BSD_AS_IS,
+    "BSD-2-Clause-notice": "Released under the BSD 2-Clause License",
+    "BSD-3-Clause": _BSD_3,
+    "BSD-3-Clause-text": _BSD_3 + _BSD_AS_IS,
+    "BSD-3-Clause-notice": "Released under the BSD 3-Clause License",
+    "ISC": _ISC,
+    "ISC-text": _ISC + "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR "
+        "ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
         "this file, You can obtain one at",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0",
+    "Unlicense": "This is free and unencumbered software released into the public domain",
+    "Unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
+        "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by "
+        "any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in "
+        "the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and "
+        "successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software "
+        "under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, "
+        "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE "
+        "USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "CC0-1.0": "This work is dedicated to the public domain under the Creative Commons CC0 1.0 Universal dedication",
     "all-rights-reserved": "All rights reserved",
 }
@@ -157,9 +203,16 @@ class Scanner:
         code = {vocabulary[i]: k for k, i in enumerate(order)}
         self.member = np.zeros((len(self.names), len(vocabulary)), bool)
         self.need = []
-        short = [ws for ws in self.words if len(ws) < SHORT]
-        # a short template is told from its kin by the words only it has
-        self.key = [{w for w in ws if w in code and sum(w in other for other in short) == 1} if len(ws) < SHORT else set() for ws in self.words]
+        self.key: list[set] = []
+        self.apart: list[list[set]] = []  # per template and near kin the positions that the kin lacks
+        aligned = [[{j for _, j in patience(u, t)} for u in self.words] for t in self.words]
+        kin = [[len(j) >= coverage * len(t) for j in row] for t, row in zip(self.words, aligned)]
+        for t, ws in enumerate(self.words):
+            rest = [set(range(len(ws))) - j for u, j in enumerate(aligned[t]) if kin[t][u]]
+            self.apart.append([lacks for lacks in rest if lacks])
+            # a short template is told from the others by the words only it and its kin have
+            strange = {w for u, other in enumerate(self.words) if len(other) < SHORT and u != t and not kin[t][u] and not kin[u][t] for w in other}
+            self.key.append({w for w in ws if w in code and w not in strange} if len(ws) < SHORT else set())
         for t, ws in enumerate(self.words):
             telling = [w for w in ws if w in code]
             for w in telling:
@@ -167,6 +220,10 @@ class Scanner:
             may_lack = len(ws) - int(np.ceil(coverage * len(ws)))
             self.need.append(max(1, len(telling) - may_lack))
 
+    def _told_apart(self, t: int, at: set) -> bool:
+        ws = self.words[t]
+        return self.key[t] <= {ws[j] for j in at} and all(len(lacks & at) >= self.coverage * len(lacks) for lacks in self.apart[t])
+
     def matches(self, w: K.Words) -> Iterator[tuple[int, str, float, int, int, int]]:
         """(row, license, coverage, first byte, end byte, aligned words) by place."""
         if not len(self.names) or not len(w.starts):
@@ -191,7 +248,7 @@ class Scanner:
                 text = [w.text(k) for k in range(lo, hi)]
                 pairs = patience(text, ws)
                 dense = pairs and len(pairs) >= self.coverage * (pairs[-1][0] - pairs[0][0] + 1)
-                if dense and len(pairs) >= self.coverage * len(ws) and self.key[t] <= {ws[j] for _, j in pairs}:
+                if dense and len(pairs) >= self.coverage * len(ws) and self._told_apart(t, {j for _, j in pairs}):
                     a, z = lo + pairs[0][0], lo + pairs[-1][0]
                     yield row, self.names[t], len(pairs) / len(ws), int(w.starts[a]), int(w.ends[z]), len(pairs)
                     done = z + 1

@@ -272,3 +272,28 @@ def test_registered_digests(llm):
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
     assert zlib.crc32(b"") == 0
+
+
+def test_license_scan_tells_near_kin_apart(llm, docs_of):
+    from tavola.llm import license_scan as L
+    names = list(L.TEMPLATES)
+    head = ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software "
+            "Foundation; either version {1} of the License, or (at your option) any later version. This program is distributed in the hope that it will be "
+            "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} "
+            "for more details.")
+    use = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+           "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+           "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+           "documentation and/or other materials provided with the distribution. ")
+    third = ("3. Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software "
+             "without specific prior written permission. ")
+    rows = [(i, "before it\n" + L.TEMPLATES[n] + "\nand after it") for i, n in enumerate(names)]
+    want = {i: [n] for i, n in enumerate(names)}
+    for text, license in [(head.format("General Public License", "2"), "GPL-2.0-header"), (head.format("Lesser General Public License", "2.1"), "LGPL-2.1-header"),
+                          (head.format("Lesser General Public License", "3"), "LGPL-3.0-header"), (head.format("Affero General Public License", "3"), "AGPL-3.0-header"),
+                          (head.format("General Public License", "3"), "GPL-3.0-header"), (use, "BSD-2-Clause"), (use + third, "BSD-3-Clause"),
+                          (head.format("General Public License", "9"), None)]:
+        rows.append((len(rows), text))
+        want[len(want)] = [license] if license else []
+    got = {r["doc_id"]: [m["license"] for m in r["licenses"]] for r in L.scan(docs_of(rows)).collect()}
+    assert {(rows[i][1][:90], tuple(got[i]), tuple(want[i])) for i in want if got[i] != want[i]} == set()
