@@ -4,11 +4,14 @@ scaled by naive-Bayes log-count ratios.
 A word becomes a symbol of its form: letter case, ending, length, marks, and
 whether the three words from it stood earlier in the text.  Indicators say that
 an n-gram of symbols (orders 1 to 3, three alphabets) fills at least a given
-share of the text; hashed into ``DIM`` columns.  Spark counts each indicator by
-class over all labelled training rows; the log-count ratios scale the
-indicators, and a linear hinge-loss model is fitted by dual coordinate descent
+share of the text; hashed into ``FORM_DIM`` columns.  Beside them, indicators
+say which words (letters and digits, lower-case) and pairs of neighbouring
+words occur; hashed into the other columns of ``DIM``.  Spark counts each
+indicator by class over all labelled training rows; the log-count ratios scale
+the indicators (those of words are smoothed towards 0, so that rare words weigh
+little), and a linear hinge-loss model is fitted by dual coordinate descent
 on at most ``fit_rows`` labelled rows (a documented bound) and calibrated by a
-logistic curve.
+logistic curve over margins of rows that the margin's model has not seen.
 
 Cases: null and empty texts have only the indicator of emptiness; rows whose
 doc_id is null or repeated are scored each for itself; without labels of both
@@ -27,7 +30,9 @@ from pyspark.sql import functions as F
 from tavola.llm import textkernel as K
 from tavola.llm.shared import bounded_sample, labelled, written
 
-DIM = 1 << 18
+FORM_DIM, DIM = 1 << 18, 1 << 20
+#: Columns are kept as their lower 16 bits and the number of columns for each value of the upper ones.
+HIGHS = DIM >> 16
 #: Shares of a text's n-grams from which on an indicator is set (0: it occurs).
 SHARES = np.array([0.0, 1 / 64, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 3 / 4, 15 / 16])
 _MARKS = np.zeros(256, np.int64)
@@ -37,6 +42,10 @@ _UPPER[65:91] = 1
 _LETTER = np.zeros(256, np.int64)
 _LETTER[65:91] = _LETTER[97:123] = 1
 _LETTER[128:] = 1
+_WORD = np.full(256, 32, np.uint8)
+for _c in range(256):
+    if chr(_c).isalnum() or _c >= 128:
+        _WORD[_c] = _c + 32 if 65 <= _c <= 90 else _c
 _END = np.full(256, 3)
 _END[[ord(x) for x in ".,;:"]] = 1
 _END[[ord(x) for x in "!?"]] = 2
@@ -105,26 +114,62 @@ def indicators(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
             for j, s in enumerate(SHARES):
                 k = at[share >= s] if s else at
                 keys.append(r[k])
-                cols.append((1 + K.mix(g[k] * np.uint64(16) + np.uint64(j + 1)) % np.uint64(DIM - 1)).astype(np.int64))
+                cols.append((1 + K.mix(g[k] * np.uint64(16) + np.uint64(j + 1)) % np.uint64(FORM_DIM - 1)).astype(np.int64))
+    w = K.Words(_WORD[data], offs)
+    if len(w.starts):
+        h = w.hashes()
+        for n in (1, 2):
+            g, r = K.shingles(h, w.row, n)
+            keys.append(r)
+            cols.append((FORM_DIM + K.mix(g + np.uint64(n)) % np.uint64(DIM - FORM_DIM)).astype(np.int64))
     key = np.unique(np.concatenate(keys) * DIM + np.concatenate(cols))
     return key % DIM, np.searchsorted(key, np.arange(rows + 1) * DIM)
 
 
-def _indicator_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marked(labels: DataFrame, spot: F.Column, bits: int) -> np.ndarray:
+    """A bit for the place of every label's id, in 64-bit words."""
+    words = (labels.where("doc_id is not null").select(spot.alias("spot")).groupBy(F.floor(F.col("spot") / 64).alias("word"))
+             .agg(F.expr("bit_or(shiftleft(1L, cast(spot % 64 as int)))").alias("mask")).toArrow())
+    out = np.zeros(bits // 64, np.int64)
+    out[words["word"].to_numpy()] = words["mask"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _indicator_rows(batches: Iterator[pa.RecordBatch], marked: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Indicators of the rows whose id's place is marked: all labelled rows and few others."""
     for b in batches:
+        spot = b.column(2).to_numpy().astype(np.uint64)
+        b = b.filter(pa.array((marked[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1) == 1))
+        if not b.num_rows:
+            continue
         for lo, hi, data, offs in K.text_chunks(b.column(1)):
             cols, at = indicators(data, offs)
-            yield pa.record_batch({"doc_id": b.column(0).slice(lo, hi - lo),
-                                   "columns": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(cols, pa.int32()))})
+            row = np.repeat(np.arange(hi - lo), np.diff(at))
+            highs = np.bincount(row * HIGHS + (cols >> 16), minlength=(hi - lo) * HIGHS)
+            yield pa.record_batch({"doc_id": b.column(0).slice(lo, hi - lo), "lows": _binary((cols & 0xFFFF).astype("<u2"), at),
+                                   "highs": _binary(highs.astype("<i4"), np.arange(hi - lo + 1) * HIGHS)})
+
+
+def _binary(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """One binary value for the values of each row."""
+    offsets = pa.py_buffer((at * values.itemsize).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, offsets, pa.py_buffer(values.tobytes())])
+
+
+def _columns(lows: pa.Array, highs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of all rows, and how many each row has."""
+    low = np.frombuffer(b"".join(lows.to_pylist()), "<u2").astype(np.int32)
+    n = np.frombuffer(b"".join(highs.to_pylist()), "<i4")
+    high = np.repeat(np.tile(np.arange(HIGHS, dtype=np.int32), len(lows)), n)
+    return (high << 16) | low, n.reshape(-1, HIGHS).sum(axis=1)
 
 
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of each class by column, summed over a task's rows before the shuffle."""
     n = np.zeros((2, DIM), np.int64)
     for b in batches:
-        lists, y = b.column(0), b.column(1).to_numpy(zero_copy_only=False)
-        flat = lists.flatten().to_numpy(zero_copy_only=False)
-        size = np.diff(lists.offsets.to_numpy())
+        flat, size = _columns(b.column(0), b.column(1))
+        y = b.column(2).to_numpy(zero_copy_only=False)
         for c in (0, 1):
             n[c] += np.bincount(flat[np.repeat(y == c, size)], minlength=DIM)
     k = np.flatnonzero(n.sum(axis=0))
@@ -174,31 +219,56 @@ def _logistic_curve(m: np.ndarray, y01: np.ndarray) -> tuple[float, float]:
     return float(ab[0]), float(ab[1])
 
 
+def _ratios(n: np.ndarray, smooth: float) -> np.ndarray:
+    """Log-count ratios of the columns, of forms and of words each over their own totals."""
+    words = n[:, FORM_DIM:]
+    share = words.sum(axis=1, keepdims=True) / max(words.sum(), 1)
+    p = np.concatenate([n[:, :FORM_DIM] + smooth, words + 2 * smooth * np.maximum(share, 1e-9)], axis=1)  # a word of no row has ratio 0
+    for part in (p[:, :FORM_DIM], p[:, FORM_DIM:]):
+        part /= part.sum(axis=1, keepdims=True)
+    ratio = np.log(p[1] / p[0])
+    ratio[0] = 1.0
+    return ratio
+
+
+def _margins(x: list[np.ndarray], w: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    return np.array([(w[c] * ratio[c]).sum() / max(np.sqrt((ratio[c] ** 2).sum()), 1e-12) for c in x])
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, fit_rows: int = 12_000, smooth: float = 1.0, cost: float = 1.0) -> dict:
     """Model of ``labels.quality`` from the rows of docs(doc_id, text) that ``train`` keeps."""
     rows = docs if train is None else docs.where(train)
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bits = 1 << max(16, (16 * labels.count()).bit_length())
+    spot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
+    marked = docs.sparkSession.sparkContext.broadcast(_marked(labels, spot, bits))
+    rows = rows.withColumn("spot", spot)
     # only ids and columns are shuffled to meet the labels, never the texts
-    known = written(labelled(rows.mapInArrow(_indicator_rows, "doc_id long, columns array<int>"), labels), "nbsvm-train")
+    known = written(labelled(rows.mapInArrow(lambda batches: _indicator_rows(batches, marked.value), "doc_id long, lows binary, highs binary"), labels), "nbsvm-train")
     size = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n = sum(size.values())
     if len(size) < 2:
         return {"share": size.get(1, 0) / n if n else 0.5}
-    counts = (known.select("columns", "label").mapInArrow(_class_counts, "column int, n0 long, n1 long")
+    counts = (known.select("lows", "highs", "label").mapInArrow(_class_counts, "column int, n0 long, n1 long")
               .groupBy("column").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow())  # DIM rows at most
-    p = np.full((2, DIM), smooth)
+    n_by = np.zeros((2, DIM))
     for c in (0, 1):
-        p[c][counts["column"].to_numpy()] += counts[f"n{c}"].to_numpy()
-    ratio = np.log((p[1] / p[1].sum()) / (p[0] / p[0].sum()))
-    ratio[0] = 1.0
+        n_by[c][counts["column"].to_numpy()] = counts[f"n{c}"].to_numpy()
+    ratio = _ratios(n_by, smooth)
     picked = bounded_sample(known, "doc_id", n, fit_rows).toArrow()
-    lists = picked["columns"].combine_chunks()
-    x = np.split(lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()[1:-1] - lists.offsets[0].as_py())
+    flat, width = _columns(picked["lows"], picked["highs"])
+    x = np.split(flat, np.cumsum(width)[:-1])
     y = picked["label"].to_numpy()
     if len(set(y.tolist())) < 2:
         return {"share": size.get(1, 0) / n}
-    w = dual_coordinate_descent(x, ratio, np.where(y == 1, 1.0, -1.0), cost)
-    m = np.array([(w[c] * ratio[c]).sum() / max(np.sqrt((ratio[c] ** 2).sum()), 1e-12) for c in x])
+    sign = np.where(y == 1, 1.0, -1.0)
+    w = dual_coordinate_descent(x, ratio, sign, cost)
+    half = np.arange(len(y)) % 2
+    m = _margins(x, w, ratio)
+    if all(len(set(y[half == k].tolist())) == 2 for k in (0, 1)):
+        for k in (0, 1):
+            mine, other = np.flatnonzero(half == k), np.flatnonzero(half != k)
+            m[mine] = _margins([x[i] for i in mine], dual_coordinate_descent([x[i] for i in other], ratio, sign[other], cost), ratio)
     return {"weight": w * ratio, "square": ratio ** 2, "curve": _logistic_curve(m, y)}
 
 

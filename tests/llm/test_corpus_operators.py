@@ -337,3 +337,15 @@ def test_vector_audit_sees_lost_pairs_beside_a_hot_group(llm, monkeypatch):
     got = {r["vec_id"]: r["n_links"] for r in V.near_duplicates(vectors_of(llm, rows)).collect()}
     assert recalls[0] < 0.98 and recalls[-1] == 1.0
     assert all(got[300 + k] == 1 for k in range(120)) and got[10000] == 1499
+
+
+def test_nbsvm_learns_words_of_equal_typography(llm, docs_of):
+    from tavola.llm import nbsvm
+    rng = random.Random(8)
+    kinds = [["abra", "kado", "lima", "mora", "nelo", "pira"], ["sefa", "tulo", "vena", "wiko", "xeta", "zoru"]]
+    both = ["bena", "cifo", "dalu", "fero", "gima", "hoku"]
+    rows = [(i, " ".join(rng.choice(kinds[i % 2] + both) for _ in range(40))) for i in range(400)]
+    labels = llm.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in nbsvm.classify(docs_of(rows), labels).collect()}
+    right = sum((got[i] >= 0.5) == (i % 2 == 1) for i in range(300, 400))
+    assert right >= 95
