@@ -105,3 +105,18 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tavola.llm import language_model
     from tavola.llm.shared import crc_mod
     return language_model.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2)
+
+
+@query
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tavola.llm import exact_dedup
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_exact_dedup"] = r"""
+WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
+g AS (SELECT doc_id, text_sha256, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+             row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept
+      FROM t WINDOW w AS (PARTITION BY text_sha256))
+SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM g
+"""
