@@ -143,3 +143,70 @@ n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.sc
       FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
 """
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows damaged by the hash of their place; ``present`` is false for dropped ones."""
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(shown("conv_id"), F.lit(":"), shown("turn")).cast("binary")) % 20
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    return (rows.select("conv_id", "turn", shown("role").alias("role"), shown("text").alias("text"), kind.alias("kind"))
+            .withColumns({"role": F.when(F.col("kind") == 4, "user").otherwise(F.col("role")), "text": text, "present": F.col("kind") != 0,
+                          "again": F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))}))
+
+
+@query
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tavola.llm import conversations
+    return conversations.report(damaged(table(spark, sf_dir, "conversations")), F.col("present"))
+
+
+def _state(after: str, keep: str) -> str:
+    """Cheapest (cost, audit, text) in ``after`` by deleting, keeping or a new role; ``keep``: state that keeping leads to."""
+    to, role = ("h3", "assistant") if after == "h2" else ("h2", "user")
+    line = "CASE WHEN {0}.t = '' THEN {1} ELSE {1} || chr(10) || {0}.t END"
+    ways = [f"{{'c': {after}.c + 2, 'a': 'D' || {after}.a, 't': {after}.t}}",
+            f"CASE WHEN fault IN (0, 3) THEN {{'c': {to}.c + 1 + unfit, 'a': 'R' || {to}.a, 't': {line.format(to, repr(role + ':') + ' || text')}}} END"]
+    for initial, target in {"u": "h2", "a": "h3", "s": "h1"}.items():
+        if initial in keep:
+            kept = line.format(target, "role || ':' || text")
+            ways.append(f"CASE WHEN fault IN (0, 3) AND left(role, 1) = '{initial}' THEN {{'c': {target}.c + unfit, 'a': 'K' || {target}.a, 't': {kept}}} END")
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _inserted(own: str, to: str, role: str) -> str:
+    """The cheaper of ``own`` and a row of ``role`` put before ``to``."""
+    text = f"CASE WHEN {to}.t = '' THEN '{role}:' ELSE '{role}:' || chr(10) || {to}.t END"
+    return f"list_min([{own}, {{'c': {to}.c + 5, 'a': 'I' || {to}.a, 't': {text}}}])"
+
+
+#: From the last row of each conversation to the first: h0 to h3 hold the cheapest
+#: (cost, audit, repaired text) from the states start, after s, after u, after a.
+SQL["op12_conversations"] = rf"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations),
+crc AS (SELECT DISTINCT place, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(place, ''), lambda x: ord(x)::BIGINT)),
+                 lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT for _ in range(8)]), lambda x, _: xor(x >> 1, 3988292384 * (x & 1))))) % 20 AS kind FROM o),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+      FROM o JOIN crc USING (place) JOIN (VALUES (0), (1)) v(again) ON again = 0 OR kind = 3 WHERE kind <> 0),
+p AS (SELECT *, row_number() OVER place AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+             left(lag(role) OVER place, 1) || left(role, 1) AS pair, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown
+      FROM d WINDOW place AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text))),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS copied FROM p),
+j AS (SELECT *, CASE WHEN shown = '' THEN 1 WHEN copied THEN 2 WHEN right(shown, 1) IN ('.', '!', '?') THEN 0 ELSE 3 END AS fault,
+             CASE WHEN shown <> '' AND NOT copied AND right(shown, 1) NOT IN ('.', '!', '?') THEN 5 ELSE 0 END AS unfit FROM f),
+walk AS (SELECT conv_id, n + 1 AS k, {{'c': 0, 'a': '', 't': ''}} AS h0, {{'c': 10, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:'}} AS h1,
+                {{'c': 5, 'a': 'I', 't': 'assistant:'}} AS h2, {{'c': 0, 'a': '', 't': ''}} AS h3 FROM j WHERE k = n
+         UNION ALL
+         SELECT conv_id, k, {_inserted('g0', 'i2', 'user')}, {_inserted('g1', 'i2', 'user')}, i2, i3
+         FROM (SELECT *, {_inserted('g2', 'g3', 'assistant')} AS i2, {_inserted('g3', 'g2', 'user')} AS i3
+               FROM (SELECT j.conv_id, j.k, {_state('h0', 'su')} AS g0, {_state('h1', 'u')} AS g1, {_state('h2', 'a')} AS g2, {_state('h3', 'u')} AS g3
+                     FROM walk JOIN j ON j.conv_id IS NOT DISTINCT FROM walk.conv_id AND j.k = walk.k - 1))),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 1)::BIGINT AS blank, count_if(fault = 2)::BIGINT AS duplicate,
+                 count_if(fault = 3)::BIGINT AS truncated, count_if(k > 1 AND pair NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal FROM j GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(h0.c, 0)::BIGINT AS cost, coalesce(h0.a, '') AS audit, sha256(coalesce(h0.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM o) o LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM o.conv_id
+     LEFT JOIN walk ON walk.conv_id IS NOT DISTINCT FROM o.conv_id AND walk.k = 1
+"""
