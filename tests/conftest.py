@@ -5,6 +5,8 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+import tavola  # noqa: E402, F401  (before numpy: it sets the number of BLAS threads)
+
 
 @pytest.fixture(scope="session")
 def spark():
