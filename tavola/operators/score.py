@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tavola.functions.exprs import rint_round, when_chain
@@ -198,18 +198,36 @@ def normalized_metrics(req: DataFrame, keys: Sequence[str], cols: Sequence[str]
     return req.select(*keys, F.inline(F.array(*rows)))
 
 
-def score_scenarios(base: DataFrame, combos: Sequence[Mapping[str, float]], keys: Sequence[str]) -> DataFrame:
-    """What-if grid: every base row overlaid with each combination (a short
-    parameter list, expanded per row by ``inline`` rather than a join),
-    serving ratios re-derived, then scored by the fallback rules."""
+def by_task(models: Mapping[str, object]) -> Column:
+    """The task structs of ``score_batch`` as rows (task, prediction, probability, confidence)."""
+    return F.inline(F.array(*[F.struct(F.lit(t).alias("task"), *[F.col(f"`{t}`.{c}").alias(c) for c in ("prediction", "probability", "confidence")]) for t in models]))
+
+
+def scenario_grid(base: DataFrame, combos: Sequence[Mapping[str, float]]) -> DataFrame:
+    """Every base row overlaid with each combination (a short parameter list,
+    expanded per row by ``inline`` rather than a join), serving ratios re-derived."""
     fields = sorted({k for c in combos for k in c})
     structs = [F.struct(F.lit(i).alias("scenario"),
                         *[F.lit(c.get(f)).cast("double").alias(f"_o_{f}") for f in fields])
                for i, c in enumerate(combos)]
     grid = base.select("*", F.inline(F.array(*structs)))
     grid = grid.withColumns({f: F.coalesce(F.col(f"_o_{f}"), F.col(f).cast("double")) for f in fields})
-    grid = derive_serving_features(grid.drop(*[f"_o_{f}" for f in fields]))
-    return rule_scores(grid, [*keys, "scenario"])
+    return derive_serving_features(grid.drop(*[f"_o_{f}" for f in fields]))
+
+
+def score_scenarios(base: DataFrame, combos: Sequence[Mapping[str, float]], keys: Sequence[str],
+                    models: Mapping[str, object] | None = None) -> DataFrame:
+    """What-if grid, one row per (row, scenario, task).  Without ``models`` the fallback
+    rules score; with them every fitted pipeline scores the whole grid in one pass, and
+    ``rank`` orders a row's positive scenarios of a task by probability (null: not positive).
+    A window holds the scenarios of one row and task, as many as there are combinations."""
+    grid = scenario_grid(base, combos)
+    if models is None:
+        return rule_scores(grid, [*keys, "scenario"])
+    scored = score_tasks(grid, models, [*keys, "scenario"])
+    each = scored.select(*keys, "scenario", by_task(models))
+    best = Window.partitionBy(*keys, "task", "prediction").orderBy(F.desc("probability"), "scenario")
+    return each.withColumn("rank", F.when(F.col("prediction") == 1, F.row_number().over(best)))
 
 
 def score(df: DataFrame, model, task: str, keys: Sequence[str], n_features: int | None = None) -> DataFrame:
@@ -227,17 +245,22 @@ def _inputs(model) -> int:
     return next((len(s.getInputCols()) for s in model.stages if hasattr(s, "getInputCols")), 0)
 
 
-def score_batch(df: DataFrame, models: Mapping[str, object], keys: Sequence[str]) -> DataFrame:
-    """keys, index and one struct (prediction, probability, confidence) per task:
-    every model transforms the same rows in turn, without a join or shuffle.
-    ``index`` is a hash of the keys, so it does not depend on the order of rows."""
+def score_tasks(df: DataFrame, models: Mapping[str, object], keep: Sequence[str]) -> DataFrame:
+    """``keep`` and one struct (prediction, probability, confidence) per task: every
+    model transforms the same rows in turn, without a join or shuffle."""
     out, names = df, list(df.columns)
     for task, model in models.items():
         done = [c for c in out.columns if c not in names]
         p = F.round(vector_to_array(F.col("probability"))[1], 4)
         out = model.transform(out).select(*names, *done, F.struct((p >= 0.5).cast("int").alias("prediction"), p.alias("probability"),
                                                                   confidence_tier(p, task).alias("confidence")).alias(task))
-    return out.select(*keys, F.xxhash64(*keys).alias("index"), *models)
+    return out.select(*keep, *models)
+
+
+def score_batch(df: DataFrame, models: Mapping[str, object], keys: Sequence[str]) -> DataFrame:
+    """keys, index and the tasks' structs of ``score_tasks``.
+    ``index`` is a hash of the keys, so it does not depend on the order of rows."""
+    return score_tasks(df, models, keys).select(*keys, F.xxhash64(*keys).alias("index"), *models)
 
 
 def log_records(scored: DataFrame, features: Sequence[str], task: str, timestamp: Column, response_time: Column) -> DataFrame:

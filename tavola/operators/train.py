@@ -72,15 +72,17 @@ def _input(feature: str) -> str:
 
 def build_pipeline(features: Sequence[str], model: str, preset: str = "small", n_train: int | None = None,
                    label: str = "label", medians: dict[str, float] | None = None,
-                   scaling: dict[str, tuple[float, float]] | None = None) -> Pipeline:
-    """imputer (and scaler) -> assembler -> classifier, all saved with the model.
+                   scaling: dict[str, tuple[float, float]] | None = None, vocabulary=None) -> Pipeline:
+    """(vocabulary ->) imputer (and scaler) -> assembler -> classifier, all saved with the model.
 
-    A null or NaN feature gets its median, then is centred and divided by its
+    With a ``serving.Vocabulary`` its columns are made of the text column itself, so
+    the saved model scores rows that hold the text.  A null or NaN feature gets its median, then is centred and divided by its
     population deviation where ``scaling`` gives (mean, deviation).  Logistic
     regression takes sklearn's C=1 penalty: regParam = 1 / n_train."""
     def expr(f: str) -> str:
-        x = f"CAST(`{f}` AS DOUBLE)"
-        if medians:
+        known = vocabulary is not None and f in vocabulary.names
+        x = vocabulary.input_sql(f) if known else f"CAST(`{f}` AS DOUBLE)"
+        if medians and not known:
             x = f"coalesce(CASE WHEN NOT isnan({x}) THEN {x} END, {float(medians.get(f, 0.0))!r}D)"
         if scaling:
             mean, dev = scaling[f]
@@ -90,7 +92,8 @@ def build_pipeline(features: Sequence[str], model: str, preset: str = "small", n
     clf = _classifier(model, preset, label)
     if model == "logistic":
         clf.setRegParam(1.0 / max(n_train or 1, 1))
-    return Pipeline(stages=[SQLTransformer(statement=f"SELECT *, {', '.join(expr(f) for f in features)} FROM __THIS__"),
+    return Pipeline(stages=[*([vocabulary.stage()] if vocabulary is not None else []),
+                            SQLTransformer(statement=f"SELECT *, {', '.join(expr(f) for f in features)} FROM __THIS__"),
                             VectorAssembler(inputCols=[_input(f) for f in features], outputCol="features", handleInvalid="keep"), clf])
 
 
@@ -108,11 +111,20 @@ def learn_inputs(train: DataFrame, features: Sequence[str]) -> tuple[int, dict[s
 
 
 def fit(train: DataFrame, features: Sequence[str], model: str, preset: str = "small",
-        label: str = "label") -> PipelineModel:
+        label: str = "label", vocabulary=None) -> PipelineModel:
     """A saved model needs nothing else to score raw rows: what it imputes and
-    scales with is learned from ``train`` and part of it."""
-    n, medians, scaling = learn_inputs(train, features)
-    return build_pipeline(features, model, preset, n, label, medians, scaling if model == "logistic" else None).fit(train)
+    scales with, and the text values it knows, are learned from ``train`` and part of it."""
+    n, medians, scaling = learn_inputs(vocabulary.encoded(train) if vocabulary is not None else train, features)
+    return build_pipeline(features, model, preset, n, label, medians, scaling if model == "logistic" else None, vocabulary).fit(train)
+
+
+def fit_for_requests(train: DataFrame, features: Sequence[str], model: str, preset: str = "small", label: str = "label",
+                     column: str = "city", k: int = 10) -> PipelineModel:
+    """A model of raw requests: ``features`` and the k most frequent values of the text ``column``."""
+    from tavola.operators.serving import learn_vocabulary
+
+    vocabulary = learn_vocabulary(train, column, k)
+    return fit(train, [*features, *vocabulary.names], model, preset, label, vocabulary)
 
 
 def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:

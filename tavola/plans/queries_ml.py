@@ -3,11 +3,15 @@ scoring (rows-only checks), and interpretation of a score column (SQL)."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tavola.operators import evaluate as EV
 from tavola.operators import explain as X
 from tavola.operators import score as S
+from tavola.operators import serving as SV
 from tavola.operators import train as T
 from tavola.operators.features import TASK_FEATURES, fold_ids
 from tavola.operators.rollup import ENTITY_KEYS
@@ -15,6 +19,7 @@ from tavola.plans import queries_eval  # noqa: F401  (CTEs)
 from tavola.plans import venue
 from tavola.plans.catalog import register
 from tavola.session import scratch_path
+from tavola.sources import io
 
 K = list(ENTITY_KEYS)
 KS = ", ".join(K)
@@ -126,6 +131,79 @@ def q_score_batch(spark, sf):
     return S.score_batch(_rows_to_score(spark, sf), {t: fitted[(t, "random_forest")] for t in sets}, K)
 
 
+def _task_train(spark, sf, task):
+    """A task's train rows with their city text and without one-hots."""
+    venue.task_data(spark, sf)
+    split = venue.stage(spark, sf, "task_split", lambda: None)
+    return split.where((F.col("task") == task) & (F.col("is_test") == 0)).select(*K, *TASK_FEATURES[task], "label")
+
+
+def request_models(spark, sf):
+    """A pipeline per task that takes raw requests, saved and loaded again."""
+    key = (spark.sparkContext.applicationId, sf, "requests")
+    if key not in _CACHE:
+        folder = scratch_path(spark, f"models/requests-{uuid.uuid4().hex[:12]}")
+        for t in TASK_FEATURES:
+            io.save_model(T.fit_for_requests(_task_train(spark, sf, t), TASK_FEATURES[t], "random_forest"), f"{folder}/{t}")
+        _CACHE[key] = {t: io.load_model(f"{folder}/{t}") for t in TASK_FEATURES}
+    return _CACHE[key]
+
+
+def raw_requests(spark, sf):
+    """13-field requests as they come in: an id, numbers, and city texts in any case, padded."""
+    req = venue.requests(spark, sf)
+    city = F.when(F.col("dish_count") % 2 == 0, F.concat(F.lit("  "), F.upper("city"))).otherwise(F.initcap("city"))
+    return req.select(F.concat_ws("|", *K).alias("request_id"), *[f for f in S.REQUEST_FIELDS if f != "city"], city.alias("city"))
+
+
+@register("serving_pipeline", """
+WITH n AS (SELECT task, is_test, CASE lower(trim(city)) WHEN 'bangalore' THEN 'bengaluru' WHEN 'delhi' THEN 'new delhi' ELSE lower(trim(city)) END AS c FROM task_split),
+top AS (SELECT task, c FROM n WHERE is_test = 0 GROUP BY task, c QUALIFY row_number() OVER (PARTITION BY task ORDER BY count(*) DESC, c) <= 10)
+SELECT task, coalesce(top.c, 'other') AS city_known, count(*) AS n_rows, CAST(0 AS BIGINT) AS unlike_training_row
+FROM n LEFT JOIN top USING (task, c) GROUP BY ALL
+""", ("task_split",))
+def q_serving_pipeline(spark, sf):
+    """Saved pipelines on raw requests, against models of the encoded training table
+    on its own rows: every request must get the probability of its training row."""
+    requests, models = raw_requests(spark, sf), request_models(spark, sf)
+    scored = SV.score_requests(requests, models, ["request_id"])
+    out = None
+    for t, feats in TASK_FEATURES.items():
+        train = _task_train(spark, sf, t)
+        known = SV.learn_vocabulary(train)
+        own = T.fit(known.encoded(train), [*feats, *known.names], "random_forest")
+        rows = known.encoded(_rows_to_score(spark, sf).select(*K, *[f for f in S.REQUEST_FIELDS if f not in K]))
+        trained = T.predict(own, rows.withColumn("city_known", F.expr(known.known_sql())), [F.concat_ws("|", *K).alias("request_id"), "city_known"])
+        d = (trained.join(scored.select("request_id", F.col(f"{t}.probability").alias("served")), "request_id")
+             .groupBy(F.lit(t).alias("task"), "city_known")
+             .agg(F.count("*").alias("n_rows"), F.count_if(~F.round("p", 4).eqNullSafe(F.col("served"))).alias("unlike_training_row")))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@register("score_scenarios_models", """
+SELECT t.task, CAST(s.i AS INTEGER) AS scenario, count(*) AS n_rows, CAST(0 AS BIGINT) AS unlike_score, CAST(0 AS BIGINT) AS out_of_order
+FROM requests, (VALUES ('high_rated'), ('popular'), ('premium')) AS t(task), range(4) AS s(i) GROUP BY ALL
+""", ("requests",))
+def q_score_scenarios_models(spark, sf):
+    """The what-if grid scored by the saved pipelines, against ``score`` of each overlaid
+    row by itself; a better ranked scenario never has a smaller probability."""
+    from tavola.plans.queries_score import SCENARIOS
+    requests, models = raw_requests(spark, sf), request_models(spark, sf)
+    grid = S.score_scenarios(requests, list(SCENARIOS), ["request_id"], models)
+    alone = None
+    for i, combo in enumerate(SCENARIOS):
+        overlaid = S.derive_serving_features(requests.withColumns({f: F.lit(v).cast("double") for f, v in combo.items()}))
+        for t, m in models.items():
+            d = S.score(overlaid, m, t, ["request_id"]).select("request_id", "task", F.lit(i).alias("scenario"), F.col("probability").alias("alone"))
+            alone = d if alone is None else alone.unionByName(d)
+    w = Window.partitionBy("request_id", "task").orderBy("rank")
+    both = grid.withColumn("better", F.when(F.col("rank").isNotNull(), F.lag("probability").over(w))).withColumn("better_rank", F.lag("rank").over(w))
+    return (both.join(alone, ["request_id", "task", "scenario"]).groupBy("task", "scenario")
+            .agg(F.count("*").alias("n_rows"), F.count_if(F.col("probability") != F.col("alone")).alias("unlike_score"),
+                 F.count_if(F.col("rank").isNotNull() & F.col("better_rank").isNotNull() & (F.col("better") < F.col("probability"))).alias("out_of_order")))
+
+
 @register("score_to_log", """
 SELECT task AS model, count(*) AS total_predictions, CAST(1 AS DOUBLE) AS success_rate,
        avg(CAST(dish_count AS DOUBLE)) / 1000 AS avg_response_time, avg(probability) AS avg_probability
@@ -134,10 +212,7 @@ FROM (SELECT * FROM rule_scores JOIN requests USING ({KS})) GROUP BY task
 def q_score_to_log(spark, sf):
     """Rule scores of the requests appended to the prediction log, read back and
     summarised per model."""
-    import uuid
-
     from tavola.operators import monitor as M
-    from tavola.sources import io
     scored = _rule_scored(spark, sf)
     path = scratch_path(spark, f"io/score-log-{uuid.uuid4().hex[:12]}")
     at = F.lit("2024-01-01 00:00:00").cast("timestamp")
@@ -154,9 +229,7 @@ def q_score_to_log(spark, sf):
 
 @register("save_load_model")
 def q_save_load_model(spark, sf):
-    from tavola.sources import io
     fitted, _s, sets = _grid(spark, sf)
-    import uuid
     path = scratch_path(spark, f"models/premium_boosted_trees-{uuid.uuid4().hex[:12]}")
     io.save_model(fitted[("premium", "boosted_trees")], path)
     pm = io.load_model(path)

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
 from tavola.operators.rollup import ENTITY_KEYS
+from tavola.operators.serving import prediction_records
 from tavola.plans import queries_eval  # noqa: F401  (registers requests / rule_scores CTEs)
 from tavola.plans import venue
 from tavola.plans.catalog import register
 from tavola.session import scratch_path
+from tavola.sources import io
 from tavola.streaming import jobs as J
 
 K = list(ENTITY_KEYS)
@@ -65,8 +68,46 @@ SELECT {KS}, task AS model, prediction, probability, confidence, true AS success
 FROM rule_scores
 """, ("rule_scores",), dbl=("probability",))
 def q_stream_score(spark, sf):
-    req_dir = scratch_path(spark, f"requests-{abs(hash(sf))}")
-    venue.requests(spark, sf).write.mode("overwrite").parquet(req_dir)
-    log = J.stream_score(spark, req_dir, K)
+    req_dir, log_dir, checkpoint = _stream_folders(spark, "score-rules")
+    venue.requests(spark, sf).write.parquet(req_dir)
+    J.stream_score(J.request_stream(spark, req_dir, venue.requests(spark, sf).schema), log_dir, checkpoint, K)
+    log = io.read_prediction_log(spark, log_dir, ", ".join([io.LOG_SCHEMA, *[f"{k} string" for k in K]]))
     return log.select(*K, "model", "prediction.prediction", "prediction.probability", "prediction.confidence",
                       "success", "feature_count")
+
+
+def _stream_folders(spark, name: str) -> tuple[str, str, str]:
+    """New folders of requests, log and checkpoint."""
+    base = scratch_path(spark, f"stream/{name}-{uuid.uuid4().hex[:12]}")
+    return tuple(os.path.join(base, x) for x in ("requests", "log", "checkpoint"))
+
+
+@register("stream_score_models", f"""
+SELECT t.model, count(*) AS records, count(*) AS succeeded, 12 AS feature_count, avg(CAST(dish_count AS DOUBLE)) AS avg_dish_count,
+       sum(CAST(total_rating_count AS DOUBLE)) AS sum_rating_count, 2 AS runs_with_batches, CAST(0 AS BIGINT) AS unlike_score_batch
+FROM requests, (VALUES ('high_rated'), ('popular'), ('premium')) AS t(model) GROUP BY t.model
+""", ("requests",), dbl=("avg_dish_count", "sum_rating_count"))
+def q_stream_score_models(spark, sf):
+    """Saved pipelines on a stream of request files that is stopped and started again
+    between files (the last start finds none); the log as the monitor reads it, against
+    ``score_requests`` of all requests at once."""
+    from tavola.plans.queries_ml import raw_requests, request_models
+
+    models = request_models(spark, sf)
+    requests = raw_requests(spark, sf)
+    req_dir, log_dir, checkpoint = _stream_folders(spark, "score-models")
+    part = F.pmod(F.xxhash64("request_id"), F.lit(4))
+    runs = 0
+    for files in ((0, 1), (2, 3), ()):
+        for k in files:
+            requests.where(part == k).write.mode("append").parquet(req_dir)
+        runs += int(J.stream_score(J.request_stream(spark, req_dir, requests.schema, 1), log_dir, checkpoint, models=models) > 0)
+    log = io.read_prediction_log(spark, log_dir)
+    shown = lambda df: df.groupBy("model", F.array_sort(F.map_entries("features")).alias("f"), "prediction").agg(F.count("*").alias("n"))
+    want = prediction_records(requests, models, ["request_id"], F.lit(None))
+    both = shown(log).withColumn("side", F.lit(1)).unionByName(shown(want).withColumn("side", F.lit(-1)))
+    unlike = (both.groupBy("model", "f", "prediction").agg(F.abs(F.sum(F.col("n") * F.col("side"))).alias("d"))
+              .groupBy("model").agg(F.sum("d").alias("unlike_score_batch")))
+    return (log.groupBy("model").agg(F.count("*").alias("records"), F.count_if("success").alias("succeeded"), F.max("feature_count").alias("feature_count"),
+                                     F.avg(F.col("features")["dish_count"]).alias("avg_dish_count"), F.sum(F.col("features")["total_rating_count"]).alias("sum_rating_count"))
+            .withColumn("runs_with_batches", F.lit(runs)).join(unlike, "model"))

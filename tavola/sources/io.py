@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
@@ -126,7 +127,28 @@ def read_feature_metadata(spark: SparkSession, path: str) -> dict[str, list[str]
 
 
 def read_prediction_log(spark: SparkSession, path: str, schema: str = LOG_SCHEMA) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    """Records appended to the folder and those of committed stream batches in it."""
+    return spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
+
+
+def commit_batch(records: DataFrame, path: str, batch_id: int) -> bool:
+    """Append a stream's micro-batch to the log in ``path`` exactly once.
+
+    The batch id is the transaction: records go to a hidden folder, which is renamed
+    to ``batch-<id>`` when all are written.  A batch that was committed before (the
+    stream stopped before it could note so) is left as it is; what an attempt that
+    did not end has left is never read.  Returns whether this call committed it."""
+    spark = records.sparkSession
+    done = f"{path.rstrip('/')}/batch-{batch_id:09d}"
+    attempt = f"{path.rstrip('/')}/_attempt-{batch_id:09d}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(done).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(hadoop(done)):
+        return False
+    records.write.json(attempt)
+    if not fs.rename(hadoop(attempt), hadoop(done)):
+        raise OSError(f"cannot commit {done}")
+    return True
 
 
 def append_prediction_log(records: DataFrame, path: str) -> None:

@@ -9,14 +9,18 @@ outputs are written by batch id, so a replayed batch overwrites itself)."""
 from __future__ import annotations
 
 import os
+import time
 import uuid
+from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tavola import fixtures
-from tavola.operators.score import rule_scores
+from tavola.operators.serving import prediction_records
 from tavola.session import scratch_path
+from tavola.sources.io import commit_batch
 
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 #: How late a record may come by default; the streaming operators take it as an argument,
@@ -119,24 +123,40 @@ def alerts_from_windows(w: DataFrame) -> DataFrame:
     return w.select(*_window_cols(), F.inline(F.array_compact(F.array(a1, a2))))
 
 
-def stream_score(spark: SparkSession, requests_dir: str, keys, name: str = "score") -> DataFrame:
-    """Online scoring as a stream: request files -> rule scores (stateless)
-    -> prediction-log records appended to a parquet log, checkpointed.
-    Returns the written log."""
-    schema = spark.read.parquet(requests_dir).schema
-    req = spark.readStream.schema(schema).parquet(requests_dir)
-    numeric = [c for c, t in req.dtypes if t in ("double", "int", "bigint") and c not in keys
-               and not c.startswith("is_")]
-    scored = rule_scores(req.withColumn("_features", F.create_map(*[x for c in numeric for x in
-                                                                    (F.lit(c), F.col(c).cast("double"))])),
-                         [*keys, "_features"])
-    log = scored.select(
-        *keys, F.current_timestamp().alias("logged_at"), F.col("task").alias("model"),
-        F.col("_features").alias("features"),
-        F.struct("prediction", "probability", "confidence").alias("prediction"),
-        F.lit(True).alias("success"), F.size("_features").alias("feature_count"))
-    out, ckpt = _paths(spark, name)
-    q = (log.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-         .outputMode("append").trigger(availableNow=True).start())
+def request_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Request files of a folder as a stream, in the order of their arrival."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(path)
+
+
+def stream_score(requests: DataFrame, log_path: str, checkpoint: str, keys: Sequence[str] = (),
+                 models: Mapping[str, object] | None = None) -> int:
+    """Online scoring: requests -> fitted pipelines of all tasks (without ``models``,
+    the rules) -> records of the prediction log in ``log_path``, written exactly
+    once (``io.commit_batch``); runs until all present files are scored and
+    returns how many batches it committed.
+
+    Every micro-batch is scored in one pass over its requests and kept until it is
+    written; ``response_time`` is the time that took, divided by its records.
+    ``timestamp`` is ``requested_at`` where requests have it, else the batch's time.
+    ``keys`` are kept beside the record's fields.  Scoring has no state, so a stopped
+    stream goes on from its checkpoint with the next files."""
+    committed = []
+
+    def score_batch_to_log(batch: DataFrame, batch_id: int) -> None:
+        at = F.col("requested_at") if "requested_at" in batch.columns else F.current_timestamp()
+        began = time.monotonic()
+        records = prediction_records(batch, models, keys, at).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            n = records.count()
+            each = (time.monotonic() - began) / max(n, 1)
+            committed.append(commit_batch(records.withColumn("response_time", F.lit(each)), log_path, batch_id))
+        finally:
+            records.unpersist()
+
+    q = (requests.writeStream.foreachBatch(score_batch_to_log).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return sum(committed)
