@@ -315,9 +315,9 @@ def stratified_split(df: DataFrame, label: str, keys: Sequence[str], test_size:
 
 
 def fold_ids(df: DataFrame, label: str, keys: Sequence[str], k: int = 5, seed: int = 42,
-             out: str = "fold") -> DataFrame:
+             out: str = "fold", by: Sequence[str] = ()) -> DataFrame:
     """Stratified k folds: the class-local md5 position modulo k, so every
-    fold holds floor/ceil(n_class / k) rows of each class."""
+    fold holds floor/ceil(n_class / k) rows of each class (of each ``by`` group)."""
     d = df.withColumn("_h", hash_order(keys, seed))
-    ranked = global_rank(d, [label], ["_h", *keys], out="_r")
+    ranked = global_rank(d, [*by, label], ["_h", *keys], out="_r")
     return ranked.withColumn(out, (F.col("_r") % k).cast("int")).drop("_h", "_r")

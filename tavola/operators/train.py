@@ -11,7 +11,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tavola.functions.distributed_quantile import number
@@ -28,6 +28,8 @@ PRESETS = {
               "logistic": {"maxIter": 100}},
 }
 SEED = 42
+#: Training rows in a file, and so in a task of a fit: passes over little data are mostly the cost of tasks.
+ROWS_PER_TASK = 50_000
 
 
 def hash_uniform(keys: Sequence[str], salt: str) -> Column:
@@ -169,26 +171,53 @@ def train_grid(data: DataFrame, feature_sets: dict[str, list[str]], models: Sequ
     return fitted, scored
 
 
-def cross_validate(data: DataFrame, features: Sequence[str], model: str, k: int = 5, preset: str = "small",
-                   label: str = "label", fold_col: str = "fold") -> DataFrame:
-    """Stratified k-fold ROC-AUC (exact) per fold, plus mean and population
-    std as columns.  Folds come from ``features.fold_ids``."""
+def store_rows(data: DataFrame, path: str, by: str, rows_per_file: int = ROWS_PER_TASK) -> DataFrame:
+    """data written once as Parquet, a folder per value of ``by``, in files of about
+    ``rows_per_file`` rows: what every fit reads, with a task for each file."""
+    n = data.count()
+    spread = F.pmod(F.xxhash64(*[c for c in data.columns if c != by]), F.lit(max(1, -(-n // rows_per_file)))).cast("int")
+    (data.withColumn("_file", spread).repartition(by, "_file").drop("_file").write.partitionBy(by).parquet(path))
+    return data.sparkSession.read.schema(data.schema).parquet(path)
+
+
+def cross_validation_scores(data: DataFrame, feature_sets: dict[str, list[str]], models: Sequence[str], keys: Sequence[str], path: str,
+                            k: int = 5, preset: str = "small", label: str = "label", fold_col: str = "fold", task_col: str = "task",
+                            parallelism: int = 4) -> DataFrame:
+    """Out-of-fold scores of every (task, model): task, model, fold, keys, y, p.
+
+    ``data`` has a row per (key, task) with its fold (``features.fold_ids``) and is
+    stored once under ``path``; all tasks x models x k fits read it, ``parallelism`` at
+    a time, and each writes the scores of its own fold beside it, so a fit that
+    is repeated replaces its own scores only."""
+    spark = data.sparkSession
+    cols = list(dict.fromkeys(f for fs in feature_sets.values() for f in fs))
+    stored = store_rows(data.select(*keys, *[c for c in cols if c not in keys], task_col, fold_col, label), f"{path}/rows", task_col)
+
+    def run(job: tuple[str, str, int]) -> None:
+        t, m, f = job
+        rows = stored.where(F.col(task_col) == t)
+        pm = fit(rows.where(F.col(fold_col) != f), feature_sets[t], m, preset, label)
+        predict(pm, rows.where(F.col(fold_col) == f), [*keys, F.col(label).alias("y")]).write.mode("overwrite").parquet(f"{path}/scores/task={t}/model={m}/fold={f}")
+
+    with ThreadPoolExecutor(max_workers=parallelism) as ex:
+        list(ex.map(run, [(t, m, f) for t in feature_sets for m in models for f in range(k)]))
+    return spark.read.parquet(f"{path}/scores")
+
+
+def cross_validation_report(scores: DataFrame) -> DataFrame:
+    """Exact ROC-AUC per (task, model, fold) of stored scores, in one grouped pass,
+    with the folds' mean and population deviation."""
     from tavola.operators.evaluate import roc_auc
 
-    data = data.persist()
-    parts = []
-    for f in range(k):
-        tr, te = data.where(F.col(fold_col) != f), data.where(F.col(fold_col) == f)
-        pm = fit(tr, features, model, preset, label)
-        sc = predict(pm, te, [F.col(label).alias("y")])
-        parts.append(roc_auc(sc, [], "y", "p").select(F.lit(f).alias("fold"), "roc_auc"))
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
-    out = out.persist()
-    stats = out.agg(F.avg("roc_auc").alias("m"), F.stddev_pop("roc_auc").alias("s"))
-    return (out.withColumn("_s", stats.select(F.struct("m", "s")).scalar())
-            .select("fold", "roc_auc", F.col("_s.m").alias("cv_mean"), F.col("_s.s").alias("cv_std")))
+    auc = roc_auc(scores, ["task", "model", "fold"], "y", "p").select("task", "model", "fold", "roc_auc")
+    over = Window.partitionBy("task", "model")  # as many rows as there are folds
+    return auc.withColumns({"cv_mean": F.avg("roc_auc").over(over), "cv_std": F.stddev_pop("roc_auc").over(over)})
+
+
+def cross_validate(data: DataFrame, feature_sets: dict[str, list[str]], models: Sequence[str], keys: Sequence[str], path: str,
+                   k: int = 5, preset: str = "small", **how) -> DataFrame:
+    """Stratified k-fold cross-validation of every model on every task."""
+    return cross_validation_report(cross_validation_scores(data, feature_sets, models, keys, path, k, preset, **how))
 
 
 def coefficient_importance(model: PipelineModel, features: Sequence[str]) -> DataFrame:

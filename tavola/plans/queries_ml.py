@@ -62,12 +62,41 @@ def q_fit_dummy(spark, sf):
     return venue.eval_scored(spark, sf).where(F.col("model").startswith("dummy"))
 
 
+def _cross_scores(spark, sf):
+    """Out-of-fold scores of all tasks and models, computed once."""
+    key = (spark.sparkContext.applicationId, sf, "folds")
+    if key not in _CACHE:
+        data = venue.task_data(spark, sf).drop("is_test")
+        sets = venue.task_feature_sets(data)
+        folded = fold_ids(data, "label", K, 5, 42, by=["task"])
+        _CACHE[key] = T.cross_validation_scores(folded, sets, MODELS, K, scratch_path(spark, f"cv/{uuid.uuid4().hex[:12]}"))
+    return _CACHE[key]
+
+
 @register("cross_validate")
 def q_cross_validate(spark, sf):
-    data = venue.task_data(spark, sf).where(F.col("task") == "popular").drop("is_test")
-    sets = venue.task_feature_sets(data)
-    folded = fold_ids(data, "label", K, 3, 42)
-    return T.cross_validate(folded, sets["popular"], "random_forest", 3, "small")
+    """Five folds of all three tasks and models."""
+    return T.cross_validation_report(_cross_scores(spark, sf))
+
+
+@register("cross_validate_folds", f"""
+WITH f AS (SELECT task, label, (row_number() OVER (PARTITION BY task, label ORDER BY md5(concat_ws('|', {queries_eval._HK}, '42')), {KS}) - 1) % 5 AS fold FROM task_split)
+SELECT task, m.model, CAST(fold AS INTEGER) AS fold, count(*) AS n_rows, CAST(sum(label) AS BIGINT) AS n_positive, true AS auc_is_rank_sum
+FROM f, (VALUES ('logistic'), ('random_forest'), ('boosted_trees')) AS m(model) GROUP BY ALL
+""", ("task_split",))
+def q_cross_validate_folds(spark, sf):
+    """Rows and classes of every fold in the stored scores, and whether its area equals
+    the rank-sum statistic (mean ranks of ties) of the same scores."""
+    scores = _cross_scores(spark, sf)
+    g = ["task", "model", "fold"]
+    tied = scores.groupBy(*g, "p").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+    below = F.coalesce(F.sum("n").over(Window.partitionBy(*g).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = tied.withColumn("rank", below + (F.col("n") + 1) / 2).groupBy(*g).agg(
+        F.sum("n").alias("n_rows"), F.sum("pos").cast("long").alias("n_positive"), F.sum(F.col("rank") * F.col("pos")).alias("s"))
+    pos, neg = F.col("n_positive"), F.col("n_rows") - F.col("n_positive")
+    area = (F.col("s") - pos * (pos + 1) / 2) / (pos * neg)
+    return (ranked.join(T.cross_validation_report(scores), g)
+            .select(*g, "n_rows", "n_positive", (F.abs(area - F.col("roc_auc")) < 1e-9).alias("auc_is_rank_sum")))
 
 
 @register("coefficient_importance")

@@ -40,7 +40,21 @@ FROM (SELECT *, date_trunc('hour', ts) - k * INTERVAL 1 HOUR AS ws FROM fx_log,
 GROUP BY ws
 """, ("fx_log",), dbl=("success_rate", "avg_response_time"))
 def q_stream_trailing_metrics(spark, sf):
-    res = J.run_to_table(J.stream_trailing_metrics(J.log_stream(spark, sf)), spark, "trailing", "update")
+    """All windows, from the hourly sums that the stream keeps."""
+    totals = J.run_to_table(J.stream_totals(J.log_stream(spark, sf)), spark, "totals", "update")
+    return J.trailing_metrics(totals).select(*J._window_cols(), "total", "success_rate", "avg_response_time")
+
+
+@register("stream_trailing_closed", f"""
+SELECT strftime(ws, {_FMT}) AS window_start, strftime(ws + INTERVAL 24 HOUR, {_FMT}) AS window_end,
+       count(*) AS total, avg(CAST(success AS DOUBLE)) AS success_rate, avg(response_time) AS avg_response_time
+FROM (SELECT *, date_trunc('hour', ts) - k * INTERVAL 1 HOUR AS ws FROM fx_log, range(24) AS r(k))
+WHERE ws + INTERVAL 24 HOUR <= (SELECT max(ts) FROM fx_log) - INTERVAL 10 MINUTE
+GROUP BY ws
+""", ("fx_log",), dbl=("success_rate", "avg_response_time"))
+def q_stream_trailing_closed(spark, sf):
+    """The chain of hourly and 24-hour aggregations; windows the watermark has closed."""
+    res = J.run_to_table(J.stream_trailing_metrics(J.log_stream(spark, sf)), spark, "trailing", "append")
     return res.select(*J._window_cols(), "total", "success_rate", "avg_response_time")
 
 
@@ -63,6 +77,25 @@ def q_stream_alerts_p95(spark, sf):
     return J.alerts_from_windows(res).where(F.col("level") == "medium")
 
 
+@register("stream_p95_bounds", f"""
+SELECT strftime(w, {_FMT}) AS window_start, quantile_disc(response_time, {0.95 - J.RANK_ERROR}) AS at_least,
+       quantile_disc(response_time, {0.95 + J.RANK_ERROR}) AS at_most, true AS p95_between
+FROM (SELECT *, date_trunc('hour', ts) AS w FROM fx_log)
+WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) FROM fx_log) - INTERVAL 10 MINUTE
+GROUP BY w
+""", ("fx_log",), dbl=("at_least", "at_most"))
+def q_stream_p95_bounds(spark, sf):
+    """The streamed p95 of every closed window against the exact quantiles at
+    p95 minus and plus the sketch's rank error."""
+    from tavola import fixtures
+    res = J.run_to_table(J.stream_alert_windows(J.log_stream(spark, sf)), spark, "bounds", "append")
+    exact = fixtures.fx_log(spark, sf).groupBy(F.date_trunc("hour", "ts").alias("w")).agg(
+        *[F.expr(f"percentile_disc({0.95 + s * J.RANK_ERROR}) WITHIN GROUP (ORDER BY response_time)").alias(n) for s, n in ((-1, "at_least"), (1, "at_most"))])
+    both = res.join(exact, F.col("window.start") == F.col("w"))
+    return both.select(F.date_format("w", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "at_least", "at_most",
+                       F.col("p95_response_time").between(F.col("at_least"), F.col("at_most")).alias("p95_between"))
+
+
 @register("stream_score", f"""
 SELECT {KS}, task AS model, prediction, probability, confidence, true AS success, 12 AS feature_count
 FROM rule_scores

@@ -21,6 +21,7 @@ from tavola import fixtures
 from tavola.operators.serving import prediction_records
 from tavola.session import scratch_path
 from tavola.sources.io import commit_batch
+from tavola.streaming.tables import COMPACT_EVERY, KeyedTable
 
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 #: How late a record may come by default; the streaming operators take it as an argument,
@@ -47,39 +48,38 @@ def log_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | No
 
 
 def run_to_table(agg: DataFrame, spark: SparkSession, name: str, mode: str = "update",
-                 keys: tuple[str, ...] = ("window",)) -> DataFrame:
+                 keys: tuple[str, ...] = ("window",), compact_every: int = COMPACT_EVERY) -> DataFrame:
     """Run a streaming aggregate with ``availableNow`` through a foreachBatch
     parquet sink and return the current result table.
 
     update mode (default): state is bounded by the watermark (windows older
-    than it are evicted); each batch writes the rows it changed under its
-    batch id, and the reader keeps the newest version per ``keys``.  A
-    replayed batch overwrites its own folder, so the sink is idempotent.
+    than it are evicted); each batch writes the rows it changed to a
+    ``KeyedTable``, whose reader has the newest version per ``keys``.
     append mode: each batch adds the windows closed by the watermark.
     complete mode: every batch rewrites the whole result (state never
     shrinks; only for small, bounded key sets)."""
-    from pyspark.sql import Window
-
     out, ckpt = _paths(spark, name)
+    path = os.path.join(out, "result")
+    table = KeyedTable(spark, path, keys, compact_every)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        if mode == "complete":
-            batch.write.mode("overwrite").parquet(os.path.join(out, "result"))
+        if mode == "update":
+            table.write(batch, batch_id)
+        elif mode == "complete":
+            batch.write.mode("overwrite").parquet(path)
         else:
-            batch.write.mode("overwrite").parquet(os.path.join(out, "result", f"batch={batch_id}"))
+            batch.write.mode("overwrite").parquet(os.path.join(path, f"batch={batch_id}"))
 
     q = (agg.writeStream.outputMode(mode).foreachBatch(sink)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    path = os.path.join(out, "result")
+    if mode == "update":
+        res = table.read()
+        return spark.createDataFrame([], agg.schema) if res is None else res
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):  # no batch produced rows
         return spark.createDataFrame([], agg.schema)
     res = spark.read.parquet(path)
-    if mode == "update":
-        # newest version of every key; a key has at most one row per batch
-        w = Window.partitionBy(*keys).orderBy(F.desc("batch"))
-        res = res.withColumn("_v", F.row_number().over(w)).where("_v = 1").drop("_v")
     return res.drop("batch") if "batch" in res.columns else res
 
 
@@ -96,21 +96,46 @@ def stream_hourly_metrics(log: DataFrame, watermark: str = WATERMARK) -> DataFra
                  F.avg("response_time").alias("avg_response_time")))
 
 
-def stream_trailing_metrics(log: DataFrame, watermark: str = WATERMARK, length: str = "24 hours", slide: str = "1 hour") -> DataFrame:
-    """Sliding "last 24 hours" windows advancing hourly."""
-    return (log.withWatermark("ts", watermark)
-            .groupBy(F.window("ts", length, slide))
-            .agg(F.count("*").alias("total"), F.avg(F.col("success").cast("double")).alias("success_rate"),
-                 F.avg("response_time").alias("avg_response_time")))
+def stream_totals(log: DataFrame, watermark: str = WATERMARK, step: str = "1 hour") -> DataFrame:
+    """Sums of every step: one update of the state per event."""
+    return (log.withWatermark("ts", watermark).groupBy(F.window("ts", step))
+            .agg(F.count("*").alias("total"), F.count_if("success").alias("succeeded"), F.count("success").alias("judged"),
+                 F.sum("response_time").alias("seconds"), F.count("response_time").alias("timed")))
+
+
+def _trailing(totals: DataFrame, window) -> DataFrame:
+    return totals.groupBy(window).agg(
+        F.sum("total").alias("total"), (F.sum("succeeded") / F.sum("judged")).alias("success_rate"),
+        (F.sum("seconds") / F.sum("timed")).alias("avg_response_time"))
+
+
+def stream_trailing_metrics(log: DataFrame, watermark: str = WATERMARK, length: str = "24 hours", step: str = "1 hour") -> DataFrame:
+    """Sliding "last ``length``" windows advancing by ``step``, as a chain of two
+    stateful aggregations (append mode: windows that the watermark has closed).
+
+    An event updates the sums of its step only; the closed steps, not the events,
+    go to the windows that hold them."""
+    return _trailing(stream_totals(log, watermark, step), F.window(F.window_time("window"), length, step))
+
+
+def trailing_metrics(totals: DataFrame, length: str = "24 hours", step: str = "1 hour") -> DataFrame:
+    """The same windows, open ones too, from the table that ``stream_totals`` keeps."""
+    return _trailing(totals.select(F.col("window.start").alias("_at"), *[c for c in totals.columns if c != "window"]), F.window("_at", length, step))
+
+
+#: Rank error of the latency sketch of an alert window, as a share of its events.
+RANK_ERROR = 1e-4
 
 
 def stream_alert_windows(log: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Per 1-hour window: success rate and approximate p95 latency (the exact
-    percentile's state grows with the window; the sketch is bounded)."""
+    """Per 1-hour window: success rate and p95 latency from a mergeable quantile
+    sketch (the exact percentile's state grows with the window).  The sketch's
+    value is one of the window's, of a rank at most ``RANK_ERROR`` of its
+    events away from p95."""
     return (log.withWatermark("ts", watermark)
             .groupBy(F.window("ts", "1 hour"))
             .agg(F.avg(F.col("success").cast("double")).alias("success_rate"),
-                 F.percentile_approx("response_time", 0.95, 10000).alias("p95_response_time")))
+                 F.percentile_approx("response_time", 0.95, int(1 / RANK_ERROR)).alias("p95_response_time")))
 
 
 def alerts_from_windows(w: DataFrame) -> DataFrame:
