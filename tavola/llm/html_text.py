@@ -4,7 +4,8 @@ Every page's containers (structural elements, named by a generalised path of
 tags, classes and ids) are scored by the running text in them; Spark counts
 the pages of a host that rank a path first and picks the host's winning path;
 every page is read again and its text taken from the containers on that path.
-A page without such a container uses its own best one.
+A page without such a container uses its own best one.  Where containers of
+other classes beside it go on with the article, the one around them all counts.
 
 A block ends at every tag that is not inline.  Menus, headers and footers of
 the page, sidebars, notices, adverts, forms, scripts, styles and reader
@@ -13,7 +14,7 @@ the element itself is the winning container.
 
 Cases: null or empty html gives an empty text; a url that is null or has no
 host falls into one host of its own name, so such pages vote together; broken
-markup closes what is open; repeated page ids are read each for itself; other
+markup closes what is open, and a page is read in one pass whatever is broken in it; repeated page ids are read each for itself; other
 columns are ignored.
 """
 
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 
 from tavola.llm.shared import written
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S)
+_NAME = re.compile(r"</?[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|$)", re.I) for t in ("script", "style", "textarea", "title", "iframe")}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NUMBER = re.compile(r"\d+")
 _CUE = re.compile(r"[a-z]+")
@@ -49,6 +52,7 @@ SIDE_CUES = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs
                       "pager toolbar skip copyright".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 FREE = frozenset("html body main".split())  # never left out for a class
+RUNNING = 80  # characters from which on a block is running text
 
 
 def _describe(tag: str, attributes: str) -> tuple[str, bool]:
@@ -67,6 +71,62 @@ def _describe(tag: str, attributes: str) -> tuple[str, bool]:
     return tag + "".join(names), side and tag not in FREE
 
 
+def tokens(page: str) -> Iterator[tuple[str, str | None, bool, str]]:
+    """(text, None, False, "") of texts, ("", tag, closing, attributes) of tags; comments
+    and declarations are left out.  One pass over the page, whatever is broken in it.
+
+    A quote without a partner is part of its tag, which ends at the next ``>``; so is
+    one whose partner opens another attribute's value, with a ``>`` in between.  A tag
+    that never ends is left out.  What scripts and the like hold is not read as tags."""
+    at, end = 0, len(page)
+    last = page.rfind(">")
+    alone = {'"': end, "'": end}  # from here on no such quote follows
+    while at < end:
+        lt = page.find("<", at)
+        if lt != at:
+            yield page[at: lt if lt >= 0 else end], None, False, ""
+            if lt < 0:
+                return
+        if page.startswith("<!--", lt):
+            close = page.find("-->", lt + 4)
+            at = close + 3 if close >= 0 else end
+            continue
+        if page.startswith(("<!", "<?"), lt):
+            close = page.find(">", lt)
+            at = close + 1 if close >= 0 else end
+            continue
+        name = _NAME.match(page, lt)
+        if name is None:
+            yield "<", None, False, ""
+            at = lt + 1
+            continue
+        at = name.end()
+        if lt > last:
+            continue
+        while True:
+            stop = _STOP.search(page, at)
+            if stop is None or page[stop.start()] == ">":
+                break
+            q, begin = stop[0], stop.end()
+            close = page.find(q, begin) if begin < alone[q] else -1
+            if close < 0:
+                alone[q] = min(alone[q], begin)
+                at = begin
+                continue
+            value = page[begin:close]
+            if ">" in value and value.rstrip().endswith("="):
+                stop = _STOP.search(page, page.find(">", begin))
+                break
+            at = close + 1
+        close = stop.start() if stop is not None else end
+        tag, closing = name[0].lstrip("</").lower(), name[0][1] == "/"
+        yield "", tag, closing, page[name.end(): close]
+        at = close + 1
+        if tag in _RAW_END and not closing and page[close - 1: close] != "/":
+            raw = _RAW_END[tag].search(page, at)
+            at = raw.start() if raw else end
+
+
 def blocks(page: str) -> Iterator[tuple[tuple[str, ...], int, str, int]]:
     """(path of containers, depth of the innermost that stands aside or 0, text,
     characters in links) of every block, in page order."""
@@ -93,23 +153,19 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], int, str, int]]:
         path = tuple(s[1] for s in stack)
         aside = max((i + 1 for i, s in enumerate(stack) if s[2]), default=0)
 
-    for m in _TOKEN.finditer(page):
-        tag = m[2]
+    for t, tag, closing, attributes in tokens(page):
         if tag is None:
-            t = m[0]
-            if not silent and not (t[0] == "<" and len(t) > 1):
+            if not silent:
                 text.append(t)
                 if link:
                     linked += len(t)
             continue
-        tag = tag.lower()
-        closing = bool(m[1])
         if silent:
             if closing and tag == silent:
                 silent = ""
             continue
         if tag in SILENT:
-            if tag not in ("head", "title") and not closing and not m[3].endswith("/"):
+            if tag not in ("head", "title") and not closing and not attributes.endswith("/"):
                 silent = tag
             elif tag in ("head", "title") and not closing:
                 silent = tag
@@ -129,8 +185,8 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], int, str, int]]:
                         del stack[i:]
                         moved()
                         break
-            elif not m[3].endswith("/"):
-                name, side = _describe(tag, m[3])
+            elif not attributes.endswith("/"):
+                name, side = _describe(tag, attributes)
                 if tag == "header" and not any(s[0] in ("article", "main") for s in stack):
                     side = True
                 stack.append((tag, name, side))
@@ -148,7 +204,7 @@ def best_path(page: str) -> tuple[str, float] | None:
         if aside or not path:
             continue
         value = len(text) - 2.0 * linked
-        if len(text) >= 80 and linked * 5 < len(text):
+        if _weight(text, linked):
             value *= 1.5
         for up in range(min(3, len(path))):
             p = path[: len(path) - up]
@@ -159,17 +215,37 @@ def best_path(page: str) -> tuple[str, float] | None:
     return "/".join(path), value
 
 
+def _weight(text: str, linked: int) -> int:
+    """Characters of running text in a block."""
+    return len(text) if len(text) >= RUNNING and linked * 5 < len(text) else 0
+
+
+def whole_article(found: list[tuple], path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path, or one above it if containers beside it hold the article's other parts:
+    running text of a quarter of its own or more, none of it standing aside."""
+    while len(path) > 1:
+        above, by = path[:-1], {}
+        for own, aside, text, linked in found:
+            if not aside and len(own) >= len(path) and own[: len(above)] == above:
+                by[own[: len(path)]] = by.get(own[: len(path)], 0) + _weight(text, linked)
+        if not any(other != path and n and 4 * n >= by.get(path, 0) for other, n in by.items()):
+            break
+        path = above
+    return path
+
+
 def main_text(page: str, winner: str | None) -> str:
-    """Blocks on the winning path, or on the page's own best."""
+    """Blocks on the winning path, or on the page's own best, and of the containers
+    beside it that go on with the article."""
+    found = list(blocks(page))
+
     def take(way: str) -> list[str] | None:
         want = tuple(way.split("/"))
-        out, found = [], False
-        for path, aside, text, _ in blocks(page):
-            if path[: len(want)] == want:
-                found = True
-                if aside <= len(want):
-                    out.append(text)
-        return out if found else None
+        if not any(path[: len(want)] == want for path, *_ in found):
+            return None
+        inside = [text for path, aside, text, _ in found if path[: len(want)] == want and aside <= len(want)]
+        wide = whole_article(found, want)
+        return inside if wide == want else [text for path, aside, text, _ in found if path[: len(wide)] == wide and not aside]
 
     got = take(winner) if winner else None
     if got is None:

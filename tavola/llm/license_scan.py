@@ -12,8 +12,11 @@ words cover at least ``coverage`` of it and of their span in the text; of the wo
 covers as much of it) lacks, as large a share must be aligned, and a short one needs the words that among the
 short ones only it and its near kin have.  Of overlapping matches the one with more aligned words holds.
 
-Cases: a null, empty or very long text needs nothing special, whole texts are
-scanned; repeated rows and null ids are scanned each for itself; other columns
+A window must hold enough telling words, each counted no oftener than the template
+has it; after one that does not align the next begins a quarter of the template
+further on, and holds what begins in between: time grows with the text.
+
+Cases: a null or empty text has no licenses; whole texts are scanned, however long; repeated rows and null ids are scanned each for itself; other columns
 are ignored; an empty table or no template gives rows without licenses.
 """
 
@@ -202,7 +205,7 @@ class Scanner:
         self.hash = h[order]
         code = {vocabulary[i]: k for k, i in enumerate(order)}
         self.member = np.zeros((len(self.names), len(vocabulary)), bool)
-        self.need = []
+        self.need, self.limit = [], []
         self.key: list[set] = []
         self.apart: list[list[set]] = []  # per template and near kin the positions that the kin lacks
         aligned = [[{j for _, j in patience(u, t)} for u in self.words] for t in self.words]
@@ -219,6 +222,7 @@ class Scanner:
                 self.member[t, code[w]] = True
             may_lack = len(ws) - int(np.ceil(coverage * len(ws)))
             self.need.append(max(1, len(telling) - may_lack))
+            self.limit.append({code[w]: telling.count(w) for w in telling})
 
     def _told_apart(self, t: int, at: set) -> bool:
         ws = self.words[t]
@@ -233,25 +237,59 @@ class Scanner:
         hits = np.flatnonzero(self.hash[at] == h)
         code = at[hits]
         for t, ws in enumerate(self.words):
-            own = hits[self.member[t, code]]
-            need, span = self.need[t], 2 * len(ws)
-            if len(own) < need:
+            mine = self.member[t, code]
+            own, word = hits[mine], code[mine]
+            if len(own) < self.need[t]:
                 continue
-            first, last = own[: len(own) - need + 1], own[need - 1:]
-            open_ = first[(last - first < span) & (w.row[first] == w.row[last])]
-            done = -1
-            for p in open_.tolist():
-                if p < done:
+            done = least = -1
+            for p in self._windows(t, own, word, w.row[own]):
+                if p < done or p < least:
                     continue
                 row = int(w.row[p])
-                lo, hi = max(int(w.rows[row]), done, p - len(ws)), min(int(w.rows[row + 1]), p + span)
-                text = [w.text(k) for k in range(lo, hi)]
-                pairs = patience(text, ws)
-                dense = pairs and len(pairs) >= self.coverage * (pairs[-1][0] - pairs[0][0] + 1)
-                if dense and len(pairs) >= self.coverage * len(ws) and self._told_apart(t, {j for _, j in pairs}):
-                    a, z = lo + pairs[0][0], lo + pairs[-1][0]
-                    yield row, self.names[t], len(pairs) / len(ws), int(w.starts[a]), int(w.ends[z]), len(pairs)
-                    done = z + 1
+                lo, hi = max(int(w.rows[row]), done, p - len(ws)), min(int(w.rows[row + 1]), p + 2 * len(ws))
+                found = self._align(t, [w.text(k) for k in range(lo, hi)], p - lo)
+                if found is None:
+                    least = p + max(1, len(ws) // 4)  # the next window holds whatever begins in between
+                    continue
+                a, z, aligned = found
+                yield row, self.names[t], aligned / len(ws), int(w.starts[lo + a]), int(w.ends[lo + z]), aligned
+                done = lo + z + 1
+
+    def _windows(self, t: int, own: np.ndarray, word: np.ndarray, row: np.ndarray) -> Iterator[int]:
+        """Words where a window begins that has enough of the template's telling words,
+        each counted no oftener than the template has it; one pass over the hits."""
+        need, span, limit = self.need[t], 2 * len(self.words[t]), self.limit[t]
+        quick = (own[need - 1:] - own[: len(own) - need + 1] < span) & (row[need - 1:] == row[: len(row) - need + 1])
+        if not quick.any():
+            return
+        count: dict[int, int] = {}
+        places, words, rows, enough, end = own.tolist(), word.tolist(), row.tolist(), 0, 0
+        for begin, p in enumerate(places):
+            if end <= begin:
+                count, enough, end = {}, 0, begin
+            while end < len(places) and places[end] - p < span and rows[end] == rows[begin]:
+                c = words[end]
+                count[c] = count.get(c, 0) + 1
+                enough += count[c] <= limit[c]
+                end += 1
+            if enough >= need:
+                yield p
+            c = words[begin]
+            enough -= count[c] <= limit[c]
+            count[c] -= 1
+
+    def _align(self, t: int, text: list[bytes], p: int) -> tuple[int, int, int] | None:
+        """First, last and number of the aligned words of a text that holds the template,
+        with the ``p`` words before the window or, where those blur it, without them."""
+        ws = self.words[t]
+        for begin in dict.fromkeys((0, p)):
+            pairs = patience(text[begin:], ws)
+            if len(pairs) < self.coverage * len(ws):
+                return None
+            first, last = begin + pairs[0][0], begin + pairs[-1][0]
+            if len(pairs) >= self.coverage * (last - first + 1) and self._told_apart(t, {j for _, j in pairs}):
+                return first, last, len(pairs)
+        return None
 
 
 def _hash(word: bytes) -> int:

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -297,3 +298,101 @@ def test_license_scan_tells_near_kin_apart(llm, docs_of):
         want[len(want)] = [license] if license else []
     got = {r["doc_id"]: [m["license"] for m in r["licenses"]] for r in L.scan(docs_of(rows)).collect()}
     assert {(rows[i][1][:90], tuple(got[i]), tuple(want[i])) for i in want if got[i] != want[i]} == set()
+
+
+# odd texts are read in one pass
+
+def within(seconds, run):
+    import time
+    began = time.monotonic()
+    out = run()
+    assert time.monotonic() - began < seconds
+    return out
+
+
+@pytest.mark.parametrize("page", ["<b " * 350_000, '<p a="' * 170_000, "<p a=\"x>Hello <p b='y> " * 40_000, '<p a="x>t' * 110_000, "<!--" * 250_000, "<" * 1_000_000, "<script>" * 120_000,
+                                  "<a<" * 300_000, "<div " + "x='" * 300_000, "</" * 500_000])
+def test_broken_markup_of_a_megabyte_is_read_in_time(page):
+    from tavola.llm import html_text
+    within(2, lambda: list(html_text.blocks(page)))
+
+
+def test_quotes_without_a_partner_leave_no_markup():
+    from tavola.llm.html_text import blocks
+    texts = lambda page: [b[2] for b in blocks(page)]
+    assert texts('<div><p class="x>Hello there</p><p class="y">More <b>text</b></p></div>') == ["Hello there", "More text"]
+    assert texts('<div><p class="x>Hello there</p><p>end</p></div>') == ["Hello there", "end"]
+    assert texts("<div><p title='it>Hello</p><p>end</p></div>") == ["Hello", "end"]
+    assert texts('<p title="a > b">one</p><p title="<i>x</i>">two</p><p title="1=">three</p>') == ["one", "two", "three"]
+    assert texts("<p>a < b and c > d</p><p>tail <b") == ["a < b and c > d", "tail"]
+    assert texts("<p>x</p><script>if (a<b && '</p>') {\"</div>\"}</SCRIPT ><p>y</p><style>p > a {}") == ["x", "y"]
+
+
+def test_article_in_containers_of_different_classes_is_whole():
+    from tavola.llm.html_text import main_text
+    part = "some running words of an article that goes on for quite a while and then some more of it."
+    page = (f"<html><body><nav>{part}</nav><div class='lead'><p>1 {part}</p><p>2 {part}</p></div><div class='rest'><p>3 {part}</p></div>"
+            f"<div class='comments'><p>{part}</p></div><div class='tags'><a href='#'>{part}</a></div><p>short</p><footer>{part}</footer></body></html>")
+    got = main_text(page, None).split("\n")
+    assert [g[:1] for g in got[:3]] == ["1", "2", "3"] and not any(g.startswith("some") and g != part for g in got)
+    assert main_text(page, "html/body/div.lead").split("\n")[:3] == got[:3]
+    alone = f"<html><body><div class='lead'><p>1 {part}</p><p>2 {part}</p></div><div class='x'><p>tiny</p></div></body></html>"
+    assert main_text(alone, None) == f"1 {part}\n2 {part}"
+
+
+def longest_common(a, b):
+    n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            n[i][j] = n[i + 1][j + 1] + 1 if a[i] == b[j] else max(n[i + 1][j], n[i][j + 1])
+    return n[0][0]
+
+
+def test_patience_is_an_alignment_near_the_longest():
+    from tavola.llm.license_scan import TEMPLATES, patience, words_of
+    rng = random.Random(2)
+    for name, text in TEMPLATES.items():
+        ws = words_of(text)[:160]
+        for cut in (0.0, 0.05, 0.15):
+            noisy = [w for w in ws if rng.random() >= cut]
+            noisy = [x for w in noisy for x in ([w, b"noise%d" % rng.randrange(9)] if rng.random() < cut else [w])]
+            pairs = patience(noisy, ws)
+            assert all(noisy[i] == ws[j] for i, j in pairs) and all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:]))
+            best = longest_common(noisy, ws)
+            assert len(pairs) <= best and len(pairs) >= (best if cut == 0 else 0.93 * best), name
+
+
+def test_short_sequences_align_as_the_longest_common_subsequence():
+    from tavola.llm.license_scan import patience
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.randrange(40) for _ in range(rng.randrange(1, 12))] for _ in range(2))
+        unique_chain = len(set(a)) == len(a) and len(set(b)) == len(b)
+        n = len(patience(a, b))
+        assert n <= longest_common(a, b) and (not unique_chain or n == longest_common(a, b))
+
+
+def scanned(texts):
+    from tavola.llm import license_scan as L
+    from tavola.llm import textkernel as K
+    scanner, out = L.Scanner(L.TEMPLATES), []
+    for lo, hi, data, offs in K.text_chunks(pa.array(texts)):
+        found = {}
+        for row, *m in scanner.matches(K.Words(L._WORD_BYTE[data], offs)):
+            found.setdefault(row, []).append(m[0])
+        out += [found.get(r, []) for r in range(hi - lo)]
+    return out
+
+
+def test_long_texts_of_template_words_are_scanned_in_time():
+    from tavola.llm.license_scan import TEMPLATES
+    assert within(3, lambda: scanned(["software " * 100_000])) == [[]]
+    words = max(TEMPLATES.values(), key=len).split()
+    rng, mixed = random.Random(1), []
+    for _ in range(60):
+        rng.shuffle(words)
+        mixed += words
+    within(6, lambda: scanned([" ".join(mixed)]))
+    # a license amid a great many of its words is still found
+    name = "Unlicense-text"
+    assert name in scanned(["software " * 20_000 + TEMPLATES[name] + " software" * 20_000])[0]
