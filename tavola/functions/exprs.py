@@ -88,3 +88,12 @@ def stack_expr(pairs: Sequence[tuple[str, str]], key: str = "column", value: str
 def q(name: str) -> str:
     """Back-quote a column name for SQL expression strings."""
     return "`" + name.replace("`", "``") + "`"
+
+
+def digamma(n: Column) -> Column:
+    """Digamma of numbers of 1 and more (error below 1e-10): the asymptotic series six
+    further on, less the reciprocals in between."""
+    x = n.cast("double") + 6
+    x2 = x * x
+    series = F.log(x) - 1 / (2 * x) - 1 / (12 * x2) + 1 / (120 * x2 * x2) - 1 / (252 * x2 * x2 * x2) + 1 / (240 * x2 * x2 * x2 * x2)
+    return series - sum((1 / (n.cast("double") + j) for j in range(6)), F.lit(0.0))

@@ -8,7 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tavola.functions.exprs import numeric_columns, q
+from tavola.functions.distributed_quantile import number
+from tavola.functions.exprs import digamma, numeric_columns, q
+from tavola.functions.windows import global_rank, prefix_sums
 from tavola.operators.profile import correlation_matrix
 
 TARGETS = ("is_high_rated", "is_popular", "is_premium")
@@ -63,6 +65,58 @@ def leakage_by_correlation(df: DataFrame, features: Sequence[str], targets: Sequ
     return long.withColumn("suspicious", F.coalesce(F.col("max_abs_r") > threshold, F.lit(False)))
 
 
+def mutual_information_knn(df: DataFrame, features: Sequence[str], targets: Sequence[str] = TARGETS, k: int = 3,
+                           top: int = 5, flag: float = 0.5, block: int = 100_000) -> DataFrame:
+    """Mutual information (nats) of numeric features with 0/1 targets by nearest neighbours.
+
+    For a row of class y, d is the distance to the k-th nearest other row of its class (to
+    the last one in smaller classes) and m the number of rows of all classes nearer than
+    d, itself included (of rows equal to it where d is 0); with digamma p,
+    mi = p(N) + mean(p(k)) - mean(p(N_y)) - mean(p(m)), at least 0.  Ties get no noise, so
+    the result is exact and the same everywhere.  Rows that are alone in their class are left out.
+
+    Rows are counted per value first.  The distinct values of a class are ranked by range
+    partitions; a value's neighbours are at most k ranks away, so windows over blocks of
+    ``block`` ranks, each with k ranks of its neighbours, find d in bounded tasks.  m is the
+    difference of two running counts at x + d and x - d (``prefix_sums``)."""
+    names, at = F.array(*[F.lit(f) for f in features]), list(range(len(features)))
+    x = lambda f: number(F.col(q(f)).cast("double")) + F.lit(0.0)  # noqa: E731  (no negative zero)
+    long = df.select(*[F.col(q(t)).cast("int").alias(f"_y{j}") for j, t in enumerate(targets)],
+                     F.inline(F.array(*[F.struct(F.lit(i).alias("f"), x(features[i]).alias("x")) for i in at]))).where("x is not null")
+    counted = long.groupBy("f", "x").agg(*[F.count_if(F.col(f"_y{j}") == y).alias(f"n{j}_{y}") for j in range(len(targets)) for y in (0, 1)])
+    values = counted.select("f", "x", F.inline(F.array(*[F.struct(F.lit(j).alias("t"), F.lit(y).alias("y"), F.col(f"n{j}_{y}").alias("n"))
+                                                         for j in range(len(targets)) for y in (0, 1)]))).where("n > 0")
+    ranked = global_rank(values, ["f", "t", "y"], ["x"], out="r")
+    sizes = ranked.groupBy("f", "t", "y").agg(F.sum("n").alias("n_y"))  # a row per feature, target and class
+    near = [F.floor((F.col("r") + s) / block) for s in (-k, 0, k)]
+    spread = ranked.withColumn("b", F.explode(F.array_distinct(F.array(*near))))
+    w = Window.partitionBy("f", "t", "y", "b").orderBy("r")
+    beside = [fn(F.struct("x", "n"), j).over(w).alias(f"{fn.__name__}{j}") for fn in (F.lag, F.lead) for j in range(1, k + 1)]
+    own = (spread.select("*", *beside).where(F.col("b") == F.floor(F.col("r") / block)).join(sizes, ["f", "t", "y"])
+           .where("n_y > 1").withColumn("k", F.least(F.lit(k), F.col("n_y") - 1).cast("int")))
+    again = lambda d, n: F.array_repeat(d, F.least(n, F.lit(k)).cast("int"))
+    others = [F.when(F.col(c).isNotNull(), again(F.abs(F.col(f"{c}.x") - F.col("x")), F.col(f"{c}.n"))).otherwise(F.array().cast("array<double>"))
+              for c in [f"{s}{j}" for s in ("lag", "lead") for j in range(1, k + 1)]]
+    d = F.element_at(F.sort_array(F.concat(again(F.lit(0.0), F.col("n") - 1), *others)), F.col("k"))
+    points = own.select("f", "t", "y", "x", "n", "n_y", "k", d.alias("d"))
+    tied = F.col("d") == 0  # order of a place: before (0), with (1) or after (2) the rows of a value
+    upper = F.when(tied, F.struct(F.col("x").alias("v"), F.lit(2).alias("o"))).otherwise(F.struct((F.col("x") + F.col("d")).alias("v"), F.lit(0).alias("o")))
+    lower = F.when(tied, F.struct(F.col("x").alias("v"), F.lit(0).alias("o"))).otherwise(F.struct((F.col("x") - F.col("d")).alias("v"), F.lit(2).alias("o")))
+    points = points.withColumns({"upper": upper, "lower": lower}).checkpoint(eager=True)
+    rows = points.select("f", "t", F.struct(F.col("x").alias("v"), F.lit(1).alias("o")).alias("place"), "n")
+    asked = [points.select("f", "t", F.col(c).alias("place"), F.lit(0).cast("long").alias("n")) for c in ("upper", "lower")]
+    places = rows.unionByName(asked[0]).unionByName(asked[1]).groupBy("f", "t", "place").agg(F.sum("n").alias("n"))
+    before = prefix_sums(places, ["f", "t"], "place", ["n"], descending=False).where("place.o != 1").select("f", "t", "place", "cum_n")
+    at_place = lambda c: before.select("f", "t", F.col("place").alias(c), F.col("cum_n").alias(f"n_{c}"))
+    near_by = points.join(at_place("upper"), ["f", "t", "upper"]).join(at_place("lower"), ["f", "t", "lower"])
+    n, m = F.sum("n"), F.col("n_upper") - F.col("n_lower")
+    mean = lambda c: F.sum(F.col("n") * digamma(c)) / n
+    found = near_by.groupBy("t", "f").agg(F.greatest(digamma(n) + mean(F.col("k")) - mean(F.col("n_y")) - mean(m), F.lit(0.0)).alias("mi"))
+    found = found.select(F.array(*[F.lit(t) for t in targets])[F.col("t")].alias("target"), names[F.col("f")].alias("feature"), "mi")
+    order = Window.partitionBy("target").orderBy(F.desc(F.rint(F.col("mi") * 1e9)), "feature")  # as many rows as features
+    return found.withColumn("rank", F.row_number().over(order)).withColumn("suspicious", (F.col("rank") <= top) & (F.col("mi") > flag))
+
+
 def mutual_information(df: DataFrame, features: Sequence[str], targets: Sequence[str] = TARGETS,
                        bins: int = 10, top: int = 5, flag: float = 0.5) -> DataFrame:
     """Binned mutual information (nats) of each feature with each target.

@@ -115,6 +115,38 @@ def q_mutual_information(spark, sf):
     return D.mutual_information(_mm(spark, sf), MM, T)
 
 
+def _digamma(n):
+    x = f"(CAST({n} AS DOUBLE) + 6)"
+    return (f"(ln({x}) - 1 / (2 * {x}) - 1 / (12 * {x} ** 2) + 1 / (120 * {x} ** 4) - 1 / (252 * {x} ** 6) + 1 / (240 * {x} ** 8)"
+            + "".join(f" - 1 / (CAST({n} AS DOUBLE) + {j})" for j in range(6)) + ")")
+
+
+def _knn_sql(k=3):
+    longs = " UNION ALL ".join(f"SELECT '{f}' AS feature, '{t}' AS target, CAST({f} AS DOUBLE) + 0.0 AS x, CAST({t} AS INTEGER) AS y "
+                               f"FROM model_matrix WHERE {f} IS NOT NULL AND {t} IS NOT NULL" for f in MM for t in T)
+    sides = ", ".join(f"abs(x - {s}(x, {j}) OVER w)" for s in ("lag", "lead") for j in range(1, k + 1))
+    return f"""
+WITH pts AS ({longs}),
+c AS (SELECT *, count(*) OVER (PARTITION BY feature, target, y) AS n_y, list_sort(list_filter([{sides}], lambda a: a IS NOT NULL)) AS dists
+      FROM pts WINDOW w AS (PARTITION BY feature, target, y ORDER BY x)),
+p AS (SELECT feature, target, y, x, n_y, least({k}, n_y - 1) AS k, dists[least({k}, n_y - 1)] AS d, count(*) AS n FROM c WHERE n_y > 1 GROUP BY ALL),
+v AS (SELECT feature, target, x, sum(n) AS n FROM p GROUP BY ALL),
+m AS (SELECT p.feature, p.target, p.n_y, p.k, p.n, sum(v.n) AS m
+      FROM p JOIN v ON p.feature = v.feature AND p.target = v.target AND ((p.d = 0 AND v.x = p.x) OR (p.d > 0 AND v.x > p.x - p.d AND v.x < p.x + p.d))
+      GROUP BY p.feature, p.target, p.y, p.x, p.n_y, p.k, p.n, p.d),
+mi AS (SELECT target, feature, greatest({_digamma('sum(n)')} + sum(n * {_digamma('k')}) / sum(n) - sum(n * {_digamma('n_y')}) / sum(n)
+              - sum(n * {_digamma('m')}) / sum(n), 0.0) AS mi FROM m GROUP BY target, feature)
+SELECT *, rank <= 5 AND mi > 0.5 AS suspicious FROM (
+  SELECT target, feature, mi, CAST(row_number() OVER (PARTITION BY target ORDER BY round_even(mi * 1e9, 0) DESC, feature) AS INTEGER) AS rank
+  FROM mi)
+"""
+
+
+@register("mutual_information_knn", _knn_sql(), ("model_matrix",), dbl=("mi",))
+def q_mutual_information_knn(spark, sf):
+    return D.mutual_information_knn(_mm(spark, sf), MM, T)
+
+
 @register("suspicious_features", f"""
 WITH lk AS ({_leak_sql()}),
 mi AS ({cte_mi})
@@ -136,9 +168,13 @@ def _cp_sql(target):
     return f"SELECT *, mean_1 - mean_0 AS difference FROM ({rows})"
 
 
-@register("class_profile", _cp_sql("is_premium"), ("model_matrix",), dbl=("mean_1", "mean_0", "difference"))
+@register("class_profile", " UNION ALL ".join(f"SELECT * FROM ({_cp_sql(t)})" for t in T), ("model_matrix",), dbl=("mean_1", "mean_0", "difference"))
 def q_class_profile(spark, sf):
-    return D.class_profile(_mm(spark, sf), "is_premium", MM)
+    out = None
+    for t in T:
+        d = D.class_profile(_mm(spark, sf), t, MM)
+        out = d if out is None else out.unionByName(d)
+    return out
 
 
 _INTS = ("dish_count", "total_rating_count", "category_diversity", "price_segment_encoded",
