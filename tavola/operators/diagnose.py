@@ -88,6 +88,7 @@ def mutual_information_knn(df: DataFrame, features: Sequence[str], targets: Sequ
                                                          for j in range(len(targets)) for y in (0, 1)]))).where("n > 0")
     ranked = global_rank(values, ["f", "t", "y"], ["x"], out="r")
     sizes = ranked.groupBy("f", "t", "y").agg(F.sum("n").alias("n_y"))  # a row per feature, target and class
+    block = max(block, k)
     near = [F.floor((F.col("r") + s) / block) for s in (-k, 0, k)]
     spread = ranked.withColumn("b", F.explode(F.array_distinct(F.array(*near))))
     w = Window.partitionBy("f", "t", "y", "b").orderBy("r")
