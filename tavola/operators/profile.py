@@ -5,9 +5,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tavola.functions.distributed_quantile import number
 from tavola.functions.exprs import numeric_columns, present, q, stack_expr, string_columns
 from tavola.functions.stats import scalar_stats
 from tavola.functions.windows import top_n_per_group
@@ -140,7 +145,7 @@ def _range_stats(df: DataFrame, cols: Sequence[str]) -> Column:
     [v-0.5, v+0.5], as numpy) and its width."""
     aggs = {}
     for i, c in enumerate(cols):
-        x = F.col(q(c)).cast("double")
+        x = number(F.col(q(c)))
         mn, mx = F.min(x), F.max(x)
         lo = F.when(mn == mx, mn - 0.5).otherwise(mn)
         hi = F.when(mn == mx, mx + 0.5).otherwise(mx)
@@ -159,7 +164,8 @@ def numeric_histogram(df: DataFrame, cols: Sequence[str] | None = None, bins: in
     """Equal-width histogram per numeric column: (column, bin, lo, hi, count).
 
     Bins span [min, max] of the column, the last bin is right-closed (numpy);
-    a constant column uses the range [v-0.5, v+0.5] as numpy does.  Only
+    a constant column uses the range [v-0.5, v+0.5] as numpy does; null and NaN
+    are in no bin.  Only
     non-empty bins are returned.  The ranges are one aggregate (scalar
     subquery); each row only computes one small bin expression per column
     (a codegen-friendly projection), rows are unpivoted to (column, bin) and
@@ -168,7 +174,7 @@ def numeric_histogram(df: DataFrame, cols: Sequence[str] | None = None, bins: in
     """
     cols = present(df, list(cols or numeric_columns(df)))
     st = _range_stats(df, cols)
-    binned = df.select(st.alias("_st"), *[F.col(q(c)).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)]) \
+    binned = df.select(st.alias("_st"), *[number(F.col(q(c))).alias(f"_x{i}") for i, c in enumerate(cols)]) \
         .select(*[equal_width_bin(F.col(f"_x{i}"), F.col(f"_st.lo{i}"), F.col(f"_st.w{i}"), bins).alias(f"_b{i}")
                   for i in range(len(cols))])
     long = binned.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_b{i}").alias("bin"))
@@ -196,26 +202,56 @@ def value_counts(df: DataFrame, cols: Sequence[str] | None = None, top_n: int =
     return top_n_per_group(long, ["column_name"], [F.desc("count"), F.asc("value")], top_n)
 
 
-CORR_PAIRS_PER_PASS = 300
+CENTRE_ROWS = 1000
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None,
-                       pairs_per_pass: int = CORR_PAIRS_PER_PASS) -> DataFrame:
+                       pairs_per_pass: int | None = None) -> DataFrame:
     """Pearson r for every unordered pair (a < b by position), pairwise
-    complete (a row counts for a pair when both values are present);
-    constant columns give null.
-
-    Each pass is one aggregate of at most ``pairs_per_pass`` ``corr``
-    buffers (six doubles each, combined map-side).  Wide inputs take several
-    passes, whose small results are unioned, instead of one aggregate too
-    large for generated code."""
+    complete (a row counts for a pair when both values are present, NaN being
+    absent); columns that are constant in a pair's rows give null.
+
+    One scan for any number of columns: with x = 0 where a value is absent and p = 1
+    where it is present, the sums of a pair over its complete rows are products of the
+    columns x, x^2 and p, so all of them stand in the Gramian of one vector of three
+    entries per column, which tasks add up in (3 n)^2 / 2 doubles.  Columns are moved
+    near 0 first, by the mean of some rows, which changes no correlation.  The sums of
+    n^2 / 2 pairs reach the driver.  With ``pairs_per_pass``, aggregates of so many
+    ``corr`` functions, a scan each, instead (no constant columns)."""
     cols = list(cols or numeric_columns(df))
+    if pairs_per_pass:
+        return _correlations_by_pass(df, cols, pairs_per_pass)
+    spark, schema = df.sparkSession, "feature_a string, feature_b string, r double"
+    if len(cols) < 2:
+        return spark.createDataFrame([], schema)
+    values = df.select(*[number(F.col(q(c))).alias(f"x{i}") for i, c in enumerate(cols)])
+    near = values.limit(CENTRE_ROWS).agg(*[fn(f"x{i}").alias(f"{fn.__name__}{i}") for i in range(len(cols)) for fn in (F.avg, F.min, F.max)]).first()
+    parts = []
+    for i in range(len(cols)):
+        constant = near[f"min{i}"] == near[f"max{i}"]
+        centre = (near[f"min{i}"] if constant else near[f"avg{i}"]) or 0.0
+        x = F.coalesce(F.col(f"x{i}") - F.lit(centre if np.isfinite(centre) else 0.0), F.lit(0.0))
+        parts.append((x, x * x, F.col(f"x{i}").isNotNull().cast("double")))
+    vector = array_to_vector(F.array(*[p[k] for k in range(3) for p in parts]))
+    n = len(cols)
+    rows = MLUtils.convertVectorColumnsFromML(values.select(vector.alias("v")), "v")
+    gram = RowMatrix(rows, 0, 3 * n).computeGramianMatrix().toArray() if not values.isEmpty() else np.zeros((3 * n, 3 * n))
+    sx, sxx, count, sxy = gram[:n, 2 * n:], gram[n:2 * n, 2 * n:], gram[2 * n:, 2 * n:], gram[:n, :n]  # [a, b]: of a over the rows of both
+    with np.errstate(all="ignore"):
+        spread = np.maximum(count * sxx - sx ** 2, 0)
+        spread[spread <= 1e-12 * count * sxx] = 0
+        r = np.where(spread * spread.T > 0, np.clip((count * sxy - sx * sx.T) / np.sqrt(spread * spread.T), -1, 1), np.nan)
+    a, b = np.triu_indices(n, 1)
+    found = r[a, b]
+    return spark.createDataFrame([(cols[i], cols[j], float(v) if np.isfinite(v) else None) for i, j, v in zip(a.tolist(), b.tolist(), found.tolist())], schema)
+
+
+def _correlations_by_pass(df: DataFrame, cols: Sequence[str], pairs_per_pass: int) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     out = None
     for start in range(0, len(pairs), pairs_per_pass):
         chunk = pairs[start:start + pairs_per_pass]
-        wide = df.agg(*[F.corr(F.col(q(a)).cast("double"), F.col(q(b)).cast("double")).alias(f"c{i}")
-                        for i, (a, b) in enumerate(chunk)])
+        wide = df.agg(*[F.corr(number(F.col(q(a))), number(F.col(q(b)))).alias(f"c{i}") for i, (a, b) in enumerate(chunk)])
         structs = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
                             F.nanvl(F.col(f"c{i}"), F.lit(None).cast("double")).alias("r"))
                    for i, (a, b) in enumerate(chunk)]

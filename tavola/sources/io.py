@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType, StructField, StructType
 
@@ -25,27 +26,54 @@ LOG_SCHEMA = ("timestamp timestamp, model string, features map<string,double>, "
               "response_time double, success boolean, feature_count int")
 
 
-def read_items(spark: SparkSession, path: str, schema: str = RAW_ITEM_SCHEMA, fmt: str = "csv",
-               na_tokens: Sequence[str] = NA_TOKENS, report_corrupt: bool = False) -> DataFrame:
+def _header_groups(spark: SparkSession, path: str | Sequence[str], options: Mapping[str, object]) -> dict[tuple[str, ...], list[str]]:
+    """Files by their headers.  Listing reads no content; of each file Spark's CSV reader
+    takes the header record, some files at a time."""
+    paths = [path] if isinstance(path, str) else list(path)
+    files = sorted(r["path"] for r in spark.read.format("binaryFile").load(paths).select("path").collect())
+    with ThreadPoolExecutor(max_workers=8) as ex:
+        headers = list(ex.map(lambda f: tuple(spark.read.options(**options).csv(f).columns), files))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for f, names in zip(files, headers):
+        groups.setdefault(names, []).append(f)
+    return groups
+
+
+def read_items(spark: SparkSession, path: str | Sequence[str], schema: str = RAW_ITEM_SCHEMA, fmt: str = "csv",
+               na_tokens: Sequence[str] = NA_TOKENS, report_corrupt: bool = False, multi_line: bool = True) -> DataFrame:
     """Raw item table with the columns and types of ``schema``.
 
-    CSV columns are found by header name, whatever their order (columns that
-    ``schema`` lacks are left out, absent ones are null).  Missing-value tokens
-    become null in every column; numbers are read as doubles first, so a count
+    CSV columns are found by header name: files with the same header are read
+    together, and the groups are united by name (columns that ``schema`` lacks are left
+    out, absent ones are null, files without a header give no rows).  A quoted cell may
+    hold line breaks; that needs ``multi_line``, with which a file is read by one task, so
+    large files come as many, and without which a large file is split.  Missing-value
+    tokens become null in every column; numbers are read as doubles first, so a count
     written ``5.0`` is 5, and NaN is null.  No record is dropped; with
     ``report_corrupt`` one more column, ``_corrupt_record``, has the whole record
     where it does not fit its header or a cell is no number, else null."""
     want = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    if fmt == "csv":
-        opts = {"header": True, "quote": '"', "escape": '"'}
-        # the header of all files: one line of each is read, no types are inferred
-        names = spark.read.options(**opts).option("inferSchema", False).csv(path).columns
-        text = StructType([StructField(n, StringType()) for n in names] + [StructField(CORRUPT, StringType())])
-        df = (spark.read.schema(text).options(**opts, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=False).csv(path))
-        whole = F.to_csv(F.struct(*[F.col(f"`{n}`") for n in names])) if names else F.lit("")
-    else:
+    if fmt != "csv":
         df = spark.read.format(fmt).load(path)
-        names, whole = df.columns, None
+        return df.select(*_typed(df, df.columns, want, na_tokens)[0])
+    opts = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line}
+    out = None
+    for names, files in sorted(_header_groups(spark, path, opts | {"inferSchema": False}).items()):
+        if not names:
+            continue
+        text = StructType([StructField(n, StringType()) for n in names] + [StructField(CORRUPT, StringType())])
+        df = spark.read.schema(text).options(**opts, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=False).csv(files)
+        columns, bad = _typed(df, names, want, na_tokens)
+        whole = F.to_csv(F.struct(*[F.col(f"`{n}`") for n in names]))
+        part = df.select(*columns, F.coalesce(F.col(CORRUPT), F.when(bad, whole)).alias(CORRUPT))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], StructType([*want.fields, StructField(CORRUPT, StringType())]))
+    return out if report_corrupt else out.drop(CORRUPT)
+
+
+def _typed(df: DataFrame, names: Sequence[str], want: StructType, na_tokens: Sequence[str]) -> tuple[list[Column], Column]:
+    """The wanted columns, and whether a cell is no number where one is wanted."""
     out, bad = [], F.lit(False)
     for f in want.fields:
         if f.name not in names:
@@ -61,10 +89,7 @@ def read_items(spark: SparkSession, path: str, schema: str = RAW_ITEM_SCHEMA, fm
             out.append(F.when(~F.isnan(x), x).try_cast(f.dataType).alias(f.name))
         else:
             out.append(given.try_cast(f.dataType).alias(f.name))
-    if fmt != "csv":
-        return df.select(*out)
-    df = df.select(*out, F.coalesce(F.col(CORRUPT), F.when(bad, whole)).alias(CORRUPT))
-    return df if report_corrupt else df.drop(CORRUPT)
+    return out, bad
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
