@@ -31,18 +31,20 @@ def price_by_category(items: DataFrame, top: int = 15, category: str = "category
     """Box statistics of ``price`` for the ``top`` most frequent categories:
     n, min, Q1, median, Q3, max and the 1.5*IQR whiskers clipped to the data.
 
-    One (category, price) count table is computed, once: it is checkpointed, and
-    the top list, the counts, the exact quartiles (from its running counts) and
-    the whiskers all come from it.  A category that holds a third of the items is
-    pre-aggregated before the shuffle, and its prices are spread over tasks.
+    Counts come first: of the items of the ``top`` categories, told by a join with
+    that many rows, one (category, price) count table is computed, and the exact
+    quartiles (from its running counts) and the whiskers come from it.  A category that
+    holds a third of the items is pre-aggregated before the shuffle, and its prices are
+    spread over tasks.
     """
     from tavola.functions.windows import prefix_sums
 
-    every = items.where(F.col(category).isNotNull()).groupBy(category, price).agg(F.count("*").alias("_f"))
-    cum = prefix_sums(every, [category], price, ["_f"], descending=True)  # nulls, the smallest, come last
-    names = (cum.groupBy(category).agg(F.sum("_f").alias("_n"), F.sum(F.when(F.col(price).isNotNull(), F.col("_f"))).alias("n"))
+    names = (items.where(F.col(category).isNotNull()).groupBy(category).agg(F.count("*").alias("_n"), F.count(price).alias("n"))
              .orderBy(F.desc("_n"), F.asc(category)).limit(top).select(category, "n"))
-    freq = cum.join(F.broadcast(names), category).where(F.col(price).isNotNull())  # ``top`` rows
+    every = (items.join(F.broadcast(names.select(category)), category, "left_semi").where(F.col(price).isNotNull())
+             .groupBy(category, price).agg(F.count("*").alias("_f")))
+    cum = prefix_sums(every, [category], price, ["_f"], descending=True)
+    freq = cum.join(F.broadcast(names), category)  # ``top`` rows
     # rank r from below is rank n - 1 - r from above
     aggs, parts = [], []
     for i, p in enumerate((0.25, 0.5, 0.75)):
