@@ -197,6 +197,27 @@ def q_safe_features(spark, sf):
     return m.drop(*[f for f in feats if f.startswith("city_")])
 
 
+@register("feature_sets_city", f"""
+WITH s AS (SELECT * FROM (VALUES ('high_rated'), ('popular'), ('premium'), ('safe')) AS t(feature_set))
+SELECT {KS}, feature_set, 'city_' || v AS column_name, CAST(city = v AS INTEGER) AS value FROM entities, top10_city AS t(v), s
+UNION ALL
+SELECT {KS}, feature_set, 'city_other', CAST(city NOT IN (SELECT city FROM top10_city) AS INTEGER) FROM entities, s
+WHERE (SELECT count(DISTINCT city) FROM entities) > 10
+""", ("entities", "top10_city"))
+def q_feature_sets_city(spark, sf):
+    """The city columns of every task's feature set and of the safe features."""
+    e = _enhanced(spark, sf)
+    e = e.drop(*venue.city_columns(e))
+    d, names = FE.one_hot_topk_other(FE.high_variance_flag(FE.ratio_features(e)), "city", 10)
+    found = [(t, *FE.feature_set(d, t, K, names)) for t in FE.TASK_FEATURES] + [("safe", *FE.safe_features(e, K))]
+    out = None
+    for name, m, feats in found:
+        cells = [F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("int").alias("value")) for c in feats if c.startswith("city_")]
+        part = m.select(*K, F.lit(name).alias("feature_set"), F.inline(F.array(*cells)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 _SPLIT = """
 SELECT {keys}, label,
        CAST(row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', {hk}, '42')), {keys}) - 1

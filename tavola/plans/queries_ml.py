@@ -4,6 +4,7 @@ scoring (rows-only checks), and interpretation of a score column (SQL)."""
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -43,18 +44,93 @@ def q_train_models(spark, sf):
     return EV.evaluate(scored, ["task", "model"], "y", "p")
 
 
-def _single(model):
-    def run(spark, sf):
-        data = venue.task_data(spark, sf).where(F.col("task") == "high_rated")
+REFERENCE = {"quick": (("logistic", "baseline"), ("random_forest", "baseline"), ("random_forest", "advanced")), "boosted": (("boosted_trees", "advanced"),)}
+TREES = {("random_forest", "baseline"): 100, ("random_forest", "advanced"): 200, ("boosted_trees", "advanced"): 200}
+
+
+def _reference(spark, sf, part):
+    """Models with the reference's own presets of all three tasks, fitted once:
+    ({(task, model, preset): fitted}, stored rows, feature sets)."""
+    key = (spark.sparkContext.applicationId, sf, part)
+    if key not in _CACHE:
+        data = venue.task_data(spark, sf)
         sets = venue.task_feature_sets(data)
-        pm = T.fit(data.where("is_test = 0"), sets["high_rated"], model, "small")
-        return T.predict(pm, data.where("is_test = 1"), [*K, F.col("label").alias("y")])
+        rows = T.store_rows(data, scratch_path(spark, f"reference/{uuid.uuid4().hex[:12]}"), "task")
+        jobs = [(t, m, p) for m, p in REFERENCE[part] for t in sets]
+
+        def run(job):
+            t, m, p = job
+            return T.fit(rows.where((F.col("task") == t) & (F.col("is_test") == 0)), sets[t], m, p)
+        with ThreadPoolExecutor(max_workers=3) as ex:
+            _CACHE[key] = dict(zip(jobs, ex.map(run, jobs))), rows, sets
+    return _CACHE[key]
+
+
+def _facts_sql(part):
+    kinds = ", ".join(f"('{m}', '{p}', {TREES.get((m, p), 0)})" for m, p in REFERENCE[part])
+    bases = ", ".join(f"('{t}', {n})" for t, n in {t: len(fs) for t, fs in TASK_FEATURES.items()}.items())
+    return f"""
+WITH n AS (SELECT task, CAST(count(*) FILTER (WHERE is_test = 0) AS BIGINT) AS n_train, CAST(count(*) FILTER (WHERE is_test = 0 AND label = 1) AS BIGINT) AS n_train_positive,
+                  CAST(count(*) FILTER (WHERE is_test = 1) AS BIGINT) AS n_scored FROM task_split GROUP BY task),
+c AS (SELECT least(count(DISTINCT city), 10) + CAST(count(DISTINCT city) > 10 AS INTEGER) AS cities FROM entities)
+SELECT n.task, model, preset, CAST(base + cities AS INTEGER) AS n_features, n_train, n_train_positive, n_scored, CAST(trees AS INTEGER) AS n_trees, true AS sums_hold
+FROM n JOIN (VALUES {bases}) AS b(task, base) USING (task), (VALUES {kinds}) AS k(model, preset, trees), c
+"""
+
+
+def _facts(spark, sf, part):
+    """What must hold of every fitted model, whatever it learned: its rows, classes, inputs
+    and trees; importances that sum to 1; for logistic regression, whose intercept is
+    not penalised, a mean probability of the train rows that is their positive rate."""
+    fitted, rows, sets = _reference(spark, sf, part)
+    out = None
+    for (t, m, p), pm in fitted.items():
+        one, last = rows.where(F.col("task") == t), pm.stages[-1]
+        scored = T.predict(pm, one, ["is_test", "label"])
+        tree = hasattr(last, "featureImportances")
+        mean = F.avg(F.when(F.col("is_test") == 0, F.col("p"))) - F.avg(F.when(F.col("is_test") == 0, F.col("label")))
+        holds = F.lit(abs(float(last.featureImportances.toArray().sum()) - 1) < 1e-9) if tree else F.abs(mean) < 1e-4
+        d = scored.agg(F.count_if(F.col("is_test") == 0).alias("n_train"), F.count_if((F.col("is_test") == 0) & (F.col("label") == 1)).alias("n_train_positive"),
+                       F.count_if((F.col("is_test") == 1) & F.col("p").between(0, 1)).alias("n_scored"), holds.alias("sums_hold"))
+        d = d.select(F.lit(t).alias("task"), F.lit(m).alias("model"), F.lit(p).alias("preset"), F.lit(last.numFeatures).alias("n_features"), "n_train",
+                     "n_train_positive", "n_scored", F.lit(last.getNumTrees if tree else 0).alias("n_trees"), "sums_hold")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@register("train_reference", _facts_sql("quick"), ("task_split", "entities"))
+def q_train_reference(spark, sf):
+    """Logistic regression (1000 iterations) and the forests of 100 and of 200 trees."""
+    return _facts(spark, sf, "quick")
+
+
+@register("train_reference_boosted", _facts_sql("boosted"), ("task_split", "entities"))
+def q_train_reference_boosted(spark, sf):
+    """Boosted trees of 200 rounds and depth 8; the longest of all queries (README)."""
+    return _facts(spark, sf, "boosted")
+
+
+def _reference_scores(model, preset):
+    def run(spark, sf):
+        fitted, rows, _s = _reference(spark, sf, "quick")
+        out = None
+        for t in TASK_FEATURES:
+            test = rows.where((F.col("task") == t) & (F.col("is_test") == 1))
+            d = T.predict(fitted[t, model, preset], test, [*K, "task", F.col("label").alias("y")])
+            out = d if out is None else out.unionByName(d)
+        return out
     return run
 
 
-register("fit_logistic")(_single("logistic"))
-register("fit_random_forest")(_single("random_forest"))
-register("fit_boosted_trees")(_single("boosted_trees"))
+register("fit_logistic")(_reference_scores("logistic", "baseline"))
+register("fit_random_forest")(_reference_scores("random_forest", "advanced"))
+
+
+@register("fit_boosted_trees")
+def q_fit_boosted_trees(spark, sf):
+    """Test scores of all tasks (the reference preset runs in ``train_reference_boosted``)."""
+    _f, scored, _s = _grid(spark, sf)
+    return scored.where(F.col("model") == "boosted_trees").select(*K, "task", "y", "p")
 
 
 @register("fit_dummy", "SELECT * FROM eval_scored WHERE model LIKE 'dummy%'", ("eval_scored",), dbl=("p",))
@@ -101,8 +177,12 @@ def q_cross_validate_folds(spark, sf):
 
 @register("coefficient_importance")
 def q_coefficient_importance(spark, sf):
-    fitted, _s, sets = _grid(spark, sf)
-    return T.coefficient_importance(fitted[("premium", "logistic")], sets["premium"])
+    fitted, _rows, sets = _reference(spark, sf, "quick")
+    out = None
+    for t in sets:
+        d = T.coefficient_importance(fitted[t, "logistic", "baseline"], sets[t]).select(F.lit(t).alias("task"), "feature", "coefficient", "abs_coefficient")
+        out = d if out is None else out.unionByName(d)
+    return out
 
 
 @register("tree_importance")
