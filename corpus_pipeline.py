@@ -28,38 +28,42 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def _verdicts(docs: DataFrame) -> DataFrame:
+    """docs as ids and texts, with each whole row beside them: no name of a column
+    of docs meets one that an operator adds."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier (operator 9) predicts to be of quality 1;
     labels of held-out documents are never learned from."""
     ship_package(spark)
-    scored = nbsvm.classify(docs, _labels(spark, sf_dir), train=crc_mod("doc_id", 5) != 0)
-    return scored.where("predicted = 1").select(docs.columns)
+    model = nbsvm.fit(docs.select("doc_id", "text"), _labels(spark, sf_dir), train=crc_mod("doc_id", 5) != 0)
+    return nbsvm.score(_verdicts(docs), model).where("score >= 0.3").select("_row.*")
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the trees (operator 2)."""
     ship_package(spark)
-    judged = quality_rules.judge(docs, quality_rules.fit(docs, _labels(spark, sf_dir)))
-    return judged.where("kept").select(docs.columns)
+    trees = quality_rules.fit(docs.select("doc_id", "text"), _labels(spark, sf_dir))
+    return quality_rules.judge(_verdicts(docs), trees).where("kept").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near copies
-    (operator 1, five words, similarity 0.8).  Rows that repeat an id and a text
-    are one document.  Rows without an id are no group's smallest: one of each
-    text stays if no row with an id has that text."""
+    """One document of each group of near copies (operator 1, five words, similarity
+    0.8): the one with the smallest id, rows without an id last, of rows that repeat
+    an id one.  Empty texts link with nothing; of those, rows that repeat an id and a
+    text are one document.  Every row gets a number, written once, and joins its group
+    by it, with an id or without."""
     ship_package(spark)
-    named = docs.where("doc_id is not null")
-    groups = ngram_join.ngram_components(named, n=5, num=80, den=100)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = (named.join(first, "doc_id", "left_semi").select(docs.columns)
-            .withColumn("_text", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_text"]).drop("_text"))
-    nameless = docs.where("doc_id is null")
-    if nameless.isEmpty():
-        return kept
-    known = named.select(F.coalesce("text", F.lit("")).alias("_text")).distinct()
-    alone = nameless.withColumn("_text", F.coalesce("text", F.lit(""))).dropDuplicates(["_text"]).join(known, "_text", "left_anti")
-    return kept.unionByName(alone.select(docs.columns))
+    numbered = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.monotonically_increasing_id().alias("_number")), "pipeline-numbered")
+    groups = ngram_join.ngram_components(numbered.select(F.col("_number").alias("doc_id"), F.col("_row.text").alias("text")), n=5, num=80, den=100)
+    named = numbered.select("_number", F.col("_row.doc_id").alias("id"), F.xxhash64(F.coalesce("_row.text", F.lit(""))).alias("h"))
+    placed = groups.withColumnRenamed("doc_id", "_number").join(named, "_number")
+    empty = F.col("n_shingles") == 0
+    group = [F.when(~empty, F.col("component_id")).alias("g"), F.when(empty, F.col("id")).alias("i"), F.when(empty, F.col("h")).alias("t")]
+    first = placed.groupBy(*group).agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "_number")).alias("first")).select("first._number")
+    return numbered.join(first, "_number", "left_semi").select("_row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tavola.llm import textkernel as K
-from tavola.llm.shared import bounded_sample, labelled, written
+from tavola.llm.shared import bounded_sample, give_back, labelled, trimmed, written
 
 FORM_DIM, DIM = 1 << 18, 1 << 20
 #: Columns are kept as their lower 16 bits and the number of columns for each value of the upper ones.
 HIGHS = DIM >> 16
+#: Log of the places of the filter of labelled ids (8 MB at most); with more labels more rows pass it, none is lost.
+FILTER_BITS = 26
 #: Shares of a text's n-grams from which on an indicator is set (0: it occurs).
 SHARES = np.array([0.0, 1 / 64, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 3 / 4, 15 / 16])
 _MARKS = np.zeros(256, np.int64)
@@ -156,12 +158,22 @@ def _binary(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, offsets, pa.py_buffer(values.tobytes())])
 
 
+def _joined(values: pa.Array | pa.ChunkedArray) -> bytes:
+    """All bytes of a binary column, without an object for each value."""
+    chunks = values.chunks if isinstance(values, pa.ChunkedArray) else [values]
+    out = []
+    for c in chunks:
+        at = np.frombuffer(c.buffers()[1], np.int32)[c.offset: c.offset + len(c) + 1] if len(c) else [0]
+        out.append(memoryview(c.buffers()[2])[at[0]: at[-1]] if len(c) and at[-1] > at[0] else b"")
+    return b"".join(out)
+
+
 def _columns(lows: pa.Array, highs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Columns of all rows, and how many each row has."""
-    low = np.frombuffer(b"".join(lows.to_pylist()), "<u2").astype(np.int32)
-    n = np.frombuffer(b"".join(highs.to_pylist()), "<i4")
-    high = np.repeat(np.tile(np.arange(HIGHS, dtype=np.int32), len(lows)), n)
-    return (high << 16) | low, n.reshape(-1, HIGHS).sum(axis=1)
+    low = np.frombuffer(_joined(lows), "<u2").astype(np.int32)
+    n = np.frombuffer(_joined(highs), "<i4")
+    low |= np.repeat(np.tile(np.arange(HIGHS, dtype=np.int32) << 16, len(lows)), n)
+    return low, n.reshape(-1, HIGHS).sum(axis=1)
 
 
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,13 +196,14 @@ def dual_coordinate_descent(x: list[np.ndarray], scale: np.ndarray, y: np.ndarra
     rng = np.random.default_rng(seed)
     w = np.zeros(len(scale))
     alpha = np.zeros(len(y))
-    vals = [scale[c] / max(np.sqrt(np.sum(scale[c] ** 2)), 1e-12) for c in x]
+    norm = [max(np.sqrt(np.sum(scale[c] ** 2)), 1e-12) for c in x]
     share = np.array([(y < 0).mean(), (y > 0).mean()])
     upper = np.where(y > 0, cost * 0.5 / share[1], cost * 0.5 / share[0])
     for _ in range(epochs):
         worst = 0.0
         for i in rng.permutation(len(y)):
-            c, v = x[i], vals[i]
+            c = x[i]
+            v = scale[c] / norm[i]
             g = y[i] * (w[c] @ v) - 1.0
             a = alpha[i]
             pg = min(g, 0.0) if a <= 0 else max(g, 0.0) if a >= upper[i] else g
@@ -239,26 +252,28 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, fit_r
     """Model of ``labels.quality`` from the rows of docs(doc_id, text) that ``train`` keeps."""
     rows = docs if train is None else docs.where(train)
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bits = 1 << max(16, (16 * labels.count()).bit_length())
+    bits = 1 << min(FILTER_BITS, max(16, (16 * labels.count()).bit_length()))
     spot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
     marked = docs.sparkSession.sparkContext.broadcast(_marked(labels, spot, bits))
     rows = rows.withColumn("spot", spot)
     # only ids and columns are shuffled to meet the labels, never the texts
-    known = written(labelled(rows.mapInArrow(lambda batches: _indicator_rows(batches, marked.value), "doc_id long, lows binary, highs binary"), labels), "nbsvm-train")
+    known = written(labelled(rows.mapInArrow(trimmed(lambda batches: _indicator_rows(batches, marked.value)), "doc_id long, lows binary, highs binary"), labels), "nbsvm-train")
     size = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n = sum(size.values())
     if len(size) < 2:
         return {"share": size.get(1, 0) / n if n else 0.5}
-    counts = (known.select("lows", "highs", "label").mapInArrow(_class_counts, "column int, n0 long, n1 long")
+    counts = (known.select("lows", "highs", "label").mapInArrow(trimmed(_class_counts), "column int, n0 long, n1 long")
               .groupBy("column").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow())  # DIM rows at most
     n_by = np.zeros((2, DIM))
     for c in (0, 1):
         n_by[c][counts["column"].to_numpy()] = counts[f"n{c}"].to_numpy()
     ratio = _ratios(n_by, smooth)
     picked = bounded_sample(known, "doc_id", n, fit_rows).toArrow()
+    picked = picked.sort_by([(c, "ascending") for c in ("doc_id", "lows", "highs")])  # the same model whatever order the rows come in
+    y = picked["label"].to_numpy().copy()
     flat, width = _columns(picked["lows"], picked["highs"])
+    del picked, counts, n_by  # the driver holds the fit's columns only
     x = np.split(flat, np.cumsum(width)[:-1])
-    y = picked["label"].to_numpy()
     if len(set(y.tolist())) < 2:
         return {"share": size.get(1, 0) / n}
     sign = np.where(y == 1, 1.0, -1.0)
@@ -269,32 +284,36 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, fit_r
         for k in (0, 1):
             mine, other = np.flatnonzero(half == k), np.flatnonzero(half != k)
             m[mine] = _margins([x[i] for i in mine], dual_coordinate_descent([x[i] for i in other], ratio, sign[other], cost), ratio)
-    return {"weight": w * ratio, "square": ratio ** 2, "curve": _logistic_curve(m, y)}
+    curve = _logistic_curve(m, y)
+    del x, flat
+    give_back()
+    return {"weight": w * ratio, "square": ratio ** 2, "curve": curve}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with ``score``, the probability of label 1; every row, whole texts."""
-    docs = docs.drop("score")
-    names = docs.columns
-    at = names.index("text")
+    """docs with ``score``, the probability of label 1; every row, whole texts.
+    Only texts go to Python and only scores come back."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM weights
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def probability(texts: pa.Array) -> np.ndarray:
         m = shared.value
-        for b in batches:
-            if "share" in m:
-                out = [np.full(b.num_rows, m["share"])]
-            else:
-                out = []
-                slope, offset = m["curve"]
-                for lo, hi, data, offs in K.text_chunks(b.column(at)):
-                    c, first = indicators(data, offs)
-                    dot = np.add.reduceat(m["weight"][c], first[:-1])  # every row has the intercept
-                    norm = np.sqrt(np.add.reduceat(m["square"][c], first[:-1]))
-                    out.append(1 / (1 + np.exp(-np.clip(slope * dot / norm + offset, -30, 30))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], [*names, "score"])
-
-    return docs.mapInArrow(rows, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", score double")
+        if "share" in m:
+            return np.full(len(texts), m["share"])
+        slope, offset = m["curve"]
+        out = [np.zeros(0)]
+        for _, _, data, offs in K.text_chunks(texts):
+            c, first = indicators(data, offs)
+            dot = np.add.reduceat(m["weight"][c], first[:-1])  # every row has the intercept
+            norm = np.sqrt(np.add.reduceat(m["square"][c], first[:-1]))
+            out.append(1 / (1 + np.exp(-np.clip(slope * dot / norm + offset, -30, 30))))
+        return np.concatenate(out)
+
+    def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from trimmed(lambda batches: (pa.array(probability(t)) for t in batches))(texts)
+
+    # nondeterministic: a filter on the score does not run it again
+    judge = F.arrow_udf(scores, "double").asNondeterministic()
+    return docs.withColumn("score", judge(F.col("text").cast("string")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how) -> DataFrame:

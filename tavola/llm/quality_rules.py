@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tavola.llm import textkernel as K
-from tavola.llm.shared import bounded_sample, labelled, written
+from tavola.llm.shared import bounded_sample, labelled, trimmed, written
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Inputs of the trees, and how the quality may move with each: -1 never up, 1 never down, 0 freely.
@@ -202,7 +202,7 @@ def _input_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, **how) -> Trees | None:
     """Trees for labels.quality; None without labels of both classes."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = written(labelled(rows.mapInArrow(_input_rows, "doc_id long, x array<double>"), labels), "quality-train")
+    known = written(labelled(rows.mapInArrow(trimmed(_input_rows), "doc_id long, x array<double>"), labels), "quality-train")
     picked = bounded_sample(known, "doc_id", known.count(), fit_rows).toArrow()
     y = picked["label"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
@@ -213,23 +213,24 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, **how) -> Tr
 
 
 def judge(docs: DataFrame, trees: Trees | None, threshold: float = 0.3) -> DataFrame:
-    """docs with the base counts, base_failed, quality (the trees' probability) and kept."""
-    added = [*BASE, "base_failed", "quality", "kept"]
-    docs = docs.drop(*added)
-    names = docs.columns
-    at = names.index("text")
+    """docs with the base counts, base_failed, quality (the trees' probability) and kept.
+    Only texts go to Python and only these come back."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
+    added = [*BASE, "base_failed", "quality", "kept"]
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [statistics(data, offs) for _, _, data, offs in K.text_chunks(b.column(at))]
-            base = np.concatenate([g[0] for g in got]) if got else np.zeros((0, len(BASE)), np.int64)
-            x = np.concatenate([g[1] for g in got]) if got else np.zeros((0, len(FEATURES)))
-            n, repeat = base[:, 0], base[:, 4]
-            failed = (n < 50) | (100 * repeat > 50 * n)
-            p = shared.value.probability(x) if shared.value is not None else np.ones(len(x))
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(base[:, j]) for j in range(len(BASE))], pa.array(failed), pa.array(p),
-                                              pa.array(~failed & (p >= threshold))], [*names, *added])
-
-    kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", " + ", ".join(f"{c} long" for c in BASE)
-    return docs.mapInArrow(rows, kinds + ", base_failed boolean, quality double, kept boolean")
+    def verdict(texts: pa.Array) -> pa.Array:
+        got = [statistics(data, offs) for _, _, data, offs in K.text_chunks(texts)]
+        base = np.concatenate([g[0] for g in got]) if got else np.zeros((0, len(BASE)), np.int64)
+        x = np.concatenate([g[1] for g in got]) if got else np.zeros((0, len(FEATURES)))
+        n, repeat = base[:, 0], base[:, 4]
+        failed = (n < 50) | (100 * repeat > 50 * n)
+        p = shared.value.probability(x) if shared.value is not None else np.ones(len(x))
+        return pa.StructArray.from_arrays([*[pa.array(base[:, j]) for j in range(len(BASE))], pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))], added)
+
+    def verdicts(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from trimmed(lambda batches: map(verdict, batches))(texts)
+
+    kinds = ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, quality double, kept boolean"
+    # nondeterministic: a filter on the verdict does not run it again
+    found = docs.withColumn("_verdict", F.arrow_udf(verdicts, kinds).asNondeterministic()(F.col("text").cast("string")))
+    return found.withColumns({c: F.col(f"_verdict.{c}") for c in added}).drop("_verdict")

@@ -16,6 +16,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    give_back()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -40,6 +41,31 @@ def crc_mod(key: str, mod: int):
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def trimmed(task):
+    """A task function over batches that, at its end, gives the memory it has freed back
+    to the system: idle Python workers hold little, however many stages they served."""
+    import functools
+
+    @functools.wraps(task)
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+    return run
+
+
+def give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # a C library without it
+
+
 _SHIPPED: set[str] = set()
 #: Texts reach Python in small batches, so a worker's memory does not depend on their number.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}

@@ -287,6 +287,37 @@ def test_pipeline_near_duplicates_of_odd_rows(llm, docs_of):
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in got) == [("1", "a b c d e f"), ("3", "None"), ("4", "None"), ("None", "z y")]
 
 
+def test_pipeline_near_duplicates_without_ids_and_with_repeated_ids(llm, docs_of):
+    import corpus_pipeline as P
+    near = [" ".join(["w%d" % k for k in range(40)] + [x]) for x in ("a", "b", "c")]
+    rows = [(None, near[0]), (None, near[1]), (None, near[2]), (0, "b b b b b b"), (1, "a a a a a a"), (1, "b b b b b b"), (5, ""), (5, ""), (5, " "), (None, ""), (None, "")]
+    got = sorted((str(r["doc_id"]), r["text"] if r["text"] not in near else "near") for r in P.near_duplicates(llm, docs_of(rows), "").collect())
+    assert got == sorted([("None", "near"), ("0", "b b b b b b"), ("1", "a a a a a a"), ("5", ""), ("5", " "), ("None", "")])
+
+
+def test_pipeline_stages_of_no_rows_and_of_clashing_names(llm, docs_of):
+    import corpus_pipeline as P
+    sf = "/root/testdata/sf0.001"
+    docs = llm.read.parquet(f"{sf}/documents.parquet")
+    clash = docs.withColumns({"score": F.lit("s"), "predicted": F.lit("p"), "quality": F.lit("q"), "kept": F.lit("k"), "_number": F.lit("n"), "base_failed": F.lit("b")})
+    for name, stage in P.STAGES[:-1]:
+        none = stage(llm, docs.where("false"), sf)
+        assert none.columns == docs.columns and none.count() == 0, name
+        plain, odd = stage(llm, docs, sf), stage(llm, clash, sf)
+        assert odd.columns == clash.columns
+        assert sorted(r.doc_id for r in odd.select("doc_id").collect()) == sorted(r.doc_id for r in plain.select("doc_id").collect()), name
+        assert odd.select("score", "predicted", "quality", "kept", "_number", "base_failed").distinct().collect() == [("s", "p", "q", "k", "n", "b")], name
+    assert P.STAGES[-1][1](llm, docs.where("false"), sf).count() == 0
+
+
+def test_classifier_scores_do_not_depend_on_partitions(llm):
+    from tavola.llm import nbsvm
+    docs = llm.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = llm.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    one, other = ({r.doc_id: r.score for r in nbsvm.classify(d, labels).collect()} for d in (docs.coalesce(1), docs.repartition(7)))
+    assert one == other
+
+
 def near_copy_groups(rng, sizes, dim=64, noise=0.02):
     """(vec_id, vector, label) of groups of distinct near copies around far-apart centres."""
     rows = []
