@@ -119,9 +119,12 @@ def _suits(kind: Column, hit: Column) -> Column:
             .otherwise(~mail & ~quads & n.between(7, 15)))
 
 
-def bootstrap(occurrences: DataFrame, rounds: int = 3, confidence: float = 0.7, support: int = 3) -> DataFrame:
+def bootstrap(occurrences: DataFrame, rounds: int = 3, confidence: float = 0.7, support: int = 3, alone: int = 12) -> DataFrame:
     """Of occurrences(doc_id, text_hash, start, end, hit, kind, l2, l1, r1): the
-    unseen ones that a trusted pattern finds, with their kind."""
+    unseen ones that a trusted pattern finds, with their kind.  A pattern needs
+    ``support`` known identifiers; a single word, which may stand before them by
+    chance, needs ``alone``."""
+    needed = F.when(F.col("pattern").startswith("a "), F.lit(alone)).otherwise(F.lit(support))
     patterns = F.array(F.when(F.col("l2") != "", F.concat(F.lit("b "), "l2", F.lit(" "), "l1")),
                        F.when((F.col("l1") != "") & (F.col("r1") != ""), F.concat(F.lit("m "), "l1", F.lit(" _ "), "r1")),
                        F.when(F.col("l1") != "", F.concat(F.lit("a "), "l1")))
@@ -134,7 +137,7 @@ def bootstrap(occurrences: DataFrame, rounds: int = 3, confidence: float = 0.7,
         trusted = written(edges.join(scores, "hit").groupBy("pattern", "kind")
                           .agg(F.sum("score").alias("s"), F.sum((F.col("score") >= 0.5).cast("int")).alias("k"))
                           .join(width, "pattern").withColumn("confidence", F.least(F.col("s") / (F.col("n") + 1), F.lit(0.999)))
-                          .where(F.col("k") >= support).select("pattern", "kind", "confidence"), "pii-patterns")
+                          .where(F.col("k") >= needed).select("pattern", "kind", "confidence"), "pii-patterns")
         if i + 1 < rounds:
             found = (edges.join(trusted, "pattern").join(seeds.select("hit").distinct(), "hit", "left_anti")
                      .groupBy("hit", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score"))

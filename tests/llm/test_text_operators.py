@@ -396,3 +396,36 @@ def test_long_texts_of_template_words_are_scanned_in_time():
     # a license amid a great many of its words is still found
     name = "Unlicense-text"
     assert name in scanned(["software " * 20_000 + TEMPLATES[name] + " software" * 20_000])[0]
+
+
+def test_added_spans_are_right_and_most_are_found(llm, docs_of):
+    """Unseen identifiers in two contexts that known ones stand in; numbers and addresses in
+    contexts of their own, and after a common word that three known ones follow by chance."""
+    from tavola.llm import pii
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows, true = [], {}
+
+    def add(before, hit, after, kind=None):
+        text = f"{word()} {word()} {before} {hit} {after} {word()}"
+        if kind:
+            at = text.index(f" {hit} ") + 1
+            true[len(rows)] = f"{kind}:{at}:{at + len(hit)}"
+        rows.append((len(rows), text))
+
+    for _ in range(25):
+        add("call me at", "+49 30 " + digits(7), "before noon")
+        add("write to", f"{word()}@{word()}.org", "about it")
+    for _ in range(30):
+        add("call me at", "030 " + digits(7), "before noon", "phone")
+        add("write to", f"{word()}[at]{word()}.org", "about it", "email")
+        add(f"order {word()}", digits(9), word())
+        add("he", digits(8), word())
+    for _ in range(3):
+        add("he", "+49 40 " + digits(7), word())
+    base = {i: ",".join(base_of(t)) for i, t in rows}
+    got = {r["doc_id"]: r["s"] for r in pii.find(docs_of(rows)).select("doc_id", pii.listed(pii.all_spans()).alias("s")).collect()}
+    added = {i: s for i, s in got.items() if s != base[i]}
+    assert all(true.get(i) == s for i, s in added.items())  # precision 1
+    assert len(added) >= 0.9 * len(true), (len(added), len(true))
