@@ -17,6 +17,7 @@ gives no piece.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +26,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tavola.llm import blocks as B
-from tavola.llm.shared import written
+from tavola.llm.shared import trimmed, written
 
 CAPACITY = 2048
 UNIT = 4
-#: Words whose ids a worker keeps at hand; beyond it they are encoded anew.
-CACHE_WORDS = 250_000
+#: Words whose ids a worker keeps at hand (about 40 MB); beyond it they are encoded anew.
+CACHE_WORDS = 1_000_000
 BLOCK_BYTES = 3 << 20
 
 PIECE = "doc_id long, doc_tokens long, start long, length long, ids binary"
 _worker: dict = {}
 
 
+class _Known:
+    """Ids of words that a worker has encoded: sorted hashes, and where their ids lie."""
+
+    def __init__(self) -> None:
+        self.hash, self.start, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of hashes, and whether they are there."""
+        at = np.searchsorted(self.hash, h)
+        there = at < len(self.hash)
+        there[there] = self.hash[at[there]] == h[there]
+        return at, there
+
+    def add(self, h: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        order = np.argsort(h)
+        at = np.searchsorted(self.hash, h[order])
+        start = len(self.ids) + np.cumsum(size) - size
+        self.hash, self.start, self.size = (np.insert(old, at, new[order]) for old, new in ((self.hash, h), (self.start, start), (self.size, size.astype(np.int32))))
+        self.ids = np.concatenate([self.ids, ids])
+
+
 def _tokenizer(config: str):
     if _worker.get("config") != config:
         import os
@@ -44,22 +66,26 @@ def _tokenizer(config: str):
         from tokenizers import Tokenizer
         t = Tokenizer.from_str(config)
         t.encode_special_tokens = True  # their strings in a text are ordinary text
-        _worker.update(config=config, tokenizer=t, known={})
-    return _worker["tokenizer"], _worker["known"]
-
-
-def _word_ids(words: list[bytes], config: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of every word, one after the other, and how many each has."""
-    tok, known = _tokenizer(config)
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    new = [w for w in words if w not in known]
-    for lo in range(0, len(new), 10_000):
-        part = new[lo: lo + 10_000]
-        for w, e in zip(part, tok.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    got = [known[w] for w in words]
-    return np.frombuffer(b"".join(got), "<u4"), np.array([len(g) // 4 for g in got], np.int64)
+        _worker.update(config=config, tokenizer=t, known=_Known())
+    return _worker["tokenizer"]
+
+
+def _word_ids(words: list[bytes], hashes: np.ndarray, config: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An array of ids, and where the ids of each distinct word begin there and how many it has."""
+    tok = _tokenizer(config)
+    at, there = _worker["known"].find(hashes)
+    if len(_worker["known"].hash) + np.count_nonzero(~there) > CACHE_WORDS:
+        _worker["known"], there = _Known(), np.zeros(len(words), bool)
+    known, new = _worker["known"], np.flatnonzero(~there)
+    if len(new):
+        sizes, ids = [], []
+        for lo in range(0, len(new), 10_000):
+            got = [e.ids for e in tok.encode_batch_fast([words[i].decode("utf-8", "replace") for i in new[lo: lo + 10_000].tolist()], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            ids.append(np.fromiter(chain.from_iterable(got), np.uint32, int(sizes[-1].sum())))
+        known.add(hashes[new], np.concatenate(sizes), np.concatenate(ids))
+        at, _ = known.find(hashes)
+    return known.ids, known.start[at], known.size[at].astype(np.int64)
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
@@ -72,8 +98,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in B.blocks(batches, "text", "pretokens", BLOCK_BYTES):
-            flat, lens = _word_ids(b.words, shared.value)
-            starts = np.cumsum(lens) - lens
+            flat, starts, lens = _word_ids(b.words, b.hashes, shared.value)
             doc = b.rows["doc_id"].combine_chunks()
             lo = 0
             while lo < len(doc):  # some rows at a time, about 250,000 words
@@ -92,7 +117,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
                                       names=["doc_id", "doc_tokens", "start", "length", "ids"])
                 lo = hi
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(rows), PIECE)
 
 
 # --- cutting stock on the histogram ------------------------------------------
@@ -153,6 +178,7 @@ def column_generation(size: np.ndarray, demand: np.ndarray, capacity: int, toler
     ``most`` columns: every step is feasible).  ``size`` is ascending."""
     a, x = _first_basis(size, demand, capacity)
     inv = np.linalg.inv(a.astype(float))
+    sound = a.copy(), x.copy()
     bound = size @ demand / capacity
     calm, weight = size / capacity, 0.9  # the duals if nothing were wasted; prices are drawn towards them
     for step in range(most):
@@ -168,9 +194,10 @@ def column_generation(size: np.ndarray, demand: np.ndarray, capacity: int, toler
             break
         way = inv @ new
         ratio = np.full(len(x), np.inf)
-        ok = way > 1e-9
+        ok = way > max(1e-9, 1e-7 * np.abs(way).max())
         ratio[ok] = np.maximum(x[ok], 0) / way[ok]
-        out = int(ratio.argmin())
+        close = np.flatnonzero(ratio <= ratio.min() * (1 + 1e-9) + 1e-9)
+        out = int(close[way[close].argmax()])  # of equal steps the one with the largest pivot
         t = ratio[out]
         x -= t * way
         x[out] = t
@@ -179,8 +206,12 @@ def column_generation(size: np.ndarray, demand: np.ndarray, capacity: int, toler
         inv -= np.outer(way, row)
         inv[out] = row
         if step % 300 == 299:  # against rounding
-            inv = np.linalg.inv(a.astype(float))
+            try:
+                inv = np.linalg.inv(a.astype(float))
+            except np.linalg.LinAlgError:  # rounding has spoilt the basis: the last sound one is feasible, too
+                return sound[0], np.maximum(sound[1], 0)
             x = inv @ demand
+            sound = a.copy(), x.copy()
     return a, np.maximum(x, 0)
 
 
@@ -234,7 +265,7 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> Dat
                                              [*b.schema.names, "_class", "_task", "_rank"])
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in pieces.select(*keep).dtypes)
-    rows = written(pieces.select(*keep).mapInArrow(ranked, kinds + ", _class int, _task int, _rank long"), "pieces")
+    rows = written(pieces.select(*keep).mapInArrow(trimmed(ranked), kinds + ", _class int, _task int, _rank long"), "pieces")
     per_task = rows.groupBy("_class", "_task").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_class").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_task.select("_class", "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -271,7 +302,7 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> Dat
     # places are found on narrow rows; the pieces with their ids are shuffled once, to meet them
     key = ["_class", "_task", "_rank"]
     narrow = rows.select(*key, F.col("length").cast("long").alias("length")).join(offsets, ["_class", "_task"])
-    out = narrow.mapInArrow(placed, "_class int, _task int, _rank long, _length long, sequence_id long, _place long")
+    out = narrow.mapInArrow(trimmed(placed), "_class int, _task int, _rank long, _length long, sequence_id long, _place long")
     earlier = Window.partitionBy("sequence_id").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
     out = out.withColumn("offset", F.coalesce(F.sum("_length").over(earlier), F.lit(0)).cast("long")).select(*key, "sequence_id", "offset")
     return rows.join(out, key).select(*keep, "sequence_id", "offset")
