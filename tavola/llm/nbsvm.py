@@ -172,7 +172,10 @@ def _columns(lows: pa.Array, highs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Columns of all rows, and how many each row has."""
     low = np.frombuffer(_joined(lows), "<u2").astype(np.int32)
     n = np.frombuffer(_joined(highs), "<i4")
-    low |= np.repeat(np.tile(np.arange(HIGHS, dtype=np.int32) << 16, len(lows)), n)
+    first = np.concatenate([[0], np.cumsum(n.reshape(-1, HIGHS).sum(axis=1))])
+    for a in range(0, len(lows), 256):  # some rows at a time: no second array of all columns
+        b = min(a + 256, len(lows))
+        low[first[a]: first[b]] |= np.repeat(np.tile(np.arange(HIGHS, dtype=np.int32) << 16, b - a), n[a * HIGHS: b * HIGHS])
     return low, n.reshape(-1, HIGHS).sum(axis=1)
 
 
