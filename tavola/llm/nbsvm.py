@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tavola.llm import textkernel as K
-from tavola.llm.shared import bounded_sample, give_back, labelled, trimmed, written
+from tavola.llm.shared import bounded_sample, labelled, trimmed, written
 
 FORM_DIM, DIM = 1 << 18, 1 << 20
 #: Columns are kept as their lower 16 bits and the number of columns for each value of the upper ones.
@@ -251,6 +251,31 @@ def _margins(x: list[np.ndarray], w: np.ndarray, ratio: np.ndarray) -> np.ndarra
     return np.array([(w[c] * ratio[c]).sum() / max(np.sqrt((ratio[c] ** 2).sum()), 1e-12) for c in x])
 
 
+def _trained(batches: Iterator[pa.RecordBatch], ratio: np.ndarray, cost: float) -> Iterator[pa.RecordBatch]:
+    """A row with the weights and the calibration learned from all of a task's rows; none without both classes."""
+    batches = list(batches)
+    if not batches:
+        return
+    picked = pa.Table.from_batches(batches)
+    picked = picked.sort_by([(c, "ascending") for c in ("doc_id", "lows", "highs")])  # the same model whatever order the rows come in
+    y = picked["label"].to_numpy().copy()
+    flat, width = _columns(picked["lows"], picked["highs"])
+    del picked, batches
+    x = np.split(flat, np.cumsum(width)[:-1])
+    if len(set(y.tolist())) < 2:
+        return
+    sign = np.where(y == 1, 1.0, -1.0)
+    w = dual_coordinate_descent(x, ratio, sign, cost)
+    half = np.arange(len(y)) % 2
+    m = _margins(x, w, ratio)
+    if all(len(set(y[half == k].tolist())) == 2 for k in (0, 1)):
+        for k in (0, 1):
+            mine, other = np.flatnonzero(half == k), np.flatnonzero(half != k)
+            m[mine] = _margins([x[i] for i in mine], dual_coordinate_descent([x[i] for i in other], ratio, sign[other], cost), ratio)
+    slope, offset = _logistic_curve(m, y)
+    yield pa.record_batch({"weight": pa.array([w.tobytes()], pa.binary()), "slope": [slope], "offset": [offset]})
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, fit_rows: int = 12_000, smooth: float = 1.0, cost: float = 1.0) -> dict:
     """Model of ``labels.quality`` from the rows of docs(doc_id, text) that ``train`` keeps."""
     rows = docs if train is None else docs.where(train)
@@ -271,26 +296,16 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, fit_r
     for c in (0, 1):
         n_by[c][counts["column"].to_numpy()] = counts[f"n{c}"].to_numpy()
     ratio = _ratios(n_by, smooth)
-    picked = bounded_sample(known, "doc_id", n, fit_rows).toArrow()
-    picked = picked.sort_by([(c, "ascending") for c in ("doc_id", "lows", "highs")])  # the same model whatever order the rows come in
-    y = picked["label"].to_numpy().copy()
-    flat, width = _columns(picked["lows"], picked["highs"])
-    del picked, counts, n_by  # the driver holds the fit's columns only
-    x = np.split(flat, np.cumsum(width)[:-1])
-    if len(set(y.tolist())) < 2:
+    del counts, n_by
+    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+    # the bounded sample is fitted in a task: the driver gets weights, never rows
+    found = (bounded_sample(known, "doc_id", n, fit_rows).select("doc_id", "lows", "highs", "label").repartition(1)
+             .mapInArrow(trimmed(lambda batches: _trained(batches, shared.value, cost)), "weight binary, slope double, offset double").toArrow())
+    shared.unpersist()
+    if not found.num_rows:
         return {"share": size.get(1, 0) / n}
-    sign = np.where(y == 1, 1.0, -1.0)
-    w = dual_coordinate_descent(x, ratio, sign, cost)
-    half = np.arange(len(y)) % 2
-    m = _margins(x, w, ratio)
-    if all(len(set(y[half == k].tolist())) == 2 for k in (0, 1)):
-        for k in (0, 1):
-            mine, other = np.flatnonzero(half == k), np.flatnonzero(half != k)
-            m[mine] = _margins([x[i] for i in mine], dual_coordinate_descent([x[i] for i in other], ratio, sign[other], cost), ratio)
-    curve = _logistic_curve(m, y)
-    del x, flat
-    give_back()
-    return {"weight": w * ratio, "square": ratio ** 2, "curve": curve}
+    w = np.frombuffer(found["weight"][0].as_buffer(), np.float64)
+    return {"weight": w * ratio, "square": ratio ** 2, "curve": (found["slope"][0].as_py(), found["offset"][0].as_py())}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
