@@ -45,7 +45,7 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def items_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Renamed, de-duplicated, text-cleaned items.  Materialised, so the IQR
-    bound subquery and the main projection of the next stage scan it instead
+    bound subquery and the main projection of ``clean`` scan it instead
     of repeating the de-duplication shuffle."""
     from tavola.operators.clean import clean_text, drop_exact_duplicates, standardize_columns
     return stage(spark, sf_dir, "items_text",
@@ -53,10 +53,16 @@ def items_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned items (= ``clean_items`` of the raw table, staged in two steps)."""
+    """Cleaned items (= ``clean_items`` of the raw table).  Capping and the log column are
+    a projection of ``items_text``, which is not written a second time; the method of
+    the quantiles is chosen, and wide ones are found, once."""
     from tavola.operators.clean import cap_outliers_iqr, log_transform
-    return stage(spark, sf_dir, "items_clean",
-                 lambda: log_transform(cap_outliers_iqr(items_text(spark, sf_dir), "price")))
+
+    text = items_text(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, "items_clean")
+    if key not in _STAGES:
+        _STAGES[key] = log_transform(cap_outliers_iqr(text, "price"))
+    return _STAGES[key]
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,3 +12,9 @@ def test_a_stage_is_a_pruned_parquet_scan(spark):
     plan = d.groupBy("n").count()._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<n:bigint>" in plan
     assert venue.stage(spark, sf, "wide", lambda: None) is d and d.count() == 1000
+
+
+def test_cleaned_items_are_read_from_the_written_text_stage(spark):
+    from tavola.plans import venue
+    files = venue.clean(spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and all("/items_text-" in f for f in files)
