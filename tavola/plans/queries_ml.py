@@ -57,7 +57,9 @@ def _reference(spark, sf, kinds):
         sets = venue.task_feature_sets(data)
         rows = T.store_rows(data, scratch_path(spark, f"reference/{uuid.uuid4().hex[:12]}"), "task")
         train = {t: rows.where((F.col("task") == t) & (F.col("is_test") == 0)) for t in sets}
-        _CACHE[app, sf, "reference"] = rows, sets, train, {t: T.learn_inputs(train[t], sets[t]) for t in sets}
+        with ThreadPoolExecutor(max_workers=len(sets)) as ex:
+            learned = dict(zip(sets, ex.map(lambda t: T.learn_inputs(train[t], sets[t]), sets)))
+        _CACHE[app, sf, "reference"] = rows, sets, train, learned
     rows, sets, train, learned = _CACHE[app, sf, "reference"]
     jobs = [(t, m, p) for m, p in kinds for t in sets]
 
@@ -66,7 +68,8 @@ def _reference(spark, sf, kinds):
             t, m, p = job
             _CACHE[app, sf, job] = T.fit(train[t], sets[t], m, p, learned=learned[t])
         return _CACHE[app, sf, job]
-    with ThreadPoolExecutor(max_workers=3) as ex:
+    # a pass of a fit has few tasks and then the driver's part: all fits side by side keep the cores busy
+    with ThreadPoolExecutor(max_workers=len(jobs)) as ex:
         return dict(zip(jobs, ex.map(run, jobs))), rows, sets
 
 

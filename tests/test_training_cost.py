@@ -1,6 +1,7 @@
 """Fits do no work that their query does not use, and no statistic twice."""
 
 import random
+import threading
 
 from tavola.operators import train as T
 from tavola.plans import queries_ml as Q
@@ -39,3 +40,20 @@ def test_inputs_are_learned_once_for_all_models_of_a_task(spark, monkeypatch, tm
     folded = df.selectExpr("*", "int(b) % 2 AS fold").drop("is_test")
     T.cross_validation_scores(folded, sets, ("logistic", "random_forest"), keys, str(tmp_path), k=2)
     assert len(calls) == 1 + 2
+
+
+def test_stored_rows_fill_files_per_task(spark, tmp_path):
+    df = _rows(spark)  # 120 rows of each of three tasks
+    stored = T.store_rows(df, str(tmp_path / "rows"), "task", rows_per_file=120)
+    assert stored.count() == 360 and len(list((tmp_path / "rows").rglob("*.parquet"))) == 3
+
+
+def test_reference_fits_and_what_they_learn_run_side_by_side(spark, monkeypatch):
+    df, kinds = _rows(spark), Q.REFERENCE["quick"]
+    monkeypatch.setattr(venue, "task_data", lambda *_: df)
+    monkeypatch.setattr(venue, "task_feature_sets", lambda _d: {t: ["a", "b"] for t in ("high_rated", "popular", "premium")})
+    learning, fitting = threading.Barrier(3), threading.Barrier(3 * len(kinds))
+    monkeypatch.setattr(T, "learn_inputs", lambda *_: learning.wait(60) < 3 and (1, {}, {}))
+    monkeypatch.setattr(T, "fit", lambda *_a, **_k: fitting.wait(60))
+    fitted, _rows_, _sets = Q._reference(spark, "side-by-side", kinds)
+    assert len(fitted) == 9 and len(set(fitted.values())) == 9
