@@ -259,9 +259,13 @@ def request_models(spark, sf):
     key = (spark.sparkContext.applicationId, sf, "requests")
     if key not in _CACHE:
         folder = scratch_path(spark, f"models/requests-{uuid.uuid4().hex[:12]}")
-        for t in TASK_FEATURES:
-            io.save_model(T.fit_for_requests(_task_train(spark, sf, t), TASK_FEATURES[t], "random_forest"), f"{folder}/{t}")
-        _CACHE[key] = {t: io.load_model(f"{folder}/{t}") for t in TASK_FEATURES}
+        train = {t: _task_train(spark, sf, t) for t in TASK_FEATURES}
+
+        def saved(t):
+            io.save_model(T.fit_for_requests(train[t], TASK_FEATURES[t], "random_forest"), f"{folder}/{t}")
+            return io.load_model(f"{folder}/{t}")
+        with ThreadPoolExecutor(max_workers=len(train)) as ex:
+            _CACHE[key] = dict(zip(train, ex.map(saved, train)))
     return _CACHE[key]
 
 
@@ -283,11 +287,15 @@ def q_serving_pipeline(spark, sf):
     on its own rows: every request must get the probability of its training row."""
     requests, models = raw_requests(spark, sf), request_models(spark, sf)
     scored = SV.score_requests(requests, models, ["request_id"])
+    train = {t: _task_train(spark, sf, t) for t in TASK_FEATURES}
+
+    def encoded_model(t):
+        known = SV.learn_vocabulary(train[t])
+        return known, T.fit(known.encoded(train[t]), [*TASK_FEATURES[t], *known.names], "random_forest")
+    with ThreadPoolExecutor(max_workers=len(train)) as ex:
+        fitted = dict(zip(train, ex.map(encoded_model, train)))
     out = None
-    for t, feats in TASK_FEATURES.items():
-        train = _task_train(spark, sf, t)
-        known = SV.learn_vocabulary(train)
-        own = T.fit(known.encoded(train), [*feats, *known.names], "random_forest")
+    for t, (known, own) in fitted.items():
         rows = known.encoded(_rows_to_score(spark, sf).select(*K, *[f for f in S.REQUEST_FIELDS if f not in K]))
         trained = T.predict(own, rows.withColumn("city_known", F.expr(known.known_sql())), [F.concat_ws("|", *K).alias("request_id"), "city_known"])
         d = (trained.join(scored.select("request_id", F.col(f"{t}.probability").alias("served")), "request_id")

@@ -3,9 +3,12 @@
 import random
 import threading
 
+import pytest
+
 from tavola.operators import train as T
 from tavola.plans import queries_ml as Q
 from tavola.plans import venue
+from tavola.sources import io
 
 
 def _rows(spark):
@@ -57,3 +60,27 @@ def test_reference_fits_and_what_they_learn_run_side_by_side(spark, monkeypatch)
     monkeypatch.setattr(T, "fit", lambda *_a, **_k: fitting.wait(60))
     fitted, _rows_, _sets = Q._reference(spark, "side-by-side", kinds)
     assert len(fitted) == 9 and len(set(fitted.values())) == 9
+
+
+class _Reached(Exception):
+    pass
+
+
+def test_serving_fits_run_side_by_side(spark, monkeypatch):
+    df, models = _rows(spark), {}
+    together = threading.Barrier(3)
+    monkeypatch.setattr(Q, "_task_train", lambda _s, _sf, t: df.where(f"task = '{t}'"))
+    monkeypatch.setattr(T, "fit_for_requests", lambda *_: together.wait(60))
+    monkeypatch.setattr(io, "load_model", lambda path: path)
+    monkeypatch.setattr(Q, "raw_requests", lambda *_: None)
+    monkeypatch.setattr(Q.SV, "score_requests", lambda *_: None)
+    monkeypatch.setattr(io, "save_model", lambda model, path: models.update({path: model}))
+    served = Q.request_models(spark, "side-by-side")
+    assert list(served) == ["high_rated", "popular", "premium"] and set(served.values()) == set(models)
+
+    def fit(*_a, **_k):
+        together.wait(60)
+        raise _Reached
+    monkeypatch.setattr(T, "fit", fit)
+    with pytest.raises(_Reached):
+        Q.q_serving_pipeline(spark, "side-by-side")
