@@ -34,14 +34,27 @@ def nan_to_null(c) -> Column:
     return F.nanvl(col(c), F.lit(None).cast("double"))
 
 
+#: White space of ASCII besides the space.
+_CONTROLS = "\t\n\x0b\x0c\r"
+
+
 def clean_text_col(c) -> Column:
     """strip -> lower -> 'nan'/'none' to null -> collapse whitespace runs.
 
     ``(?U)`` makes ``\\s`` match Unicode blanks such as U+00A0, as Python's
-    ``str.strip`` does.
+    ``str.strip`` does.  These patterns test every character; ASCII text whose only
+    blanks are spaces needs none, and one only where two spaces meet.
     """
-    stripped = F.lower(F.regexp_replace(col(c), r"(?U)^\s+|\s+$", ""))
-    return (F.when(stripped.isin("nan", "none"), F.lit(None).cast("string"))
+    c = col(c)
+    plain = F.octet_length(c) == F.length(c)
+    for blank in _CONTROLS:
+        plain &= ~F.contains(c, F.lit(blank))
+    simple = F.lower(F.trim(c))
+    stripped = F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    null = F.lit(None).cast("string")
+    return (F.when(plain, F.when(simple.isin("nan", "none"), null)
+                   .when(F.contains(simple, F.lit("  ")), F.regexp_replace(simple, "  +", " ")).otherwise(simple))
+            .when(stripped.isin("nan", "none"), null)
             .otherwise(F.regexp_replace(stripped, r"(?U)\s+", " ")))
 
 

@@ -46,10 +46,15 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def items_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Renamed, de-duplicated, text-cleaned items.  Materialised, so the IQR
     bound subquery and the main projection of ``clean`` scan it instead
-    of repeating the de-duplication shuffle."""
+    of repeating the de-duplication shuffle.  It is all that reads the raw items here, so
+    they are read as staged where another query has staged them, and else not written."""
     from tavola.operators.clean import clean_text, drop_exact_duplicates, standardize_columns
-    return stage(spark, sf_dir, "items_text",
-                 lambda: clean_text(drop_exact_duplicates(standardize_columns(raw_items(spark, sf_dir)))))
+
+    def build():
+        raw = _STAGES.get((spark.sparkContext.applicationId, sf_dir, "raw_items"))
+        raw = fixtures.fx_items(spark, sf_dir) if raw is None else raw
+        return clean_text(drop_exact_duplicates(standardize_columns(raw)))
+    return stage(spark, sf_dir, "items_text", build)
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
