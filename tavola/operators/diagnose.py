@@ -3,15 +3,15 @@ leakage by correlation and mutual information, class profiles."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tavola.functions.distributed_quantile import number
 from tavola.functions.exprs import digamma, numeric_columns, q
-from tavola.functions.windows import global_rank, prefix_sums
 from tavola.operators.profile import correlation_matrix
+from tavola.session import ship_package
 
 TARGETS = ("is_high_rated", "is_popular", "is_premium")
 
@@ -75,47 +75,160 @@ def mutual_information_knn(df: DataFrame, features: Sequence[str], targets: Sequ
     mi = p(N) + mean(p(k)) - mean(p(N_y)) - mean(p(m)), at least 0.  Ties get no noise, so
     the result is exact and the same everywhere.  Rows that are alone in their class are left out.
 
-    Rows are counted per value first.  The distinct values of a class are ranked by range
-    partitions; a value's neighbours are at most k ranks away, so windows over blocks of
-    ``block`` ranks, each with k ranks of its neighbours, find d in bounded tasks.  m is the
-    difference of two running counts at x + d and x - d (``prefix_sums``)."""
+    Rows are counted per value first, with the counts of all classes side by side, and the values
+    are dealt to ranges of about ``block`` values.  A range gets the k nearest values of every
+    class on either side and the rows before it (``_range_sides``), so one pass finds every d and
+    nearly every m.  Only a value whose d reaches past the next range asks for the rows
+    before a place elsewhere: at most k + 1 values of a class do so at either end of a range, so
+    places, like the ranges' summaries, are as few as the ranges and go through the driver."""
+    kinds = [(j, y) for j in range(len(targets)) for y in (0, 1)]
     names, at = F.array(*[F.lit(f) for f in features]), list(range(len(features)))
     x = lambda f: number(F.col(q(f)).cast("double")) + F.lit(0.0)  # noqa: E731  (no negative zero)
     long = df.select(*[F.col(q(t)).cast("int").alias(f"_y{j}") for j, t in enumerate(targets)],
                      F.inline(F.array(*[F.struct(F.lit(i).alias("f"), x(features[i]).alias("x")) for i in at]))).where("x is not null")
-    counted = long.groupBy("f", "x").agg(*[F.count_if(F.col(f"_y{j}") == y).alias(f"n{j}_{y}") for j in range(len(targets)) for y in (0, 1)])
-    values = counted.select("f", "x", F.inline(F.array(*[F.struct(F.lit(j).alias("t"), F.lit(y).alias("y"), F.col(f"n{j}_{y}").alias("n"))
-                                                         for j in range(len(targets)) for y in (0, 1)]))).where("n > 0")
-    ranked = global_rank(values, ["f", "t", "y"], ["x"], out="r")
-    sizes = ranked.groupBy("f", "t", "y").agg(F.sum("n").alias("n_y"))  # a row per feature, target and class
-    block = max(block, k)
-    near = [F.floor((F.col("r") + s) / block) for s in (-k, 0, k)]
-    spread = ranked.withColumn("b", F.explode(F.array_distinct(F.array(*near))))
-    w = Window.partitionBy("f", "t", "y", "b").orderBy("r")
-    beside = [fn(F.struct("x", "n"), j).over(w).alias(f"{fn.__name__}{j}") for fn in (F.lag, F.lead) for j in range(1, k + 1)]
-    own = (spread.select("*", *beside).where(F.col("b") == F.floor(F.col("r") / block)).join(sizes, ["f", "t", "y"])
-           .where("n_y > 1").withColumn("k", F.least(F.lit(k), F.col("n_y") - 1).cast("int")))
-    again = lambda d, n: F.array_repeat(d, F.least(n, F.lit(k)).cast("int"))
-    others = [F.when(F.col(c).isNotNull(), again(F.abs(F.col(f"{c}.x") - F.col("x")), F.col(f"{c}.n"))).otherwise(F.array().cast("array<double>"))
-              for c in [f"{s}{j}" for s in ("lag", "lead") for j in range(1, k + 1)]]
-    d = F.element_at(F.sort_array(F.concat(again(F.lit(0.0), F.col("n") - 1), *others)), F.col("k"))
-    points = own.select("f", "t", "y", "x", "n", "n_y", "k", d.alias("d"))
-    tied = F.col("d") == 0  # order of a place: before (0), with (1) or after (2) the rows of a value
-    upper = F.when(tied, F.struct(F.col("x").alias("v"), F.lit(2).alias("o"))).otherwise(F.struct((F.col("x") + F.col("d")).alias("v"), F.lit(0).alias("o")))
-    lower = F.when(tied, F.struct(F.col("x").alias("v"), F.lit(0).alias("o"))).otherwise(F.struct((F.col("x") - F.col("d")).alias("v"), F.lit(2).alias("o")))
-    points = points.withColumns({"upper": upper, "lower": lower}).checkpoint(eager=True)
-    rows = points.select("f", "t", F.struct(F.col("x").alias("v"), F.lit(1).alias("o")).alias("place"), "n")
-    asked = [points.select("f", "t", F.col(c).alias("place"), F.lit(0).cast("long").alias("n")) for c in ("upper", "lower")]
-    places = rows.unionByName(asked[0]).unionByName(asked[1]).groupBy("f", "t", "place").agg(F.sum("n").alias("n"))
-    before = prefix_sums(places, ["f", "t"], "place", ["n"], descending=False).where("place.o != 1").select("f", "t", "place", "cum_n")
-    at_place = lambda c: before.select("f", "t", F.col("place").alias(c), F.col("cum_n").alias(f"n_{c}"))
-    near_by = points.join(at_place("upper"), ["f", "t", "upper"]).join(at_place("lower"), ["f", "t", "lower"])
-    n, m = F.sum("n"), F.col("n_upper") - F.col("n_lower")
-    mean = lambda c: F.sum(F.col("n") * digamma(c)) / n
-    found = near_by.groupBy("t", "f").agg(F.greatest(digamma(n) + mean(F.col("k")) - mean(F.col("n_y")) - mean(m), F.lit(0.0)).alias("mi"))
-    found = found.select(F.array(*[F.lit(t) for t in targets])[F.col("t")].alias("target"), names[F.col("f")].alias("feature"), "mi")
+    counted = long.groupBy("f", "x").agg(*[F.count_if(F.col(f"_y{j}") == y).alias(f"n{j}_{y}") for j, y in kinds]).checkpoint(eager=True)
+    totals = {r["f"]: list(r)[1:] for r in counted.groupBy("f").agg(*[F.sum(f"n{j}_{y}") for j, y in kinds]).collect()}  # a row per feature
+    n_ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions") or 200), -(-counted.count() // block))
+    ranges = (counted.repartitionByRange(n_ranges, "f", "x").sortWithinPartitions("f", "x")
+              .withColumn("at", F.spark_partition_id()).checkpoint(eager=True))
+    ship_package(df.sparkSession)
+    share = df.sparkSession.sparkContext.broadcast
+    sides = share(_range_sides(ranges, k, totals, len(kinds)))
+    found = ranges.mapInPandas(_knn_sums(sides, k, totals, len(kinds)), "f int, j int, n double, s double, m long, at int, up double, at2 int, low double").checkpoint(eager=True)
+    asked = found.where("at is not null or at2 is not null").withColumn("id", F.monotonically_increasing_id()).checkpoint(eager=True)
+    places: dict[int, list] = {}
+    for r in asked.select("id", "f", "j", "at", "up", "at2", "low").toLocalIterator():
+        for where, v, side in ((r["at"], r["up"], 1), (r["at2"], r["low"], -1)):
+            if where is not None:
+                places.setdefault(where, []).append((r["id"], r["f"], r["j"], v, side))
+    before = ranges.mapInPandas(_rows_before(share(places), sides, len(kinds), totals), "id long, m long").groupBy("id").agg(F.sum("m").alias("more"))
+    open_sums = asked.join(before, "id").select("f", "j", "n", (F.col("s") - F.col("n") * digamma(F.col("m") + F.col("more"))).alias("s"))
+    sums = found.where("at is null and at2 is null").select("f", "j", "n", "s").unionByName(open_sums).groupBy("f", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    mi = sums.select(F.array(*[F.lit(t) for t in targets])[F.col("j")].alias("target"), names[F.col("f")].alias("feature"),
+                     F.greatest(digamma(F.col("n")) + F.col("s") / F.col("n"), F.lit(0.0)).alias("mi"))
     order = Window.partitionBy("target").orderBy(F.desc(F.rint(F.col("mi") * 1e9)), "feature")  # as many rows as features
-    return found.withColumn("rank", F.row_number().over(order)).withColumn("suspicious", (F.col("rank") <= top) & (F.col("mi") > flag))
+    return mi.withColumn("rank", F.row_number().over(order)).withColumn("suspicious", (F.col("rank") <= top) & (F.col("mi") > flag))
+
+
+def _values_by_feature(parts: Iterator):
+    """(range, feature, values ascending, counts per kind) of the frames of one task."""
+    import pandas as pd
+
+    parts = list(parts)
+    for (at, f), d in pd.concat(parts).groupby(["at", "f"], sort=True) if parts else ():
+        d = d.sort_values("x")
+        yield int(at), int(f), d["x"].to_numpy(), d[[c for c in d.columns if c.startswith("n")]].to_numpy()
+
+
+def _range_sides(ranges: DataFrame, k: int, totals: dict, n_kinds: int) -> dict:
+    """(range, feature) -> (``low``, ``high``: last value before and first value after it, or None;
+    ``before``: rows of every kind before it; ``left`` and ``right``: the k nearest values outside
+    of every kind with their counts), and feature -> (ranges, their first values)."""
+    def ends(parts: Iterator) -> Iterator:
+        import pandas as pd
+
+        for at, f, x, n in _values_by_feature(parts):
+            has = [n[:, c].nonzero()[0] for c in range(n_kinds)]
+            cut = [[h[:k] for h in has], [h[-k:] for h in has]]
+            yield pd.DataFrame({"at": [at], "f": [f], "lo": [x[0]], "hi": [x[-1]], "n": [n.sum(axis=0).tolist()],
+                                **{f"{e}_x": [[x[h].tolist() for h in hs]] for e, hs in zip(("first", "last"), cut)},
+                                **{f"{e}_n": [[n[h, c].tolist() for c, h in enumerate(hs)]] for e, hs in zip(("first", "last"), cut)}})
+
+    schema = "at int, f int, lo double, hi double, n array<long>, " + ", ".join(f"{e}_{v} array<array<{t}>>" for e in ("first", "last") for v, t in (("x", "double"), ("n", "long")))
+    rows = ranges.mapInPandas(ends, schema).collect()  # a row per range, and one more per feature at most
+    out: dict = {}
+    for f in totals:
+        own = sorted((r for r in rows if r["f"] == f), key=lambda r: r["at"])
+        before, near = [0] * n_kinds, [[] for _ in range(n_kinds)]
+        for i, r in enumerate(own):
+            out[r["at"], f] = {"low": own[i - 1]["hi"] if i else None, "high": own[i + 1]["lo"] if i + 1 < len(own) else None, "before": before, "left": near}
+            before = [a + b for a, b in zip(before, r["n"])]
+            near = [(a + list(zip(xs, ns)))[-k:] for a, xs, ns in zip(near, r["last_x"], r["last_n"])]
+        near = [[] for _ in range(n_kinds)]
+        for r in reversed(own):
+            out[r["at"], f]["right"] = near
+            near = [(list(zip(xs, ns)) + a)[:k] for a, xs, ns in zip(near, r["first_x"], r["first_n"])]
+        out[f] = [r["at"] for r in own], [r["lo"] for r in own]
+    return out
+
+
+def _rows_up_to(n, before: list, j: int, total: list):
+    """Rows of target j in the classes of two rows and more, before the first value, after the first, and so on."""
+    import numpy as np
+
+    own = [c for c in (2 * j, 2 * j + 1) if total[c] > 1]
+    counts = n[:, own].sum(axis=1) if own else np.zeros(len(n), "int64")
+    return counts, sum(before[c] for c in own) + np.concatenate([[0], np.cumsum(counts)])
+
+
+def _knn_sums(sides, k: int, totals: dict, n_kinds: int):
+    """Per range, feature and target: the rows, and the sum of p(k) - p(N_y) - p(m) over them;
+    where m needs a place in another range, a row per value without p(m), with the part of m
+    that is known and the ranges and places to ask for."""
+    def psi(a):
+        import numpy as np
+
+        t = a + 6.0
+        series = np.log(t) - 1 / (2 * t) - 1 / (12 * t**2) + 1 / (120 * t**4) - 1 / (252 * t**6) + 1 / (240 * t**8)
+        return series - sum(1 / (a + float(i)) for i in range(6))
+
+    def sums(parts: Iterator) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        for at, f, x, n in _values_by_feature(parts):
+            side, (ats, los) = sides.value[at, f], sides.value[f]
+            for j in range(n_kinds // 2):
+                counts, cum = _rows_up_to(n, side["before"], j, totals[f])
+                for c in (2 * j, 2 * j + 1):
+                    here, size = n[:, c].nonzero()[0], totals[f][c]
+                    if size < 2 or not len(here):
+                        continue
+                    kk, left, right = min(k, size - 1), side["left"][c], side["right"][c]
+                    xs = np.concatenate([[-np.inf] * (k - len(left)), [v for v, _ in left], x[here], [v for v, _ in right], [np.inf] * (k - len(right))])
+                    ns = np.concatenate([[0] * (k - len(left)), [w for _, w in left], n[here, c], [w for _, w in right], [0] * (k - len(right))]).astype("int64")
+                    own, rows = x[here], n[here, c]
+                    shifts = [s for s in range(-k, k + 1) if s]
+                    with np.errstate(invalid="ignore"):
+                        gap = np.stack([np.zeros(len(own))] + [np.abs(xs[k + s:k + s + len(own)] - own) for s in shifts], axis=1)
+                        many = np.stack([rows - 1] + [ns[k + s:k + s + len(own)] for s in shifts], axis=1)
+                        nearest = np.argsort(gap, axis=1, kind="stable")
+                        enough = np.cumsum(np.take_along_axis(many, nearest, 1), axis=1) >= kk
+                        d = np.take_along_axis(gap, np.take_along_axis(nearest, enough.argmax(axis=1)[:, None], 1), 1)[:, 0]
+                        up, low = own + d, own - d
+                    tied = d == 0
+                    # rows before x + d and up to x - d, where no other range is needed
+                    far_up = ~tied & ~(up <= side["high"]) if side["high"] is not None else np.zeros(len(own), bool)
+                    far_low = ~tied & ~(low >= side["low"]) if side["low"] is not None else np.zeros(len(own), bool)
+                    m = np.where(tied, counts[here], np.where(far_up, 0, cum[np.searchsorted(x, up, "left")]) - np.where(far_low, 0, cum[np.searchsorted(x, low, "right")]))
+                    base, far = psi(float(kk)) - psi(float(size)), far_up | far_low
+                    near = ~far
+                    if near.any():
+                        yield pd.DataFrame({"f": [f], "j": [j], "n": [float(rows[near].sum())], "s": [float((rows[near] * (base - psi(m[near].astype(float)))).sum())],
+                                            "m": [0], "at": pd.array([None], "Int32"), "up": [0.0], "at2": pd.array([None], "Int32"), "low": [0.0]})
+                    if far.any():
+                        def ask(places, wanted):
+                            i = np.searchsorted(los, places, "right") - 1  # the last range that begins at or before a place
+                            return pd.array([ats[max(a, 0)] if w else None for a, w in zip(i, wanted)], "Int32")
+                        yield pd.DataFrame({"f": f, "j": j, "n": rows[far].astype(float), "s": rows[far] * base, "m": m[far],
+                                            "at": ask(up[far], far_up[far]), "up": up[far], "at2": ask(low[far], far_low[far]), "low": low[far]})
+    return sums
+
+
+def _rows_before(places, sides, n_kinds: int, totals: dict):
+    """The rows before (side 1), or up to and with (side -1, negative) the places asked for."""
+    def answers(parts: Iterator) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        for at, f, x, n in _values_by_feature(parts):
+            for j in range(n_kinds // 2):
+                wanted = [(i, v, s) for i, g, t, v, s in places.value.get(at, ()) if (g, t) == (f, j)]
+                if wanted:
+                    cum = _rows_up_to(n, sides.value[at, f]["before"], j, totals[f])[1]
+                    m = [s * int(cum[np.searchsorted(x, v, "left" if s > 0 else "right")]) for _, v, s in wanted]
+                    yield pd.DataFrame({"id": [w[0] for w in wanted], "m": m})
+    return answers
 
 
 def mutual_information(df: DataFrame, features: Sequence[str], targets: Sequence[str] = TARGETS,

@@ -59,3 +59,27 @@ def test_a_class_of_one_row_is_left_out(spark):
     got = mutual_information_knn(df, ["a"], ["y"]).first()
     assert got.mi == pytest.approx(direct([(float(i), int(i == 0)) for i in range(20)], 3), abs=1e-9)
     assert mutual_information_knn(df.where("false"), ["a"], ["y"]).count() == 0
+
+
+def test_a_value_is_kept_once_for_all_targets_and_classes(spark, monkeypatch):
+    rng, kept = random.Random(5), []
+    rows = [(rng.gauss(0, 1), i % 2, int(i % 3 == 0), int(i % 5 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "a double, y1 int, y2 int, y3 int")
+    frame = type(df)
+    checkpoint = frame.checkpoint
+
+    def counted(self, eager=True):
+        out = checkpoint(self, eager)
+        kept.append(out.count())
+        return out
+    monkeypatch.setattr(frame, "checkpoint", counted)
+    got = {r.target: r.mi for r in mutual_information_knn(df, ["a"], ["y1", "y2", "y3"], block=20).collect()}
+    assert max(kept) <= 400  # not a row per value, target and place
+    for j, t in enumerate(["y1", "y2", "y3"], 1):
+        assert got[t] == pytest.approx(direct([(r[0], r[j]) for r in rows], 3), abs=1e-9)
+
+
+def test_two_distant_classes_ask_places_ranges_away(spark):
+    rows = [(float(i * i), int(i in (1, 2, 250))) for i in range(300)]  # the few rows of a class span nearly all ranges
+    got = mutual_information_knn(spark.createDataFrame(rows, "a double, y int"), ["a"], ["y"], block=10).first()
+    assert got.mi == pytest.approx(direct(rows, 3), abs=1e-9)
