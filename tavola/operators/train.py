@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tavola.functions.distributed_quantile import number
 from tavola.functions.stats import quantile_struct
+from tavola.operators.forest import fit_forest
 
 # Model presets (reference values) and a small preset for checks.
 PRESETS = {
@@ -30,6 +31,8 @@ PRESETS = {
 SEED = 42
 #: Training rows in a file, and so in a task of a fit: passes over little data are mostly the cost of tasks.
 ROWS_PER_TASK = 50_000
+#: Deeper forests have too many nodes for the driver, which holds all of an MLlib forest.
+DRIVER_DEPTH = 10
 
 
 def hash_uniform(keys: Sequence[str], salt: str) -> Column:
@@ -119,7 +122,13 @@ def fit(train: DataFrame, features: Sequence[str], model: str, preset: str = "sm
     scales with, and the text values it knows, are learned from ``train`` and part of it.
     Fits of the same rows and features share ``learned`` (``learn_inputs`` of them)."""
     n, medians, scaling = learned or learn_inputs(vocabulary.encoded(train) if vocabulary is not None else train, features)
-    return build_pipeline(features, model, preset, n, label, medians, scaling if model == "logistic" else None, vocabulary).fit(train)
+    pipeline = build_pipeline(features, model, preset, n, label, medians, scaling if model == "logistic" else None, vocabulary)
+    cfg = PRESETS[preset].get(model, {})
+    if model == "random_forest" and cfg.get("maxDepth", 0) > DRIVER_DEPTH:
+        inputs = PipelineModel(pipeline.getStages()[:-2])
+        forest = fit_forest(inputs.transform(train), [_input(f) for f in features], label, cfg["numTrees"], cfg["maxDepth"], cfg["minInstancesPerNode"], SEED)
+        return PipelineModel([*inputs.stages, forest])
+    return pipeline.fit(train)
 
 
 def fit_for_requests(train: DataFrame, features: Sequence[str], model: str, preset: str = "small", label: str = "label",
