@@ -39,7 +39,7 @@ from tavola.session import scratch_path, ship_package
 THRESHOLDS = 31
 BINS = THRESHOLDS + 1
 #: Weighted rows of a node whose subtree one task grows.
-LOCAL_ROWS = 250_000
+LOCAL_ROWS = 1_000_000
 #: Rows of a block of bins.
 BLOCK_ROWS = 16_384
 #: Nodes of a level whose histograms are held at once.
@@ -122,22 +122,31 @@ def _train_blocks(train: DataFrame, columns: Sequence[str], label: str, cuts: li
     return _stored(train.select(*[F.col(f"`{c}`").cast("double") for c in columns], F.col(f"`{label}`").cast("double")).mapInArrow(rows, "block long, bins binary, label binary"), "blocks")
 
 
+#: Poisson(1) by sixteen random bits.
+_POISSON = np.repeat(np.arange(9), np.diff(np.append(0, np.round(65536 * np.cumsum(np.exp(-1) / np.cumprod([1, *range(1, 9)])))).astype(int))).astype(np.uint8)
+
+
 def weights(seed: int, tree: int, block: int, n: int) -> np.ndarray:
     """How often the rows of a block are in the sample of a tree."""
-    return np.random.default_rng([seed, tree, block]).poisson(1.0, n).astype(np.uint8)
+    return _POISSON[np.random.default_rng([seed, tree, block]).integers(0, len(_POISSON), n)]
 
 
 def _subsets(rng: np.random.Generator, nodes: int, features: int, k: int) -> np.ndarray:
     return rng.random((nodes, features)).argpartition(min(k, features) - 1, axis=1)[:, :k]
 
 
-def histograms(bins: np.ndarray, label: np.ndarray, weight: np.ndarray, node: np.ndarray, subset: np.ndarray) -> np.ndarray:
-    """(nodes, features of the subset, bins, classes) summed weights of rows with their node's number."""
+def histograms(flat: np.ndarray, begin: np.ndarray, label: np.ndarray, weight: np.ndarray, node: np.ndarray, subset: np.ndarray) -> np.ndarray:
+    """(nodes, features of the subset, bins, classes) summed weights of the rows that
+    ``begin`` at these places of the flat bins, with their node's number."""
     nodes, k = subset.shape
-    at = bins[np.arange(len(bins))[:, None], subset[node]].astype(np.int64)
-    at += (node[:, None] * k + np.arange(k)) * BINS
-    at = at * 2 + label[:, None]
-    return np.bincount(at.ravel(), np.repeat(weight.astype(float), k), nodes * k * BINS * 2).reshape(nodes, k, BINS, 2)
+    cell = node * (2 * BINS) + label
+    out = np.empty((nodes, k, BINS, 2))
+    for j in range(k):
+        at = flat.take(begin + subset[:, j].take(node)).astype(np.int64)
+        at *= 2
+        at += cell
+        out[:, j] = np.bincount(at, weight, nodes * BINS * 2).reshape(nodes, BINS, 2)
+    return out
 
 
 def best_splits(hist: np.ndarray, subset: np.ndarray, min_instances: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,7 +171,8 @@ def grow(bins: np.ndarray, label: np.ndarray, weight: np.ndarray, depth: int, ma
          rng: np.random.Generator) -> dict[str, np.ndarray]:
     """The subtree of these rows, level by level: feature (-1: leaf), cut, number of the
     left child (the right one follows it), class weights."""
-    rows = np.arange(len(bins))
+    flat, begin = bins.ravel(), np.arange(len(bins)) * bins.shape[1]
+    label, weight = label.astype(np.int64), weight.astype(float)
     count = np.bincount(label, weight, 2)[None, :]
     child = np.zeros(len(bins), np.int64)  # of each row, which node of the level it is in; ascending
     levels, before = [], 0
@@ -174,15 +184,17 @@ def grow(bins: np.ndarray, label: np.ndarray, weight: np.ndarray, depth: int, ma
         tried = np.flatnonzero(may)
         if not len(tried):
             break
-        here = may[child]
-        rows, node = rows[here], (np.cumsum(may) - 1)[child[here]]
+        if len(tried) < n:
+            here = np.flatnonzero(may.take(child))
+            begin, label, weight, child = begin.take(here), label.take(here), weight.take(here), child.take(here)
+        node = (np.cumsum(may) - 1).take(child)
         ends = np.searchsorted(node, np.arange(len(tried) + 1))
         lefts = np.zeros((len(tried), 2))
         for lo in range(0, len(tried), NODES_AT_ONCE):
             hi = min(lo + NODES_AT_ONCE, len(tried))
-            mine = rows[ends[lo]: ends[hi]]
+            mine = slice(ends[lo], ends[hi])
             subset = _subsets(rng, hi - lo, bins.shape[1], k)
-            hist = histograms(bins[mine], label[mine], weight[mine], node[ends[lo]: ends[hi]] - lo, subset)
+            hist = histograms(flat, begin[mine], label[mine], weight[mine], node[mine] - lo, subset)
             feature[tried[lo:hi]], cut[tried[lo:hi]], lefts[lo:hi] = best_splits(hist, subset, min_instances)
         split = feature[tried] >= 0
         if not split.any():
@@ -190,12 +202,11 @@ def grow(bins: np.ndarray, label: np.ndarray, weight: np.ndarray, depth: int, ma
         before += n
         number = np.cumsum(split) - 1
         left[tried[split]] = before + 2 * number[split]
-        keep = split[node]
-        rows, node = rows[keep], node[keep]
-        owner = tried[node]
-        child = 2 * number[node] + (bins[rows, feature[owner]] > cut[owner])
+        right = flat.take(begin + np.maximum(feature, 0).astype(np.int64).take(child)) > cut.take(child)
+        child = np.where(split, 2 * number, 2 * len(split)).take(node) + right
         order = np.argsort(child, kind="stable")
-        rows, child = rows[order], child[order]
+        order = order[: np.searchsorted(child.take(order), 2 * len(split))]  # rows of nodes that did not split are done
+        begin, label, weight, child = begin.take(order), label.take(order), weight.take(order), child.take(order)
         parts = lefts[split]
         count = np.stack([parts, count[tried[split]] - parts], axis=1).reshape(-1, 2)
         depth += 1
@@ -301,7 +312,7 @@ def _split_large(blocks: DataFrame, tops: dict[int, dict], todo: dict[int, list[
                     w = weights(seed, t, block, len(y))
                     node = number[route(x, above[t]["feature"], above[t]["cut"], above[t]["left"])]
                     pick = np.flatnonzero((node >= 0) & (w > 0))
-                    h = histograms(x[pick], y[pick], w[pick], node[pick], subsets[t])
+                    h = histograms(x.ravel(), pick * features, y[pick], w[pick].astype(float), node[pick], subsets[t])
                     sums[t] = sums[t] + h if t in sums else h
         yield pa.record_batch({"tree": pa.array(list(sums), pa.int32()), "hist": pa.array([h.tobytes() for h in sums.values()], pa.binary())})
 

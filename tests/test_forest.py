@@ -106,3 +106,21 @@ def test_one_class_and_few_rows(spark):
     assert m.getNumTrees == 8 and [r[0] for r in m.transform(df).select(vector_to_array("probability")[1]).collect()] == [0.0] * 3
     with pytest.raises(ValueError):
         FO.fit_forest(df.limit(0), COLS, "label", 2, 15, 1, 42)
+
+
+def test_modules_are_shipped_once_by_fits_side_by_side(spark, monkeypatch):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tavola import session
+
+    class Sc:
+        applicationId, added = "side-by-side", []
+
+        def addPyFile(self, path):
+            self.added.append(path)
+
+    class One:
+        sparkContext = Sc()
+    with ThreadPoolExecutor(8) as ex:
+        list(ex.map(session.ship_package, [One()] * 8))
+    assert len(Sc.added) == 1
