@@ -37,6 +37,7 @@ def q_target_balance(spark, sf):
 from pyspark.sql import functions as F  # noqa: E402
 
 from tavola import fixtures  # noqa: E402
+from tavola.functions.stats import quantiles  # noqa: E402
 from tavola.operators import clean as C  # noqa: E402
 from tavola.operators import rollup as R  # noqa: E402
 
@@ -61,13 +62,11 @@ SELECT CASE WHEN price < lo THEN lo WHEN price > hi THEN hi ELSE price END AS pr
 FROM items_text, price_bounds
 """, ("items_text", "price_bounds"), dbl=("price", "lower_bound", "upper_bound"))
 def q_cap_outliers_iqr(spark, sf):
-    t = C.clean_text(C.drop_exact_duplicates(venue.raw_items(spark, sf)))
+    t = venue.items_text(spark, sf)  # renamed, de-duplicated, cleaned: written once, and only its prices are read here
     capped = C.cap_outliers_iqr(t, "price")
-    b = t.select(F.percentile("price", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select(
-        (F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("lower_bound"),
-        (F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("upper_bound"))
-    return capped.select("price").withColumn("_b", b.select(F.struct("lower_bound", "upper_bound")).scalar()) \
-        .select("price", "_b.lower_bound", "_b.upper_bound")
+    q = quantiles(t, "price", [0.25, 0.75])
+    b = F.struct((q[0] - 1.5 * (q[1] - q[0])).alias("lower_bound"), (q[1] + 1.5 * (q[1] - q[0])).alias("upper_bound"))
+    return capped.select("price").withColumn("_b", b).select("price", "_b.lower_bound", "_b.upper_bound")
 
 
 @register("log_transform", "SELECT rating_count, ln(1 + rating_count) AS rating_count_log FROM items_text",

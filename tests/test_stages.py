@@ -18,3 +18,14 @@ def test_cleaned_items_are_read_from_the_written_text_stage(spark):
     from tavola.plans import venue
     files = venue.clean(spark, "/root/testdata/sf0.001").inputFiles()
     assert files and all("/items_text-" in f for f in files)
+
+
+def test_capped_prices_are_read_from_the_text_stage_only(spark, monkeypatch):
+    """De-duplicated once: neither the bounds nor the prices repeat its shuffle."""
+    from tavola.plans import queries_core as Q
+
+    monkeypatch.setattr(venue, "raw_items", lambda *_: 1 / 0)
+    d = Q.q_cap_outliers_iqr(spark, "/root/testdata/sf0.001")
+    assert d.inputFiles() and all("/items_text-" in f for f in d.inputFiles())
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<price:double>" in plan and "dish_name" not in plan
